@@ -3,14 +3,38 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from transloom.llm import bpe
-from transloom.llm.common import table, vocabulary
+from transloom.llm import bpe, langid, toxicity
+from transloom.llm.common import remainder, small_batches, table, vocabulary
+
+
+def _held_out(modulus: int, value: int):
+    return F.coalesce(remainder("doc_id", modulus) == value, F.lit(False)).alias("held_out")
+
+
+def op3_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    small_batches(spark)
+    model = langid.fit(docs, remainder("doc_id", 3) != 1)
+    found = docs.select("doc_id", _held_out(3, 1), langid.identify(F.col("text"), model).alias("found"))
+    return found.select("doc_id", "held_out", "found.*")
+
+
+def op10_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    small_batches(spark)
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    scored = docs.select("doc_id", _held_out(5, 0), toxicity.toxicity(F.col("text"), model).alias("score"))
+    return scored.select("*", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode_decode(table(spark, sf_dir, "documents"), vocabulary()))
 
 
-QUERIES = {"op9_bpe_codec": op9_bpe_codec}
+QUERIES = {
+    f.__name__: f
+    for f in (op3_language_mixture, op9_bpe_codec, op10_toxicity_grammar)
+}
 ORACLE_SQL: dict[str, str] = {}
