@@ -44,6 +44,8 @@ LEAST_DEVIANCE = 12.0
 MAX_LEXICON = 500
 LEAST_GAIN = 0.004
 REPEAT_DISCOUNT = 0.5
+#: Features below this share of the largest weight are not taken.
+WEIGHT_SHARE = 0.65
 #: A longer beginning (or the whole word) is taken instead where it keeps this share of the gain.
 NESTED_SHARE = 0.9
 CLEAN_PENALTY = 2.0
@@ -86,7 +88,7 @@ def choose_lexicon(names: list[str], counts: list[tuple[int, int]], has: np.ndar
     length = np.array([(f[0] == "=", len(f)) @ np.array([100, 1]) for f in names], dtype=np.float32)
     least, out = max(1.0, LEAST_GAIN * toxic), {}
     as_float = has.astype(np.float32)
-    while len(out) < MAX_LEXICON:
+    while len(out) < MAX_LEXICON and len(names):
         gain = worth @ as_float - penalty
         best = int(np.argmax(gain + 1e-5 * length))
         if gain[best] < least:
@@ -94,7 +96,9 @@ def choose_lexicon(names: list[str], counts: list[tuple[int, int]], has: np.ndar
         nested = [i for i, f in enumerate(names) if _nested(names[best], f)]
         longer = [i for i in nested if length[i] > length[best] and gain[i] >= NESTED_SHARE * gain[best]]
         best = max(longer, key=lambda i: (length[i], gain[i], -i), default=best)
-        out[names[best]] = log_odds(*counts[best], toxic, clean)
+        weight = log_odds(*counts[best], toxic, clean)
+        if weight >= WEIGHT_SHARE * max([weight, *out.values()]):
+            out[names[best]] = weight
         worth[has[:, best]] *= REPEAT_DISCOUNT
         penalty[[i for i in nested if _nested(names[best], names[i])]] = np.inf
         penalty[best] = np.inf
