@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from transloom.llm import bpe, langid, toxicity
+from transloom.llm import bpe, langid, quality_pairs, quality_rules, sharding, toxicity
 from transloom.llm.common import remainder, small_batches, table, vocabulary
 
 
@@ -13,6 +13,17 @@ def _held_out(modulus: int, value: int):
     return F.coalesce(remainder("doc_id", modulus) == value, F.lit(False)).alias("held_out")
 
 
+def op1_quality_bradley_terry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality_pairs.fit(docs, table(spark, sf_dir, "labels"))
+    scored = docs.select("doc_id", _held_out(5, 0), quality_pairs.score(F.col("text"), model).alias("score"))
+    return scored.select("*", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op2_adaptive_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.apply_rules(table(spark, sf_dir, "documents"))
+
+
 def op3_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     small_batches(spark)
@@ -29,12 +40,16 @@ def op10_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("*", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op6_sampled_splitter_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_by_bytes(table(spark, sf_dir, "documents"))
+
+
 def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode_decode(table(spark, sf_dir, "documents"), vocabulary()))
 
 
 QUERIES = {
     f.__name__: f
-    for f in (op3_language_mixture, op9_bpe_codec, op10_toxicity_grammar)
+    for f in (op1_quality_bradley_terry, op2_adaptive_rules, op3_language_mixture, op6_sampled_splitter_shards, op9_bpe_codec, op10_toxicity_grammar)
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op2_adaptive_rules": quality_rules.SQL}
