@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from transloom.llm import bpe, langid, quality_pairs, quality_rules, sharding, toxicity
+from transloom.llm import ann_tiles, bpe, langid, quality_pairs, quality_rules, sharding, simhash, toxicity
 from transloom.llm.common import remainder, small_batches, table, vocabulary
 
 
@@ -40,6 +40,15 @@ def op10_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("*", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op4_block_matrix_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann_tiles.nearest(table(spark, sf_dir, "embeddings"), query_modulus=50, k=5)
+
+
+def op5_simhash_bit_sliced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op6_sampled_splitter_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(table(spark, sf_dir, "documents"))
 
@@ -50,6 +59,6 @@ def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_quality_bradley_terry, op2_adaptive_rules, op3_language_mixture, op6_sampled_splitter_shards, op9_bpe_codec, op10_toxicity_grammar)
+    for f in (op1_quality_bradley_terry, op2_adaptive_rules, op3_language_mixture, op4_block_matrix_neighbours, op5_simhash_bit_sliced, op6_sampled_splitter_shards, op9_bpe_codec, op10_toxicity_grammar)
 }
-ORACLE_SQL = {"op2_adaptive_rules": quality_rules.SQL}
+ORACLE_SQL = {"op4_block_matrix_neighbours": ann_tiles.SQL, "op2_adaptive_rules": quality_rules.SQL}
