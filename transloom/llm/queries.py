@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from transloom.llm import ann_tiles, bpe, langid, packing, quality_pairs, quality_rules, sharding, simhash, toxicity
+from transloom.llm import ann_tiles, bpe, langid, packing, quality_pairs, quality_rules, sharding, simhash, suffix_dedup, toxicity
 from transloom.llm.common import remainder, small_batches, table, vocabulary
 
 
@@ -58,12 +58,18 @@ def op7_packing_least_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op8_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    gone = F.aggregate("removed", F.lit(0).cast("long"), lambda n, x: n + x["stop"] - x["start"])
+    return found.select("doc_id", "n_bytes", gone.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode_decode(table(spark, sf_dir, "documents"), vocabulary()))
 
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_quality_bradley_terry, op2_adaptive_rules, op3_language_mixture, op4_block_matrix_neighbours, op5_simhash_bit_sliced, op6_sampled_splitter_shards, op7_packing_least_squares, op9_bpe_codec, op10_toxicity_grammar)
+    for f in (op1_quality_bradley_terry, op2_adaptive_rules, op3_language_mixture, op4_block_matrix_neighbours, op5_simhash_bit_sliced, op6_sampled_splitter_shards, op7_packing_least_squares, op8_suffix_repeats, op9_bpe_codec, op10_toxicity_grammar)
 }
 ORACLE_SQL = {"op4_block_matrix_neighbours": ann_tiles.SQL, "op2_adaptive_rules": quality_rules.SQL}
