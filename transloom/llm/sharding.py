@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from transloom.llm.common import cut
+from transloom.llm.common import cut, written
 
 SHARDS = 24
 #: Ranges drawn for each shard, and sampled keys for each range.
@@ -49,7 +49,8 @@ def shard_by_bytes(docs: DataFrame, shards: int = SHARDS, ranges_per_shard: int
     steps = [1 << i for i in reversed(range(max(1, len(edges).bit_length())))]
     bounds = F.lit(edges) if edges else F.array().cast("array<bigint>")
     place = F.aggregate(F.lit(steps), F.lit(0), lambda at, s: F.when((at + s <= len(edges)) & (F.get(bounds, at + s - 1) <= F.col("key")), at + s).otherwise(at))
-    rows = cut(rows.withColumn("range", place))  # also keeps the optimiser from copying the search into the joins
+    # a written table, not a checkpoint: that would pass on range = search(key) for filters on the joined side
+    rows = written(rows.withColumn("range", place))
 
     full = lambda x, all_: F.ceil(F.sum(x) / F.lit(OVERFULL * all_ / ranges))
     parts = rows.groupBy("range").agg(F.greatest(F.lit(1), full(F.col("size"), size), F.when(F.count("*") > 2 * OVERFULL, full(F.lit(1), n)).otherwise(1)).alias("parts"))
