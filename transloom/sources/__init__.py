@@ -1,0 +1 @@
+"""Table contracts, scans and sinks."""

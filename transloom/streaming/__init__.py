@@ -1,0 +1,85 @@
+"""The hourly live path as Structured Streaming queries.
+
+Batch and stream share the operators: windowed aggregates run with a watermark, and everything that needs a
+row-based window runs per micro-batch over the retained hour partitions.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
+
+from transloom.functions import add_hours
+from transloom.sources.sinks import read_hour_partitions, trim_retention, write_hour_partition, write_predictions_history, write_predictions_latest
+
+
+def file_stream(spark: SparkSession, folder: str, schema: StructType, files_per_batch: int | None = None) -> DataFrame:
+    reader = spark.readStream.schema(schema)
+    return (reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader).parquet(folder)
+
+
+def _run(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, available_now: bool) -> StreamingQuery:
+    writer = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 hour")).start()
+
+
+def stream_ingest_hourly(stream: DataFrame, path: str, checkpoint: str, key: list[str], ts: str = "timestamp", now: Callable[[], Column] | None = None, available_now: bool = True) -> StreamingQuery:
+    """Land trips in hour partitions. A batch rewrites the partitions it touches with old and new rows, one of each key, so replays and late rows are harmless; with ``now`` it trims retention."""
+
+    def each(batch: DataFrame, _: int) -> None:
+        spark = batch.sparkSession
+        try:
+            old = read_hour_partitions(spark, path)
+        except Exception as e:  # the first batch: nothing is there yet
+            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
+                raise
+            old = None
+        if old is not None:
+            touched = batch.select(F.date_trunc("hour", ts).cast("timestamp_ntz").alias("part_ts")).distinct()
+            kept = old.join(F.broadcast(touched), "part_ts", "left_semi").select(batch.columns)
+            batch = kept.unionByName(batch)
+        write_hour_partition(batch.dropDuplicates(key), path, ts)
+        if now is not None:
+            trim_retention(spark, path, now())
+
+    return _run(stream, each, checkpoint, available_now)
+
+
+def stream_node_hour(stream: DataFrame, ts: str = "arr_timestamp", delay: str = "2 hours") -> DataFrame:
+    """(node, bucket): trips and mean arrival delay, as windows close."""
+    s = stream.withColumn("__ts", F.col(ts).cast("timestamp")).withWatermark("__ts", delay)
+    agg = s.groupBy(F.window("__ts", "1 hour"), F.col("Dest").alias("node")).agg(F.count("*").alias("n"), F.avg("ArrDelay").alias("arr_delay_mean"))
+    return agg.select(F.col("window.start").cast("timestamp_ntz").alias("bucket"), "node", "n", "arr_delay_mean")
+
+
+def stream_route_hour(stream: DataFrame, ts: str = "arr_timestamp", delay: str = "2 hours") -> DataFrame:
+    s = stream.withColumn("__ts", F.col(ts).cast("timestamp")).withWatermark("__ts", delay)
+    agg = s.groupBy(F.window("__ts", "1 hour"), F.col("Origin").alias("src"), F.col("Dest").alias("dst")).agg(F.count("*").alias("n"), F.avg("ArrDelay").alias("route_arr_delay"))
+    return agg.select(F.col("window.start").cast("timestamp_ntz").alias("bucket"), "src", "dst", "n", "route_arr_delay")
+
+
+def stream_features(stream: DataFrame, buffer: str, checkpoint: str, build: Callable[[DataFrame], DataFrame], out: str, hours: int = 24, available_now: bool = True) -> StreamingQuery:
+    """On each batch, the batch operators over the last ``hours`` of the buffer, written to ``out``."""
+
+    def each(batch: DataFrame, _: int) -> None:
+        rows = read_hour_partitions(batch.sparkSession, buffer)
+        newest = rows.agg(F.max("part_ts").alias("__newest"))
+        recent = rows.join(F.broadcast(newest), F.col("part_ts") >= add_hours(F.col("__newest"), -hours), "left_semi")
+        build(recent).write.mode("overwrite").parquet(out)
+
+    return _run(stream, each, checkpoint, available_now)
+
+
+def stream_predictions(stream: DataFrame, latest: str, history: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
+    """Predictions to an overwritten latest table and an append-only history, one of each key of a batch."""
+
+    def each(batch: DataFrame, _: int) -> None:
+        rows = batch.dropDuplicates(["prediction_ts", "airport_code", "horizon_h"])
+        write_predictions_latest(rows, latest)
+        write_predictions_history(rows, history)
+
+    return _run(stream, each, checkpoint, available_now)
