@@ -33,6 +33,12 @@ def score_sequences(sequences: DataFrame, features: DataFrame, scorer: Callable[
     return rows.groupBy("target_ts").applyInPandas(run, SCORED)
 
 
+def mean_scorer(group: pd.DataFrame) -> pd.DataFrame:
+    """A plain scorer for one horizon: the mean of feature ``x`` over the sequence."""
+    delay = group.groupby("node", as_index=False)["x"].mean().rename(columns={"x": "delay"})
+    return delay.assign(horizon_h=1, logit=0.0)
+
+
 def persistence_scorer(grid: DataFrame, hourly: DataFrame, rolled: DataFrame, horizons: Sequence[int], window: int = 1) -> DataFrame:
     """The default scorer, as a projection: last hour's mean delay now, fading to the rolling mean by horizon."""
     rows = series_lookup(grid, hourly, "arr_delay_mean", -window, "last")

@@ -65,5 +65,5 @@ def weather_payloads(weather: DataFrame) -> DataFrame:
     names = ["wind_speed_10m", "wind_gusts_10m", "precipitation", "cloud_cover", "weather_code"]
     rows = weather.groupBy("iata").agg(F.sort_array(F.collect_list(F.struct("timestamp", "event_id", *names))).alias("r"))
     time = F.transform("r", lambda x: F.date_format(x["timestamp"], "yyyy-MM-dd'T'HH:mm"))
-    values = [F.transform("r", lambda x, n=n: x[n]).alias(n) for n in names]
+    values = [F.col(f"r.{n}").alias(n) for n in names]  # a field of an array of structs is the array of its values
     return rows.select("iata", F.to_json(F.struct(F.struct(time.alias("time"), *values).alias("hourly"))).alias("payload"))
