@@ -135,6 +135,95 @@ class WordBpe:
         return " ".join(map(self.token.__getitem__, ids))
 
 
+class ManyWords:
+    """The same merging, many words abreast: one row of parts and one of adjacent ranks for each word.
+
+    Every step finds each row's least rank, deletes that boundary and refreshes the ranks on both sides of it;
+    rows that cannot merge leave. Ranks come from an open-addressing table over pairs.
+    """
+
+    BITS = 19
+
+    def __init__(self, bpe: WordBpe):
+        self.inner, self.last = np.array(bpe.inner, np.int64), np.array(bpe.last, np.int64)
+        size = 1 << self.BITS
+        self.keys, self.ranks = np.full(size, -1, np.int64), np.full(size, NO_RANK, np.int64)
+        self.merged = np.zeros(len(bpe.ranks), np.int64)
+        for (a, b), (rank, new) in bpe.ranks.items():
+            key = a << 32 | b
+            at = self._slot(key)
+            while self.keys[at] != -1:
+                at = (at + 1) % size
+            self.keys[at], self.ranks[at], self.merged[rank] = key, rank, new
+
+    def _slot(self, key):
+        return (key * 0x9E3779B1 >> 13 ^ key >> 32) & ((1 << self.BITS) - 1)
+
+    def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Ranks of the pairs; NO_RANK for those that do not merge (a negative id never does)."""
+        key = a << 32 | b
+        at = self._slot(key)
+        found = self.keys[at]
+        out = np.where(found == key, self.ranks[at], NO_RANK)
+        todo = np.nonzero((found != key) & (found != -1))[0]
+        while len(todo):
+            at[todo] = (at[todo] + 1) & ((1 << self.BITS) - 1)
+            found = self.keys[at[todo]]
+            hit = found == key[todo]
+            out[todo[hit]] = self.ranks[at[todo[hit]]]
+            todo = todo[~hit & (found != -1)]
+        out[(a < 0) | (b < 0)] = NO_RANK
+        return out
+
+    def encode(self, words: list[bytes], kind: str) -> list[bytes]:
+        """Packed ids of pieces that are not empty; grouped by length to keep rows short."""
+        out: list[bytes] = [b""] * len(words)
+        size = np.array([len(w) for w in words])
+        for lo, hi in ((0, 8), (8, 12), (12, 16), (16, 24), (24, 1 << 30)):
+            mine = np.nonzero((size > lo) & (size <= hi))[0]
+            for at in range(0, len(mine), 1 << 14):
+                some = mine[at : at + (1 << 14)]
+                for i, ids in zip(some.tolist(), self._rows([words[i] for i in some], kind), strict=True):
+                    out[i] = ids
+        return out
+
+    def _rows(self, words: list[bytes], kind: str) -> list[bytes]:
+        size = np.array([len(w) for w in words])
+        width = int(size.max()) + 1
+        raw = np.frombuffer(b"".join(w.ljust(width, b"\0") for w in words), np.uint8).reshape(-1, width)
+        col = np.arange(width)
+        parts = np.where(col < size[:, None], self.inner[raw], -1)
+        parts[np.arange(len(words)), size - 1] = self.last[raw[np.arange(len(words)), size - 1]]
+        ranks = np.full(parts.shape, NO_RANK, np.int64)
+        ranks[:, :-1] = self.rank(parts[:, :-1].ravel(), parts[:, 1:].ravel()).reshape(len(words), -1)
+        done, live = parts.copy(), np.arange(len(words))
+        while len(live):
+            i = ranks.argmin(axis=1)
+            row = np.arange(len(live))
+            best = ranks[row, i]
+            go = best != NO_RANK
+            if not go.all():
+                done[live[~go]] = parts[~go]
+                live, parts, ranks, i, best = live[go], parts[go], ranks[go], i[go], best[go]
+                row = np.arange(len(live))
+                if not len(live):
+                    break
+            parts[row, i] = self.merged[best]
+            move = np.minimum(col + (col > i[:, None]), width - 1)  # delete the part after the boundary
+            parts = np.take_along_axis(parts, move, axis=1)
+            parts[:, -1] = -1
+            move = np.minimum(col + (col >= i[:, None]), width - 1)  # and the boundary's own rank
+            ranks = np.take_along_axis(ranks, move, axis=1)
+            ranks[:, -1] = NO_RANK
+            ranks[row, i] = self.rank(parts[row, i], parts[row, np.minimum(i + 1, width - 1)])
+            left = np.nonzero(i > 0)[0]
+            ranks[left, i[left] - 1] = self.rank(parts[left, i[left] - 1], parts[left, i[left]])
+        flat, n = done[done >= 0].astype(kind), (done >= 0).sum(axis=1)
+        ends = np.cumsum(n) * flat.itemsize
+        data = flat.tobytes()
+        return [data[a:b] for a, b in zip((ends - n * flat.itemsize).tolist(), ends.tolist(), strict=True)]
+
+
 @functools.lru_cache(maxsize=8)
 def _class_splitter(pattern: str) -> pre_tokenizers.Split:
     return pre_tokenizers.Split(Regex(pattern), "removed")

@@ -16,8 +16,9 @@ from __future__ import annotations
 
 import functools
 import re
+import unicodedata
 from collections.abc import Iterator
-from itertools import chain, combinations_with_replacement
+from itertools import combinations_with_replacement
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from transloom.llm.bpe import MEMO_WORDS
+from transloom.llm.bpe import ManyWords, codec
 from transloom.llm.common import small_batches, written
 
 WINDOW = 4096
@@ -34,36 +35,75 @@ END_ID = 2
 BIN = 32
 #: Combinations of four use bins that are multiples of this.
 COARSE = 4
+#: Words in a worker's memo before it starts anew; it is emptied after each partition.
+MEMO_WORDS = 1 << 19
 #: Hash cells for exact distributed prefix sums and ranks.
 CELLS = 512
 RANK_CELLS = 64
 
 
 class LibraryWords:
-    """Ids of texts by the tokenizers library, asked once for each word of a bounded memo."""
+    """Packed ids of texts as the tokenizers library gives them, found once for each word of a bounded memo.
+
+    Words of letters only are merged many abreast (``bpe.ManyWords``); the library is asked for all others.
+    Texts below U+0250 are normalised whole. Plain punctuation after a letter or digit is always a piece of
+    its own, so it is set apart first and the memo holds words without it.
+    """
+
+    MARKS = ".,;:!?"
+    _GLUED = re.compile(r"(?:[^\w\s]|_)[.,;:!?]")
 
     def __init__(self, path: str):
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        added = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.whole = re.compile("|".join(["[\x1c-\x1f]", *map(re.escape, added)]))
-        self.memo: dict[str, list[int]] = {}
-
-    def encode_many(self, texts: list[str]) -> list[np.ndarray]:
-        whole = [bool(self.whole.search(t)) for t in texts]
-        words = [[] if w else t.split() for t, w in zip(texts, whole, strict=True)]
-        missing = set(chain.from_iterable(words)) - self.memo.keys()
+        self.kind = "<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4"
+        self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.memo: dict[str, bytes] = {}
+        self.end = self.pack([END_ID])
+        self.many = ManyWords(codec(path))
+
+    def pack(self, ids: list[int]) -> bytes:
+        return np.array(ids, dtype=self.kind).tobytes()
+
+    @staticmethod
+    def is_simple(w: str) -> bool:
+        """One piece of letters in normal form and lower case."""
+        if w.isascii():
+            return w.isalpha() and w.islower()
+        return w.isalpha() and max(w) < "\u0250" and w == w.lower() and unicodedata.is_normalized("NFC", w)
+
+    def learn(self, words: list[str]) -> None:
+        simple = list(filter(self.is_simple, words))
+        self.memo.update(zip(simple, self.many.encode([w.encode() for w in simple], self.kind), strict=True))
+        others = [w for w in words if w not in self.memo]
+        asked = self.library.encode_batch_fast(others, add_special_tokens=False)
+        self.memo.update((w, self.pack(e.ids)) for w, e in zip(others, asked, strict=True))
+
+    def words(self, t: str) -> list[str] | None:
+        """The words of a text; None for the library to read it whole."""
+        if any(a in t for a in self.added) or any(c in t for c in "\x1c\x1d\x1e\x1f"):
+            return None
+        if not t.isascii():
+            if max(t) >= "\u0250":
+                return t.split()
+            t = unicodedata.normalize("NFC", t)
+        t = t.lower()
+        if not self._GLUED.search(t):
+            for mark in self.MARKS:
+                t = t.replace(mark, f" {mark}")
+        return t.split()
+
+    def encode_many(self, texts: list[str]) -> list[bytes]:
+        split = [self.words(t) for t in texts]
+        wanted = set().union(*(w for w in split if w))
+        missing = wanted - self.memo.keys()
         if len(self.memo) + len(missing) > MEMO_WORDS:
             self.memo.clear()
-            missing = set(chain.from_iterable(words))
-        todo = list(missing)
-        self.memo.update(zip(todo, (e.ids for e in self.library.encode_batch_fast(todo, add_special_tokens=False)), strict=True))
-        out = []
-        for t, w, own in zip(texts, whole, words, strict=True):
-            ids = self.library.encode(t, add_special_tokens=False).ids if w else list(chain.from_iterable(map(self.memo.__getitem__, own)))
-            out.append(np.array([*ids, END_ID], dtype="<u4"))
-        return out
+            missing = wanted
+        self.learn(list(missing))
+        word = self.memo.__getitem__
+        return [(self.pack(self.library.encode(t, add_special_tokens=False).ids) if w is None else b"".join(map(word, w))) + self.end for t, w in zip(texts, split, strict=True)]
 
 
 @functools.lru_cache(maxsize=2)
@@ -72,16 +112,18 @@ def _words(path: str) -> LibraryWords:
 
 
 def tokenise(docs: DataFrame, tokenizer_path: str) -> DataFrame:
-    """(row, doc_id, n, ids binary): ids of 16 bits each where they fit, else of 32."""
+    """(row, doc_id, n, ids binary): ids of 16 bits each where the vocabulary fits, else of 32."""
     small_batches(docs.sparkSession)
     base = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = _words(tokenizer_path).encode_many(batch.column(2).to_pylist())
-            n = pa.array([len(x) for x in ids], pa.int64())
-            packed = pa.array([x.astype("<u2").tobytes() if x.max() < 1 << 16 else x.tobytes() for x in ids], pa.binary())
+            words = _words(tokenizer_path)
+            ids = words.encode_many(batch.column(2).to_pylist())
+            n = pa.array([len(x) // np.dtype(words.kind).itemsize for x in ids], pa.int64())
+            packed = pa.array(ids, pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), n, packed], ["row", "doc_id", "n", "ids"])
+        _words(tokenizer_path).memo.clear()
 
     return written(base.mapInArrow(run, "row long, doc_id long, n long, ids binary"))
 
