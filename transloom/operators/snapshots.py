@@ -91,7 +91,7 @@ def node_block_b(f: DataFrame, window: int = 1) -> DataFrame:
 
 def node_block_c(f: DataFrame, window: int = 1) -> DataFrame:
     done = _keyed(f, window).where("arr_timestamp < snapshot_ts")
-    return done.groupBy("snapshot_ts", F.col("Dest").alias("node")).agg(*[F.coalesce(F.avg(c), F.lit(0.0)).alias(f"c_{c}") for c in CAUSES if c in f.columns])
+    return done.groupBy("snapshot_ts", F.col("Dest").alias("node")).agg(*[F.coalesce(F.avg(c if c in f.columns else F.lit(0.0)), F.lit(0.0)).alias(f"c_{c}") for c in CAUSES])
 
 
 def with_block_f(grid: DataFrame) -> DataFrame:

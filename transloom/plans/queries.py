@@ -396,16 +396,16 @@ def _cls(p: str, y: str, prefix: str = "") -> dict[str, str]:
 
 
 _DLY, _BCE = _cls(f"{_P} >= 15", f"{_Y} >= 15"), _cls("pct_arr_delayed_15 >= 0.5", "pct_target >= 0.5", "bce_")
-_cols = lambda m: ", ".join(f"round({e}, 6) AS {k}" for k, e in m.items())
+_cols = lambda m: ", ".join(f"coalesce(round({e}, 6), 0.0) AS {k}" for k, e in m.items())
 for _k, _e in _REG.items():
-    register(f"metric_{_k}", lambda s, d, k=_k: metrics.metric_regression(P.predicted(s, d)).select(k), f"SELECT round({_e}, 6) AS {_k} FROM preds")
+    register(f"metric_{_k}", lambda s, d, k=_k: metrics.metric_regression(P.predicted(s, d)).select(k), f"SELECT coalesce(round({_e}, 6), 0.0) AS {_k} FROM preds")
 register("metric_classification", lambda s, d: metrics.metric_classification(P.predicted(s, d)), f"SELECT {_cols(_DLY)} FROM preds")
 register("metric_bce_classification", lambda s, d: metrics.metric_bce_classification(P.predicted(s, d)), f"SELECT {_cols(_BCE)} FROM preds")
 _ALL = _REG | _DLY | _BCE
 register("metric_unified", lambda s, d: metrics.metric_unified(P.predicted(s, d)), f"SELECT {_cols(_ALL)} FROM preds")
 register("metrics_single", lambda s, d: metrics.metric_unified(P.predicted(s, d), bce=False), f"SELECT {_cols(_REG | _DLY)} FROM preds")
 _BYH = "SELECT horizon_h::VARCHAR AS horizon, " + ", ".join(f"{e} AS {k}" for k, e in _ALL.items()) + " FROM preds GROUP BY ALL"
-_HSQL = f"SELECT horizon, {', '.join(f'round({k}, 6) AS {k}' for k in _ALL)} FROM ({_BYH}) UNION ALL SELECT 'average', {', '.join(f'round(avg({k}), 6)' for k in _ALL)} FROM ({_BYH})"
+_HSQL = f"SELECT horizon, {', '.join(f'round({k}, 6) AS {k}' for k in _ALL)} FROM ({_BYH}) UNION ALL SELECT 'average', {', '.join(f'coalesce(round(avg({k}), 6), 0.0)' for k in _ALL)} FROM ({_BYH})"
 register("metrics_by_horizon", lambda s, d: metrics.metrics_by_horizon(P.predicted(s, d)), _HSQL)
 register("batch_predict", P.batch_predict, _HSQL)
 register("mae_by_horizon", lambda s, d: metrics.mae_by_horizon(P.predicted(s, d)), f"SELECT horizon_h, round({_REG['mae']}, 6) AS mae FROM preds GROUP BY ALL")
