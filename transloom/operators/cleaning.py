@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from transloom.functions import date_hour, hhmm_hour
-from transloom.operators.network import filter_network, top_n_airports
+from transloom.operators.network import collected, filter_network, top_n_airports
 from transloom.sources.schema import CAUSES
 
 FILLED = ["DepDelay", "ArrDelay", *CAUSES, "DepDel15", "ArrDel15"]
@@ -38,9 +38,9 @@ def encode_time(flights: DataFrame) -> DataFrame:
 
 
 def preprocess_pipeline(flights: DataFrame, top_n: int = 70) -> tuple[DataFrame, DataFrame]:
-    """(cleaned trips between the busiest airports, those airports)."""
+    """(cleaned trips between the busiest airports, those airports). The at most ``top_n`` codes reach the driver."""
     rows = encode_time(fill_delay_nulls(clean_flights(flights)))
-    nodes = top_n_airports(rows, top_n).select("code")
+    nodes = collected(top_n_airports(rows, top_n))
     return filter_network(rows, nodes), nodes
 
 

@@ -109,7 +109,8 @@ def horizon_lookup(grid: DataFrame, history: DataFrame, horizons: tuple[int, ...
 
 def edge_dynamic(edges: DataFrame, snapshots: DataFrame, routes: DataFrame, window: int = 1, delay_norm: float = 60.0, count_norm: float = 50.0) -> DataFrame:
     """(edge, snapshot) with the route's recent delay and next scheduled trips, scaled and clipped."""
-    grid = edges.select("edge_id", "src", "dst").crossJoin(F.broadcast(snapshots.select("snapshot_ts")))
+    # edges are bounded by the node list; snapshots grow with time and stay distributed
+    grid = snapshots.select("snapshot_ts").crossJoin(F.broadcast(edges.select("edge_id", "src", "dst")))
     grid = series_lookup(grid, routes, "route_recent_arr_delay", -window, "recent", ("src", "dst"))
     grid = series_lookup(grid, routes, "route_sched_count", 0, "sched", ("src", "dst"))
     return grid.select("edge_id", "src", "dst", "snapshot_ts", clamp(F.col("recent") / delay_norm, -1.0, 1.0).alias("recent_delay_norm"), clamp(F.col("sched") / count_norm, 0.0, 1.0).alias("sched_next_norm"))

@@ -17,6 +17,11 @@ def top_n_airports(flights: DataFrame, n: int) -> DataFrame:
     return airport_activity(flights).orderBy(F.desc("n"), "code").limit(n)
 
 
+def collected(nodes: DataFrame) -> DataFrame:
+    """The node list as a local table, so that plans hold it instead of its lineage; bounded by the list's limit."""
+    return nodes.sparkSession.createDataFrame([(r["code"],) for r in nodes.select("code").collect()], "code string")
+
+
 def filter_network(flights: DataFrame, nodes: DataFrame) -> DataFrame:
     """Trips with both ends in ``nodes`` (code)."""
     for end in ("Origin", "Dest"):

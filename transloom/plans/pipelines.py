@@ -1,4 +1,8 @@
-"""Tables that several queries start from."""
+"""Tables that several queries start from.
+
+Trips are not persisted: a cached wide table would be computed with all its columns, while each query's own
+plan prunes them down to the scan. The small list of guarded snapshots is.
+"""
 
 from __future__ import annotations
 
@@ -24,7 +28,7 @@ def prepared(spark: SparkSession, folder: str, top_n: int = TOP_N) -> tuple[Data
 
 def report_frame(spark: SparkSession, folder: str) -> DataFrame:
     f = flights(spark, folder)
-    return cleaning.build_flight_frame(f, network.top_n_airports(cleaning.clean_flights(f), TOP_N).select("code"))
+    return cleaning.build_flight_frame(f, network.collected(network.top_n_airports(cleaning.clean_flights(f), TOP_N)))
 
 
 def fact(spark: SparkSession, folder: str) -> DataFrame:
@@ -34,7 +38,7 @@ def fact(spark: SparkSession, folder: str) -> DataFrame:
 def snapshot_base(spark: SparkSession, folder: str, min_rows: int = 10) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(trips, airports, guarded snapshots)."""
     f, nodes = prepared(spark, folder)
-    return f, nodes, snapshots.guarded_snapshots(f, min_rows=min_rows)
+    return f, nodes, snapshots.guarded_snapshots(f, min_rows=min_rows).persist()
 
 
 def airports(spark: SparkSession, folder: str) -> DataFrame:
