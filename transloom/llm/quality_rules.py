@@ -25,7 +25,7 @@ MIN_GROUP = 50
 #: Fences lie this many interquartile ranges beyond the quartiles ...
 FENCE_RANGES = 3
 #: ... and at least this far: measure -> least distance (per mille; word length in hundredths of a character).
-LEAST_DISTANCE = {"symbols": 30, "dup_lines": 400, "repeats": 350, "word_length": 150}
+LEAST_DISTANCE = {"symbols": 30, "dup_lines": 500, "repeats": 500, "word_length": 150}
 #: Measures with a lower fence too.
 TWO_SIDED = ("word_length",)
 QUARTILES = (0.25, 0.75)
@@ -162,7 +162,7 @@ z AS (
 f AS (
   SELECT kl, ks, measure, n,
          CASE WHEN measure = 'word_length' THEN a - greatest(3 * (b - a), 150) ELSE -1 END AS low,
-         b + greatest(3 * (b - a), CASE measure WHEN 'symbols' THEN 30 WHEN 'dup_lines' THEN 400 WHEN 'repeats' THEN 350 ELSE 150 END) AS high
+         b + greatest(3 * (b - a), CASE measure WHEN 'symbols' THEN 30 WHEN 'word_length' THEN 150 ELSE 500 END) AS high
   FROM z),
 t AS (
   SELECT o.kl, o.ks, o.measure,
