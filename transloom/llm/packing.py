@@ -22,6 +22,7 @@ from itertools import combinations_with_replacement
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -37,6 +38,8 @@ BIN = 32
 COARSE = 4
 #: Words in a worker's memo before it starts anew; it is emptied after each partition.
 MEMO_WORDS = 1 << 19
+#: Characters of texts whose words are looked up together (a longer text is a run of its own).
+RUN_CHARS = 1 << 20
 #: Hash cells for exact distributed prefix sums and ranks.
 CELLS = 512
 RANK_CELLS = 64
@@ -51,7 +54,7 @@ class LibraryWords:
     """
 
     MARKS = ".,;:!?"
-    _GLUED = re.compile(r"(?:[^\w\s]|_)[.,;:!?]")
+    _GLUED = re.compile(r"[.,;:!?](?<=[^\w\s].|_.)")
 
     def __init__(self, path: str):
         self.library = Tokenizer.from_file(path)
@@ -80,30 +83,56 @@ class LibraryWords:
         asked = self.library.encode_batch_fast(others, add_special_tokens=False)
         self.memo.update((w, self.pack(e.ids)) for w, e in zip(others, asked, strict=True))
 
-    def words(self, t: str) -> list[str] | None:
-        """The words of a text; None for the library to read it whole."""
+    def prepared(self, t: str) -> str | None:
+        """The text with its words between white space; None for the library to read it whole."""
         if any(a in t for a in self.added) or any(c in t for c in "\x1c\x1d\x1e\x1f"):
             return None
         if not t.isascii():
             if max(t) >= "\u0250":
-                return t.split()
+                return t
             t = unicodedata.normalize("NFC", t)
         t = t.lower()
         if not self._GLUED.search(t):
             for mark in self.MARKS:
                 t = t.replace(mark, f" {mark}")
-        return t.split()
+        return t
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
-        split = [self.words(t) for t in texts]
-        wanted = set().union(*(w for w in split if w))
-        missing = wanted - self.memo.keys()
-        if len(self.memo) + len(missing) > MEMO_WORDS:
-            self.memo.clear()
-            missing = wanted
-        self.learn(list(missing))
-        word = self.memo.__getitem__
-        return [(self.pack(self.library.encode(t, add_special_tokens=False).ids) if w is None else b"".join(map(word, w))) + self.end for t, w in zip(texts, split, strict=True)]
+        out: list[bytes] = []
+        at = 0
+        while at < len(texts):
+            end, chars = at, 0
+            while end < len(texts) and (end == at or chars + len(texts[end]) <= RUN_CHARS):
+                chars += len(texts[end])
+                end += 1
+            out += self._encode_run(texts[at:end])
+            at = end
+        return out
+
+    def _encode_run(self, texts: list[str]) -> list[bytes]:
+        """Different words are looked up once; a text's ids are gathered from theirs."""
+        ready = [self.prepared(t) for t in texts]
+        split = pc.utf8_split_whitespace(pa.array([t or "" for t in ready], pa.large_string()))
+        coded = split.flatten().dictionary_encode()
+        # one string split by Python costs far less than a Python string made of each Arrow value
+        line = pc.binary_join(pa.ListArray.from_arrays([0, len(coded.dictionary)], coded.dictionary), pa.scalar("\n", pa.large_string()))
+        words = line[0].as_py().split("\n") if len(coded.dictionary) else []
+        ids = list(map(self.memo.get, words))
+        gaps = [i for i, known in enumerate(ids) if known is None]
+        if len(self.memo) + len(gaps) > MEMO_WORDS:
+            self.memo.clear()  # what was found stays in the list
+        self.learn([words[i] for i in gaps])
+        for i in gaps:
+            ids[i] = self.memo[words[i]]
+        flat = np.frombuffer(b"".join(ids), self.kind)
+        size = np.array([len(x) for x in ids], np.int64) // flat.itemsize
+        which = coded.indices.to_numpy()
+        n = size[which]
+        total = np.concatenate([[0], np.cumsum(n)])
+        first = np.cumsum(size) - size
+        gathered = flat[np.repeat(first[which] - total[:-1], n) + np.arange(total[-1])]
+        ends = total[split.offsets.to_numpy()]
+        return [(gathered[a:b].tobytes() if r is not None else self.pack(self.library.encode(t, add_special_tokens=False).ids)) + self.end for t, r, a, b in zip(texts, ready, ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
 
 
 @functools.lru_cache(maxsize=2)
