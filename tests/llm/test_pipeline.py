@@ -2,6 +2,7 @@
 
 import os
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -44,3 +45,33 @@ def test_repeats_cut_text(spark, odd, sf_dir):
 def test_run(spark):
     pieces = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert pieces.count() > 0 and pieces.where("length <= 0").count() == 0
+
+
+def by_rule(texts):
+    """Components of five-word shingle sets with a Jaccard similarity of 0.8 or more, by comparing all pairs."""
+    sets = []
+    for t in texts:
+        words = (t or "").lower().split()
+        sets.append({tuple(words[i : i + 5]) for i in range(len(words) - 4)} or {tuple(words)})
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    return root
+
+
+def test_near_copies_by_rule(spark):
+    rng = np.random.default_rng(1)
+    texts = []
+    for family in range(30):
+        first = [f"w{x}" for x in rng.integers(0, 5000, 200)]
+        for changed in range(10):  # up to nine words: similarities on both sides of 0.8
+            words = list(first)
+            for at in rng.choice(200, changed, replace=False):
+                words[at] = f"x{family}-{changed}-{at}"
+            texts.append(" ".join(words))
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    kept = {r["doc_id"] for r in corpus_pipeline.near_duplicate_stage(spark, docs, "").collect()}
+    assert kept == set(by_rule(texts)) and 30 < len(kept) < 200
