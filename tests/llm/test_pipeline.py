@@ -75,3 +75,11 @@ def test_near_copies_by_rule(spark):
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
     kept = {r["doc_id"] for r in corpus_pipeline.near_duplicate_stage(spark, docs, "").collect()}
     assert kept == set(by_rule(texts)) and 30 < len(kept) < 200
+
+
+def test_rows_with_one_id_are_judged_by_text(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(1, a), (1, b), (2, b), (None, b), (None, c), (3, b), (1, a)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = corpus_pipeline.near_duplicate_stage(spark, docs, "").collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in kept), key=str) == [(1, a), (1, b), (None, c)]
