@@ -82,6 +82,21 @@ def test_toxicity_grammar():
     assert g.channels("Blorgish. Nothing else")[at["insult"]] == 2.0 and g.channels("foolish embloRG") == [0.0] * 6 and g.channels(None) == [0.0] * 6
 
 
+def test_rare_insult_beside_a_frequent_one(spark, monkeypatch):
+    y = np.repeat([1, 0], 4000)
+    has = np.zeros((8000, 2), bool)
+    has[:3980, 0] = has[3980:4000, 1] = True
+    lexicon = toxicity.choose_lexicon(["=often", "=seldom"], [(3980, 0), (20, 0)], has, y)
+    assert set(lexicon) == {"=often", "=seldom"} and lexicon["=often"] == lexicon["=seldom"]
+    monkeypatch.setattr(toxicity, "MAX_CANDIDATES", 2)  # all of which the frequent insult takes
+    texts = [("oftenx" if i < 160 else "seldomy", 1) for i in range(180)] + [("harmless", 0)] * 180
+    docs = spark.createDataFrame([(i, f"w{i} {t}") for i, (t, _) in enumerate(texts)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, v) for i, (_, v) in enumerate(texts)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    scores = {r["text"].split()[1]: r["score"] for r in docs.select("text", toxicity.toxicity(F.col("text"), model).alias("score")).collect()}
+    assert scores["seldomy"] >= 0.5 and scores["oftenx"] >= 0.5 and scores["harmless"] < 0.5
+
+
 def test_bradley_terry_pairs():
     rng = np.random.default_rng(0)
     y = (rng.random(400) < 0.7).astype(int)

@@ -25,8 +25,8 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from transloom.llm.common import small_batches
-from transloom.llm.samples import ROWS_PER_LABEL, labelled_sample
+from transloom.llm.common import remainder, small_batches
+from transloom.llm.samples import LEARN_MODULUS, ROWS_PER_LABEL, labelled_sample
 
 #: Closed word classes of the grammar, in the four languages of the corpus.
 THREATS = frozenset("kill hurt destroy beat burn stab shoot töten schlagen vernichten tuer frapper détruire matar golpear destruir".split())
@@ -42,10 +42,14 @@ STEM_LENGTHS = range(4, 9)
 MAX_CANDIDATES = 3000
 LEAST_DEVIANCE = 12.0
 MAX_LEXICON = 500
-LEAST_GAIN = 0.004
 REPEAT_DISCOUNT = 0.5
-#: Features below this share of the largest weight are not taken.
-WEIGHT_SHARE = 0.65
+#: A feature is taken if the lower confidence bound of its toxic share, at equal numbers of both values, is this.
+LEAST_BOUND = 0.7
+DEVIATIONS = 1.645
+#: ... and if its toxic share over all labelled learning rows, at equal numbers again, is this.
+LEAST_SHARE = 0.98
+#: Log-odds of a feature that no clean text has: how often it occurs does not count.
+MAX_WEIGHT = math.log(99)
 #: A longer beginning (or the whole word) is taken instead where it keeps this share of the gain.
 NESTED_SHARE = 0.9
 CLEAN_PENALTY = 2.0
@@ -65,7 +69,17 @@ def stems(text: str) -> list[str]:
 
 
 def log_odds(t: int, c: int, toxic: int, clean: int) -> float:
-    return math.log((t + 0.5) / (toxic + 1)) - math.log((c + 0.5) / (clean + 1))
+    """Log-odds of toxic at equal numbers of both values, at most MAX_WEIGHT."""
+    return min(MAX_WEIGHT, math.log(t / toxic) - math.log(c / clean)) if c else MAX_WEIGHT
+
+
+def lower_bound(t: np.ndarray, c: np.ndarray, toxic: int, clean: int) -> np.ndarray:
+    """Wilson's lower bound of the toxic share of a feature's texts, carried to equal numbers of both values."""
+    n, zz = np.maximum(t + c, 1e-9), DEVIATIONS**2
+    share = t / n
+    low = np.maximum((share + zz / (2 * n) - DEVIATIONS * np.sqrt(share * (1 - share) / n + zz / (4 * n * n))) / (1 + zz / n), 0.0)
+    odds = low / np.maximum(1 - low, 1e-9) * clean / toxic
+    return odds / (1 + odds)
 
 
 def deviance(t: int, c: int, toxic: int, clean: int) -> float:
@@ -74,31 +88,33 @@ def deviance(t: int, c: int, toxic: int, clean: int) -> float:
     return 2 * (t * math.log(t / (n * share)) + (c * math.log(c / (n * (1 - share))) if c else 0.0))
 
 
-def choose_lexicon(names: list[str], counts: list[tuple[int, int]], has: np.ndarray, y: np.ndarray) -> dict[str, float]:
+def choose_lexicon(names: list[str], counts: list[tuple[int, int]], has: np.ndarray, y: np.ndarray, sizes: tuple[int, int] | None = None) -> dict[str, float]:
     """Greedy cover of the toxic texts by words and beginnings, with discounted repeats.
 
-    has: text x feature incidence; counts: (toxic, clean) texts with each feature. Every pick lowers the
+    has: text x feature incidence; counts: (toxic, clean) texts with each feature; sizes: (toxic, clean) texts of
+    the sample, of which ``has`` may lack explained ones. Every pick lowers the
     worth of the texts that it explains, so features that only come along with the true ones (copies of a
-    toxic text share all their words) gain little. Of nested features the longest that keeps NESTED_SHARE of
-    the gain is taken and the others are out.
+    toxic text share all their words) gain little. A feature is taken if the texts that are left to it bear out
+    LEAST_BOUND, however few they are beside those of other features. Of nested features the longest that keeps
+    NESTED_SHARE of the gain is taken and the others are out.
     """
-    toxic, clean = int(y.sum()), int(len(y) - y.sum())
+    toxic, clean = sizes or (int(y.sum()), int(len(y) - y.sum()))
     worth = y.astype(np.float32).copy()
-    penalty = CLEAN_PENALTY * has[y == 0].sum(axis=0, dtype=np.float32)
+    cleans = has[y == 0].sum(axis=0, dtype=np.float32)
+    penalty = CLEAN_PENALTY * cleans
     length = np.array([(f[0] == "=", len(f)) @ np.array([100, 1]) for f in names], dtype=np.float32)
-    least, out = max(1.0, LEAST_GAIN * toxic), {}
+    out: dict[str, float] = {}
     as_float = has.astype(np.float32)
     while len(out) < MAX_LEXICON and len(names):
-        gain = worth @ as_float - penalty
+        left = worth @ as_float
+        gain = np.where(lower_bound(left, cleans, toxic, clean) >= LEAST_BOUND, left - penalty, -np.inf)
         best = int(np.argmax(gain + 1e-5 * length))
-        if gain[best] < least:
+        if gain[best] < 1:
             break
         nested = [i for i, f in enumerate(names) if _nested(names[best], f)]
         longer = [i for i in nested if length[i] > length[best] and gain[i] >= NESTED_SHARE * gain[best]]
         best = max(longer, key=lambda i: (length[i], gain[i], -i), default=best)
-        weight = log_odds(*counts[best], toxic, clean)
-        if weight >= WEIGHT_SHARE * max([weight, *out.values()]):
-            out[names[best]] = weight
+        out[names[best]] = log_odds(*counts[best], toxic, clean)
         worth[has[:, best]] *= REPEAT_DISCOUNT
         penalty[[i for i in nested if _nested(names[best], names[i])]] = np.inf
         penalty[best] = np.inf
@@ -193,30 +209,66 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float
     return b
 
 
+def _lexicon_round(sample: DataFrame, size: dict[int, int], lexicon: dict[str, float]) -> dict[str, float]:
+    """Features for the toxic texts that have none of ``lexicon``, so that those of frequent insults crowd out no rare ones."""
+
+    @F.pandas_udf("array<string>")
+    def features(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: stems(t or ""))
+
+    rest = sample.select("label", features("text").alias("stems"))
+    if lexicon:
+        rest = rest.where((F.col("label") == 0) | ~F.arrays_overlap("stems", F.array(*map(F.lit, lexicon))))
+    seen = rest.select("label", F.explode("stems").alias("stem")).groupBy("stem")
+    seen = seen.agg(F.sum("label").alias("t"), F.count("*").alias("n")).where((F.col("t") >= 3) & (F.col("t") * 2 >= F.col("n")))
+    ranked = [(deviance(r["t"], r["n"] - r["t"], size[1], size[0]), r["stem"], r["t"], r["n"] - r["t"]) for r in seen.toLocalIterator()]
+    ranked = sorted((r for r in ranked if r[0] >= LEAST_DEVIANCE), key=lambda r: (-r[0], r[1]))[:MAX_CANDIDATES]
+    names = [r[1] for r in ranked]
+    if not names:
+        return {}
+    at = {f: i for i, f in enumerate(names)}
+    pick = F.pandas_udf(lambda s: s.map(lambda fs: [at[f] for f in fs if f in at]), "array<int>")
+    rows = rest.select("label", pick("stems").alias("found")).toPandas()
+    y = rows["label"].to_numpy()
+    has = np.zeros((len(y), len(names)), bool)
+    for i, found in enumerate(rows["found"]):
+        has[i, found] = True
+    return choose_lexicon(names, [r[2:] for r in ranked], has, y, (size[1], size[0]))
+
+
+def _confirmed(docs: DataFrame, labels: DataFrame, lexicon: dict[str, float]) -> dict[str, float]:
+    """The features that hold over all labelled learning rows; the sample may lack the clean texts that have them."""
+    finder = Grammar(lexicon).finder
+    known = set(lexicon)
+
+    @F.pandas_udf("array<string>")
+    def features(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [f for f in stems(t) if f in known] if t and next(finder.iter(t.lower()), None) else [])
+
+    rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("label"))
+    rows = rows.where((remainder("doc_id", LEARN_MODULUS) != 0) & F.col("label").isNotNull()).groupBy("doc_id").agg(F.max("label").alias("label"))
+    size = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), features(F.col("text").cast("string")).alias("found")).where(F.size("found") > 0)
+    counts = found.join(rows, "doc_id").select("label", F.explode("found").alias("stem")).groupBy("stem").agg(F.sum("label").alias("t"), F.count("*").alias("n")).collect()
+    weights = {r["stem"]: log_odds(r["t"], r["n"] - r["t"], size[1], size[0]) for r in counts if r["t"]}
+    least = math.log(LEAST_SHARE / (1 - LEAST_SHARE))
+    return {f: weights[f] for f in lexicon if weights.get(f, 0.0) >= least}
+
+
 def fit(docs: DataFrame, labels: DataFrame, rows_per_label: int = ROWS_PER_LABEL) -> tuple[dict[str, float], list[float] | None]:
     """(insult lexicon, logistic coefficients) from a bounded labelled sample (see ``samples``)."""
     small_batches(docs.sparkSession)
     sample, counts = labelled_sample(docs, labels, "toxic", rows_per_label)
     if not (counts.get(0) and counts.get(1)):
         return {}, None
-    features = F.pandas_udf(lambda s: s.map(lambda t: stems(t or "")), "array<string>")
     sample = sample.persist(StorageLevel.MEMORY_AND_DISK)
-    seen = sample.select("label", F.explode(features("text")).alias("stem")).groupBy("stem")
-    seen = seen.agg(F.sum("label").alias("t"), F.count("*").alias("n")).where((F.col("t") >= 3) & (F.col("t") * 2 >= F.col("n")))
     size = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if not (size.get(0) and size.get(1)):
         return {}, None
-    ranked = [(deviance(r["t"], r["n"] - r["t"], size[1], size[0]), r["stem"], r["t"], r["n"] - r["t"]) for r in seen.toLocalIterator()]
-    ranked = sorted((r for r in ranked if r[0] >= LEAST_DEVIANCE), key=lambda r: (-r[0], r[1]))[:MAX_CANDIDATES]
-    names = [r[1] for r in ranked]
-    at = {f: i for i, f in enumerate(names)}
-    pick = F.pandas_udf(lambda s: s.map(lambda t: [at[f] for f in stems(t or "") if f in at]), "array<int>")
-    rows = sample.select("label", pick("text").alias("found")).toPandas()
-    y = rows["label"].to_numpy()
-    has = np.zeros((len(y), len(names)), bool)
-    for i, found in enumerate(rows["found"]):
-        has[i, found] = True
-    lexicon = choose_lexicon(names, [r[2:] for r in ranked], has, y) if names else {}
+    lexicon: dict[str, float] = {}
+    while more := _lexicon_round(sample, size, lexicon):
+        lexicon |= more
+    lexicon = _confirmed(docs, labels, lexicon) if lexicon else lexicon
     grammar = Grammar(lexicon)
     emit = F.pandas_udf(lambda s: s.map(grammar.channels), "array<double>")
     rows = sample.select("label", emit("text").alias("x")).toPandas()
