@@ -13,6 +13,8 @@ def spark():
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "4g")
         .config("spark.local.dir", tempfile.mkdtemp(prefix="spark-"))
+        .config("spark.checkpoint.dir", f"file://{tempfile.mkdtemp(prefix='spark-')}")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")

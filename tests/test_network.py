@@ -6,9 +6,9 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from transloom.functions import wmo_category
-from transloom.operators import cleaning, history, metrics, network, predictions, snapshots, star, weather
-from transloom.sources import scans, schema
+from transloom.functions import clean_code, inf_to_zero, nan_to_zero, parse_iso, two_digits, wmo_category
+from transloom.operators import cleaning, history, metrics, network, predictions, snapshots, star, tabular, weather
+from transloom.sources import scans, schema, sinks
 
 DAY = dt.date(2019, 10, 1)
 
@@ -19,49 +19,85 @@ def ts(day, hour, minute=0):
 
 @pytest.fixture(scope="module")
 def export_flights(spark):
+    """Six trips between P and Q: four arrive at Q at 14, one of them cancelled; one arrives after midnight."""
     rows = [
-        ("A", "B", 800, 1000, 10.0, 20.0, 1.0, False), ("A", "B", 830, 1030, 0.0, 5.0, 0.0, False), ("B", "A", 900, 1100, 5.0, 30.0, 1.0, False),
-        ("A", "B", 2330, 100, 0.0, 0.0, 0.0, False), ("A", "B", 800, 1000, None, None, 0.0, True),
+        ("P", "Q", 1210, 1405, 4.0, 8.0, 0.0, False), ("P", "Q", 1225, 1430, 6.0, 16.0, 1.0, False), ("P", "Q", 1240, 1455, 2.0, 36.0, 1.0, False),
+        ("P", "Q", 1255, 1459, None, None, None, True), ("Q", "P", 615, 702, -3.0, -8.0, 0.0, False), ("Q", "P", 2245, 20, 1.0, 2.0, 0.0, False),
     ]
     df = spark.createDataFrame(rows, "Origin string, Dest string, CRSDepTime int, CRSArrTime int, DepDelay double, ArrDelay double, ArrDel15 double, Cancelled boolean")
-    return df.withColumns({"FlightDate": F.lit(DAY), "Airline": F.lit("X"), "Distance": F.lit(500.0), "DepDel15": F.lit(0.0), "Diverted": F.lit(False)})
+    return df.withColumns({"FlightDate": F.lit(DAY), "Airline": F.lit("ZZ"), "Distance": F.lit(320.0), "DepDel15": F.lit(0.0), "Diverted": F.lit(False)})
 
 
 def frame(spark, flights):
-    return cleaning.build_flight_frame(flights, spark.createDataFrame([("A",), ("B",)], "code string"))
+    return cleaning.build_flight_frame(flights, spark.createDataFrame([("P",), ("Q",)], "code string"))
+
+
+def at(day, hour):
+    return F.col("ts_hour") == F.lit(ts(day, hour)).cast("timestamp_ntz")
 
 
 def test_overnight_arrival(spark, export_flights):
-    r = frame(spark, export_flights).where("CRSDepTime = 2330").first()
-    assert (r["dep_ts_hour"], r["arr_ts_hour"]) == (ts(1, 23), ts(2, 1))
+    r = frame(spark, export_flights).where("CRSDepTime = 2245").first()
+    assert (r["dep_ts_hour"], r["arr_ts_hour"]) == (ts(1, 22), ts(2, 0))
 
 
 def test_fact_airport_hour(spark, export_flights):
-    fact = star.fact_airport_hour(frame(spark, export_flights), seats=100)
-    b = fact.where((F.col("airport_code") == "B") & (F.col("ts_hour") == F.lit(ts(1, 10)).cast("timestamp_ntz"))).first()
-    assert (b["sched_arr"], b["arr_operated"], b["arr_cancelled"], b["arr_delay_mean"], b["arr_del15"], b["est_arr_passengers"]) == (3, 2, 1, 12.5, 1, 300)
-    a = fact.where((F.col("airport_code") == "A") & (F.col("ts_hour") == F.lit(ts(1, 8)).cast("timestamp_ntz"))).first()
-    assert (a["sched_dep"], a["dep_operated"], a["dep_cancelled"]) == (3, 2, 1)
+    fact = star.fact_airport_hour(frame(spark, export_flights), seats=50)
+    q = fact.where((F.col("airport_code") == "Q") & at(1, 14)).first()
+    assert (q["sched_arr"], q["arr_operated"], q["arr_cancelled"], q["arr_delay_mean"], q["arr_del15"], q["est_arr_passengers"]) == (4, 3, 1, 20.0, 2, 200)
+    assert (q["arr_delay_median"], q["sched_dep"], q["dep_delay_mean"]) == (16.0, 0, None)
+    p = fact.where((F.col("airport_code") == "P") & at(1, 12)).first()
+    assert (p["sched_dep"], p["dep_operated"], p["dep_cancelled"], p["dep_delay_mean"]) == (4, 3, 1, 4.0)
 
 
 def test_enrichment(spark, export_flights):
     fact = star.fact_airport_hour(frame(spark, export_flights))
-    p = spark.createDataFrame([("B", 1, 12.0, 0.5, ts(1, 10), ts(1, 9))], "airport_code string, horizon_h int, predicted_arr_delay_min double, pct_arr_delayed_15 double, target_ts timestamp_ntz, prediction_ts timestamp_ntz")
-    r = predictions.enrich_predictions(p, fact, star.agg_baseline_volume(fact)).first()
-    assert (r["sched_arr"], r["expected_delayed_flights"], r["traffic_vs_usual"]) == (3, 1.5, 0.0)
+    p = spark.createDataFrame([("Q", 2, 18.0, 0.25, ts(1, 14), ts(1, 12)), ("Q", 2, 18.0, 0.25, ts(1, 3), ts(1, 1))], "airport_code string, horizon_h int, predicted_arr_delay_min double, pct_arr_delayed_15 double, target_ts timestamp_ntz, prediction_ts timestamp_ntz")
+    rows = predictions.enrich_predictions(p, fact, star.agg_baseline_volume(fact)).orderBy("prediction_ts").collect()
+    assert [(r["sched_arr"], r["expected_delayed_flights"], r["traffic_vs_usual"]) for r in rows] == [(0, 0.0, None), (4, 1.0, 0.0)]
 
 
 def test_dimensions(spark):
-    days = star.dim_date(spark.createDataFrame([(DAY, DAY + dt.timedelta(2))], "d0 date, d1 date")).collect()
-    assert [d["day_name"] for d in days] == ["Tue", "Wed", "Thu"] and days[0]["season"] == "Fall"
+    days = star.dim_date(spark.createDataFrame([(dt.date(2020, 2, 28), dt.date(2020, 3, 2))], "d0 date, d1 date")).orderBy("date").collect()
+    assert [d["day_name"] for d in days] == ["Fri", "Sat", "Sun", "Mon"] and [d["season"] for d in days] == ["Winter", "Winter", "Spring", "Spring"]
+    assert [d["is_weekend"] for d in days] == [False, True, True, False] and days[1]["day"] == 29
     hours = {r["hour"]: r["part_of_day"] for r in star.dim_hour(spark).collect()}
-    assert len(hours) == 24 and hours[0] == "Night" and hours[14] == "Afternoon"
+    assert [hours[h] for h in (5, 6, 12, 18, 23)] == ["Night", "Morning", "Afternoon", "Evening", "Evening"] and len(hours) == 24
 
 
 def test_cleaning(spark, export_flights):
-    assert cleaning.clean_flights(export_flights).count() == 4
-    assert {r["Hour"] for r in cleaning.encode_time(export_flights).collect()} == {8, 9, 23}
-    assert network.top_n_airports(export_flights, 1).first()["code"] == "A"
+    assert cleaning.clean_flights(export_flights).count() == 5
+    assert {r["Hour"] for r in cleaning.encode_time(export_flights).collect()} == {6, 12, 22}
+    assert network.top_n_airports(export_flights, 1).first()["code"] == "P"
+
+
+def test_scalars(spark):
+    one = spark.sql("SELECT ' ab1 ' AS code, '2020-03-04T05:06:07Z' AS z, '2020-03-04T05:06:07+02:00' AS off, 'never' AS bad, double('nan') AS nan, double('-inf') AS inf, 7 AS n")
+    r = one.select(clean_code(F.col("code")), parse_iso(F.col("z")), parse_iso(F.col("off")), parse_iso(F.col("bad")), nan_to_zero(F.col("nan")), inf_to_zero(F.col("inf")), two_digits(F.col("n"))).first()
+    assert tuple(r) == ("AB1", dt.datetime(2020, 3, 4, 5, 6, 7), dt.datetime(2020, 3, 4, 5, 6, 7), None, 0.0, 0.0, "07")
+    assert weather.enabled_groups(["wind_gust", "cloud"]) == {"wind", "precip_cloud"} and weather.enabled_groups(None) == set(weather.GROUPS)
+    with pytest.raises(ValueError):
+        weather.enabled_groups(["sunshine"])
+
+
+def test_label_encoder_is_dense(spark):
+    rows = spark.createDataFrame([(f"v{i % 57:02d}",) for i in range(300)] + [(None,)], "x string").repartition(5)
+    codes = {r["value"]: r["code"] for r in tabular.fit_label_encoder(rows, "x").collect()}
+    assert codes == {f"v{i:02d}": i for i in range(57)}
+
+
+def test_latest_predictions_survive_replays_and_short_batches(spark, tmp_path):
+    kinds = "airport_code string, horizon_h int, predicted_arr_delay_min double, pct_arr_delayed_15 double, target_ts timestamp_ntz, prediction_ts timestamp_ntz"
+    row = lambda code, hour, value: (code, 1, value, 0.5, ts(1, hour + 1), ts(1, hour))
+    batches = [[row("P", 1, 1.0), row("Q", 1, 2.0)], [row("P", 2, 3.0)], [row("Q", 3, 4.0), row("Q", 3, 4.0)]]
+    latest, history_path = f"{tmp_path}/latest", f"{tmp_path}/history"
+    assert sinks.read_predictions_latest(spark, latest).count() == 0 and sinks.read_predictions_batches(spark, history_path).count() == 0
+    for number in (0, 1, 1, 2, 2):  # batches 1 and 2 are replayed
+        batch = spark.createDataFrame(batches[number], kinds)
+        sinks.write_predictions_batch(batch, history_path, number)
+        sinks.merge_predictions_latest(batch, latest, number)
+    got = {r["airport_code"]: r["predicted_arr_delay_min"] for r in sinks.read_predictions_latest(spark, latest).collect()}
+    assert got == {"P": 3.0, "Q": 4.0} and sinks.read_predictions_batches(spark, history_path).count() == 4
 
 
 def leak_flights(spark):

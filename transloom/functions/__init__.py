@@ -22,10 +22,36 @@ def clamp(c: Column, lo: float, hi: float) -> Column:
     return F.when(c.isNotNull(), F.greatest(F.lit(lo), F.least(F.lit(hi), c)))
 
 
+def nan_to_zero(c: Column) -> Column:
+    """NaN becomes 0; null stays null."""
+    c = c.cast("double")
+    return F.when(F.isnan(c), 0.0).otherwise(c)
+
+
+def inf_to_zero(c: Column) -> Column:
+    """Infinities become 0; null and NaN stay."""
+    c = c.cast("double")
+    return F.when(F.abs(c) == float("inf"), 0.0).otherwise(c)
+
+
 def zero_if_missing(c: Column) -> Column:
     """Null, NaN and infinities become 0."""
-    c = c.cast("double")
-    return F.when(c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")), 0.0).otherwise(c)
+    return F.coalesce(inf_to_zero(nan_to_zero(c)), F.lit(0.0))
+
+
+def clean_code(c: Column) -> Column:
+    """An airport code as it is stored: trimmed, in capitals."""
+    return F.upper(F.trim(c))
+
+
+def parse_iso(c: Column) -> Column:
+    """TIMESTAMP_NTZ of an ISO text; a zone at its end is cut off, not converted. Null for other texts."""
+    return F.try_to_timestamp(F.regexp_replace(c, r"(Z|[+-]\d{2}:?\d{2})$", "")).cast("timestamp_ntz")
+
+
+def two_digits(c: Column) -> Column:
+    """A number below 100 with a leading zero, as in the names of hour partitions."""
+    return F.lpad(c.cast("string"), 2, "0")
 
 
 def cyclic(value: Column, period: int) -> tuple[Column, Column]:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from transloom.functions import add_hours, clamp, floor_bucket
@@ -10,6 +12,7 @@ from transloom.operators.network import top10_origins
 
 LAGS = (1, 3, 6, 24)
 ROLLING_HOURS = 6
+SCHEDULE_SERIES = ("sched_arr_count", "sched_dep_count", "sched_arr_from_top10", "sched_arr_mean_distance")
 
 
 def with_buckets(flights: DataFrame, window: int = 1) -> DataFrame:
@@ -26,6 +29,27 @@ def sched_arr(f: DataFrame) -> DataFrame:
     return f.groupBy(F.col("Dest").alias("node"), F.col("arr_bucket").alias("bucket")).agg(F.count("*").alias("sched_arr_count"), distance.alias("sched_arr_mean_distance"))
 
 
+def arrival_cells(f: DataFrame, top: DataFrame | None = None, threshold: float = 15.0) -> DataFrame:
+    """(node, bucket, ...): all that is known by destination and arrival hour, in one pass over the trips.
+
+    Mean delays at both ends, share of late arrivals, scheduled arrivals and their mean distance and, with ``top``
+    (code), arrivals from those origins (null where there are none). Cells number nodes x hours.
+    """
+    x, extra = F.col("ArrDelay"), []
+    mean = lambda c: F.avg(c) if c in f.columns else F.lit(None).cast("double")
+    if top is not None:
+        f = f.join(F.broadcast(top.select(F.col("code").alias("__top"))), F.col("Origin") == F.col("__top"), "left")
+        extra = [F.nullif(F.count("__top"), F.lit(0)).alias("sched_arr_from_top10")]
+    return f.groupBy(F.col("Dest").alias("node"), F.col("arr_bucket").alias("bucket")).agg(
+        F.avg(x).alias("arr_delay_mean"),
+        mean("DepDelay").alias("dep_delay_mean"),
+        F.avg((x >= threshold).cast("double")).alias("late_share"),
+        F.count("*").alias("sched_arr_count"),
+        mean("Distance").alias("sched_arr_mean_distance"),
+        *extra,
+    )
+
+
 def sched_dep_count(f: DataFrame) -> DataFrame:
     return f.groupBy(F.col("Origin").alias("node"), F.col("dep_bucket").alias("bucket")).agg(F.count("*").alias("sched_dep_count"))
 
@@ -44,7 +68,7 @@ def route_sched_count(f: DataFrame) -> DataFrame:
     return f.groupBy(F.col("Origin").alias("src"), F.col("Dest").alias("dst"), F.col("dep_bucket").alias("bucket")).agg(F.count("*").alias("route_sched_count"))
 
 
-def _frame(keys: list[str], steps: int, by_time: int | None):
+def _frame(keys: list[str | Column], steps: int, by_time: int | None):
     w = Window.partitionBy(*keys)
     if by_time is None:
         return w.orderBy("bucket").rowsBetween(-(steps - 1), 0)
@@ -52,12 +76,15 @@ def _frame(keys: list[str], steps: int, by_time: int | None):
 
 
 def rolling_node(series: DataFrame, window: int = 1, squeeze_gaps: bool = True) -> DataFrame:
-    """Rolling mean and sample deviation (0 for a single value) over the last buckets that a node has.
+    """Rolling mean and sample deviation (0 for a single value) over the last buckets that have a delay.
 
-    Gaps are squeezed unless ``squeeze_gaps`` is false: then the frame is a span of time.
+    Gaps are squeezed unless ``squeeze_gaps`` is false: then the frame is a span of time. Buckets without a delay
+    are no part of any frame and have no rolling values.
     """
-    w = _frame(["node"], max(1, ROLLING_HOURS // max(1, window)), None if squeeze_gaps else window)
-    return series.withColumns({"rolling_mean": F.avg("arr_delay_mean").over(w), "rolling_std": F.coalesce(F.stddev_samp("arr_delay_mean").over(w), F.lit(0.0))})
+    has = F.col("arr_delay_mean").isNotNull()
+    w = _frame(["node", has], max(1, ROLLING_HOURS // max(1, window)), None if squeeze_gaps else window)
+    deviation = F.when(has, F.coalesce(F.stddev_samp("arr_delay_mean").over(w), F.lit(0.0)))
+    return series.withColumns({"rolling_mean": F.avg("arr_delay_mean").over(w), "rolling_std": deviation})
 
 
 def rolling_route(series: DataFrame, window: int = 1) -> DataFrame:
@@ -66,11 +93,9 @@ def rolling_route(series: DataFrame, window: int = 1) -> DataFrame:
 
 
 def node_history(f: DataFrame, window: int = 1) -> DataFrame:
-    """All node series in one table (node, bucket, ...): one full outer join of co-partitioned aggregates."""
-    out = rolling_node(history_arr_delay(f), window)
-    for df in (sched_arr(f), sched_dep_count(f), sched_arr_from_top10(f)):
-        out = out.join(df, ["node", "bucket"], "full_outer")
-    return out
+    """All node series in one table (node, bucket, ...): one aggregate by arrival and one by departure, joined."""
+    arrivals = rolling_node(arrival_cells(f, top10_origins(f)).drop("dep_delay_mean", "late_share"), window)
+    return arrivals.join(sched_dep_count(f), ["node", "bucket"], "full_outer")
 
 
 def route_history(f: DataFrame, window: int = 1) -> DataFrame:
@@ -84,33 +109,53 @@ def series_lookup(grid: DataFrame, series: DataFrame, value: str, hours: int = 0
     return joined.withColumn(out or value, F.coalesce("__v", F.lit(0.0))).drop("__v")
 
 
+Pick = tuple[int, str, str]
+
+
+def wide_lookup(grid: DataFrame, series: DataFrame, picks: Sequence[Pick], keys: tuple[str, ...] = ("node",)) -> DataFrame:
+    """Add a column for each pick (hours after the snapshot, value of ``series``, output); 0 on a miss.
+
+    Every row of the series is dealt once to the snapshots that ask for it, whatever the number of picks; one
+    grouped maximum and one join follow.
+    """
+    shifts = sorted({hours for hours, _, _ in picks})
+    values = list(dict.fromkeys(value for _, value, _ in picks))
+    long = series.select(*keys, "bucket", *values, F.explode(F.array(*map(F.lit, shifts))).alias("__shift"))
+    long = long.withColumn("snapshot_ts", add_hours(F.col("bucket"), -F.col("__shift")))
+    cells = [F.max(F.when(F.col("__shift") == hours, F.col(value).cast("double"))).alias(out) for hours, value, out in picks]
+    wide = long.groupBy(*keys, "snapshot_ts").agg(*cells)
+    return grid.join(wide, [*keys, "snapshot_ts"], "left").na.fill(0.0, [out for _, _, out in picks])
+
+
+def lag_picks(window: int = 1, lags: tuple[int, ...] = LAGS) -> list[Pick]:
+    """Mean arrival delay k windows before each snapshot."""
+    return [(-k * window, "arr_delay_mean", f"d_lag_{k}") for k in lags]
+
+
+def rolling_picks(window: int = 1) -> list[Pick]:
+    return [(-window, "rolling_mean", "e_rolling_mean"), (-window, "rolling_std", "e_rolling_std")]
+
+
+def horizon_picks(horizons: tuple[int, ...], window: int = 1) -> list[Pick]:
+    """The four schedule series at the start of each horizon's window, one set of columns a horizon."""
+    return [((h - 1) * window, v, f"g{h}_{v}") for h in horizons for v in SCHEDULE_SERIES]
+
+
 def lag_lookup(grid: DataFrame, series: DataFrame, window: int = 1, lags: tuple[int, ...] = LAGS) -> DataFrame:
-    """Mean arrival delay k windows before each snapshot: one join on exploded lags, then a pivot by condition."""
-    shifted = series.select("node", F.explode(F.array(*map(F.lit, lags))).alias("k"), "bucket", F.col("arr_delay_mean").alias("v"))
-    shifted = shifted.select("node", "k", F.expr(f"timestampadd(HOUR, k * {window}, bucket)").alias("snapshot_ts"), "v")
-    wide = shifted.groupBy("node", "snapshot_ts").agg(*[F.max(F.when(F.col("k") == k, F.col("v"))).alias(f"d_lag_{k}") for k in lags])
-    joined = grid.join(wide, ["node", "snapshot_ts"], "left")
-    return joined.na.fill(0.0, [f"d_lag_{k}" for k in lags])
+    return wide_lookup(grid, series, lag_picks(window, lags))
 
 
 def rolling_lookup(grid: DataFrame, rolled: DataFrame, window: int = 1) -> DataFrame:
-    at = rolled.select("node", add_hours(F.col("bucket"), window).alias("snapshot_ts"), F.col("rolling_mean").alias("e_rolling_mean"), F.col("rolling_std").alias("e_rolling_std"))
-    return grid.join(at, ["node", "snapshot_ts"], "left").na.fill(0.0, ["e_rolling_mean", "e_rolling_std"])
+    return wide_lookup(grid, rolled, rolling_picks(window))
 
 
 def horizon_lookup(grid: DataFrame, history: DataFrame, horizons: tuple[int, ...], window: int = 1) -> DataFrame:
-    """The four schedule series at the start of each horizon's window, one set of columns a horizon."""
-    values = ("sched_arr_count", "sched_dep_count", "sched_arr_from_top10", "sched_arr_mean_distance")
-    long = history.select("node", "bucket", *values, F.explode(F.array(*map(F.lit, horizons))).alias("h"))
-    long = long.withColumn("snapshot_ts", F.expr(f"timestampadd(HOUR, -(h - 1) * {window}, bucket)"))
-    wide = long.groupBy("node", "snapshot_ts").agg(*[F.max(F.when(F.col("h") == h, F.col(v).cast("double"))).alias(f"g{h}_{v}") for h in horizons for v in values])
-    return grid.join(wide, ["node", "snapshot_ts"], "left").na.fill(0.0, [f"g{h}_{v}" for h in horizons for v in values])
+    return wide_lookup(grid, history, horizon_picks(horizons, window))
 
 
 def edge_dynamic(edges: DataFrame, snapshots: DataFrame, routes: DataFrame, window: int = 1, delay_norm: float = 60.0, count_norm: float = 50.0) -> DataFrame:
     """(edge, snapshot) with the route's recent delay and next scheduled trips, scaled and clipped."""
-    # edges are bounded by the node list; snapshots grow with time and stay distributed
-    grid = snapshots.select("snapshot_ts").crossJoin(F.broadcast(edges.select("edge_id", "src", "dst")))
-    grid = series_lookup(grid, routes, "route_recent_arr_delay", -window, "recent", ("src", "dst"))
-    grid = series_lookup(grid, routes, "route_sched_count", 0, "sched", ("src", "dst"))
+    # every edge at every snapshot; Spark broadcasts the smaller side only if it knows its size to be small
+    grid = snapshots.select("snapshot_ts").crossJoin(edges.select("edge_id", "src", "dst"))
+    grid = wide_lookup(grid, routes, [(-window, "route_recent_arr_delay", "recent"), (0, "route_sched_count", "sched")], ("src", "dst"))
     return grid.select("edge_id", "src", "dst", "snapshot_ts", clamp(F.col("recent") / delay_norm, -1.0, 1.0).alias("recent_delay_norm"), clamp(F.col("sched") / count_norm, 0.0, 1.0).alias("sched_next_norm"))

@@ -64,7 +64,13 @@ def metrics_by_horizon(rows: DataFrame, threshold: float = 15.0, bce: bool = Tru
     """One row a horizon and ``average``: the unweighted mean over horizons."""
     m = unified(rows, threshold, bce)
     by = rows.groupBy(F.col("horizon_h").cast("string").alias("horizon")).agg(*[c.alias(k) for k, c in m.items()])
-    return by.unionByName(by.agg(F.lit("average").alias("horizon"), *[F.coalesce(F.avg(k), F.lit(0.0)).alias(k) for k in m]))
+    # each horizon's row also counts for the average, so the input is aggregated once; the empty row keeps
+    # ``average`` where there are no rows
+    labels = F.explode(F.array("horizon", F.lit("average"))).alias("horizon")
+    none = rows.sparkSession.createDataFrame([("average",)], "horizon string").select("horizon", *[F.lit(None).cast("double").alias(k) for k in m])
+    both = by.select(labels, *m).unionByName(none).groupBy("horizon")
+    zero = F.when(F.col("horizon") == "average", 0.0)
+    return both.agg(*[F.avg(k).alias(k) for k in m]).select("horizon", *[F.coalesce(F.col(k), zero).alias(k) for k in m])
 
 
 def mae_by_horizon(rows: DataFrame) -> DataFrame:
@@ -99,18 +105,24 @@ def calibration_deciles(rows: DataFrame) -> DataFrame:
     return rows.groupBy(decile(p).alias("decile")).agg(F.count("*").alias("n"), F.avg(p).alias("predicted_rate"), F.avg(F.col("actual_arr_del15").cast("double")).alias("observed_rate"))
 
 
-def error_histogram(rows: DataFrame, bins: int = 100) -> DataFrame:
-    """Equal-width histogram of prediction minus actual, the largest error in the last bin, with the mean error."""
+def error_histogram(rows: DataFrame, bins: int = 100, span: tuple[float, float] | None = None) -> DataFrame:
+    """Equal-width histogram of prediction minus actual, with the mean error.
+
+    Bins cover the errors, or ``span`` if given; the largest error, and what lies beyond a span, is in the outer bins.
+    """
     e = rows.select((F.col("predicted_arr_delay_min") - F.col("actual_arr_delay_min")).alias("e")).where("e is not null")
-    span = e.agg(F.min("e").alias("lo"), F.max("e").alias("hi"), F.avg("e").alias("mean_error"))
+    lo, hi = (F.min("e"), F.max("e")) if span is None else map(F.lit, map(float, span))
+    one = e.agg(lo.alias("lo"), hi.alias("hi"), F.avg("e").alias("mean_error"))  # one row
     width = F.when(F.col("hi") > F.col("lo"), (F.col("hi") - F.col("lo")) / bins).otherwise(1.0)
-    b = e.crossJoin(F.broadcast(span)).withColumn("bin", F.least(F.floor((F.col("e") - F.col("lo")) / width), F.lit(bins - 1)).cast("int"))
+    at = F.floor((F.col("e") - F.col("lo")) / width)
+    b = e.crossJoin(F.broadcast(one)).withColumn("bin", F.greatest(F.least(at, F.lit(bins - 1)), F.lit(0)).cast("int"))
     return b.groupBy("bin").agg(F.count("*").alias("n"), F.max("mean_error").alias("mean_error"))
 
 
 def sample_points(rows: DataFrame, n: int = 5000, key: Sequence[str] = ("airport_code", "horizon_h", "prediction_ts")) -> DataFrame:
-    """At most ``n`` (predicted, actual) points, chosen by a hash of the key."""
-    return rows.orderBy(F.xxhash64(*key), *key).limit(n).select("predicted_arr_delay_min", "actual_arr_delay_min")
+    """At most ``n`` (predicted, actual) points, chosen by a digest of the key."""
+    digest = F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in key]))
+    return rows.orderBy(digest, *key).limit(n).select("predicted_arr_delay_min", "actual_arr_delay_min")
 
 
 def champion_challenger(champion: DataFrame, challenger: DataFrame, metric: str = "mae", least: float = 0.02) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -46,13 +46,16 @@ def edge_static(flights: DataFrame, min_flights: int = 30) -> DataFrame:
     mean = lambda c: F.coalesce(F.avg(c), F.lit(0.0)) if c in flights.columns else F.lit(0.0)
     routes = flights.groupBy("Origin", "Dest").agg(F.count("*").alias("count"), mean("AirTime").alias("air_time"), mean("Distance").alias("distance"))
     routes = routes.where(F.col("count") >= min_flights)
-    top = routes.agg(F.max("count").alias("c"), F.max("air_time").alias("a"), F.max("distance").alias("d"))
-    share = lambda x, m: F.when(F.col(m) > 0, F.col(x) / F.col(m)).otherwise(F.lit(0.0))
-    both = routes.crossJoin(F.broadcast(top))  # one row of maxima
-    norms = [share("count", "c").alias("count_norm"), share("air_time", "a").alias("air_time_norm"), share("distance", "d").alias("distance_norm")]
-    there = both.select(F.concat_ws(">", "Origin", "Dest").alias("edge_id"), F.col("Origin").alias("src"), F.col("Dest").alias("dst"), *norms)
-    back = both.select(F.concat_ws("<", "Origin", "Dest").alias("edge_id"), F.col("Dest").alias("src"), F.col("Origin").alias("dst"), *norms)
-    return there.unionByName(back)
+    every = Window.partitionBy()  # over routes, one row for each pair of nodes: the trips are aggregated once
+
+    def share(x: str) -> Column:
+        top = F.max(x).over(every)
+        return F.when(top > 0, F.col(x) / top).otherwise(F.lit(0.0))
+
+    norms = {"count_norm": share("count"), "air_time_norm": share("air_time"), "distance_norm": share("distance")}
+    ends = lambda mark, a, b: F.struct(F.concat_ws(mark, "Origin", "Dest").alias("edge_id"), F.col(a).alias("src"), F.col(b).alias("dst"))
+    both = F.explode(F.array(ends(">", "Origin", "Dest"), ends("<", "Dest", "Origin"))).alias("e")
+    return routes.withColumns(norms).select(both, *norms).select("e.*", *norms)
 
 
 def top10_origins(flights: DataFrame, n: int = 10) -> DataFrame:

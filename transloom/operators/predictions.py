@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from transloom.functions import add_hours, clamp, floor_bucket, sigmoid
-from transloom.operators.history import series_lookup
+from transloom.operators.history import wide_lookup
 
 PREDICTION_COLUMNS = ["airport_code", "horizon_h", "predicted_arr_delay_min", "pct_arr_delayed_15", "target_ts", "prediction_ts"]
 ACTUAL_COLUMNS = ["actual_arr_delay_min", "actual_arr_del15", "pct_target"]
@@ -39,10 +39,21 @@ def mean_scorer(group: pd.DataFrame) -> pd.DataFrame:
     return delay.assign(horizon_h=1, logit=0.0)
 
 
-def persistence_scorer(grid: DataFrame, hourly: DataFrame, rolled: DataFrame, horizons: Sequence[int], window: int = 1) -> DataFrame:
-    """The default scorer, as a projection: last hour's mean delay now, fading to the rolling mean by horizon."""
-    rows = series_lookup(grid, hourly, "arr_delay_mean", -window, "last")
-    rows = series_lookup(rows, rolled, "rolling_mean", -window, "mean")
+def recent_scorer(horizons: Sequence[int]) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """A plain scorer of sequences: feature ``x`` of the last member up to two hours ahead, its mean over the sequence beyond."""
+
+    def score(group: pd.DataFrame) -> pd.DataFrame:
+        by = group.groupby("node", as_index=False)["x"].agg(["last", "mean"])
+        out = by.merge(pd.DataFrame({"horizon_h": list(horizons)}), how="cross")
+        delay = out["last"].where(out["horizon_h"] <= 2, out["mean"])
+        return out.assign(delay=delay, logit=(delay - 15) / 10)
+
+    return score
+
+
+def persistence_scorer(grid: DataFrame, rolled: DataFrame, horizons: Sequence[int], window: int = 1) -> DataFrame:
+    """The default scorer, as a projection of ``history.rolling_node``: last hour's mean delay now, fading to the rolling mean by horizon."""
+    rows = wide_lookup(grid, rolled, [(-window, "arr_delay_mean", "last"), (-window, "rolling_mean", "mean")])
     rows = rows.select("snapshot_ts", "node", "last", "mean", F.explode(F.array(*map(F.lit, horizons))).alias("horizon_h"))
     delay = F.when(F.col("horizon_h") <= 2, F.col("last")).otherwise(F.col("mean"))
     return rows.select("snapshot_ts", "node", "horizon_h", delay.alias("delay"), ((delay - 15) / 10).alias("logit"))

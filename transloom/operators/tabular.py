@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from transloom.functions import cyclic
+from transloom.sources.shared import cut
 
 EXCLUDED = {"FlightDate", "DepDelay", "DepDel15", "ArrDel15", "Cancelled", "Diverted", "timestamp", "arr_timestamp", "ActualElapsedTime", "WheelsOff", "WheelsOn", "DepTime", "ArrTime"}
 
@@ -30,9 +31,16 @@ def temporal_features(flights: DataFrame) -> DataFrame:
 
 
 def fit_label_encoder(rows: DataFrame, column: str) -> DataFrame:
-    """(value, code): index in sorted order of the distinct values."""
+    """(value, code): index in sorted order of the distinct values.
+
+    Values are range-partitioned and numbered inside their partition; only partition sizes are summed in one place.
+    """
     values = rows.select(F.col(column).cast("string").alias("value")).where("value is not null").distinct()
-    return values.select("value", (F.row_number().over(Window.orderBy("value")) - 1).alias("code"))
+    values = cut(values.repartitionByRange("value").select("value", F.spark_partition_id().alias("part")))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # over partitions
+    first = values.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    nth = F.row_number().over(Window.partitionBy("part").orderBy("value")) - 1
+    return values.join(F.broadcast(first), "part").select("value", (F.col("first") + nth).cast("int").alias("code"))
 
 
 def label_encode(rows: DataFrame, column: str, encoder: DataFrame, out: str | None = None) -> DataFrame:
@@ -71,11 +79,11 @@ def feature_matrix(flights: DataFrame, categorical: list[str], numeric: list[str
     return standard_scale(rows, numeric, scaler), encoders, scaler
 
 
-def tabular_regressor(rows: DataFrame, features: list[str], target: str = "ArrDelay", train: Column | None = None) -> DataFrame:
+def tabular_regressor(rows: DataFrame, features: list[str], target: str = "ArrDelay", train: Column | None = None, ridge: float = 0.01) -> DataFrame:
     """Rows with a linear prediction of ``target``, fitted distributedly on the training rows."""
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import LinearRegression
 
     data = VectorAssembler(inputCols=features, outputCol="__x", handleInvalid="skip").transform(rows)
-    model = LinearRegression(featuresCol="__x", labelCol=target, predictionCol="prediction", regParam=0.01, solver="normal").fit(data if train is None else data.where(train))
+    model = LinearRegression(featuresCol="__x", labelCol=target, predictionCol="prediction", regParam=ridge, solver="normal").fit(data if train is None else data.where(train))
     return model.transform(data).drop("__x")

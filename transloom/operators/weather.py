@@ -8,12 +8,26 @@ from pyspark.sql import functions as F
 from transloom.functions import N_WEATHER_CATEGORIES, add_hours, floor_bucket, one_hot
 
 GROUPS = ("wind", "precip_cloud", "category")
-ALIASES = {"precipitation": "precip_cloud", "cloud": "precip_cloud", "precip": "precip_cloud", "cloud_cover": "precip_cloud", "wind_speed": "wind", "gusts": "wind", "weather_code": "category"}
+#: Names of configurations and the group each switches on.
+ALIASES = {
+    "wind": "wind",
+    "wind_gust": "wind",
+    "precip": "precip_cloud",
+    "precip_cloud": "precip_cloud",
+    "cloud": "precip_cloud",
+    "category": "category",
+    "weather_code": "category",
+}
 
 
 def enabled_groups(names: list[str] | None) -> set[str]:
-    """Feature groups behind names and aliases; None means all."""
-    return set(GROUPS) if names is None else {ALIASES.get(n, n) for n in names} & set(GROUPS)
+    """Feature groups behind names and aliases; None means all. Unknown names are an error, not a silent switch-off."""
+    if names is None:
+        return set(GROUPS)
+    unknown = sorted(set(names) - ALIASES.keys())
+    if unknown:
+        raise ValueError(f"unknown weather groups {unknown}; known are {sorted(ALIASES)}")
+    return {ALIASES[n] for n in names}
 
 
 def _toggle(c: Column, group: str, enabled: set[str]) -> Column:

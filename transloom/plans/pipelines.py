@@ -1,23 +1,28 @@
 """Tables that several queries start from.
 
-Trips are not persisted: a cached wide table would be computed with all its columns, while each query's own
-plan prunes them down to the scan. The small list of guarded snapshots is.
+Trips are staged once for a session (``adapters.staged_trips``); every operator's scan of them is pruned to its own
+columns. What several parts of one plan share is small by nature (snapshots, cells of nodes and hours) and is cut
+to the shared folder, so that no part aggregates the trips again.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from transloom.operators import cleaning, history, metrics, network, predictions, snapshots, star, weather
-from transloom.sources.adapters import flights_from_lineitem, read, weather_from_events
+from transloom.operators import cleaning, history, network, predictions, snapshots, star, weather
+from transloom.sources.adapters import read, staged_trips, weather_from_events
+from transloom.sources.shared import cut
 
 TOP_N = 20
 HORIZONS = snapshots.HORIZONS
 
 
 def flights(spark: SparkSession, folder: str) -> DataFrame:
-    return flights_from_lineitem(spark, folder)
+    return staged_trips(spark, folder)
 
 
 def prepared(spark: SparkSession, folder: str, top_n: int = TOP_N) -> tuple[DataFrame, DataFrame]:
@@ -38,7 +43,7 @@ def fact(spark: SparkSession, folder: str) -> DataFrame:
 def snapshot_base(spark: SparkSession, folder: str, min_rows: int = 10) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(trips, airports, guarded snapshots)."""
     f, nodes = prepared(spark, folder)
-    return f, nodes, snapshots.guarded_snapshots(f, min_rows=min_rows).persist()
+    return f, nodes, cut(snapshots.guarded_snapshots(f, min_rows=min_rows))
 
 
 def airports(spark: SparkSession, folder: str) -> DataFrame:
@@ -48,16 +53,15 @@ def airports(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def predicted(spark: SparkSession, folder: str) -> DataFrame:
-    """Predictions of the default scorer with actuals, every sixth snapshot."""
+    """Predictions of the default scorer with actuals, at every snapshot."""
     f, nodes, snaps = snapshot_base(spark, folder)
-    snaps = snaps.where(F.hour("snapshot_ts") % 6 == 0)
-    series = history.history_arr_delay(f)
-    scored = predictions.persistence_scorer(snapshots.dense_grid(nodes, snaps), series, history.rolling_node(series), HORIZONS)
-    return predictions.align_actuals(predictions.assemble_predictions(scored, known=nodes), snapshots.node_targets(f, nodes, snaps))
+    cells = cut(history.arrival_cells(f))
+    scored = predictions.persistence_scorer(snapshots.dense_grid(nodes, snaps), history.rolling_node(cells), HORIZONS)
+    return predictions.align_actuals(predictions.assemble_predictions(scored, known=nodes), snapshots.targets_from_cells(cells, nodes, snaps))
 
 
 def enriched(spark: SparkSession, folder: str) -> DataFrame:
-    hours = fact(spark, folder)
+    hours = cut(fact(spark, folder))
     return predictions.enrich_predictions(predicted(spark, folder), hours, star.agg_baseline_volume(hours))
 
 
@@ -65,6 +69,25 @@ def weather_hourly(spark: SparkSession, folder: str) -> DataFrame:
     return weather.dedup_first_per_hour(weather_from_events(spark, folder), tie="event_id")
 
 
-def batch_predict(spark: SparkSession, folder: str) -> DataFrame:
-    """Load, clean, build, score and measure by horizon."""
-    return metrics.metrics_by_horizon(predicted(spark, folder))
+def batch_predict(
+    f: DataFrame, nodes: DataFrame, scorer: Callable[[pd.DataFrame], pd.DataFrame], features: Callable[[DataFrame, DataFrame], DataFrame],
+    split: str = "test", horizons: Sequence[int] = HORIZONS, length: int = 6, min_rows: int = 10, include_actuals: bool = True,
+) -> DataFrame:
+    """The long prediction frame of a split (``all`` for every one) of cleaned trips with buckets.
+
+    Guarded snapshots are split by time, sequences of ``length`` snapshots are built inside each split, ``scorer``
+    runs on the ``features(grid, cells)`` of each sequence (see ``predictions.score_sequences``), and its rows are
+    assembled with the actuals, in the order of prediction_ts, airport and horizon. A split without sequences
+    gives no rows.
+    """
+    snaps = cut(snapshots.split_by_ratio(snapshots.guarded_snapshots(f, horizons=tuple(horizons), min_rows=min_rows)))
+    cells = cut(history.arrival_cells(f))
+    sequences = snapshots.sliding_sequences(snaps, length, within=["split"])
+    if split != "all":
+        sequences = sequences.where(F.col("split") == split)
+    rows = features(snapshots.dense_grid(nodes, snaps), cells)
+    scored = predictions.score_sequences(sequences.select("target_ts", "members"), rows, scorer)
+    out = predictions.assemble_predictions(scored, known=nodes)
+    if include_actuals:
+        out = predictions.align_actuals(out, snapshots.targets_from_cells(cells, nodes, snaps, tuple(horizons)))
+    return predictions.order_predictions(out)

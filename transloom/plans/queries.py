@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from transloom import streaming
-from transloom.functions import cyclic, distance_band, floor_bucket, one_hot, season, sigmoid, wmo_category, zero_if_missing
+from transloom.functions import clean_code, cyclic, distance_band, floor_bucket, inf_to_zero, nan_to_zero, one_hot, parse_iso, season, sigmoid, two_digits, wmo_category, zero_if_missing
 from transloom.operators import cleaning, history, metrics, network, predictions, snapshots, star, tabular, weather
 from transloom.plans import pipelines as P
 from transloom.plans.registry import register
 from transloom.sources import adapters, scans, schema, sinks
+from transloom.sources.shared import new_folder
 
 H = P.HORIZONS
 
@@ -21,12 +20,7 @@ def _now():
     return F.lit("2019-10-01 00:00:00").cast("timestamp_ntz")
 
 
-def _folder(spark: SparkSession) -> str:
-    """A new folder in the shared place that the session names; a local one only where none is named."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        return f"file://{tempfile.mkdtemp(prefix='transloom-')}"
-    return f"{base}/transloom-{spark.sql('SELECT uuid()').first()[0]}"
+_folder = new_folder
 
 
 def _f(spark, d):
@@ -42,7 +36,7 @@ FLIGHT_KEYS = ["l_orderkey", "l_linenumber"]
 
 # ---- sources -------------------------------------------------------------------------------------------
 register("scan_parquet", lambda s, d: scans.scan_parquet(s, f"{d}/orders.parquet", ["o_orderkey", "o_custkey", "not_there"]), "SELECT o_orderkey, o_custkey FROM orders")
-register("sample_rows", lambda s, d: scans.sample_rows(adapters.read(s, d, "orders").select("o_orderkey"), 0.1, key=["o_orderkey"]))
+register("sample_rows", lambda s, d: scans.sample_rows(adapters.read(s, d, "orders").select("o_orderkey"), 0.1, key=["o_orderkey"]), f"SELECT o_orderkey FROM orders WHERE substr(md5(o_orderkey || '|42'), 1, 8) < '{int(0.1 * (1 << 32)):08x}'")
 register("flight_schema", lambda s, d: adapters.flights_from_lineitem(s, d).select(*FLIGHT_KEYS, *[c for c in schema.SCHEDULE_COLUMNS + schema.ACTUAL_COLUMNS if c in ("Origin", "Dest", "CRSDepTime", "CRSArrTime", "ArrDelay", "DepDelay", "Distance", "AirTime")]), "SELECT l_orderkey, l_linenumber, Origin, Dest, CRSDepTime, CRSArrTime, ArrDelay, DepDelay, Distance, AirTime FROM flights")
 
 
@@ -82,15 +76,23 @@ register("scan_weather_json", lambda s, d: scans.scan_weather_json(adapters.weat
 
 
 def _weather_cache(s, d):
-    folder = _folder(s)
-    wx = adapters.weather_from_events(s, d)
-    for code in ("A00", "A01"):
-        wx.where(F.col("iata") == code).drop("iata").coalesce(1).write.parquet(f"{folder}/{code}_x.parquet")
-    found, missing = scans.scan_weather_cache(s, f"{folder}/*", ["A00", "A01", "A77"])
-    return found.groupBy("iata").agg(F.count("*").alias("n")).unionByName(missing.select("iata", F.lit(0).cast("long").alias("n")))
+    """All places written by their names and read again, for the trips' range of days; A77 has no file."""
+    folder, wx = _folder(s), adapters.weather_from_events(s, d)
+    start, end = scans.weather_range(P.flights(s, d))
+    codes = sinks.write_weather_cache(wx, folder, start, end)
+    found, missing = scans.scan_weather_cache(s, folder, [*codes, "A77"], start, end)
+    found = found.groupBy("iata").agg(F.count("*").alias("n"), F.sum("wind_speed_10m").alias("wind"), F.min("timestamp").alias("first"))
+    return found.unionByName(missing.select("iata", F.lit(0).cast("long").alias("n")), allowMissingColumns=True)
 
 
-register("scan_weather_cache", _weather_cache, "SELECT iata, count(*) AS n FROM wx WHERE iata IN ('A00', 'A01') GROUP BY ALL UNION ALL SELECT 'A77', 0")
+register(
+    "scan_weather_cache",
+    _weather_cache,
+    """
+    SELECT iata, count(*) AS n, sum(wind) AS wind, min(ts)::VARCHAR AS first FROM wx
+    WHERE ts::DATE BETWEEN (SELECT min(FlightDate) FROM flights) AND (SELECT max(FlightDate) FROM flights) + 1
+    GROUP BY ALL UNION ALL SELECT 'A77', 0, NULL, NULL""",
+)
 
 
 def _airports_csv(s, d):
@@ -242,10 +244,11 @@ register("horizon_lookup", lambda s, d: (lambda f, g: history.horizon_lookup(g,
 
 def _edge_dynamic(s, d):
     f, _, snaps = P.snapshot_base(s, d)
-    return history.edge_dynamic(network.edge_static(f), snaps.where(F.hour("snapshot_ts") == 12), history.route_history(f))
+    return history.edge_dynamic(network.edge_static(f), snaps, history.route_history(f))
 
 
-register("edge_dynamic_join", _edge_dynamic, "SELECT edge_id, e.src, e.dst, s.snapshot_ts::VARCHAR AS snapshot_ts, round(greatest(-1, least(1, coalesce(r.rm, 0) / 60)), 6) + 0.0 AS recent_delay_norm, round(greatest(0, least(1, coalesce(q.n, 0) / 50)), 6) AS sched_next_norm FROM (SELECT * FROM snaps WHERE hour(snapshot_ts) = 12) s CROSS JOIN edges e LEFT JOIN rroll r ON r.src = e.src AND r.dst = e.dst AND r.bucket = s.snapshot_ts - INTERVAL 1 HOUR LEFT JOIN rsched q ON q.src = e.src AND q.dst = e.dst AND q.bucket = s.snapshot_ts")
+_EDGE_DYNAMIC = "SELECT edge_id, e.src, e.dst, s.snapshot_ts::VARCHAR AS snapshot_ts, round(greatest(-1, least(1, coalesce(r.rm, 0) / 60)), 6) + 0.0 AS recent_delay_norm, round(greatest(0, least(1, coalesce(q.n, 0) / 50)), 6) AS sched_next_norm FROM snaps s CROSS JOIN edges e LEFT JOIN rroll r ON r.src = e.src AND r.dst = e.dst AND r.bucket = s.snapshot_ts - INTERVAL 1 HOUR LEFT JOIN rsched q ON q.src = e.src AND q.dst = e.dst AND q.bucket = s.snapshot_ts"
+register("edge_dynamic_join", _edge_dynamic, _EDGE_DYNAMIC)
 
 # ---- snapshots, features, targets ----------------------------------------------------------------------
 register("snapshot_times", lambda s, d: snapshots.snapshot_times(_f(s, d)), "SELECT snapshot_ts::VARCHAR AS snapshot_ts FROM times")
@@ -272,11 +275,19 @@ register("node_features_rich", _rich, _FILL)
 def _rich_weather(s, d):
     f, nodes, snaps = P.snapshot_base(s, d)
     block = weather.weather_block(adapters.weather_from_events(s, d), snapshots.dense_grid(nodes, snaps), H, tie="event_id")
-    out = snapshots.node_features_rich(f, nodes, snaps, weather_block=block)
-    return out.select(F.lit(len(out.columns) - 2).alias("width"), "snapshot_ts", "node", "a_arr_mean", "h_wind_mean", "h8_wx_obs_gust")
+    return snapshots.node_features_rich(f, nodes, snaps, weather_block=block)
+
 
+def _weather_columns(t: str, prefix: str, names: tuple[str, str, str, str]) -> str:
+    values = [f"coalesce({t}.{v}, 0.0) AS {prefix}{n}" for v, n in zip(("wind", "gust", "precip", "cloud"), names, strict=True)]
+    return ", ".join(values + [f"coalesce(({t}.cat = {i})::INT, 0)::DOUBLE AS {prefix}cat_{i}" for i in range(5)])
 
-register("node_features_weather", _rich_weather, "SELECT 109 AS width, g.snapshot_ts::VARCHAR AS snapshot_ts, g.node, coalesce(a_arr_mean, 0.0) AS a_arr_mean, coalesce(w.wind, 0.0) AS h_wind_mean, coalesce(z.gust, 0.0) AS h8_wx_obs_gust FROM grid g LEFT JOIN block_a a USING (snapshot_ts, node) LEFT JOIN wxh w ON w.iata = g.node AND w.ts = g.snapshot_ts - INTERVAL 1 HOUR LEFT JOIN wxh z ON z.iata = g.node AND z.ts = g.snapshot_ts + INTERVAL 7 HOUR")
+
+_WX = _weather_columns("w", "h_", ("wind_mean", "gust_max", "precip_sum", "cloud_mean"))
+_WX += "".join(", " + _weather_columns(f"z{h}", f"h{h}_wx_obs_", ("wind", "gust", "precip", "cloud")) for h in H)
+_WX_JOINS = "LEFT JOIN wxh w ON w.iata = r.node AND w.ts = r.snapshot_ts::TIMESTAMP - INTERVAL 1 HOUR "
+_WX_JOINS += " ".join(f"LEFT JOIN wxh z{h} ON z{h}.iata = r.node AND z{h}.ts = r.snapshot_ts::TIMESTAMP + INTERVAL {h - 1} HOUR" for h in H)
+register("node_features_weather", _rich_weather, f"SELECT r.*, {_WX} FROM ({_FILL}) r {_WX_JOINS}")
 register("target_interval_join", lambda s, d: (lambda f, n, t: snapshots.node_targets(f, n, t, (4,)))(*P.snapshot_base(s, d)), "SELECT snapshot_ts::VARCHAR AS snapshot_ts, node, horizon_h, round(arr, 6) AS arr, round(dep, 6) AS dep, round(pct, 6) AS pct FROM targets WHERE horizon_h = 4")
 register("node_targets", lambda s, d: (lambda f, n, t: snapshots.node_targets(f, n, t, (1,)).select("snapshot_ts", "node", "arr"))(*P.snapshot_base(s, d)), "SELECT snapshot_ts::VARCHAR AS snapshot_ts, node, round(arr, 6) AS arr FROM targets WHERE horizon_h = 1")
 register("node_targets_multi", lambda s, d: (lambda f, n, t: snapshots.node_targets(f, n, t, (1,)))(*P.snapshot_base(s, d)), "SELECT snapshot_ts::VARCHAR AS snapshot_ts, node, horizon_h, round(arr, 6) AS arr, round(dep, 6) AS dep, round(pct, 6) AS pct FROM targets WHERE horizon_h = 1")
@@ -284,17 +295,45 @@ register("multi_horizon_targets", lambda s, d: (lambda f, n, t: snapshots.node_t
 
 
 def _create_snapshots(s, d):
-    f, nodes, snaps = P.snapshot_base(s, d)
-    x = snapshots.node_features_rich(f, nodes, snaps).select("snapshot_ts", "node", "a_arr_mean", "d_lag_1")
-    y = snapshots.node_targets(f, nodes, snaps).groupBy("snapshot_ts", "node").agg(F.sum("arr").alias("arr_over_horizons"))
-    return x.join(y, ["snapshot_ts", "node"])
+    """Features and targets of all snapshots side by side, targets of each horizon as columns."""
+    f, nodes = P.prepared(s, d)
+    x, y, _ = snapshots.create_snapshots(f, nodes)
+    wide = y.groupBy("snapshot_ts", "node").agg(*[F.max(F.when(F.col("horizon_h") == h, F.col(v))).alias(f"y{h}_{v}") for h in H for v in ("arr", "dep", "pct")])
+    return x.join(wide, ["snapshot_ts", "node"])
 
 
-register("create_snapshots", _create_snapshots, "SELECT g.snapshot_ts::VARCHAR AS snapshot_ts, g.node, coalesce(a_arr_mean, 0.0) AS a_arr_mean, d_lag_1, round(t.y, 6) AS arr_over_horizons FROM grid g LEFT JOIN block_a USING (snapshot_ts, node) JOIN block_d USING (snapshot_ts, node) JOIN (SELECT snapshot_ts, node, sum(arr) AS y FROM targets GROUP BY ALL) t USING (snapshot_ts, node)")
+def _snapshot_edges(s, d):
+    return snapshots.create_snapshots(*P.prepared(s, d))[2]
+
+
+_WIDE_Y = ", ".join(f"round(max({v}) FILTER (horizon_h = {h}), 6) AS y{h}_{v}" for h in H for v in ("arr", "dep", "pct"))
+register("create_snapshots", _create_snapshots, f"""
+    SELECT x.*, TRUE AS active, y.* EXCLUDE (snapshot_ts, node) FROM ({_FILL}) x
+    JOIN (SELECT snapshot_ts::VARCHAR AS snapshot_ts, node, {_WIDE_Y} FROM targets GROUP BY ALL) y USING (snapshot_ts, node)""")
+_EDGE_STATIC = "round(e.count_norm, 6) AS count_norm, round(e.air_time_norm, 6) AS air_time_norm, round(e.distance_norm, 6) AS distance_norm"
+register("snapshot_edges", _snapshot_edges, _EDGE_DYNAMIC.replace(" FROM snaps s", f", {_EDGE_STATIC} FROM snaps s"))
 _VALUES = ["dep_mean", "dep_share", "flights", "arr_mean"]
 _BASIC = "(SELECT snapshot_ts, node, coalesce(m, 0) AS dep_mean, coalesce(sh, 0) AS dep_share, coalesce(n, 0) / max(coalesce(n, 0)) OVER (PARTITION BY snapshot_ts) AS flights, coalesce(am, 0) AS arr_mean FROM (SELECT ts + INTERVAL 1 HOUR AS snapshot_ts, Origin AS node, avg(DepDelay) AS m, avg((DepDelay > 15)::INT) AS sh, count(*) AS n FROM f GROUP BY ALL) FULL JOIN (SELECT ts + INTERVAL 1 HOUR AS snapshot_ts, Dest AS node, avg(ArrDelay) AS am FROM f GROUP BY ALL) USING (snapshot_ts, node))"
 register("active_mask", lambda s, d: snapshots.active_nodes(snapshots.node_features_basic(_f(s, d)), _VALUES).select("snapshot_ts", "node", "active"), f"SELECT snapshot_ts::VARCHAR AS snapshot_ts, node, abs(dep_mean) + abs(dep_share) + abs(flights) + abs(arr_mean) > 0 AS active FROM {_BASIC}")
 register("feature_stats", lambda s, d: snapshots.feature_stats(snapshots.node_features_basic(_f(s, d)), _VALUES), " UNION ALL ".join(f"SELECT '{v}' AS feature, round(avg({v}), 6) AS mean, round(greatest(stddev_samp({v}), 1e-6), 6) AS std FROM {_BASIC}" for v in _VALUES))
+
+
+def _train_stats(s, d):
+    """Statistics of the active rows of the first 70 % of the snapshots."""
+    f, _, snaps = P.snapshot_base(s, d)
+    x = snapshots.active_nodes(snapshots.node_features_basic(f), _VALUES).join(snapshots.split_by_ratio(snaps), "snapshot_ts")
+    return snapshots.feature_stats(x, _VALUES, F.col("split") == "train")
+
+
+register(
+    "feature_stats_train",
+    _train_stats,
+    " UNION ALL ".join(
+        f"SELECT '{v}' AS feature, round(avg({v}), 6) AS mean, round(greatest(stddev_samp({v}), 1e-6), 6) AS std FROM {_BASIC} b "
+        "JOIN split s ON s.snapshot_ts = b.snapshot_ts AND s.split = 'train' WHERE abs(dep_mean) + abs(dep_share) + abs(flights) + abs(arr_mean) > 0"
+        for v in _VALUES
+    ),
+)
 register("normalize_features", lambda s, d: (lambda x: snapshots.normalize_features(x, snapshots.feature_stats(x, _VALUES), _VALUES))(snapshots.node_features_basic(_f(s, d)).select("snapshot_ts", "node", *_VALUES)), "SELECT snapshot_ts::VARCHAR AS snapshot_ts, node, " + ", ".join(f"round(({v} - avg({v}) OVER ()) / greatest(stddev_samp({v}) OVER (), 1e-6), 6) + 0.0 AS {v}" for v in _VALUES) + f" FROM {_BASIC}")
 register("split_by_ratio", lambda s, d: snapshots.split_by_ratio(P.snapshot_base(s, d)[2]), "SELECT snapshot_ts::VARCHAR AS snapshot_ts, CASE WHEN r <= floor(n * 0.7::DOUBLE) THEN 'train' WHEN r <= floor(n * (0.7::DOUBLE + 0.15::DOUBLE)) THEN 'val' ELSE 'test' END AS split FROM (SELECT snapshot_ts, row_number() OVER (ORDER BY snapshot_ts) AS r, count(*) OVER () AS n FROM snaps)")
 register("split_by_date", lambda s, d: snapshots.split_by_date(P.snapshot_base(s, d)[2], "2019-09-25", "2019-10-01"), "SELECT snapshot_ts::VARCHAR AS snapshot_ts, CASE WHEN snapshot_ts < '2019-09-25' THEN 'train' WHEN snapshot_ts < '2019-10-01' THEN 'val' ELSE 'test' END AS split FROM snaps")
@@ -307,7 +346,7 @@ register("dedup_first_per_hour", lambda s, d: P.weather_hourly(s, d).select("iat
 register("weather_window_agg", lambda s, d: weather.weather_window_agg(adapters.weather_from_events(s, d), 2), "SELECT b::VARCHAR AS snapshot_ts, iata AS node, round(w, 6) AS h_wind_mean, g AS h_gust_max, p AS h_precip_sum, round(c, 6) AS h_cloud_mean, " + ", ".join(f"(k = {i})::INT::DOUBLE AS h_cat_{i}" for i in range(5)) + " FROM (SELECT b, iata, avg(wind) AS w, max(gust) AS g, sum(precip) AS p, avg(cloud) AS c FROM (SELECT *, time_bucket(INTERVAL 2 HOUR, ts) + INTERVAL 2 HOUR AS b FROM wx) GROUP BY ALL) JOIN (SELECT b, iata, arg_max(cat, n * 100 - cat) AS k FROM (SELECT time_bucket(INTERVAL 2 HOUR, ts) + INTERVAL 2 HOUR AS b, iata, cat, count(*) AS n FROM wx GROUP BY ALL) GROUP BY ALL) USING (b, iata)")
 register("weather_window_join", lambda s, d: _grid(s, d)[1].join(weather.weather_window_agg(P.weather_hourly(s, d)), ["snapshot_ts", "node"], "left").na.fill(0.0).select("snapshot_ts", "node", "h_wind_mean", "h_precip_sum"), "SELECT snapshot_ts::VARCHAR AS snapshot_ts, node, coalesce(wind, 0.0) AS h_wind_mean, coalesce(precip, 0.0) AS h_precip_sum FROM grid LEFT JOIN wxh ON iata = node AND ts = snapshot_ts - INTERVAL 1 HOUR")
 register("weather_point_join", lambda s, d: weather.weather_point(P.weather_hourly(s, d), _grid(s, d)[1], H).select("snapshot_ts", "node", "horizon_h", "wx_obs_wind", "wx_obs_cat_4"), "SELECT snapshot_ts::VARCHAR AS snapshot_ts, node, h AS horizon_h, coalesce(wind, 0.0) AS wx_obs_wind, coalesce((cat = 4)::INT, 0)::DOUBLE AS wx_obs_cat_4 FROM (SELECT * FROM grid, hz) LEFT JOIN wxh ON iata = node AND ts = date_trunc('hour', snapshot_ts + to_hours(h - 1) + INTERVAL 30 MINUTE)")
-register("weather_toggle", lambda s, d: weather.weather_window_agg(P.weather_hourly(s, d), 1, ["wind_speed"]).select("snapshot_ts", "node", "h_wind_mean", "h_precip_sum", "h_cat_0"), "SELECT (ts + INTERVAL 1 HOUR)::VARCHAR AS snapshot_ts, iata AS node, wind AS h_wind_mean, 0.0::DOUBLE AS h_precip_sum, 0.0::DOUBLE AS h_cat_0 FROM wxh")
+register("weather_toggle", lambda s, d: weather.weather_window_agg(P.weather_hourly(s, d), 1, ["wind_gust"]).select("snapshot_ts", "node", "h_wind_mean", "h_precip_sum", "h_cat_0"), "SELECT (ts + INTERVAL 1 HOUR)::VARCHAR AS snapshot_ts, iata AS node, wind AS h_wind_mean, 0.0::DOUBLE AS h_precip_sum, 0.0::DOUBLE AS h_cat_0 FROM wxh")
 register("wmo_bucket", lambda s, d: s.range(100).select(F.col("id").alias("code"), wmo_category(F.col("id")).alias("category")).join(adapters.weather_from_events(s, d).groupBy(F.col("weather_code").cast("long").alias("code")).agg(F.count("*").alias("n")), "code"), "SELECT code::BIGINT AS code, cat AS category, count(*) AS n FROM wx GROUP BY ALL")
 register("one_hot", lambda s, d: (lambda w: w.select("event_id", *[c.alias(f"k{i}") for i, c in enumerate(one_hot(F.col("weather_category")))]))(adapters.weather_from_events(s, d)), "SELECT event_id, " + ", ".join(f"(cat = {i})::INT::DOUBLE AS k{i}" for i in range(5)) + " FROM wx")
 
@@ -316,12 +355,30 @@ register("cyclic_encode", lambda s, d: P.flights(s, d).select(*FLIGHT_KEYS, *[c.
 register("floor_bucket", lambda s, d: adapters.read(s, d, "events").select("event_id", floor_bucket(F.col("ts").cast("timestamp_ntz"), 2).alias("b2")), "SELECT event_id, time_bucket(INTERVAL 2 HOUR, ts::TIMESTAMP)::VARCHAR AS b2 FROM events")
 register("sigmoid", lambda s, d: P.flights(s, d).select(*FLIGHT_KEYS, sigmoid((F.col("ArrDelay") - 15) / 10).alias("p")), "SELECT l_orderkey, l_linenumber, round(1 / (1 + exp(-(ArrDelay - 15) / 10)), 6) AS p FROM flights")
 register("clamp", lambda s, d: P.flights(s, d).select(*FLIGHT_KEYS, zero_if_missing(F.col("ArrDelay") / F.nullif(F.col("DepDelay"), F.lit(0))).alias("z"), F.when(F.col("ArrDelay").isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(23.0), F.col("ArrDelay")))).alias("c")), "SELECT l_orderkey, l_linenumber, round(coalesce(ArrDelay / nullif(DepDelay, 0), 0), 6) + 0.0 AS z, CASE WHEN ArrDelay IS NOT NULL THEN greatest(0, least(23, ArrDelay)) END AS c FROM flights")
+_RATIO = "ArrDelay / DepDelay"
+register("nan_to_zero", lambda s, d: P.flights(s, d).select(*FLIGHT_KEYS, nan_to_zero(F.when(F.col("DepDelay") == 0, float("nan")).otherwise(F.expr(f"try_divide(ArrDelay, DepDelay)"))).alias("z")), f"SELECT l_orderkey, l_linenumber, round(CASE WHEN DepDelay = 0 THEN 0 ELSE {_RATIO} END, 6) + 0.0 AS z FROM flights")
+register("inf_to_zero", lambda s, d: P.flights(s, d).select(*FLIGHT_KEYS, inf_to_zero(F.when(F.col("DepDelay") == 0, float("-inf")).otherwise(F.expr(f"try_divide(ArrDelay, DepDelay)"))).alias("z")), f"SELECT l_orderkey, l_linenumber, round(CASE WHEN DepDelay = 0 THEN 0 ELSE {_RATIO} END, 6) + 0.0 AS z FROM flights")
+register(
+    "string_date_helpers",
+    lambda s, d: adapters.read(s, d, "events").select(
+        "event_id", clean_code(F.concat(F.lit(" a"), F.col("user_id").cast("string"), F.lit(" "))).alias("code"),
+        parse_iso(F.concat(F.date_format(F.col("ts").cast("timestamp_ntz"), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+02:00"))).alias("at"), two_digits(F.hour(F.col("ts").cast("timestamp_ntz"))).alias("hh"),
+    ),
+    "SELECT event_id, 'A' || user_id AS code, date_trunc('second', ts::TIMESTAMP)::TIMESTAMP::VARCHAR AS at, lpad(hour(ts::TIMESTAMP)::VARCHAR, 2, '0') AS hh FROM events",
+)
 register("temporal_features", lambda s, d: tabular.temporal_features(cleaning.encode_time(P.flights(s, d))).select(*FLIGHT_KEYS, "day_of_week", "is_weekend", "hour_sin", "dow_cos"), "SELECT l_orderkey, l_linenumber, DayOfWeek AS day_of_week, (DayOfWeek >= 5)::INT AS is_weekend, round(sin(2 * pi() * hh / 24), 6) + 0.0 AS hour_sin, round(cos(2 * pi() * DayOfWeek / 7), 6) + 0.0 AS dow_cos FROM flights")
 register("label_encode", lambda s, d: (lambda f: tabular.label_encode(f.select(*FLIGHT_KEYS, "Origin", "Month"), "Origin", tabular.fit_label_encoder(f.where("Origin > 'A04'"), "Origin")).drop("Month"))(P.flights(s, d)), "SELECT l_orderkey, l_linenumber, f1.Origin, coalesce(e.code, -1)::INT AS Origin_encoded FROM flights f1 LEFT JOIN (SELECT Origin, row_number() OVER (ORDER BY Origin) - 1 AS code FROM (SELECT DISTINCT Origin FROM flights WHERE Origin > 'A04')) e ON e.Origin = f1.Origin")
 register("standard_scale", lambda s, d: (lambda f: tabular.standard_scale(f, ["Distance", "TaxiOut"], tabular.fit_standard_scaler(f, ["Distance", "TaxiOut"])))(P.flights(s, d).select(*FLIGHT_KEYS, "Distance", "TaxiOut")), "SELECT l_orderkey, l_linenumber, round((Distance - avg(Distance) OVER ()) / stddev_pop(Distance) OVER (), 6) + 0.0 AS Distance, round((TaxiOut - avg(TaxiOut) OVER ()) / stddev_pop(TaxiOut) OVER (), 6) + 0.0 AS TaxiOut FROM flights")
 register("feature_matrix", lambda s, d: tabular.feature_matrix(cleaning.encode_time(P.flights(s, d)), ["Airline"], ["Distance"])[0].select(*FLIGHT_KEYS, "Airline_encoded", "Distance", "hour_cos"), "SELECT l_orderkey, l_linenumber, (dense_rank() OVER (ORDER BY Airline) - 1)::INT AS Airline_encoded, round((Distance - avg(Distance) OVER ()) / stddev_pop(Distance) OVER (), 6) + 0.0 AS Distance, round(cos(2 * pi() * hh / 24), 6) + 0.0 AS hour_cos FROM flights")
 register("tabular_regressor", lambda s, d: tabular.tabular_regressor(tabular.temporal_features(cleaning.encode_time(cleaning.clean_flights(P.flights(s, d)))), ["Distance", "TaxiOut", "hour_sin", "hour_cos"], train=F.col("FlightDate") < "2019-10-01").select(*FLIGHT_KEYS, "ArrDelay", F.round("prediction", 3).alias("prediction")))
 
+_LINE = "regr_slope(ArrDelay, Distance) OVER () * Distance + regr_intercept(ArrDelay, Distance) OVER ()"
+register(
+    "tabular_regressor_line",
+    lambda s, d: tabular.tabular_regressor(cleaning.clean_flights(P.flights(s, d)), ["Distance"], ridge=0.0).select(*FLIGHT_KEYS, F.round("prediction", 3).alias("prediction")),
+    f"SELECT l_orderkey, l_linenumber, round({_LINE}, 3) AS prediction FROM clean",
+)
+
 # ---- star schema and reports ---------------------------------------------------------------------------
 _FACT_COLS = "airport_code, ts_hour::VARCHAR AS ts_hour"
 register("fact_departures", lambda s, d: star.fact_departures(P.report_frame(s, d)), f"SELECT {_FACT_COLS}, sched_dep, dep_operated, dep_cancelled, round(dep_delay_mean, 6) AS dep_delay_mean, dep_del15 FROM fdep")
@@ -342,8 +399,9 @@ register("dim_hour", lambda s, d: star.dim_hour(s).join(P.fact(s, d).groupBy("ho
 _W = "round(sum(arr_delay_mean * arr_operated) / nullif(sum(arr_operated), 0), 6) AS avg_arr_delay"
 register("kpi_measures", lambda s, d: star.kpi_measures(P.fact(s, d), ["month"]), f"SELECT month, sum(sched_arr)::BIGINT AS total_flights, sum(arr_operated)::BIGINT AS operated, sum(arr_cancelled)::BIGINT AS cancelled, round(sum(arr_cancelled) / sum(sched_arr), 6) AS cancellation_pct, {_W}, round(sum(dep_delay_mean * dep_operated) / nullif(sum(dep_operated), 0), 6) AS avg_dep_delay, sum(arr_del15)::BIGINT AS delayed_15, round(sum(arr_del15) / sum(arr_operated), 6) AS delayed_15_pct, round(1 - sum(arr_del15) / sum(arr_operated), 6) AS on_time_pct, sum(est_arr_passengers)::BIGINT AS est_passengers FROM fact GROUP BY ALL")
 register("delay_heatmap", lambda s, d: star.delay_heatmap(P.fact(s, d)), "SELECT hour, " + ", ".join(f"round(sum(arr_delay_mean * arr_operated) FILTER (day_of_week = {i}) / nullif(sum(arr_operated) FILTER (day_of_week = {i}), 0), 6) AS {n}" for i, n in enumerate(star.DAYS)) + " FROM fact GROUP BY ALL")
-register("delay_by_month_season", lambda s, d: star.delay_by_month_season(P.fact(s, d), star.dim_date(P.fact(s, d).agg(F.min("date").alias("d0"), F.max("date").alias("d1")))), f"SELECT year, month, 'Fall' AS season, sum(sched_arr)::BIGINT AS flights, {_W} FROM fact GROUP BY ALL")
-register("season", lambda s, d: P.flights(s, d).groupBy(season(F.col("Month")).alias("season")).agg(F.count("*").alias("n")), "SELECT 'Fall' AS season, count(*) AS n FROM flights")
+_SEASON = "CASE WHEN {0} IN (12, 1, 2) THEN 'Winter' WHEN {0} <= 5 THEN 'Spring' WHEN {0} <= 8 THEN 'Summer' ELSE 'Fall' END"
+register("delay_by_month_season", lambda s, d: star.delay_by_month_season(P.fact(s, d), star.dim_date(P.fact(s, d).agg(F.min("date").alias("d0"), F.max("date").alias("d1")))), f"SELECT year, month, {_SEASON.format('month')} AS season, sum(sched_arr)::BIGINT AS flights, {_W} FROM fact GROUP BY ALL")
+register("season", lambda s, d: P.flights(s, d).groupBy(season(F.col("Month")).alias("season")).agg(F.count("*").alias("n")), f"SELECT {_SEASON.format('Month')} AS season, count(*) AS n FROM flights GROUP BY ALL")
 register("monthly_trend", lambda s, d: star.trend(P.fact(s, d)), f"SELECT date::VARCHAR AS date, sum(sched_arr)::BIGINT AS flights, {_W} FROM fact GROUP BY fact.date")
 _SUMMARY = f"SELECT airport_code, total_flights, avg_arr_delay, latitude, longitude FROM (SELECT airport_code, sum(sched_arr)::BIGINT AS total_flights, {_W} FROM fact GROUP BY ALL) LEFT JOIN airports USING (airport_code)"
 _dim = lambda s, d: P.airports(s, d).withColumnRenamed("iata", "airport_code")
@@ -407,7 +465,25 @@ register("metrics_single", lambda s, d: metrics.metric_unified(P.predicted(s, d)
 _BYH = "SELECT horizon_h::VARCHAR AS horizon, " + ", ".join(f"{e} AS {k}" for k, e in _ALL.items()) + " FROM preds GROUP BY ALL"
 _HSQL = f"SELECT horizon, {', '.join(f'round({k}, 6) AS {k}' for k in _ALL)} FROM ({_BYH}) UNION ALL SELECT 'average', {', '.join(f'coalesce(round(avg({k}), 6), 0.0)' for k in _ALL)} FROM ({_BYH})"
 register("metrics_by_horizon", lambda s, d: metrics.metrics_by_horizon(P.predicted(s, d)), _HSQL)
-register("batch_predict", P.batch_predict, _HSQL)
+
+
+def _batch_predict(s, d):
+    f, nodes = P.prepared(s, d)
+    lag = lambda grid, cells: history.series_lookup(grid, cells, "arr_delay_mean", -1, "x")
+    return P.batch_predict(f, nodes, predictions.recent_scorer(H), lag)
+
+
+register(
+    "batch_predict",
+    _batch_predict,
+    f"""
+    SELECT p.node AS airport_code, horizon_h, round(delay, 6) + 0.0 AS predicted_arr_delay_min, round(1 / (1 + exp(-(delay - 15) / 10)), 6) AS pct_arr_delayed_15,
+      (p.snapshot_ts + to_hours(horizon_h))::VARCHAR AS target_ts, p.snapshot_ts::VARCHAR AS prediction_ts,
+      round(arr, 6) AS actual_arr_delay_min, (arr >= 15)::INT AS actual_arr_del15, round(pct, 6) AS pct_target
+    FROM (SELECT q.snapshot_ts, q.node, h, CASE WHEN h <= 2 THEN x ELSE m END AS delay FROM seqs q, hz WHERE n = 6) p
+    JOIN targets t ON t.snapshot_ts = p.snapshot_ts AND t.node = p.node AND t.horizon_h = p.h
+    ORDER BY p.snapshot_ts, airport_code, horizon_h""",
+)
 register("mae_by_horizon", lambda s, d: metrics.mae_by_horizon(P.predicted(s, d)), f"SELECT horizon_h, round({_REG['mae']}, 6) AS mae FROM preds GROUP BY ALL")
 _HW = "(CASE horizon_h WHEN 1 THEN 3 WHEN 2 THEN 3 WHEN 4 THEN 4 WHEN 6 THEN 5 ELSE 5 END * 5.0 / 20)"
 _LW = f"(CASE WHEN abs({_Y}) >= 15 THEN 2.0 ELSE 1.0 END * {_HW})"
@@ -427,8 +503,18 @@ _MT = f"SELECT avg({_LW} * {_HUB.format(f'({_P} - {_Y})')}) AS a, avg(CASE WHEN
 register("loss_multi_task", _multi_task, f"SELECT round(a, 6) AS arr_huber, round(b, 6) AS dep_huber, round(c, 6) AS pct_bce, round(a + 0.3 * b + 0.5 * c, 6) AS total FROM ({_MT})")
 register("calibration_deciles", lambda s, d: metrics.calibration_deciles(P.predicted(s, d)), "SELECT least(floor(pct_arr_delayed_15 * 10) + 1, 10)::INT AS decile, count(*) AS n, round(avg(pct_arr_delayed_15), 6) AS predicted_rate, round(avg(actual_arr_del15), 6) AS observed_rate FROM preds GROUP BY ALL")
 register("error_histogram", lambda s, d: metrics.error_histogram(P.predicted(s, d)).groupBy().agg(F.sum("n").alias("n"), F.max("bin").alias("top"), F.min("bin").alias("low"), F.max("mean_error").alias("mean_error")), f"SELECT count(*) AS n, 99 AS top, 0 AS low, round(avg({_P} - {_Y}), 6) AS mean_error FROM preds")
-register("error_histogram_bins", lambda s, d: metrics.error_histogram(P.predicted(s, d)))
-register("sample_points", lambda s, d: metrics.sample_points(P.predicted(s, d), 5000))
+register(  # real values as rounded and whole-numbered edges, so that both sides see the same errors
+    "error_histogram_bins",
+    lambda s, d: metrics.error_histogram(P.predicted(s, d).withColumns({c: F.round(c, 6) for c in (_P, _Y)}), 100, (-120, 80)),
+    f"SELECT greatest(least(floor(((p - y) + 120) / 2), 99), 0)::INT AS bin, count(*) AS n, round(max(m), 6) AS mean_error "
+    f"FROM (SELECT *, avg(p - y) OVER () AS m FROM (SELECT round({_P}, 6) AS p, round({_Y}, 6) AS y FROM preds)) GROUP BY 1",
+)
+register(
+    "sample_points",
+    lambda s, d: metrics.sample_points(P.predicted(s, d), 5000),
+    "SELECT round(predicted_arr_delay_min, 6) + 0.0 AS predicted_arr_delay_min, round(actual_arr_delay_min, 6) + 0.0 AS actual_arr_delay_min FROM preds "
+    "ORDER BY md5(airport_code || '|' || horizon_h || '|' || prediction_ts::VARCHAR), airport_code, horizon_h LIMIT 5000",
+)
 register("champion_challenger", lambda s, d: (lambda p: metrics.champion_challenger(metrics.metric_regression(p), metrics.metric_regression(p.withColumn(_P, F.col(_P) * 0.5))))(P.predicted(s, d)), f"SELECT round(a, 6) AS champion, round(b, 6) AS challenger, round((a - b) / a, 6) AS gain, (a - b) / a >= 0.02 AS promote FROM (SELECT avg(abs({_P} - {_Y})) AS a, avg(abs({_P} * 0.5 - {_Y})) AS b FROM preds)")
 
 
@@ -472,22 +558,51 @@ register("stream_route_hour", _stream_route, f"SELECT arr_ts::VARCHAR AS bucket,
 
 
 def _stream_features(s, d):
+    """All node series over the last 24 hours of the buffer, as the batch operators build them."""
     base, buffer = _ingest(s, d)
     stream = streaming.file_stream(s, f"{base}/in", s.read.parquet(f"{base}/in").schema)
-    build = lambda rows: history.sched_dep_count(history.with_buckets(rows))
+    build = lambda rows: history.node_history(history.with_buckets(rows)).drop("sched_arr_mean_distance")
     streaming.stream_features(stream, f"{base}/buffer", f"{base}/ck2", build, f"{base}/features").awaitTermination()
     return s.read.parquet(f"{base}/features")
 
 
-register("stream_features", _stream_features, "SELECT Origin AS node, ts::VARCHAR AS bucket, count(*) AS sched_dep_count FROM " + _ONCE + " WHERE ts >= (SELECT max(ts) FROM timed) - INTERVAL 24 HOUR GROUP BY ALL")
+_RECENT = f"(SELECT * FROM {_ONCE} WHERE ts >= (SELECT max(ts) FROM timed) - INTERVAL 24 HOUR)"
+_LIVE = f"""
+    SELECT node, bucket::VARCHAR AS bucket, round(v, 6) AS arr_delay_mean, round(rm, 6) AS rolling_mean, round(rs, 6) AS rolling_std, sched_arr_count, sched_arr_from_top10, sched_dep_count
+    FROM (SELECT Dest AS node, arr_ts AS bucket, count(*) AS sched_arr_count, nullif(count(*) FILTER (Origin IN
+            (SELECT Origin FROM {_RECENT} GROUP BY Origin ORDER BY count(*) DESC, Origin LIMIT 10)), 0) AS sched_arr_from_top10 FROM {_RECENT} GROUP BY ALL)
+    LEFT JOIN (SELECT node, bucket, v, avg(v) OVER w AS rm, coalesce(stddev_samp(v) OVER w, 0) AS rs
+          FROM (SELECT Dest AS node, arr_ts AS bucket, avg(ArrDelay) AS v FROM {_RECENT} GROUP BY ALL HAVING count(ArrDelay) > 0)
+          WINDOW w AS (PARTITION BY node ORDER BY bucket ROWS BETWEEN 5 PRECEDING AND CURRENT ROW)) USING (node, bucket)
+    FULL JOIN (SELECT Origin AS node, ts AS bucket, count(*) AS sched_dep_count FROM {_RECENT} GROUP BY ALL) USING (node, bucket)"""
+register("stream_features", _stream_features, _LIVE)
 
 
 def _stream_predictions(s, d):
+    """History and latest after four micro-batches and a replay of the last one."""
     base = _folder(s)
-    P.predicted(s, d).select(*predictions.PREDICTION_COLUMNS).write.parquet(f"{base}/in")
-    stream = streaming.file_stream(s, f"{base}/in", s.read.parquet(f"{base}/in").schema)
+    P.predicted(s, d).select(*predictions.PREDICTION_COLUMNS).repartitionByRange(4, "prediction_ts").write.parquet(f"{base}/in")
+    stream = streaming.file_stream(s, f"{base}/in", s.read.parquet(f"{base}/in").schema, files_per_batch=1)
     streaming.stream_predictions(stream, f"{base}/latest", f"{base}/history", f"{base}/ck").awaitTermination()
-    return sinks.read_predictions_history(s, f"{base}/history")
+    last = sinks.read_predictions_batches(s, f"{base}/history").where(F.expr("prediction_ts >= timestamp_ntz'2019-10-05 00:00:00'"))
+    for _ in range(2):  # a replay changes nothing
+        sinks.merge_predictions_latest(last, f"{base}/latest", 99)
+    return base
+
+
+register("stream_predictions", lambda s, d: sinks.read_predictions_batches(s, f"{_stream_predictions(s, d)}/history"), f"SELECT {_PRED} FROM preds")
+register(
+    "stream_predictions_latest",
+    lambda s, d: sinks.read_predictions_latest(s, f"{_stream_predictions(s, d)}/latest"),
+    f"SELECT {_PRED} FROM preds p WHERE p.prediction_ts = (SELECT max(q.prediction_ts) FROM preds q WHERE q.airport_code = p.airport_code AND q.horizon_h = p.horizon_h)",
+)
+
+
+def _stream_retention(s, d):
+    """The hours that are left when every micro-batch of the ingest trims what is older than 168 hours."""
+    base, stream = _stream_source(s, d)
+    streaming.stream_ingest_hourly(stream, f"{base}/buffer", f"{base}/ck1", stream.columns, now=_now).awaitTermination()
+    return _per_hour(sinks.read_hour_partitions(s, f"{base}/buffer"))
 
 
-register("stream_predictions", _stream_predictions, f"SELECT {_PRED} FROM preds")
+register("stream_retention", _stream_retention, _HOURS.format(_KEPT).replace("FROM timed", f"FROM {_ONCE}"))

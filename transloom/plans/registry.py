@@ -83,9 +83,17 @@ CTES = {
     "block_g": "SELECT snapshot_ts, g.node, " + ", ".join(f"round(coalesce(a{h}.n, 0)::DOUBLE, 6) AS g{h}_sched_arr_count, round(coalesce(d{h}.n, 0)::DOUBLE, 6) AS g{h}_sched_dep_count, round(coalesce(t{h}.n, 0)::DOUBLE, 6) AS g{h}_sched_arr_from_top10, round(coalesce(a{h}.d, 0), 6) AS g{h}_sched_arr_mean_distance" for h in (1, 2, 4, 6, 8)) + " FROM grid g " + " ".join(f"LEFT JOIN {t} {x}{h} ON {x}{h}.node = g.node AND {x}{h}.bucket = g.snapshot_ts + INTERVAL {h - 1} HOUR" for h in (1, 2, 4, 6, 8) for t, x in (("sarr", "a"), ("sdep", "d"), ("s10", "t"))),
     "cells": "SELECT Dest AS node, arr_ts AS bucket, avg(ArrDelay) AS arr, avg(DepDelay) AS dep, avg((ArrDelay >= 15)::INT) AS pct FROM f GROUP BY ALL",
     "targets": "SELECT snapshot_ts, g.node, h AS horizon_h, coalesce(arr, 0) AS arr, coalesce(dep, 0) AS dep, coalesce(pct, 0) AS pct FROM (SELECT * FROM grid, hz) g LEFT JOIN cells c ON c.node = g.node AND c.bucket = g.snapshot_ts + to_hours(h - 1)",
-    "scored": "SELECT g.snapshot_ts, g.node, h AS horizon_h, CASE WHEN h <= 2 THEN coalesce(r.v, 0) ELSE coalesce(r.rm, 0) END AS delay FROM (SELECT * FROM grid, hz WHERE hour(snapshot_ts) % 6 = 0) g LEFT JOIN roll r ON r.node = g.node AND r.bucket = g.snapshot_ts - INTERVAL 1 HOUR",
+    "scored": "SELECT g.snapshot_ts, g.node, h AS horizon_h, CASE WHEN h <= 2 THEN coalesce(r.v, 0) ELSE coalesce(r.rm, 0) END AS delay FROM (SELECT * FROM grid, hz) g LEFT JOIN roll r ON r.node = g.node AND r.bucket = g.snapshot_ts - INTERVAL 1 HOUR",
     "preds": "SELECT s.node AS airport_code, s.horizon_h, delay AS predicted_arr_delay_min, 1 / (1 + exp(-(delay - 15) / 10)) AS pct_arr_delayed_15, s.snapshot_ts + to_hours(s.horizon_h) AS target_ts, s.snapshot_ts AS prediction_ts, t.arr AS actual_arr_delay_min, (t.arr >= 15)::INT AS actual_arr_del15, t.pct AS pct_target FROM scored s JOIN targets t ON t.node = s.node AND t.snapshot_ts = s.snapshot_ts AND t.horizon_h = s.horizon_h",
     "enr": "SELECT p.*, coalesce(x.sched_arr, 0) AS sched_arr, coalesce(x.sched_dep, 0) AS sched_dep, (isodow(target_ts) - 1)::INT AS dow, hour(target_ts)::INT AS hour, b.baseline_sched_arr, pct_arr_delayed_15 * coalesce(x.sched_arr, 0) AS expected_delayed_flights, CASE WHEN b.baseline_sched_arr > 0 THEN coalesce(x.sched_arr, 0) / b.baseline_sched_arr - 1 END AS traffic_vs_usual FROM preds p LEFT JOIN fact x ON x.airport_code = p.airport_code AND x.ts_hour = date_trunc('hour', p.target_ts) LEFT JOIN baseline b ON b.airport_code = p.airport_code AND b.day_of_week = isodow(target_ts) - 1 AND b.hour = hour(target_ts)",
+    "split": "SELECT snapshot_ts, CASE WHEN r <= floor(n * 0.7::DOUBLE) THEN 'train' WHEN r <= floor(n * (0.7::DOUBLE + 0.15::DOUBLE)) THEN 'val' ELSE 'test' END AS split FROM (SELECT snapshot_ts, row_number() OVER (ORDER BY snapshot_ts) AS r, count(*) OVER () AS n FROM snaps)",
+    "seqs": """
+  SELECT snapshot_ts, node, x, avg(x) OVER w AS m, count(*) OVER w AS n
+  FROM (SELECT g.snapshot_ts, g.node, s.split, coalesce(v, 0) AS x
+        FROM grid g JOIN split s ON s.snapshot_ts = g.snapshot_ts
+        LEFT JOIN hist h ON h.node = g.node AND h.bucket = g.snapshot_ts - INTERVAL 1 HOUR)
+  WHERE split = 'test'
+  WINDOW w AS (PARTITION BY node ORDER BY snapshot_ts ROWS BETWEEN 5 PRECEDING AND CURRENT ROW)""",
     "airports": "SELECT 'A' || lpad(n_nationkey::VARCHAR, 2, '0') AS airport_code, n_name AS name, (n_nationkey * 2 - 20)::DOUBLE AS latitude, (n_nationkey * 5 - 60)::DOUBLE AS longitude, (n_nationkey * 10)::INT AS elevation_m FROM nation",
     "wx": "SELECT event_id, 'A' || lpad((user_id % 25)::VARCHAR, 2, '0') AS iata, ts::TIMESTAMP + to_days((DATE '2019-09-10' - DATE '2024-01-01')::INT) AS ts, (v % 40)::DOUBLE AS wind, (v % 60 + 10)::DOUBLE AS gust, (v % 5)::DOUBLE AS precip, (v % 101)::DOUBLE AS cloud, code, CASE code WHEN 45 THEN 1 WHEN 61 THEN 2 WHEN 75 THEN 3 WHEN 95 THEN 4 ELSE 0 END AS cat FROM (SELECT *, trunc(value)::INT AS v, CASE event_type WHEN 'click' THEN 0 WHEN 'view' THEN 45 WHEN 'purchase' THEN 61 WHEN 'signup' THEN 75 WHEN 'error' THEN 95 ELSE 1 END AS code FROM events)",
     "wxh": "SELECT * REPLACE (date_trunc('hour', ts)::TIMESTAMP AS ts) FROM wx QUALIFY row_number() OVER (PARTITION BY iata, date_trunc('hour', ts) ORDER BY ts, event_id) = 1",

@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from transloom.functions import add_hours, wmo_category
+from transloom.functions import add_hours, clean_code, wmo_category
 from transloom.sources.schema import flight_schema
+from transloom.sources.shared import file_system
 
 log = logging.getLogger(__name__)
 
@@ -19,8 +20,8 @@ WEATHER_VALUES = ("wind_speed_10m", "wind_gusts_10m", "precipitation", "cloud_co
 
 
 def exists(spark: SparkSession, pattern: str) -> bool:
-    path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
-    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
+    fs, path = file_system(spark, pattern)
+    found = fs.globStatus(path)
     return found is not None and len(found) > 0
 
 
@@ -36,11 +37,12 @@ def scan_parquet(spark: SparkSession, path: str, columns: Sequence[str] | None =
 
 
 def sample_rows(df: DataFrame, fraction: float | None, seed: int = 42, key: Sequence[str] | None = None) -> DataFrame:
-    """Seeded sample, only for 0 < fraction < 1; with ``key`` the same rows at any partitioning."""
+    """Seeded sample, only for 0 < fraction < 1; with ``key`` the same rows at any partitioning (by a digest of the key)."""
     if fraction is None or not 0 < fraction < 1:
         return df
     if key:
-        return df.where(F.pmod(F.xxhash64(*key, F.lit(seed)), F.lit(10000)) < int(fraction * 10000))
+        digest = F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in key], F.lit(str(seed))))
+        return df.where(F.substring(digest, 1, 8) < f"{int(fraction * (1 << 32)):08x}")
     return df.sample(False, fraction, seed)
 
 
@@ -110,13 +112,31 @@ def scan_weather_json(payloads: DataFrame, key: str = "iata", payload: str = "pa
     )
 
 
-def scan_weather_cache(spark: SparkSession, folder: str, codes: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """(observations of the wanted codes, wanted codes without a file) from ``{code}_{start}_{end}.parquet`` files."""
-    df = spark.read.parquet(folder)
-    code = F.regexp_extract(F.input_file_name(), r"([A-Z0-9]+)_[^/]*\.parquet", 1)
-    wanted = spark.createDataFrame([(c,) for c in codes], "iata string")
-    found = df.withColumn("iata", code).join(F.broadcast(wanted), "iata", "left_semi")
-    return found, wanted.join(found.select("iata").distinct(), "iata", "left_anti")
+def weather_range(flights: DataFrame) -> tuple[str, str]:
+    """Dates (as text) of the weather that trips need: from the first day to the day after the last one."""
+    r = flights.agg(F.min(F.to_date("FlightDate")).alias("lo"), F.date_add(F.max(F.to_date("FlightDate")), 1).alias("hi")).first()
+    return str(r["lo"]), str(r["hi"])
+
+
+def weather_cache_path(folder: str, code: str, start: str, end: str) -> str:
+    return f"{folder}/{code}_{start}_{end}.parquet"
+
+
+def scan_weather_cache(spark: SparkSession, folder: str, codes: Sequence[str], start: str, end: str) -> tuple[DataFrame, DataFrame]:
+    """(observations of the codes from ``start`` to the end of day ``end``, codes without a file).
+
+    Only the files ``{code}_{start}_{end}.parquet`` of the wanted codes (a node list) are opened.
+    """
+    paths = {c: weather_cache_path(folder, c, start, end) for c in sorted(set(codes))}
+    there = {c: p for c, p in paths.items() if exists(spark, p)}
+    missing = spark.createDataFrame([(c,) for c in paths if c not in there], "iata string")
+    kinds = ", ".join(f"{c} double" for c in WEATHER_VALUES)
+    if not there:
+        return spark.createDataFrame([], f"timestamp timestamp_ntz, {kinds}, weather_code int, weather_category int, iata string"), missing
+    code = F.regexp_extract(F.col("_metadata.file_path"), rf"([^/_]+)_{start}_{end}\.parquet", 1)
+    rows = spark.read.parquet(*there.values()).withColumn("iata", code)
+    day = F.to_date("timestamp")
+    return rows.where((day >= F.lit(start).cast("date")) & (day <= F.lit(end).cast("date"))), missing
 
 
 def scan_airports(spark: SparkSession, path: str) -> DataFrame:
@@ -154,6 +174,6 @@ def lookup_prediction(predictions: DataFrame, airport: str, horizon: int, horizo
     """The latest prediction of an airport (any case) and horizon; an error for unknown horizons."""
     if horizon not in horizons:
         raise ValueError(f"horizon {horizon} is not one of {list(horizons)}")
-    rows = predictions.where((F.col("airport_code") == airport.strip().upper()) & (F.col("horizon_h") == horizon))
+    rows = predictions.where((F.col("airport_code") == clean_code(F.lit(airport))) & (F.col("horizon_h") == horizon))
     best = rows.orderBy(F.desc("prediction_ts")).limit(1)
     return best.withColumns({"predicted_arr_delay_min": F.round("predicted_arr_delay_min", 1), "pct_arr_delayed_15": F.round("pct_arr_delayed_15", 3)})

@@ -5,11 +5,12 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from transloom.functions import add_hours
-from transloom.sources.scans import exists, scan_csv
+from transloom.sources.scans import exists, scan_csv, weather_cache_path
+from transloom.sources.shared import delete, file_system
 
 FEATURE_VERSION = 4
 RETENTION_HOURS = 168
@@ -53,8 +54,7 @@ def trim_retention(spark: SparkSession, path: str, now: Column, hours: int = RET
     old = read_hour_partitions(spark, path).where(F.col("part_ts") < add_hours(now, -hours)).select("y", "m", "d", "h").distinct()
     deleted = 0
     for r in old.toLocalIterator():
-        p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/y={r['y']}/m={r['m']}/d={r['d']}/h={r['h']}")
-        deleted += bool(p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True))
+        deleted += delete(spark, f"{path}/y={r['y']}/m={r['m']}/d={r['d']}/h={r['h']}")
     return deleted
 
 
@@ -81,6 +81,73 @@ def read_predictions_history(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("mergeSchema", True).parquet(path)
 
 
+PREDICTIONS = "airport_code string, horizon_h int, predicted_arr_delay_min double, pct_arr_delayed_15 double, target_ts timestamp_ntz, prediction_ts timestamp_ntz"
+PREDICTION_KEY = ["prediction_ts", "airport_code", "horizon_h"]
+
+
+def write_predictions_batch(predictions: DataFrame, path: str, batch: int) -> None:
+    """One micro-batch of the history, as a partition of its own: a replay replaces it."""
+    rows = predictions.dropDuplicates(PREDICTION_KEY).withColumn("batch", F.lit(batch))
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
+
+
+def read_predictions_batches(spark: SparkSession, path: str) -> DataFrame:
+    """The history of all micro-batches, one row of each key: that of its last batch. No rows before the first one."""
+    if not exists(spark, f"{path}/batch=*"):
+        return spark.createDataFrame([], PREDICTIONS)
+    rows = spark.read.option("mergeSchema", True).parquet(path)
+    last = Window.partitionBy(*PREDICTION_KEY).orderBy(F.desc("batch"))
+    return rows.withColumn("__nth", F.row_number().over(last)).where("__nth = 1").drop("__nth", "batch")
+
+
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    fs, pattern = file_system(spark, f"{path}/version=*/_SUCCESS")
+    return sorted(int(f.getPath().getParent().getName().split("=")[1]) for f in fs.globStatus(pattern) or [])
+
+
+def merge_predictions_latest(predictions: DataFrame, path: str, batch: int, keep: int = 2) -> None:
+    """The newest prediction of each airport and horizon, of this micro-batch and all before it.
+
+    Every batch writes a version of the (small) table from the last one before it, so a replay gives the same
+    table, a short batch loses nothing and readers never see half a table. The last ``keep`` versions stay.
+    """
+    spark = predictions.sparkSession
+    before = [v for v in _versions(spark, path) if v < batch]
+    rows = predictions.select(*PREDICTION_KEY, *[c for c in predictions.columns if c not in PREDICTION_KEY])
+    if before:
+        rows = rows.unionByName(spark.read.parquet(f"{path}/version={before[-1]}"), allowMissingColumns=True)
+    newest = Window.partitionBy("airport_code", "horizon_h").orderBy(F.desc("prediction_ts"))
+    rows = rows.withColumn("__nth", F.row_number().over(newest)).where("__nth = 1").drop("__nth")
+    rows.write.mode("overwrite").parquet(f"{path}/version={batch}")
+    for v in before[: len(before) + 1 - keep]:
+        delete(spark, f"{path}/version={v}")
+
+
+def read_predictions_latest(spark: SparkSession, path: str) -> DataFrame:
+    """The last version that ``merge_predictions_latest`` wrote; no rows before the first one."""
+    found = _versions(spark, path)
+    return spark.read.parquet(f"{path}/version={found[-1]}") if found else spark.createDataFrame([], PREDICTIONS)
+
+
+def write_weather_cache(weather: DataFrame, folder: str, start: str, end: str) -> list[str]:
+    """One file set ``{code}_{start}_{end}.parquet`` for each place (iata); returns the codes.
+
+    All places are written in one job, each in a partition, and then given their names.
+    """
+    spark = weather.sparkSession
+    weather.repartition("iata").write.mode("overwrite").partitionBy("iata").parquet(f"{folder}/_new")
+    fs, pattern = file_system(spark, f"{folder}/_new/iata=*")
+    codes = []
+    for f in fs.globStatus(pattern) or []:
+        code = f.getPath().getName().split("=")[1]
+        target = weather_cache_path(folder, code, start, end)
+        delete(spark, target)
+        fs.rename(f.getPath(), file_system(spark, target)[1])
+        codes.append(code)
+    delete(spark, f"{folder}/_new")
+    return sorted(codes)
+
+
 def signature(flights: DataFrame, config: dict, nodes: Sequence[str]) -> str:
     """16 hex digits over the feature version, configuration, nodes and the table's shape and date range."""
     shape = flights.agg(F.count("*").alias("n"), F.min("FlightDate").cast("string").alias("lo"), F.max("FlightDate").cast("string").alias("hi"))

@@ -14,7 +14,8 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from transloom.functions import add_hours
-from transloom.sources.sinks import read_hour_partitions, trim_retention, write_hour_partition, write_predictions_history, write_predictions_latest
+from transloom.sources.scans import exists
+from transloom.sources.sinks import merge_predictions_latest, read_hour_partitions, trim_retention, write_hour_partition, write_predictions_batch
 
 
 def file_stream(spark: SparkSession, folder: str, schema: StructType, files_per_batch: int | None = None) -> DataFrame:
@@ -27,21 +28,24 @@ def _run(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint:
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 hour")).start()
 
 
+def _literals(hours: DataFrame) -> list[Column]:
+    """The values of a one-column table of hours, as literals for partition pruning."""
+    return [F.lit(r[0]).cast("timestamp_ntz") for r in hours.collect()]
+
+
 def stream_ingest_hourly(stream: DataFrame, path: str, checkpoint: str, key: list[str], ts: str = "timestamp", now: Callable[[], Column] | None = None, available_now: bool = True) -> StreamingQuery:
-    """Land trips in hour partitions. A batch rewrites the partitions it touches with old and new rows, one of each key, so replays and late rows are harmless; with ``now`` it trims retention."""
+    """Land trips in hour partitions. A batch rewrites the partitions it touches with old and new rows, one of each
+    key, so replays and late rows are harmless; with ``now`` it trims retention.
+
+    The hours that a batch touches reach the driver and prune the partitions that are read again.
+    """
 
     def each(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
-        try:
+        if exists(spark, f"{path}/y=*"):
+            touched = _literals(batch.select(F.date_trunc("hour", ts).cast("timestamp_ntz").cast("string")).distinct())
             old = read_hour_partitions(spark, path)
-        except Exception as e:  # the first batch: nothing is there yet
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-            old = None
-        if old is not None:
-            touched = batch.select(F.date_trunc("hour", ts).cast("timestamp_ntz").alias("part_ts")).distinct()
-            kept = old.join(F.broadcast(touched), "part_ts", "left_semi").select(batch.columns)
-            batch = kept.unionByName(batch)
+            batch = old.where(F.col("part_ts").isin(*touched)).select(batch.columns).unionByName(batch) if touched else batch
         write_hour_partition(batch.dropDuplicates(key), path, ts)
         if now is not None:
             trim_retention(spark, path, now())
@@ -63,23 +67,29 @@ def stream_route_hour(stream: DataFrame, ts: str = "arr_timestamp", delay: str =
 
 
 def stream_features(stream: DataFrame, buffer: str, checkpoint: str, build: Callable[[DataFrame], DataFrame], out: str, hours: int = 24, available_now: bool = True) -> StreamingQuery:
-    """On each batch, the batch operators over the last ``hours`` of the buffer, written to ``out``."""
+    """On each batch, the batch operators over the last ``hours`` of the buffer, written to ``out``.
+
+    The newest hour is found among the partition values and prunes the rest.
+    """
 
     def each(batch: DataFrame, _: int) -> None:
         rows = read_hour_partitions(batch.sparkSession, buffer)
-        newest = rows.agg(F.max("part_ts").alias("__newest"))
-        recent = rows.join(F.broadcast(newest), F.col("part_ts") >= add_hours(F.col("__newest"), -hours), "left_semi")
-        build(recent).write.mode("overwrite").parquet(out)
+        newest = _literals(rows.agg(F.max("part_ts").cast("string")))[0]
+        build(rows.where(F.col("part_ts") >= add_hours(newest, -hours))).write.mode("overwrite").parquet(out)
 
     return _run(stream, each, checkpoint, available_now)
 
 
 def stream_predictions(stream: DataFrame, latest: str, history: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
-    """Predictions to an overwritten latest table and an append-only history, one of each key of a batch."""
+    """Predictions to a latest table, merged by airport and horizon, and a history, keyed by micro-batch.
 
-    def each(batch: DataFrame, _: int) -> None:
-        rows = batch.dropDuplicates(["prediction_ts", "airport_code", "horizon_h"])
-        write_predictions_latest(rows, latest)
-        write_predictions_history(rows, history)
+    Both can be written again after a failure without another result; empty batches change nothing. Read them
+    with ``read_predictions_latest`` and ``read_predictions_batches``.
+    """
+
+    def each(batch: DataFrame, number: int) -> None:
+        if not batch.isEmpty():
+            write_predictions_batch(batch, history, number)
+            merge_predictions_latest(batch, latest, number)
 
     return _run(stream, each, checkpoint, available_now)
