@@ -285,14 +285,28 @@ def test_repeats_odd(spark, empty):
 
 # 9
 def test_bpe_equals_library(library):
-    mine, rng = bpe.WordBpe(vocabulary()), np.random.default_rng(7)
+    mine, rng = bpe.Encoder(vocabulary(), memo_words=300), np.random.default_rng(7)  # the memo turns over
     pool = "abc XYZ 's 't <|endoftext|> <|startoftext|> Σς İ ß Ä é 　 \x1c \x85 ​ 12 ½ ² Ⅷ 中文 😀 don't I'M <|end ㎏ ﬁ Å á Ǆ . , ... _ -".split(" ") + [" ", "\n"]
     texts = ["".join(rng.choice(pool, int(rng.integers(30)))) for _ in range(1500)] + [t[1] or "" for t in ODD]
     want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
     assert [mine.encode(t) for t in texts] == want
-    assert all(mine.decode(ids) == library.decode(ids, skip_special_tokens=False) for ids in want)
-    words = packing.LibraryWords(vocabulary())
-    assert [np.frombuffer(x, "<u2").tolist() for x in words.encode_many(texts)] == [[*ids, 2] for ids in want]
+    assert all(mine.bpe.decode(ids) == library.decode(ids, skip_special_tokens=False) for ids in want)
+    many = [(off, flat, mine.decode_many(off, flat).to_pylist()) for off, flat in mine.encode_many(texts)]
+    assert [flat[a:b].tolist() for off, flat, _ in many for a, b in zip(off, off[1:], strict=False)] == want
+    assert [d for *_, ds in many for d in ds] == [library.decode(ids, skip_special_tokens=False) for ids in want]
+
+
+def test_long_words(spark, library):
+    rng = np.random.default_rng(8)
+    letters = lambda n: "".join(rng.choice(list("etaoin shrdlu".replace(" ", "")), n))
+    mine = bpe.Encoder(vocabulary())
+    texts = [letters(n) for n in (63, 64, 65, 66, 200, 10_000)] + ["=" * 5000, "ab" * 3000, "ä中" * 700, f"{letters(300)}.{letters(30)} {letters(300)}"]
+    want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert [mine.encode(t) for t in texts] == want
+    assert len(mine.encode(letters(1_000_000))) > 100_000  # in seconds, not hours
+    docs = spark.createDataFrame([(i, letters(30)) for i in range(1000)] + [(1000, letters(200_000))], "doc_id long, text string").repartition(1)
+    got = {r["doc_id"]: r["doc_tokens"] for r in packing.pack(docs, vocabulary()).collect()}
+    assert got[3] == len(library.encode(docs.where("doc_id = 3").first()["text"], add_special_tokens=False).ids) + 1 and len(got) == 1001
 
 
 def test_bpe_digests(spark, odd, empty, library):

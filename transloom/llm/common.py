@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 #: The ASCII white space that separates words everywhere in this subpackage.
 SPACES = " \t\n\x0b\x0c\r"
 
-#: Arrow batches stay this small, so that a batch of very long texts fits a Python worker.
-ARROW_ROWS = "256"
+#: Arrow batches stay this small (or hold one row), so that a batch of very long texts fits a Python worker.
+ARROW_BYTES = str(4 << 20)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,9 +21,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Lower the session's Arrow batch length to ARROW_ROWS (texts can be long)."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > int(ARROW_ROWS):
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    """Limit the bytes of the session's Arrow batches to ARROW_BYTES, unless a limit is set already."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, ARROW_BYTES)
 
 
 def shared_dir(spark: SparkSession) -> str:

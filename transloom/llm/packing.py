@@ -14,20 +14,15 @@ is the end token alone; repeated ids are separate rows; an empty table gives an
 
 from __future__ import annotations
 
-import functools
-import re
-import unicodedata
 from collections.abc import Iterator
 from itertools import combinations_with_replacement
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
 
-from transloom.llm.bpe import ManyWords, codec
+from transloom.llm.bpe import encoder
 from transloom.llm.common import small_batches, written
 
 WINDOW = 4096
@@ -36,123 +31,29 @@ END_ID = 2
 BIN = 32
 #: Combinations of four use bins that are multiples of this.
 COARSE = 4
-#: Words in a worker's memo before it starts anew; it is emptied after each partition.
-MEMO_WORDS = 1 << 19
-#: Characters of texts whose words are looked up together (a longer text is a run of its own).
-RUN_CHARS = 1 << 20
 #: Hash cells for exact distributed prefix sums and ranks.
 CELLS = 512
 RANK_CELLS = 64
 
 
-class LibraryWords:
-    """Packed ids of texts as the tokenizers library gives them, found once for each word of a bounded memo.
-
-    Words of letters only are merged many abreast (``bpe.ManyWords``); the library is asked for all others.
-    Texts below U+0250 are normalised whole. Plain punctuation after a letter or digit is always a piece of
-    its own, so it is set apart first and the memo holds words without it.
-    """
-
-    MARKS = ".,;:!?"
-    _GLUED = re.compile(r"[.,;:!?](?<=[^\w\s].|_.)")
-
-    def __init__(self, path: str):
-        self.library = Tokenizer.from_file(path)
-        self.library.no_truncation()
-        self.library.no_padding()
-        self.kind = "<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4"
-        self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.memo: dict[str, bytes] = {}
-        self.end = self.pack([END_ID])
-        self.many = ManyWords(codec(path))
-
-    def pack(self, ids: list[int]) -> bytes:
-        return np.array(ids, dtype=self.kind).tobytes()
-
-    @staticmethod
-    def is_simple(w: str) -> bool:
-        """One piece of letters in normal form and lower case."""
-        if w.isascii():
-            return w.isalpha() and w.islower()
-        return w.isalpha() and max(w) < "\u0250" and w == w.lower() and unicodedata.is_normalized("NFC", w)
-
-    def learn(self, words: list[str]) -> None:
-        simple = list(filter(self.is_simple, words))
-        self.memo.update(zip(simple, self.many.encode([w.encode() for w in simple], self.kind), strict=True))
-        others = [w for w in words if w not in self.memo]
-        asked = self.library.encode_batch_fast(others, add_special_tokens=False)
-        self.memo.update((w, self.pack(e.ids)) for w, e in zip(others, asked, strict=True))
-
-    def prepared(self, t: str) -> str | None:
-        """The text with its words between white space; None for the library to read it whole."""
-        if any(a in t for a in self.added) or any(c in t for c in "\x1c\x1d\x1e\x1f"):
-            return None
-        if not t.isascii():
-            if max(t) >= "\u0250":
-                return t
-            t = unicodedata.normalize("NFC", t)
-        t = t.lower()
-        if not self._GLUED.search(t):
-            for mark in self.MARKS:
-                t = t.replace(mark, f" {mark}")
-        return t
-
-    def encode_many(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes] = []
-        at = 0
-        while at < len(texts):
-            end, chars = at, 0
-            while end < len(texts) and (end == at or chars + len(texts[end]) <= RUN_CHARS):
-                chars += len(texts[end])
-                end += 1
-            out += self._encode_run(texts[at:end])
-            at = end
-        return out
-
-    def _encode_run(self, texts: list[str]) -> list[bytes]:
-        """Different words are looked up once; a text's ids are gathered from theirs."""
-        ready = [self.prepared(t) for t in texts]
-        split = pc.utf8_split_whitespace(pa.array([t or "" for t in ready], pa.large_string()))
-        coded = split.flatten().dictionary_encode()
-        # one string split by Python costs far less than a Python string made of each Arrow value
-        line = pc.binary_join(pa.ListArray.from_arrays([0, len(coded.dictionary)], coded.dictionary), pa.scalar("\n", pa.large_string()))
-        words = line[0].as_py().split("\n") if len(coded.dictionary) else []
-        ids = list(map(self.memo.get, words))
-        gaps = [i for i, known in enumerate(ids) if known is None]
-        if len(self.memo) + len(gaps) > MEMO_WORDS:
-            self.memo.clear()  # what was found stays in the list
-        self.learn([words[i] for i in gaps])
-        for i in gaps:
-            ids[i] = self.memo[words[i]]
-        flat = np.frombuffer(b"".join(ids), self.kind)
-        size = np.array([len(x) for x in ids], np.int64) // flat.itemsize
-        which = coded.indices.to_numpy()
-        n = size[which]
-        total = np.concatenate([[0], np.cumsum(n)])
-        first = np.cumsum(size) - size
-        gathered = flat[np.repeat(first[which] - total[:-1], n) + np.arange(total[-1])]
-        ends = total[split.offsets.to_numpy()]
-        return [(gathered[a:b].tobytes() if r is not None else self.pack(self.library.encode(t, add_special_tokens=False).ids)) + self.end for t, r, a, b in zip(texts, ready, ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
-
-
-@functools.lru_cache(maxsize=2)
-def _words(path: str) -> LibraryWords:
-    return LibraryWords(path)
-
-
 def tokenise(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """(row, doc_id, n, ids binary): ids of 16 bits each where the vocabulary fits, else of 32."""
     small_batches(docs.sparkSession)
     base = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = encoder(tokenizer_path)
+        end = np.array([END_ID], words.kind)
         for batch in batches:
-            words = _words(tokenizer_path)
-            ids = words.encode_many(batch.column(2).to_pylist())
-            n = pa.array([len(x) // np.dtype(words.kind).itemsize for x in ids], pa.int64())
-            packed = pa.array(ids, pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), n, packed], ["row", "doc_id", "n", "ids"])
-        _words(tokenizer_path).memo.clear()
+            at = 0
+            for offsets, flat in words.encode_many(batch.column(2).to_pylist()):
+                size = np.diff(offsets) + 1
+                ids = np.insert(flat, offsets[1:], end)
+                bounds = np.r_[0, np.cumsum(size)] * ids.itemsize
+                packed = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(ids)])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(size)), batch.column(1).slice(at, len(size)), pa.array(size, pa.int64()), packed], ["row", "doc_id", "n", "ids"])
+                at += len(size)
+        words.forget()
 
     return written(base.mapInArrow(run, "row long, doc_id long, n long, ids binary"))
 
