@@ -3,6 +3,7 @@
 import hashlib
 import os
 import re
+import unicodedata
 import zlib
 
 import duckdb
@@ -103,8 +104,36 @@ def test_bradley_terry_pairs():
     x = np.column_stack([y * 2.0 + rng.normal(size=400), rng.normal(size=400)])
     w = quality_pairs.fit_pairs(x, y)
     assert w[0] > 1 and abs(w[1]) < 0.6
-    q, _ = quality_pairs.cut_quantile(x @ w, y, np.ones(400))
-    assert 0.15 < q < 0.5
+    cells = np.floor(x @ w * quality_pairs.CELLS_PER_UNIT).astype(int)
+    q, cut = quality_pairs.cut_quantile([(int(c), int(((cells == c) & (y == 0)).sum()), int(((cells == c) & (y == 1)).sum())) for c in np.unique(cells)])
+    assert 0.15 < q < 0.5 and np.mean((x @ w >= cut) == y) > 0.7
+
+
+def slow_features(t):
+    """The same numbers, character by character."""
+    words = [w for w in re.split("[ \t\n\x0b\x0c\r]+", t or "") if w]
+    lines = [x for x in (t or "").split("\n") if re.sub("[ \t\x0b\x0c\r]", "", x)]
+    count = lambda chars: sum(c in chars for c in t or "")
+    n, nw, nl = max(len(t or ""), 1), max(len(words), 1), max(len(lines), 1)
+    share = lambda a, b: np.log(1 + 100 * a / b)
+    return [
+        np.log(1 + len(words)), share(count("#*$%&<>"), n), share(count("|"), n), share(count("!?"), n), share(sum(unicodedata.category(c) == "Lu" for c in t or ""), n),
+        share(count("0123456789"), n), share(count(".,;:"), n), share(count("@/\\{}[]()_=+~^\"'"), n), share(len(set(words)), nw), share(len(lines) - len(set(lines)), nl), share(nl, nw),
+        np.log(1 + sum(map(len, words)) / nw), np.log(1 + max(map(len, words), default=0)), share(len(re.findall("https?:|www[.]", t or "")), nw), float(not words),
+    ]
+
+
+def test_quality_features():
+    texts = [t[1] for t in ODD] + ["ÄÖ ß|x|x http://a www.b !? 12,5", "a\na\n \nb\u00a0c\u2003d", " \t ", "x" * 1000]
+    for t in texts:
+        assert np.allclose(quality_pairs.text_features(t), slow_features(t)), t
+
+
+@real
+def test_quality_whatever_the_partitioning(spark, folder):
+    docs, marks = table(spark, folder, "documents"), table(spark, folder, "labels")
+    a, b = ({r["doc_id"]: r["score"] for r in quality_pairs.score_documents(d, m).collect()} for d, m in ((docs, marks), (docs.repartition(7), marks.repartition(3))))
+    assert a == b
 
 
 # 2
@@ -325,7 +354,7 @@ def test_classifiers_odd(spark, odd, empty, labels):
     got = {r[0]: r[1] for r in odd.where("doc_id in (2, 3, 6)").select("doc_id", lang["lang_pred"]).collect()}
     assert got == {2: "und", 3: "und", 6: "und"}
     for docs, lab in ((odd, labels), (odd, labels.limit(0)), (empty, labels)):
-        q = docs.select(quality_pairs.score(F.col("text"), quality_pairs.fit(docs, lab)).alias("s")).collect()
+        q = quality_pairs.score_documents(docs, lab).select(F.col("score").alias("s")).collect()
         t = docs.select(toxicity.toxicity(F.col("text"), toxicity.fit(docs, lab)).alias("s")).collect()
         assert all(0 <= r["s"] <= 1 for r in [*q, *t]) and len(q) == len(t) == docs.count()
     assert langid.fit(empty, F.lit(True))[0] == []

@@ -1,75 +1,80 @@
 """Operator 1: quality scores by Bradley-Terry pairwise ranking.
 
-Features are JVM expressions over the whole text. A bounded sample of labelled rows gives preference
-pairs (a text labelled 1 is preferred to one labelled 0); logistic loss on their feature differences is
-minimised, as in a Bradley-Terry model with a linear strength. Strengths are then cut at the quantile of
-the learning rows' strengths that separates the labels best, and shifted so that the cut is score 0.3.
-
-Defined cases: null and empty texts have the features of an empty text; repeated rows score alike; with
-no labelled rows of both values every score is 0.5. Texts are read whole.
+Features are bounded numbers of the whole text. A bounded sample of labelled rows gives preference pairs (a
+text labelled 1 is preferred to one labelled 0); logistic loss on their feature differences is minimised, as in
+a Bradley-Terry model with a linear strength. All learning rows are then scored, and the strengths are cut at the
+quantile of theirs that separates the labels best (counted on Spark in a histogram); the cut becomes score 0.3.
+
+Defined cases: null and empty texts have the features of an empty text; repeated rows score alike, and in the fit
+each counts; of repeated ids the largest label counts; equally good cuts go to the lower quantile; with no labelled
+rows of both values, or an empty table, every score is 0.5. Texts are read whole. Scores do not depend on the order
+or partitioning of the rows: the sample is sorted before pairs are drawn.
 """
 
 from __future__ import annotations
 
+import functools
+import math
+
 import numpy as np
+import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from transloom.llm.common import SPACES
-from transloom.llm.samples import ROWS_PER_LABEL, labelled_sample
+from transloom.llm.common import small_batches, written
+from transloom.llm.samples import ROWS_PER_LABEL, labelled_sample, learning_rows
 
 #: Pairs drawn for each row of the sample.
 PAIRS_PER_ROW = 4
 CUT_SCORE = 0.3
 RIDGE = 1.0
-
-
-def _count(text: Column, chars: str) -> Column:
-    """Number of characters of ``text`` that are in ``chars``."""
-    return F.length(text) - F.length(F.translate(text, chars, ""))
-
-
-def features(text: Column) -> Column:
-    """array<double> of 15 bounded features of a text."""
-    t = F.coalesce(text.cast("string"), F.lit(""))
-    words = F.filter(F.split(t, "[ \\t-\\r]+"), lambda w: w != "")
-    lines = F.filter(F.split(t, "\n"), lambda x: F.length(F.translate(x, SPACES, "")) > 0)
-    # a lambda over one struct, so that words and lines are built once
-    bound = F.array(F.struct(t.alias("t"), words.alias("words"), lines.alias("lines")))
-    return F.get(F.transform(bound, lambda x: _features(x["t"], x["words"], x["lines"])), F.lit(0))
-
-
-def _features(t: Column, words: Column, lines: Column) -> Column:
-    n = F.greatest(F.length(t), F.lit(1))
-    n_words = F.greatest(F.size(words), F.lit(1))
-    n_lines = F.greatest(F.size(lines), F.lit(1))
-    letters_away = F.length(F.regexp_replace(t, "[\\p{Lu}]", ""))
-
-    def share(x: Column, of: Column) -> Column:
-        """log(1 + 100 x / of): linear near 0, flat for large shares."""
-        return F.log1p(100.0 * x / of)
-
-    return F.array(
-        F.log1p(F.size(words).cast("double")),
-        share(_count(t, "#*$%&<>"), n),
-        share(_count(t, "|"), n),
-        share(_count(t, "!?"), n),
-        share(F.length(t) - letters_away, n),
-        share(_count(t, "0123456789"), n),
-        share(_count(t, ".,;:"), n),
-        share(_count(t, "@/\\{}[]()_=+~^\"'"), n),
-        share(F.size(F.array_distinct(words)), n_words),
-        share(F.size(lines) - F.size(F.array_distinct(lines)), n_lines),
+#: Cells of the strength histogram to one unit of strength, and the largest strength that it tells apart.
+CELLS_PER_UNIT = 64
+LIMIT = 64
+
+_UPPER = regex.compile(r"\p{Lu}")
+_LINK = regex.compile(r"https?:|www\.")
+_CAPITALS = bytes(range(65, 91))
+#: Characters that are counted together.
+COUNTED = (b"#*$%&<>", b"|", b"!?", b"0123456789", b".,;:", b"@/\\{}[]()_=+~^\"'")
+
+
+def text_features(text: str | None) -> list[float]:
+    """15 bounded features of a text. Words are runs without ASCII white space; lines without a word do not count."""
+    t = text or ""
+    raw = t.encode("utf-8", "surrogatepass")
+    words = raw.split()
+    lines = [x for x in raw.split(b"\n") if x.strip()]
+    chars = len if len(raw) == len(t) else (lambda w: len(w.decode("utf-8", "surrogatepass")))
+    n, n_words, n_lines = max(len(t), 1), max(len(words), 1), max(len(lines), 1)
+    share = lambda x, of: math.log1p(100.0 * x / of)  # noqa: E731  (linear near 0, flat for large shares)
+    symbols, bars, cries, digits, stops, brackets = (len(raw) - len(raw.translate(None, c)) for c in COUNTED)
+    upper = len(raw) - len(raw.translate(None, _CAPITALS)) if len(raw) == len(t) else len(_UPPER.findall(t))
+    spaces = len(raw) - len(raw.translate(None, b" \t\n\x0b\x0c\r"))
+    return [
+        math.log1p(len(words)),
+        share(symbols, n),
+        share(bars, n),
+        share(cries, n),
+        share(upper, n),
+        share(digits, n),
+        share(stops, n),
+        share(brackets, n),
+        share(len(set(words)), n_words),
+        share(len(lines) - len(set(lines)), n_lines),
         share(n_lines, n_words),
-        F.log1p((_count_not(t) / n_words).cast("double")),
-        F.log1p(F.coalesce(F.array_max(F.transform(words, F.length)), F.lit(0)).cast("double")),
-        share(F.regexp_count(t, F.lit("https?:|www\\.")), n_words),
-        (F.size(words) == 0).cast("double"),
-    )
+        math.log1p((len(t) - spaces) / n_words),
+        math.log1p(max(map(chars, words), default=0)),
+        share(len(_LINK.findall(t)), n_words),
+        float(not words),
+    ]
 
 
-def _count_not(t: Column) -> Column:
-    return F.length(F.translate(t, SPACES, ""))
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def features(texts: pd.Series) -> pd.Series:
+    return texts.map(text_features, na_action=None)
 
 
 def fit_pairs(x: np.ndarray, y: np.ndarray, seed: int = 7) -> np.ndarray:
@@ -88,41 +93,69 @@ def fit_pairs(x: np.ndarray, y: np.ndarray, seed: int = 7) -> np.ndarray:
     return w
 
 
-def cut_quantile(s: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
-    """(quantile, strength) on a grid of weighted quantiles of ``s`` with the best mean of both labels' accuracies."""
-    order = np.argsort(s, kind="stable")
-    s, y, weight = s[order], y[order], weight[order]
-    rank = np.cumsum(weight) / weight.sum()
-    best = (-1.0, 0.0, float(s[0]))
-    for q in np.arange(1, 400) / 400:
-        at = min(int(np.searchsorted(rank, q)), len(s) - 2)
-        t = (s[at] + s[at + 1]) / 2
-        right = ((s >= t) & (y == 1)).sum() / (y == 1).sum() + ((s < t) & (y == 0)).sum() / (y == 0).sum()
-        best = max(best, (right, float(-q), float(t)))
-    return -best[1], best[2]
-
-
 def fit(docs: DataFrame, labels: DataFrame, rows_per_label: int = ROWS_PER_LABEL) -> dict | None:
-    """{means, weights, quantile, cut}; None without rows of both labels. The sample's features (bounded) reach the driver."""
-    sample, counts = labelled_sample(docs, labels, "quality", rows_per_label)
-    rows = sample.where(F.col("label").isin(0, 1)).select("label", features(F.col("text")).alias("x")).collect()
-    y = np.array([r["label"] for r in rows])
+    """{means, weights}; None without rows of both labels. The sample's features (bounded) reach the driver."""
+    small_batches(docs.sparkSession)
+    sample = labelled_sample(docs, labels, "quality", rows_per_label)
+    found = sample.where(F.col("label").isin(0, 1)).select("label", features("text").alias("x")).collect()
+    rows = sorted((r["label"], *r["x"]) for r in found)  # the same pairs in whatever order rows come
+    y = np.array([r[0] for r in rows])
     if not ((y == 0).any() and (y == 1).any()):
         return None
-    x = np.array([r["x"] for r in rows], dtype=float)
+    x = np.array([r[1:] for r in rows], dtype=float)
     mean, scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-6)
-    w = fit_pairs((x - mean) / scale, y) / scale
-    # in the order of features, whatever order rows came in: sums differ in the last digits only
-    weight = np.where(y == 1, counts[1] / (y == 1).sum(), counts[0] / (y == 0).sum())
-    quantile, cut = cut_quantile((x - mean) @ w, y, weight)
-    return {"means": mean.tolist(), "weights": w.tolist(), "quantile": quantile, "cut": cut}
-
-
-def score(text: Column, model: dict | None) -> Column:
-    """Score from 0 to 1 of a text column: CUT_SCORE at the model's quantile."""
+    return {"means": mean.tolist(), "weights": (fit_pairs((x - mean) / scale, y) / scale).tolist()}
+
+
+def strength(text: Column, model: dict) -> Column:
+    """Strength of a text column; 0 at the mean of the sample."""
+    mean, weights = np.array(model["means"]), np.array(model["weights"])
+
+    @F.pandas_udf("double")
+    def run(texts: pd.Series) -> pd.Series:
+        x = np.array([text_features(t) for t in texts], dtype=float).reshape(-1, len(mean))
+        return pd.Series((x - mean) @ weights)
+
+    return run(text)
+
+
+def cut_quantile(counts: list[tuple[int, int, int]]) -> tuple[float, float]:
+    """(quantile, strength) of the cell edge with the best mean of both labels' accuracies.
+
+    counts: (cell, rows labelled 0, rows labelled 1); a row is taken as 1 from the edge on.
+    """
+    counts = sorted(counts)
+    zero, one = (sum(c[i] for c in counts) for i in (1, 2))
+    below0 = below1 = 0
+    best = (-1.0, 0.0, 0.0)
+    for (cell, n0, n1), follows in zip(counts, [*counts[1:], None], strict=True):
+        below0, below1 = below0 + n0, below1 + n1
+        right = below0 / zero + 1 - below1 / one
+        if follows and right > best[0]:  # between two cells that hold rows
+            best = (right, (below0 + below1) / (zero + one), (cell + 1 + follows[0]) / 2 / CELLS_PER_UNIT)
+    return best[1], best[2]
+
+
+def fit_cut(strengths: DataFrame, labels: DataFrame) -> tuple[float, float]:
+    """The cut over all learning rows of (doc_id, strength). Only cell counts reach the driver."""
+    s = F.greatest(F.lit(-float(LIMIT)), F.least(F.lit(float(LIMIT)), F.col("strength")))
+    cells = strengths.select(F.col("doc_id").cast("long").alias("doc_id"), F.floor(s * CELLS_PER_UNIT).alias("cell"))
+    joined = cells.join(learning_rows(labels, "quality").where(F.col("label").isin(0, 1)), "doc_id")
+    counts = joined.groupBy("cell").agg(F.count_if(F.col("label") == 0).alias("zero"), F.count_if(F.col("label") == 1).alias("one"))
+    found = [tuple(r) for r in counts.collect()]
+    if not (sum(c[1] for c in found) and sum(c[2] for c in found)):
+        return 0.5, 0.0
+    return cut_quantile(found)
+
+
+def score_documents(docs: DataFrame, labels: DataFrame, keep: list[str | Column] | None = None) -> DataFrame:
+    """(``keep`` or doc_id, score) of every document: CUT_SCORE at the cut, higher where label 1 is likelier."""
+    keep = keep or ["doc_id"]
+    model = fit(docs, labels)
     if model is None:
-        return F.lit(0.5)
-    offset = float(np.dot(model["means"], model["weights"])) + model["cut"]
-    weights = F.lit(model["weights"])
-    strength = F.aggregate(F.zip_with(features(text), weights, lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b) - F.lit(offset)
-    return 1 / (1 + F.exp(-(strength + F.lit(float(np.log(CUT_SCORE / (1 - CUT_SCORE)))))))
+        return docs.select(*keep, F.lit(0.5).alias("score"))
+    # texts are read once: their strengths are kept in a narrow table
+    strengths = written(docs.select("doc_id", strength(F.col("text").cast("string"), model).alias("strength")))
+    _, cut = fit_cut(strengths, labels)
+    offset = math.log(CUT_SCORE / (1 - CUT_SCORE)) - cut
+    return strengths.select(*keep, (1 / (1 + F.exp(-(F.col("strength") + F.lit(offset))))).alias("score"))

@@ -15,8 +15,7 @@ def _held_out(modulus: int, value: int):
 
 def op1_quality_bradley_terry(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = quality_pairs.fit(docs, table(spark, sf_dir, "labels"))
-    scored = docs.select("doc_id", _held_out(5, 0), quality_pairs.score(F.col("text"), model).alias("score"))
+    scored = quality_pairs.score_documents(docs, table(spark, sf_dir, "labels"), ["doc_id", _held_out(5, 0)])
     return scored.select("*", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 

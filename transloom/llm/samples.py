@@ -1,4 +1,4 @@
-"""Bounded samples of labelled rows, on which the classifiers are fitted."""
+"""Labelled rows: all of them as (doc_id, label), and bounded samples on which the classifiers are fitted."""
 
 from __future__ import annotations
 
@@ -13,19 +13,24 @@ LEARN_MODULUS = 5
 _STEPS = 1_000_000
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows_per_label: int = ROWS_PER_LABEL) -> tuple[DataFrame, dict[int, int]]:
-    """(text, label) of about ``rows_per_label`` learning rows of each label value, and all rows' counts.
-
-    Learning rows: crc32(doc_id as text) mod 5 is not 0, id and label not null; of repeated ids the largest
-    label counts. The ids of the sample are broadcast: at most about twice the bound, whatever the input.
-    """
+def learning_rows(labels: DataFrame, label: str) -> DataFrame:
+    """(doc_id, label) of all learning rows: crc32(doc_id as text) mod 5 is not 0, id and label not null; of
+    repeated ids the largest label counts."""
     rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
     rows = rows.where((remainder("doc_id", LEARN_MODULUS) != 0) & F.col("label").isNotNull())
+    return rows.groupBy("doc_id").agg(F.max("label").alias("label"))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows_per_label: int = ROWS_PER_LABEL) -> DataFrame:
+    """(text, label) of about ``rows_per_label`` learning rows of each label value, chosen by a hash of the id.
+
+    The ids of the sample are broadcast: at most about twice the bound, whatever the input.
+    """
+    rows = learning_rows(labels, label)
     counts = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     rate = F.lit(_STEPS)
     for value, n in counts.items():
         rate = F.when(F.col("label") == value, F.lit(min(_STEPS, -(-rows_per_label * _STEPS // n)))).otherwise(rate)
     some = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(label)), F.lit(_STEPS)) < rate)
-    some = some.groupBy("doc_id").agg(F.max("label").alias("label"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.join(F.broadcast(some), "doc_id").select("text", "label"), counts
+    return texts.join(F.broadcast(some), "doc_id").select("text", "label")

@@ -25,8 +25,8 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from transloom.llm.common import remainder, small_batches
-from transloom.llm.samples import LEARN_MODULUS, ROWS_PER_LABEL, labelled_sample
+from transloom.llm.common import small_batches
+from transloom.llm.samples import ROWS_PER_LABEL, labelled_sample, learning_rows
 
 #: Closed word classes of the grammar, in the four languages of the corpus.
 THREATS = frozenset("kill hurt destroy beat burn stab shoot töten schlagen vernichten tuer frapper détruire matar golpear destruir".split())
@@ -245,8 +245,7 @@ def _confirmed(docs: DataFrame, labels: DataFrame, lexicon: dict[str, float]) ->
     def features(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: [f for f in stems(t) if f in known] if t and next(finder.iter(t.lower()), None) else [])
 
-    rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("label"))
-    rows = rows.where((remainder("doc_id", LEARN_MODULUS) != 0) & F.col("label").isNotNull()).groupBy("doc_id").agg(F.max("label").alias("label"))
+    rows = learning_rows(labels, "toxic")
     size = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), features(F.col("text").cast("string")).alias("found")).where(F.size("found") > 0)
     counts = found.join(rows, "doc_id").select("label", F.explode("found").alias("stem")).groupBy("stem").agg(F.sum("label").alias("t"), F.count("*").alias("n")).collect()
@@ -258,9 +257,7 @@ def _confirmed(docs: DataFrame, labels: DataFrame, lexicon: dict[str, float]) ->
 def fit(docs: DataFrame, labels: DataFrame, rows_per_label: int = ROWS_PER_LABEL) -> tuple[dict[str, float], list[float] | None]:
     """(insult lexicon, logistic coefficients) from a bounded labelled sample (see ``samples``)."""
     small_batches(docs.sparkSession)
-    sample, counts = labelled_sample(docs, labels, "toxic", rows_per_label)
-    if not (counts.get(0) and counts.get(1)):
-        return {}, None
+    sample = labelled_sample(docs, labels, "toxic", rows_per_label)
     sample = sample.persist(StorageLevel.MEMORY_AND_DISK)
     size = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if not (size.get(0) and size.get(1)):
