@@ -291,13 +291,16 @@ def test_least_squares():
 # 8
 def check_repeats(spark, docs):
     got = suffix_dedup.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()
-    have = [(r["doc_id"], r["n_bytes"], sum(x["stop"] - x["start"] for x in r["removed"]), len(r["removed"]), bytes(r["kept"])) for r in got]
+    have = [(r["row"]["doc_id"], r["n_bytes"], sum(x["stop"] - x["start"] for x in r["removed"]), len(r["removed"]), bytes(r["kept"])) for r in got]
     assert plain(have) == plain([(d[0], *x) for d, x in zip(docs, suffix_dedup.brute_force(docs), strict=True)])
 
 
-def test_repeats(spark, monkeypatch):
+@pytest.mark.parametrize("hot_chunks", [0, 2, 1000])
+def test_repeats(spark, monkeypatch, hot_chunks):
     monkeypatch.setattr(suffix_dedup, "CHUNK_BYTES", 2000)
+    monkeypatch.setattr(suffix_dedup, "RANGE_BYTES", 3000)
     monkeypatch.setattr(suffix_dedup, "SLICE_BYTES", 700)
+    monkeypatch.setattr(suffix_dedup, "HOT_CHUNKS", hot_chunks)
     rng = np.random.default_rng(6)
     base = ["".join(rng.choice(list("abé \n"), 400)) for _ in range(5)]
     docs = [(None, base[0]), (None, base[0]), (3, None), (3, ""), (7, "x" * 300), (6, "x" * 120), (5, "x" * 49), (9, "x" * 300), (9, base[1]), (9, base[1]), (2, base[1][50:260]), (11, base[1][:60] + base[2][:60] + base[1][60:]), (12, base[2]), (1, base[2][10:59]), (-4, base[2][10:61])]
@@ -307,6 +310,23 @@ def test_repeats(spark, monkeypatch):
     check_repeats(spark, docs)
 
 
+def test_hot_text_and_hot_line(spark, monkeypatch):
+    """One text in a third of all rows, and one line between other words in every other row."""
+    monkeypatch.setattr(suffix_dedup, "CHUNK_BYTES", 1500)
+    monkeypatch.setattr(suffix_dedup, "HOT_CHUNKS", 3)
+    rng = np.random.default_rng(9)
+    line = "This line is licensed in every document of the lot. "
+    word = lambda n: "".join(rng.choice(list("abcdefgh "), n))
+    hot = word(120)
+    docs = [(int(i), hot if i % 3 == 0 else word(40) + line + word(40)) for i in rng.permutation(150)] + [(None, hot), (None, line), (-1, line[3:])]
+    check_repeats(spark, docs)
+
+
+def test_equal_hashes_are_compared(monkeypatch):
+    rows = np.frombuffer(b"a" * 16 + b"b" * 16 + b"a" * 16, np.uint8).reshape(3, 16)
+    assert suffix_dedup.same_groups(np.zeros(3, np.uint64), rows).tolist() in ([0, 1, 0], [1, 0, 1])
+
+
 def test_repeats_odd(spark, empty):
     check_repeats(spark, [(r[0], r[1][:900] if r[1] else r[1]) for r in ODD])
     assert suffix_dedup.remove_repeats(empty).count() == 0

@@ -5,18 +5,26 @@ suffix would move fifty times the corpus, so suffixes start at anchors only: a s
 MATCH - GRAM + 1 grams, and the gram of least hash is its anchor. Equal strings have equal anchors, so no
 match is lost, and each string belongs to exactly one anchor.
 
-1. Texts, compressed, are dealt by text hash into chunks; equal texts of a batch travel once with their ids.
+1. Distinct texts, compressed, are dealt by text hash into chunks, each with its least id. Copies stay behind: a
+   task sends a text once, however many of its rows hold it.
 2. Each chunk sends the hashes of its anchors to ranges of leading gram bytes. The ranges come from sampled
-   splitters (quantiles of a bounded anchor sample), so a range holds all suffixes with its leading bytes
-   and equal strings never lie on two sides of a boundary.
+   splitters (quantiles of an anchor sample in proportion to the ranges), so a range holds all suffixes with its
+   leading bytes and equal strings never lie on two sides of a boundary.
 3. A range answers which anchors occur in more than one text; a chunk then sends, for those only, the bytes
    that the anchor's strings span, once for each distinct span (a passage that a third of all documents
-   share costs one span for each chunk).
-4. A range sorts its strings by multikey sort over eight-byte words, ties only, and finds for each the
-   smallest document id; strings from larger ids are covered, and the chunk removes what they cover.
+   share costs one span for each chunk). A gram that more than HOT_CHUNKS chunks have would overfill its range: its
+   strings are dealt out by a hash of all their bytes instead.
+4. Strings are sorted by multikey sort over eight-byte words, ties only, and for each the smallest document id is
+   found; strings from larger ids are covered, and the chunk removes what they cover. Sixty-four bit hashes only
+   choose what to compare; spans and strings count as equal if their bytes are.
+5. Rows join the results of their texts. Only the row of the least id keeps more than a short text.
+
+This departs from the plain method in two points: only suffixes at shared anchors are sorted, and the local sort is
+NumPy's (by words, ties only) instead of a recursive multikey quicksort. The result is exact.
 
 Defined cases: a null text is empty; texts shorter than MATCH keep everything; null ids count as larger
-than every id; equal ids never cover each other; repeated rows get equal results.
+than every id; equal ids never cover each other; repeated rows get equal results; very long texts are hashed in
+slices but lie in one chunk; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,10 +34,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from xxhash import xxh3_128_digest
 
 from transloom.llm.common import small_batches
 
@@ -37,11 +43,20 @@ MATCH = 50
 GRAM = 16
 #: Grams of a string.
 SPREAD = MATCH - GRAM + 1
-#: Text bytes of a chunk, on the mean, and bytes that are hashed at once in a task.
+#: Text bytes of a chunk and of a range, on the mean, and bytes that are hashed at once in a task.
 CHUNK_BYTES = 4 << 20
+RANGE_BYTES = 16 << 20
 SLICE_BYTES = 1 << 20
-#: Expected texts of the splitter sample.
-SAMPLE_TEXTS = 600
+#: From so many text bytes on, chunks and ranges grow with the root of the input (up to GROWTH times), so that what
+#: a chunk sends to a range does not shrink to single hashes.
+STEADY_BYTES = 1 << 37
+GROWTH = 8
+#: A gram of more chunks is hot.
+HOT_CHUNKS = 64
+#: Of the texts that are sampled for splitters every so manieth anchor counts; keys drawn for each range, and texts at least.
+THIN = 8
+KEYS_PER_RANGE = 64
+SAMPLE_TEXTS = 400
 NO_ID = (1 << 63) - 1
 
 _SPAN = SPREAD - 1 + MATCH
@@ -162,22 +177,63 @@ def multikey_groups(words: np.ndarray) -> np.ndarray:
     return out
 
 
+def same_groups(h: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Group number of equal rows of bytes, told by their hashes and then compared."""
+    order = np.argsort(h, kind="stable")
+    group = np.empty(len(h), np.int64)
+    group[order] = np.cumsum(np.r_[False, h[order][1:] != h[order][:-1]][: len(h)])
+    first = np.zeros(int(group.max()) + 1 if len(h) else 0, np.int64)
+    first[group[::-1]] = np.arange(len(h))[::-1]
+    for lo in range(0, len(h), 1 << 16):
+        if not np.array_equal(rows[lo : lo + (1 << 16)], rows[first[group[lo : lo + (1 << 16)]]]):
+            return multikey_groups(np.ascontiguousarray(rows).view(">u8"))  # two rows of one hash differ
+    return group
+
+
+def string_words(data: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """The MATCH bytes from each start as seven big-endian words; the last has two bytes only."""
+    padded = np.r_[data, np.zeros(8, np.uint8)]
+    words = np.empty((len(start), 7), np.uint64)
+    for k in range(7):
+        words[:, k] = np.ascontiguousarray(padded[start[:, None] + np.arange(8 * k, 8 * k + 8)]).view(">u8")[:, 0]
+    words[:, 6] >>= np.uint64(64 - 8 * (MATCH - 48))
+    return words
+
+
+def string_hash(words: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        h = ((words ^ (words >> np.uint64(29))) * _ODD[:7]).sum(axis=1, dtype=np.uint64)
+        h = (h ^ (h >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(32))
+
+
+def exploded(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(owner, number inside it) of n[i] things of each owner."""
+    who = np.repeat(np.arange(len(n)), n)
+    return who, np.arange(len(who)) - np.repeat(np.cumsum(n) - n, n)
+
+
+def six_bytes(values: np.ndarray) -> bytes:
+    return values.view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def from_six_bytes(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(values, number of the blob of each)."""
+    rows = [np.frombuffer(b, np.uint8).reshape(-1, 6) for b in blobs]
+    wide = np.zeros((sum(map(len, rows)), 8), np.uint8)
+    wide[:, :6] = np.concatenate(rows)
+    return wide.view("<u8")[:, 0], np.repeat(np.arange(len(rows)), [len(x) for x in rows])
+
+
 class Chunk:
-    """The distinct texts of a chunk, in the order of their hashes, with their ids and payloads."""
+    """The distinct texts of a chunk, in the order of their hashes, with their least ids."""
 
     def __init__(self, t: pa.Table):
-        texts: dict[bytes, bytes] = {}
-        self.ids: dict[bytes, list[np.ndarray]] = {}
-        self.payloads: dict[bytes, list[str | None]] = {}
         unzip = zstandard.ZstdDecompressor()
-        for h, ids, payload, z in zip(*(t.column(c).to_pylist() for c in ("thash", "ids", "payloads", "z")), strict=True):
-            if h not in texts:
-                texts[h] = unzip.decompress(z) if z else b""
-            self.ids.setdefault(h, []).append(np.frombuffer(ids, "<i8"))
-            self.payloads.setdefault(h, []).extend(payload)
-        self.order = sorted(texts)
-        self.texts = [texts[h] for h in self.order]
-        self.least = np.array([min(int(x.min()) for x in self.ids[h]) for h in self.order], dtype=np.int64)
+        rows = sorted(zip(*(t.column(c).to_pylist() for c in ("thash", "least", "z")), strict=True))
+        self.order = [r[0] for r in rows]
+        self.texts = [unzip.decompress(r[2]) if r[2] else b"" for r in rows]
+        self.least = np.array([r[1] for r in rows], dtype=np.int64)
 
     def slices(self) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
         """(first text, buffer, starts, ends) runs of about SLICE_BYTES."""
@@ -192,6 +248,23 @@ class Chunk:
             i = j
 
 
+def _tail(strings: np.ndarray, offset: np.ndarray) -> np.ndarray:
+    """Eight bytes a span that tell its length and its anchor's place."""
+    out = np.zeros((len(strings), 8), np.uint8)
+    out[:, 0], out[:, 1] = strings, offset
+    return out
+
+
+def earlier(words: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """Whether an equal string has a smaller id."""
+    if not len(words):
+        return np.zeros(0, bool)
+    group = multikey_groups(words)
+    smallest = np.full(group.max() + 1, NO_ID)
+    np.minimum.at(smallest, group, least)
+    return smallest[group] < least
+
+
 def _by_range(ranges: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     order = np.argsort(ranges, kind="stable")
     edge = np.nonzero(np.diff(ranges[order]))[0] + 1
@@ -199,67 +272,83 @@ def _by_range(ranges: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         yield int(ranges[part[0]]), part
 
 
-def deal(docs: DataFrame, chunks: int, payload_col: str | None) -> DataFrame:
-    """(pid, thash, ids, payloads, z): texts by chunk; equal texts of one batch are one row."""
-    payload = F.col(payload_col).cast("string") if payload_col else F.lit(None).cast("string")
-    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), payload.alias("payload"))
+def deal(rows: DataFrame, chunks: int) -> DataFrame:
+    """(pid, thash, least, z) of rows (id, text, thash): a task sends a text once, with its least id so far, and
+    at its end the ids that turned out smaller, without the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         zip_ = zstandard.ZstdCompressor(level=3)
+        sent: dict[bytes, int] = {}
+        lowered: dict[bytes, int] = {}
+
+        def table(hashes: list[bytes], least: list[int], z: list[bytes | None]) -> pa.RecordBatch:
+            pid = [int.from_bytes(h[:8], "little") % chunks for h in hashes]
+            return pa.RecordBatch.from_arrays([pa.array(pid, pa.int32()), pa.array(hashes, pa.binary()), pa.array(least, pa.int64()), pa.array(z, pa.binary())], ["pid", "thash", "least", "z"])
+
         for batch in batches:
-            rows: dict[bytes, tuple[bytes, list[int], list[str | None]]] = {}
-            for doc_id, text, p in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                raw = text.encode()
-                row = rows.setdefault(xxh3_128_digest(raw), (raw, [], []))
-                row[1].append(doc_id)
-                row[2].append(p)
-            hashes = list(rows)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([int.from_bytes(h[:8], "little") % chunks for h in hashes], pa.int32()),
-                    pa.array(hashes, pa.binary()),
-                    pa.array([np.array(rows[h][1], "<i8").tobytes() for h in hashes], pa.binary()),
-                    pa.array([rows[h][2] for h in hashes], pa.list_(pa.string())),
-                    pa.array([zip_.compress(rows[h][0]) if rows[h][0] else b"" for h in hashes], pa.binary()),
-                ],
-                ["pid", "thash", "ids", "payloads", "z"],
-            )
-
-    return base.mapInArrow(run, "pid int, thash binary, ids binary, payloads array<string>, z binary")
-
-
-def splitters(texts: DataFrame, rows: int, ranges: int) -> list[bytes]:
-    """Quantile boundaries of the grams at the anchors of a bounded text sample."""
-    some = texts.where(F.pmod(F.xxhash64("thash"), F.lit(1_000_000)) < F.lit(min(1_000_000, -(-SAMPLE_TEXTS * 1_000_000 // max(1, rows))))).select("z")
+            ids, hashes = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            new: dict[bytes, int] = {}
+            for i, (h, doc_id) in enumerate(zip(hashes, ids, strict=True)):
+                if h not in sent:
+                    sent[h] = doc_id
+                    new[h] = i
+                elif doc_id < sent[h]:
+                    sent[h] = doc_id
+                    if h not in new:
+                        lowered[h] = doc_id
+            texts = batch.column(1).take(pa.array(list(new.values()), pa.int64())).to_pylist()
+            yield table(list(new), [sent[h] for h in new], [zip_.compress(x.encode()) if x else b"" for x in texts])
+        yield table(list(lowered), list(lowered.values()), [None] * len(lowered))
+
+    return rows.mapInArrow(run, "pid int, thash binary, least long, z binary")
+
+
+def _keys(key: np.ndarray) -> np.ndarray:
+    """The first eight bytes of grams as signed numbers in the order of the bytes."""
+    words = np.ascontiguousarray(np.ascontiguousarray(key).view(np.uint8).reshape(-1, GRAM)[:, :8]).view(">u8")[:, 0]
+    return (words.astype(np.uint64) ^ np.uint64(1 << 63)).view(np.int64)
+
+
+def splitters(rows: DataFrame, total_bytes: int, total_rows: int, ranges: int) -> list[int]:
+    """Quantile boundaries of the leading gram bytes at the anchors of a text sample that grows with the ranges.
+
+    Only the boundaries reach the driver."""
+    share = max(SAMPLE_TEXTS / max(1, total_rows), KEYS_PER_RANGE * ranges * THIN * SPREAD / 2 / max(1, total_bytes))
+    steps = 1 << 30
+    some = rows.where(F.pmod(F.xxhash64("thash"), F.lit(steps)) < F.lit(min(steps, int(share * steps) + 1))).dropDuplicates(["thash"]).select("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unzip = zstandard.ZstdDecompressor()
         for batch in batches:
-            for z in batch.column(0).to_pylist():
-                buf = np.frombuffer(unzip.decompress(z) if z else b"", np.uint8)
+            for text in batch.column(0).to_pylist():
+                buf = np.frombuffer(text.encode(), np.uint8)
                 at, _, _ = anchors(buf, np.array([0]), np.array([len(buf)]))
                 if len(at):
-                    thin = max(1, len(at) // 256)  # at most about 512 keys of a text
-                    yield pa.RecordBatch.from_arrays([pa.array(grams(buf, at[::thin])[0].tolist(), pa.binary())], ["key"])
+                    yield pa.RecordBatch.from_arrays([pa.array(_keys(grams(buf, at[::THIN])[0]))], ["key"])
 
-    keys = sorted(bytes(r["key"]) for r in some.mapInArrow(run, "key binary").collect())
-    return sorted({keys[len(keys) * i // ranges] for i in range(1, ranges)}) if keys else []
+    cuts = [i / ranges for i in range(1, ranges)]
+    if not cuts:
+        return []
+    keys = some.mapInArrow(run, "key long")
+    return sorted(set(keys.agg(F.percentile_approx("key", cuts, max(10_000, 4 * ranges)).alias("e")).first()["e"] or []))
 
 
-def remove_repeats(docs: DataFrame, payload_col: str | None = None) -> DataFrame:
-    """(doc_id, payload, n_bytes, removed array<struct<start, stop>>, kept binary) of every row."""
+def remove_repeats(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """(row struct of ``keep`` or doc_id, n_bytes, removed array<struct<start, stop>>, kept binary) of every row."""
     spark = docs.sparkSession
     small_batches(spark)
-    total = docs.agg(F.coalesce(F.sum(F.octet_length(F.col("text").cast("string"))), F.lit(0)).alias("b"), F.count("*").alias("n")).first()
-    chunks = max(1, -(-total["b"] // CHUNK_BYTES))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), text.alias("text"), F.unhex(F.md5(text)).alias("thash"))
+    total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b"), F.count("*").alias("n")).first()
+    growth = min(GROWTH, max(1.0, (total["b"] / STEADY_BYTES) ** 0.5))
+    chunks, ranges = (max(1, -(-total["b"] // int(size * growth))) for size in (CHUNK_BYTES, RANGE_BYTES))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # dealt once; the later steps work where the texts lie, and lost partitions are made again from the input
-    texts = deal(docs, chunks, payload_col).repartition(parts, "pid").persist(StorageLevel.DISK_ONLY)
-    edges = splitters(texts, total["n"], chunks)
-    bounds = np.array(edges, f"S{GRAM}")
+    bounds = np.array(splitters(rows, total["b"], total["n"], ranges), np.int64)
+    # the rows of one chunk lie in one partition, so the grouping needs no other shuffle, and the steps below reuse this one
+    dealt = deal(rows, chunks).repartition(parts, "pid")
+    texts = dealt.groupBy("pid", "thash").agg(F.min("least").alias("least"), F.max("z").alias("z"))
 
-    def place(keys: np.ndarray) -> np.ndarray:
-        return np.searchsorted(bounds, keys, side="right") if len(bounds) else np.zeros(len(keys), np.int64)
+    def place(key: np.ndarray) -> np.ndarray:
+        return np.searchsorted(bounds, _keys(key), side="right")
 
     def announce(t: pa.Table) -> pa.Table:
         """(range, pid, hashes): distinct 47-bit anchor hashes, the low bit set if two texts of the chunk have it."""
@@ -278,43 +367,41 @@ def remove_repeats(docs: DataFrame, payload_col: str | None = None) -> DataFrame
         first = np.nonzero(new)[0]
         flag = np.maximum.reduceat(many.astype(np.uint64), first) if len(first) else np.empty(0, np.uint64)
         value, r = h[first] << np.uint64(1) | flag, r[first]
-        out = [(k, value[part].view(np.uint8).reshape(-1, 8)[:, :6].tobytes()) for k, part in _by_range(r)]
+        out = [(k, six_bytes(value[part])) for k, part in _by_range(r)]
         return pa.table({"range": pa.array([k for k, _ in out], pa.int32()), "pid": pa.array([pid] * len(out), pa.int32()), "hashes": pa.array([b for _, b in out], pa.binary())})
 
     announced = texts.groupBy("pid").applyInArrow(announce, "range int, pid int, hashes binary")
 
     def answer(t: pa.Table) -> pa.Table:
-        """(pid, hashes): the anchors of a range that more than one text has."""
+        """(pid, hashes): the anchors of a range that more than one text has, the low bit set if they are hot."""
         pids = t.column("pid").to_numpy()
-        rows = [np.frombuffer(b, np.uint8).reshape(-1, 6) for b in t.column("hashes").to_pylist()]
-        wide = np.zeros((sum(map(len, rows)), 8), np.uint8)
-        wide[:, :6] = np.concatenate(rows)
-        value, owner = wide.view("<u8")[:, 0], np.repeat(np.arange(len(rows)), [len(x) for x in rows])
-        h = value >> np.uint64(1)
+        value, owner = from_six_bytes(t.column("hashes").to_pylist())
+        h, many = value >> np.uint64(1), (value & np.uint64(1)).astype(bool)
         order = np.argsort(h, kind="stable")
-        s = h[order]
-        twin = np.zeros(len(s), bool)
-        twin[1:] = s[1:] == s[:-1]
-        twin[:-1] |= twin[1:]
-        shared = np.zeros(len(s), bool)
-        shared[order] = twin
-        shared |= (value & np.uint64(1)).astype(bool)
-        out = [(pids[k], h[part].view(np.uint8).reshape(-1, 8)[:, :6].tobytes()) for k, part in _by_range(np.where(shared, owner, -1)) if k >= 0]
-        return pa.table({"pid": pa.array([int(p) for p, _ in out], pa.int32()), "hashes": pa.array([b for _, b in out], pa.binary())})
+        new = np.r_[True, h[order][1:] != h[order][:-1]]
+        count = np.empty(len(h), np.int64)
+        count[order] = np.diff(np.r_[np.nonzero(new)[0], len(h)])[np.cumsum(new) - 1]
+        said = h << np.uint64(1) | (count > HOT_CHUNKS)
+        out = [(int(pids[k]), six_bytes(said[part])) for k, part in _by_range(np.where(many | (count > 1), owner, -1)) if k >= 0]
+        return pa.table({"pid": pa.array([p for p, _ in out], pa.int32()), "hashes": pa.array([b for _, b in out], pa.binary())})
 
     answered = announced.groupBy("range").applyInArrow(answer, "pid int, hashes binary")
+    columns = ["a", "b", "c", "d", "e"]
+    wire = ", ".join(["to int", "pid int", *[f"{c} binary" for c in columns]])
+
+    def packet(out: list[tuple], pid: int) -> pa.Table:
+        cols = [pa.array([o[0] for o in out], pa.int32()), pa.array([pid] * len(out), pa.int32()), *[pa.array([o[i + 1] for o in out], pa.binary()) for i in range(5)]]
+        return pa.table(cols, names=["to", "pid", *columns])
 
     def spans(t: pa.Table, s: pa.Table) -> pa.Table:
-        """Rows for ranges (to >= 0): the distinct spans of shared anchors. Rows for the chunk (to < 0): where each span lies."""
-        schema = pa.schema([("to", pa.int32()), ("pid", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary()), ("d", pa.binary()), ("e", pa.binary())])
+        """Rows for ranges (to from 0): the distinct spans of shared anchors; from ``ranges`` on: strings of hot
+        anchors by their hash. Rows for the chunk itself (to < 0): where each span lies, and the strings of hot ones."""
         if not t.num_rows or not s.num_rows:
-            return schema.empty_table()
+            return packet([], 0)
         chunk, pid = Chunk(t), t.column("pid")[0].as_py()
-        rows = [np.frombuffer(b, np.uint8).reshape(-1, 6) for b in s.column("hashes").to_pylist()]
-        wide = np.zeros((sum(map(len, rows)), 8), np.uint8)
-        wide[:, :6] = np.concatenate(rows)
-        shared = np.sort(wide.view("<u8")[:, 0])
-        cols: list[list[np.ndarray]] = [[] for _ in range(7)]
+        shared = np.sort(from_six_bytes(s.column("hashes").to_pylist())[0])
+        hot_bit, shared = (shared & np.uint64(1)).astype(bool), shared >> np.uint64(1)
+        cols: list[list[np.ndarray]] = [[] for _ in range(8)]
         for i, buf, starts, ends in chunk.slices():
             at, first, last = anchors(buf, starts, ends)
             if not len(at):
@@ -322,88 +409,108 @@ def remove_repeats(docs: DataFrame, payload_col: str | None = None) -> DataFrame
             key, h = grams(buf, at)
             near = np.minimum(np.searchsorted(shared, h), len(shared) - 1)
             mine = shared[near] == h
-            at, first, last, key = at[mine], first[mine], last[mine], key[mine]
+            at, first, last, key, hot = at[mine], first[mine], last[mine], key[mine], hot_bit[near[mine]]
             if not len(at):
                 continue
             length = last - first + MATCH
             raw = span_rows(buf, first, length)
             doc = np.searchsorted(ends, first, side="right")
-            for col, x in zip(cols, (span_hash(raw, length, at - first), place(key), doc + i, first - starts[doc], (last - first + 1).astype(np.uint8), (at - first).astype(np.uint8), raw), strict=True):
+            strings = (last - first + 1).astype(np.uint8)
+            for col, x in zip(cols, (span_hash(raw, length, at - first), place(key), doc + i, first - starts[doc], strings, (at - first).astype(np.uint8), raw, hot), strict=True):
                 col.append(x)
         if not cols[0]:
-            return schema.empty_table()
-        h, to, doc, first, strings, offset, raw = (np.concatenate(c) for c in cols)
-        order = np.lexsort((doc, chunk.least[doc], h))
-        new = np.r_[True, h[order][1:] != h[order][:-1]]
-        number = np.empty(len(h), np.int64)
-        number[order] = np.cumsum(new) - 1
-        rep = order[new]  # of each distinct span, the place in the text of the smallest id
+            return packet([], 0)
+        h, to, doc, first, strings, offset, raw, hot = (np.concatenate(c) for c in cols)
+        number = same_groups(h, np.concatenate([raw, _tail(strings, offset)], axis=1))
+        order = np.lexsort((doc, chunk.least[doc], number))
+        rep = order[np.r_[True, number[order][1:] != number[order][:-1]]]  # of each distinct span, the place in the text of the least id
         out = []
-        for k, part in _by_range(to[rep]):
-            x = rep[part]
-            length = strings[x].astype(np.int64) + MATCH - 1
-            data = raw[x][np.arange(_WIDE) < length[:, None]]
-            out.append((k, _pack(part.astype("<u4")), _pack(strings[x]), _pack(offset[x]), _pack(chunk.least[doc[x]].astype("<i8")), _pack(data)))
+        for k, part in _by_range(np.where(hot[rep], -1, to[rep])):
+            if k >= 0:
+                x = rep[part]
+                data = raw[x][np.arange(_WIDE) < (strings[x].astype(np.int64) + MATCH - 1)[:, None]]
+                out.append((k, _pack(part.astype("<u4")), _pack(strings[x]), _pack(offset[x]), _pack(chunk.least[doc[x]].astype("<i8")), _pack(data)))
         out.append((-1 - pid, _pack(number.astype("<u4")), _pack(doc.astype("<u4")), _pack(first.astype("<u4")), _pack(strings), b""))
-        return pa.table([pa.array([o[0] for o in out], pa.int32()), pa.array([pid] * len(out), pa.int32()), *[pa.array([o[i] for o in out], pa.binary()) for i in range(1, 6)]], schema=schema)
-
-    sent = texts.groupBy("pid").cogroup(answered.groupBy("pid")).applyInArrow(spans, "to int, pid int, a binary, b binary, c binary, d binary, e binary")
-
-    def compare(t: pa.Table) -> pa.Table:
-        """Chunk rows pass; a range returns (pid, number, covered strings as bits) of the spans that smaller ids cover."""
-        kept = t.select(["pid", "a", "b", "c", "d"])
-        if t.column("to")[0].as_py() < 0:
-            return kept.append_column("members", pa.array([True] * t.num_rows))
-        pids = t.column("pid").to_numpy()
+        which = np.nonzero(hot[rep])[0]
+        if len(which):
+            x = rep[which]
+            who, nth = exploded(strings[x].astype(np.int64))
+            start = x[who] * _WIDE + nth
+            words = string_words(raw.ravel(), start)
+            sh = string_hash(words)
+            group = same_groups(sh, words.view(np.uint8).reshape(len(words), -1))
+            ids = chunk.least[doc[x]][who]
+            best = np.lexsort((ids, group))
+            best = best[np.r_[True, group[best][1:] != group[best][:-1]]]  # by group number
+            least = ids[best]
+            for k, part in _by_range((sh[best] % np.uint64(ranges)).astype(np.int64)):
+                out.append((ranges + k, _pack(part.astype("<u4")), b"", b"", _pack(least[part].astype("<i8")), _pack(words[best[part]])))
+            out.append((-1 - pid, _pack(which[who].astype("<u4")), _pack(nth.astype(np.uint8)), _pack(group.astype("<u4")), _pack((ids > least[group]).astype(np.uint8)), b"hot"))
+        return packet(out, pid)
+
+    sent = texts.groupBy("pid").cogroup(answered.groupBy("pid")).applyInArrow(spans, wire)
+
+    def covered_spans(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(sender, number, covered strings as bits) of the spans of a range that smaller ids cover."""
         number, strings, offset, least, data = ([_unpack(b, k) for b in t.column(c).to_pylist()] for c, k in zip("abcde", ("<u4", "u1", "u1", "<i8", "u1"), strict=True))
-        owner = np.repeat(np.arange(len(pids)), [len(x) for x in number])
+        owner = np.repeat(np.arange(len(number)), [len(x) for x in number])
         number, strings, offset, least, data = (np.concatenate(x) for x in (number, strings, offset, least, data))
         length = strings.astype(np.int64) + MATCH - 1
         begin = np.cumsum(length) - length
-        h = span_hash(np.concatenate([span_rows(data, begin[i : i + 65536], length[i : i + 65536]) for i in range(0, len(begin), 65536)]), length, offset)
-        order = np.lexsort((least, h))
-        new = np.r_[True, h[order][1:] != h[order][:-1]]
-        rep = order[new]  # of equal spans of several chunks, the one with the smallest id
-        of = np.empty(len(h), np.int64)
-        of[order] = np.cumsum(new) - 1
+        raw = np.concatenate([span_rows(data, begin[i : i + 65536], length[i : i + 65536]) for i in range(0, len(begin), 65536)])
+        of = same_groups(span_hash(raw, length, offset), np.concatenate([raw, _tail(strings, offset)], axis=1))
+        order = np.lexsort((least, of))
+        rep = order[np.r_[True, of[order][1:] != of[order][:-1]]]  # of equal spans of several chunks, the one with the least id
         every = (np.uint64(1) << strings.astype(np.uint64)) - np.uint64(1)
-        n = strings[rep].astype(np.int64)
-        who = np.repeat(np.arange(len(rep)), n)
-        nth = np.arange(len(who)) - np.repeat(np.cumsum(n) - n, n)
-        start = begin[rep][who] + nth
-        padded = np.r_[data, np.zeros(8, np.uint8)]
-        words = np.empty((len(start), 7), np.uint64)
-        for k in range(7):  # the string's bytes as big-endian words; the last has two bytes only
-            words[:, k] = np.ascontiguousarray(padded[start[:, None] + np.arange(8 * k, 8 * k + 8)]).view(">u8")[:, 0]
-        words[:, 6] >>= np.uint64(64 - 8 * (MATCH - 48))
-        group = multikey_groups(words)
-        smallest = np.full(group.max() + 1, NO_ID)
-        np.minimum.at(smallest, group, least[rep][who])
-        covered = smallest[group] < least[rep][who]
+        who, nth = exploded(strings[rep].astype(np.int64))
+        covered = earlier(string_words(data, begin[rep][who] + nth), least[rep][who])
         bits = np.zeros(len(rep), np.uint64)
         np.bitwise_or.at(bits, who[covered], np.uint64(1) << nth[covered].astype(np.uint64))
-        mine = np.where(least > least[rep][of], every, bits[of])
-        some = mine != 0
-        out = [(int(pids[k]), _pack(number[part]), _pack(mine[part])) for k, part in _by_range(np.where(some, owner, -1)) if k >= 0]
-        none = pa.array([None] * len(out), pa.binary())
-        return pa.table([pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.binary()), pa.array([o[2] for o in out], pa.binary()), none, none, pa.array([False] * len(out))], names=["pid", "a", "b", "c", "d", "members"])
+        return owner, number, np.where(least > least[rep][of], every, bits[of])
 
-    replies = sent.groupBy("to").applyInArrow(compare, "pid int, a binary, b binary, c binary, d binary, members boolean")
+    def covered_strings(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(sender, number, 1) of the hot strings of a bucket that smaller ids cover."""
+        number, least, words = ([_unpack(b, k) for b in t.column(c).to_pylist()] for c, k in zip("ade", ("<u4", "<i8", "<u8"), strict=True))
+        owner = np.repeat(np.arange(len(number)), [len(x) for x in number])
+        number, least, words = np.concatenate(number), np.concatenate(least), np.concatenate(words).reshape(-1, 7)
+        return owner, number, earlier(words, least).astype(np.uint64)
+
+    def compare(t: pa.Table) -> pa.Table:
+        """Chunk rows pass; a range returns (pid, number, what is covered) of what smaller ids cover."""
+        to = t.column("to")[0].as_py()
+        schema = pa.schema([("pid", pa.int32()), *[(c, pa.binary()) for c in columns[:4]], ("kind", pa.string())])
+        if to < 0:
+            kinds = ["hot" if e else "members" for e in t.column("e").to_pylist()]
+            return t.select(["pid", "a", "b", "c", "d"]).append_column("kind", pa.array(kinds)).cast(schema)
+        pids = t.column("pid").to_numpy()
+        owner, number, mine = (covered_spans if to < ranges else covered_strings)(t)
+        out = [(int(pids[k]), _pack(number[part]), _pack(mine[part])) for k, part in _by_range(np.where(mine != 0, owner, -1)) if k >= 0]
+        none = [None] * len(out)
+        kinds = ["spans" if to < ranges else "strings"] * len(out)
+        return pa.Table.from_pydict({"pid": [o[0] for o in out], "a": [o[1] for o in out], "b": [o[2] for o in out], "c": none, "d": none, "kind": kinds}, schema=schema)
+
+    replies = sent.groupBy("to").applyInArrow(compare, "pid int, a binary, b binary, c binary, d binary, kind string")
 
     def remove(t: pa.Table, r: pa.Table) -> pa.Table:
         chunk = Chunk(t)
         size = np.array([len(x) for x in chunk.texts], dtype=np.int64)
         base = np.cumsum(size) - size
         edge = np.zeros(int(size.sum()) + 1, np.int32)
-        a, b, c, d, members = (r.column(x).to_pylist() for x in ("a", "b", "c", "d", "members"))
-        own = [i for i, m in enumerate(members) if m]
-        if own:
-            number, doc, first, strings = (_unpack(x[own[0]], k) for x, k in ((a, "<u4"), (b, "<u4"), (c, "<u4"), (d, "u1")))
-            number, doc, first, strings = number.astype(np.int64), doc.astype(np.int64), first.astype(np.int64), strings.astype(np.int64)
+        got: dict[str, list[tuple]] = {}
+        for a, b, c, d, kind in zip(*(r.column(x).to_pylist() for x in ("a", "b", "c", "d", "kind")), strict=True):
+            got.setdefault(kind, []).append((a, b, c, d))
+        for own in got.get("members", []):
+            number, doc, first, strings = (_unpack(x, k).astype(np.int64) for x, k in zip(own, ("<u4", "<u4", "<u4", "u1"), strict=True))
             bits = np.zeros(int(number.max()) + 1, np.uint64)
-            for i, m in enumerate(members):
-                if not m:
-                    bits[_unpack(a[i], "<u4")] = _unpack(b[i], "<u8")
+            for a, b, *_ in got.get("spans", []):
+                bits[_unpack(a, "<u4")] = _unpack(b, "<u8")
+            for hot in got.get("hot", []):
+                span, nth, string, later = (_unpack(x, k).astype(np.int64) for x, k in zip(hot, ("<u4", "u1", "<u4", "u1"), strict=True))
+                covered = np.zeros(int(string.max()) + 1, bool)
+                for a, *_ in got.get("strings", []):
+                    covered[_unpack(a, "<u4")] = True
+                on = covered[string] | later.astype(bool)
+                np.bitwise_or.at(bits, span[on], np.uint64(1) << nth[on].astype(np.uint64))
             smallest = np.full(len(bits), NO_ID)
             np.minimum.at(smallest, number, chunk.least[doc])
             every = (np.uint64(1) << strings.astype(np.uint64)) - np.uint64(1)
@@ -419,22 +526,32 @@ def remove_repeats(docs: DataFrame, payload_col: str | None = None) -> DataFrame
                 np.add.at(edge, at[some][row] + nth, 1)
                 np.add.at(edge, at[some][row] + nth + MATCH, -1)
         gone = np.cumsum(edge[:-1]) > 0
-        ids, payloads, n_bytes, removed, kept = [], [], [], [], []
-        for i, (h, text) in enumerate(zip(chunk.order, chunk.texts, strict=True)):
+        removed, kept = [], []
+        for i, text in enumerate(chunk.texts):
             mask = gone[base[i] : base[i] + size[i]]
             turn = np.diff(np.r_[False, mask, False].astype(np.int8))
             mine = [{"start": s, "stop": e} for s, e in zip(np.nonzero(turn == 1)[0].tolist(), np.nonzero(turn == -1)[0].tolist(), strict=True)]
-            left = np.frombuffer(text, np.uint8)[~mask].tobytes() if mine else text
-            copy = ([{"start": 0, "stop": len(text)}], b"") if len(text) >= MATCH else ([], text)
-            for doc_id, p in zip(np.concatenate(chunk.ids[h]).tolist(), chunk.payloads[h], strict=True):
-                spans_, rest = (mine, left) if doc_id == chunk.least[i] else copy
-                ids.append(None if doc_id == NO_ID else doc_id)
-                payloads.append(p), n_bytes.append(len(text)), removed.append(spans_), kept.append(rest)
+            removed.append(mine)
+            kept.append(np.frombuffer(text, np.uint8)[~mask].tobytes() if mine else text)
         kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
-        return pa.table({"doc_id": pa.array(ids, pa.int64()), "payload": pa.array(payloads, pa.string()), "n_bytes": pa.array(n_bytes, pa.int64()), "removed": pa.array(removed, kind), "kept": pa.array(kept, pa.binary())})
-
-    out = texts.groupBy("pid").cogroup(replies.groupBy("pid"))
-    return out.applyInArrow(remove, "doc_id long, payload string, n_bytes long, removed array<struct<start: long, stop: long>>, kept binary")
+        return pa.table({"thash": pa.array(chunk.order, pa.binary()), "least": pa.array(chunk.least, pa.int64()), "cuts": pa.array(removed, kind), "rest": pa.array(kept, pa.binary())})
+
+    found = texts.groupBy("pid").cogroup(replies.groupBy("pid")).applyInArrow(remove, "thash binary, least long, cuts array<struct<start: long, stop: long>>, rest binary")
+    # copies meet the result of their text; a text with very many of them is split by adaptive skew handling
+    own = [F.col(f"`{c}`") for c in keep or ["doc_id"]]
+    asked = docs.select(
+        F.struct(*own).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"),
+        F.unhex(F.md5(text)).alias("thash"), F.octet_length(text).cast("long").alias("n_bytes"),
+    )
+    joined = asked.join(found, "thash", "left")
+    first, short = F.col("id") == F.col("least"), F.col("n_bytes") < MATCH
+    none = F.array().cast("array<struct<start: bigint, stop: bigint>>")
+    whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("stop")))
+    return joined.select(
+        "row", "n_bytes",
+        F.when(first, F.col("cuts")).when(short, none).otherwise(whole).alias("removed"),
+        F.when(first | short, F.col("rest")).otherwise(F.lit(b"")).alias("kept"),
+    )
 
 
 def brute_force(docs: list[tuple[int | None, str | None]]) -> list[tuple[int, int, int, bytes]]:
