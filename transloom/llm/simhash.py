@@ -9,7 +9,8 @@ of blocks, so no task holds a large group; each tile reports a spanning forest o
 are closed over by star contraction.
 
 Defined cases: null and empty texts have fingerprint zero and link like any other; of repeated ids each row
-is returned; an all-null component has a null id; an empty table gives an empty result.
+is returned; an all-null component has a null id; a bit set in exactly half the hashes is 0; a very long text is
+one row's work, its hashes counted in chunks; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ BITS = 64
 TILE = 256
 #: Rows of sorted candidates that are compared at once in a task.
 BATCH_ROWS = 1 << 15
+#: Shingle hashes whose bits are unpacked at once.
+CHUNK = 1 << 16
 #: Planes added between two looks for blocks to abandon.
 PLANES_PER_LOOK = 8
 
@@ -42,8 +45,14 @@ def fingerprint(text: str | None, words_in_shingle: int = SHINGLE_WORDS) -> int:
     if not words:
         return 0
     shingles = map(b" ".join, zip(*(words[i:] for i in range(words_in_shingle)), strict=False)) if len(words) >= words_in_shingle else iter([b" ".join(words)])
-    hashes = np.fromiter(map(xxh64_intdigest, shingles, repeat(SEED)), dtype="<u8")
-    counts = np.unpackbits(hashes.view(np.uint8), bitorder="little").reshape(-1, BITS).sum(axis=0, dtype=np.int32)
+    return majority(np.fromiter(map(xxh64_intdigest, shingles, repeat(SEED)), dtype="<u8"))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half the hashes; at most CHUNK of them are unpacked at once."""
+    counts = np.zeros(BITS, np.int64)
+    for lo in range(0, len(hashes), CHUNK):
+        counts += np.unpackbits(hashes[lo : lo + CHUNK].view(np.uint8), bitorder="little").reshape(-1, BITS).sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
 
 
@@ -67,31 +76,47 @@ def block_masks(radius: int) -> list[int]:
     return [sum(c) for c in combinations(blocks, 3)]
 
 
+def bit_planes(fps: np.ndarray) -> np.ndarray:
+    """Row b holds bit b of every fingerprint."""
+    return np.ascontiguousarray(np.unpackbits(fps.view(np.uint8), bitorder="little").reshape(-1, BITS).T)
+
+
+def within(planes: np.ndarray, a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
+    """Places of the pairs (a[i], b[i]) whose fingerprints differ in at most ``radius`` bits.
+
+    Sixty-four pairs are a lane word: a carry-save counter adds one plane to all their distances in a few word
+    operations, and a word is abandoned once all its pairs exceed the radius.
+    """
+    lanes = np.arange(len(a))
+    if not len(lanes):
+        return lanes
+    width = (radius + 1).bit_length()
+    lanes = np.concatenate([lanes, np.repeat(lanes[-1:], -len(lanes) % 64)]).reshape(-1, 64)
+    counter = [np.zeros(len(lanes), np.uint64) for _ in range(width)]
+    dead = np.zeros(len(lanes), np.uint64)
+    for bit in range(BITS):
+        plane = planes[bit]
+        carry = np.packbits(plane[a[lanes]] ^ plane[b[lanes]], axis=1, bitorder="little").view("<u8")[:, 0]
+        for k in range(width):
+            carry, counter[k] = carry & counter[k], carry ^ counter[k]
+        dead |= carry | _above(counter, radius)
+        if bit % PLANES_PER_LOOK == PLANES_PER_LOOK - 1:
+            live = dead != np.uint64(0xFFFFFFFFFFFFFFFF)
+            if not live.all():
+                lanes, dead, counter = lanes[live], dead[live], [c[live] for c in counter]
+            if not len(lanes):
+                return np.empty(0, np.int64)
+    return np.unique(lanes[np.unpackbits(dead.view(np.uint8), bitorder="little").reshape(-1, 64) == 0])
+
+
 def near_pairs(fps: np.ndarray, group: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs within ``radius`` bits of each other, inside runs of equal ``group``; one lag at a time."""
-    planes = np.ascontiguousarray(np.unpackbits(fps.view(np.uint8), bitorder="little").reshape(-1, BITS).T)
-    width = (radius + 1).bit_length()
+    planes = bit_planes(fps)
     for lag in range(1, len(fps)):
-        lanes = np.nonzero(group[:-lag] == group[lag:])[0]
-        if not len(lanes):
+        first = np.nonzero(group[:-lag] == group[lag:])[0]
+        if not len(first):
             return
-        lanes = np.concatenate([lanes, np.repeat(lanes[-1:], -len(lanes) % 64)]).reshape(-1, 64)
-        counter = [np.zeros(len(lanes), np.uint64) for _ in range(width)]
-        dead = np.zeros(len(lanes), np.uint64)
-        for bit in range(BITS):
-            plane = planes[bit]
-            carry = np.packbits(plane[lanes] ^ plane[lanes + lag], axis=1, bitorder="little").view("<u8")[:, 0]
-            for k in range(width):
-                carry, counter[k] = carry & counter[k], carry ^ counter[k]
-            dead |= carry | _above(counter, radius)
-            if bit % PLANES_PER_LOOK == PLANES_PER_LOOK - 1:
-                live = dead != np.uint64(0xFFFFFFFFFFFFFFFF)
-                if not live.all():
-                    lanes, dead, counter = lanes[live], dead[live], [c[live] for c in counter]
-                if not len(lanes):
-                    break
-        near = np.unpackbits(dead.view(np.uint8), bitorder="little").reshape(-1, 64) == 0
-        found = np.unique(lanes[near]) if len(lanes) else np.empty(0, np.int64)
+        found = first[within(planes, first, first + lag, radius)]
         yield found, found + lag
 
 
