@@ -41,6 +41,28 @@ def test_repeats_cut_text(spark, odd, sf_dir):
     assert kept[10]["text"] == "y" and kept[10]["n_chars"] == 1 and len(kept[9]["text"]) == 120 and kept[10]["source"] == "b"
 
 
+def test_repeats_keep_other_columns(spark):
+    line = "a passage of more than fifty bytes that two documents share, word by word"
+    sql = f"""
+        SELECT 1L AS doc_id, 'x {line}' AS text, timestamp'2020-01-02 03:04:05.123456' AS at, map(1, 'a', 2, 'b') AS m, named_struct('a b', 1, 'c.d', array(1.5D)) AS `s t`, 7L AS row, 'k' AS kept
+        UNION ALL SELECT 2L, 'y {line}', NULL, map(3, 'c'), NULL, 8L, NULL UNION ALL SELECT NULL, 'z', NULL, NULL, NULL, 9L, 'q'"""
+    docs = spark.sql(sql)
+    out = corpus_pipeline.repeats_stage(spark, docs, "")
+    assert out.schema.simpleString() == docs.schema.simpleString()
+    got, want = {r["row"]: r for r in out.collect()}, {r["row"]: r for r in docs.collect()}
+    assert got[7] == want[7] and got[9] == want[9] and got[8]["text"] == "y" and got[8]["m"] == {3: "c"}
+    assert got[7]["at"].microsecond == 123456 and got[7]["s t"]["c.d"] == [1.5]
+
+
+def test_a_text_is_never_lost(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(30)) for x in "ab")
+    for rows in ([(3, b), (5, b), (5, a)], [(None, a), (1, a)], [(None, a), (1, a), (None, b), (None, b)]):
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+        kept = [tuple(r) for r in corpus_pipeline.near_duplicate_stage(spark, docs, "").collect()]
+        assert sorted(t for _, t in kept) == sorted({t for _, t in rows})
+        assert all(i is not None for i, t in kept if any(j is not None for j, u in rows if u == t))
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="tables are not here")
 def test_run(spark):
     pieces = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
