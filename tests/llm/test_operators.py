@@ -64,8 +64,24 @@ def test_language_mixture(spark):
     text = lambda lang, n: " ".join(rng.choice(word[lang], n))
     docs = spark.createDataFrame([(i, text(("aa", "bb")[i % 2], 50), ("aa", "bb")[i % 2]) for i in range(40)], "doc_id long, text string, lang string")
     langs, model = langid.fit(docs, F.lit(True))
-    pred, score, chosen, shares = langid.infer([text("aa", 70) + " " + text("bb", 30), text("bb", 40), "123", ""], langs, model)
+    pred, score, chosen, shares, gain = langid.infer([text("aa", 70) + " " + text("bb", 30), text("bb", 40), "123", ""], langs, model)
     assert pred == ["aa", "bb", "und", "und"] and chosen[0] == ["aa", "bb"] and 0.6 < score[0] < 0.8 and chosen[1] == ["bb"] and score[2] == 0.0
+    assert gain[0] > 1 and gain[1] > 1 and langid.infer(["qxz jvk wqy zzx"], langs, model)[4][0] < 0
+
+
+def test_five_languages(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    word = {"aa": "alpha beta gamma delta", "bb": "worum zweck kraft stolz", "cc": "quiso llave jamás hijo", "dd": "êtes voix français fête", "ee": "kép szív győző nyár"}
+    text = lambda lang, n: " ".join(rng.choice(word[lang].split(), n))
+    docs = spark.createDataFrame([(i, text(lang, 60), lang) for lang in word for i in range(8)], "doc_id long, text string, lang string")
+    langs, model = langid.fit(docs, F.lit(True))
+    mixed = " ".join(text(lang, 80 - 10 * i) for i, lang in enumerate(word))
+    pred, score, chosen, shares, _ = langid.infer([mixed, text("cc", 40)], langs, model)
+    assert set(chosen[0]) == set(word) and pred[0] == "aa" and 0.15 < score[0] < 0.4 and abs(sum(shares[0]) - 1) < 1e-3 and chosen[1] == ["cc"]
+    whole = langid.infer([mixed * 3], langs, model)
+    monkeypatch.setattr(langid, "CHUNK_CHARS", 500)  # a long text is counted in pieces
+    cut = langid.infer([mixed * 3], langs, model)
+    assert cut[0] == whole[0] and cut[2] == whole[2] and abs(cut[1][0] - whole[1][0]) < 0.01
 
 
 @real

@@ -2,12 +2,15 @@
 
 The model is a table of hashed letter-trigram counts per language, counted over every learning row on
 Spark (one map-side table per task, then a sum). A text is seen as a mixture of languages:
-expectation-maximisation estimates the proportions from trigram likelihoods, nested language sets (the
-strongest one, two or three) are compared by penalised log-likelihood, and the strongest language of the
-chosen set is the prediction; its share is the score.
+expectation-maximisation estimates the proportions from trigram likelihoods until they settle, nested language
+sets (the strongest one, the strongest two, and so on up to all) are compared by penalised log-likelihood, and the
+strongest language of the chosen set is the prediction; its share is the score. No set can fit better than the
+full mixture, so a text leaves as soon as the penalty of the next size outweighs what is left to gain: there is
+no limit on languages, and most texts are done after one or two.
 
 Defined cases: a null text, or one without a letter, gives ``und`` and 0.0; so does every text when no
-row could be learned from. Equal shares go to the language that sorts first. Texts are read whole.
+row could be learned from, and every text of an empty table gives no row. Equal shares go to the language that sorts
+first; repeated rows get equal results. Texts are read whole, a long one in chunks of CHUNK_CHARS.
 """
 
 from __future__ import annotations
@@ -29,8 +32,10 @@ CELLS = 1 << GRAM_BITS
 #: Characters that are worked on at once in a task.
 CHUNK_CHARS = 1 << 20
 SMOOTHING = 0.05
-EM_STEPS = 8
-MAX_LANGUAGES = 3
+#: Shares have settled when a round of EM_ROUND steps moves none of a text's by SETTLED; EM_ROUNDS at most.
+EM_ROUND, EM_ROUNDS, SETTLED = 4, 16, 1e-3
+#: Languages that a model may hold (cells x languages are held by every worker); more are an error.
+MOST_LANGUAGES = 1024
 #: A further language must lift the log-likelihood by this many times half the log of the trigram count.
 PENALTY = 8.0
 
@@ -58,14 +63,49 @@ def gram_cells(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return owner[letter], (mixed >> np.uint32(32 - GRAM_BITS))[letter]
 
 
+def counted(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text number, cell, count) of the distinct trigrams, in order. A text longer than CHUNK_CHARS is counted in
+    pieces that overlap by the letters around their edges."""
+    keys, counts = [], []
+    for i, t in enumerate(texts):
+        if len(t) > CHUNK_CHARS:
+            table = np.zeros(CELLS, np.int64)
+            for piece in pieces(t):
+                table += np.bincount(gram_cells([piece])[1], minlength=CELLS)
+            cells = np.nonzero(table)[0]
+            keys.append((np.int64(i) << GRAM_BITS) | cells)
+            counts.append(table[cells])
+    short = [t if len(t) <= CHUNK_CHARS else "" for t in texts]
+    owner, cell = gram_cells(short)
+    key, n = np.unique((owner.astype(np.int64) << GRAM_BITS) | cell, return_counts=True)
+    if keys:
+        key, n = np.concatenate([key, *keys]), np.concatenate([n, *counts])
+        order = np.argsort(key, kind="stable")
+        key, n = key[order], n[order]
+    return key >> GRAM_BITS, key & (CELLS - 1), n
+
+
+def pieces(t: str) -> Iterator[str]:
+    """A long text cut behind characters that are no letters (or anywhere, in a run of CHUNK_CHARS letters), where
+    no trigram reaches across: a cut run's edges count as word edges."""
+    at = 0
+    while at < len(t):
+        end = min(len(t), at + CHUNK_CHARS)
+        if end < len(t):
+            edge = next((k for k in range(end, max(at, end - 4096), -1) if not t[k - 1].isalpha()), end)
+            end = edge
+        yield t[at:end]
+        at = end
+
+
 def chunks(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
-    """(first number, texts) runs of about CHUNK_CHARS characters."""
+    """(first number, texts) runs of about CHUNK_CHARS characters; a longer text is a run of its own."""
     start, size = 0, 0
     for i, t in enumerate(texts):
+        if size and size + len(t) >= CHUNK_CHARS:
+            yield start, texts[start:i]
+            start, size = i, 0
         size += len(t) + 1
-        if size >= CHUNK_CHARS:
-            yield start, texts[start : i + 1]
-            start, size = i + 1, 0
     if start < len(texts):
         yield start, texts[start:]
 
@@ -91,7 +131,8 @@ def fit(docs: DataFrame, where: Column, lang_col: str = "lang", text_col: str =
                 by.setdefault(lang, []).append(text)
             for lang, texts in by.items():
                 for _, some in chunks(texts):
-                    got = np.bincount(gram_cells(some)[1], minlength=CELLS).astype(np.int64)
+                    _, cell, n = counted(some)
+                    got = np.bincount(cell, weights=n, minlength=CELLS).astype(np.int64)
                     table[lang] = table[lang] + got if lang in table else got
             if len(table) > 64:
                 yield from flush()
@@ -99,61 +140,88 @@ def fit(docs: DataFrame, where: Column, lang_col: str = "lang", text_col: str =
 
     counts = rows.mapInArrow(count, "lang string, cell int, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(counts["lang"].unique())
+    if len(langs) > MOST_LANGUAGES:
+        raise ValueError(f"{len(langs)} languages to learn; a model holds {MOST_LANGUAGES} at most")
     table = np.zeros((CELLS, len(langs)))
     table[counts["cell"].to_numpy(dtype=np.int64), np.searchsorted(langs, counts["lang"].to_numpy(dtype=object)) if langs else []] = counts["n"]
     table += SMOOTHING
     return langs, (table / table.sum(axis=0)).astype(np.float32) if langs else table
 
 
-def _em(p: np.ndarray, n: np.ndarray, owner: np.ndarray, starts: np.ndarray, share: np.ndarray, steps: int) -> tuple[np.ndarray, np.ndarray]:
-    """Mixture shares of each text and its log-likelihood; a share of 0 stays 0."""
-    total = np.add.reduceat(n, starts)[:, None]
-    for _ in range(steps):
-        part = p * share[owner]
-        part *= (n / np.maximum(part.sum(axis=1), 1e-30))[:, None]
-        share = np.add.reduceat(part, starts, axis=0) / total
-    mixed = np.einsum("ij,ij->i", p, share[owner])
+def _em(p: np.ndarray, n: np.ndarray, starts: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Settled mixture shares of each text and its log-likelihood; a share of 0 stays 0. Texts leave as they settle."""
+    size = np.diff(np.r_[starts, len(n)])
+    share, live = share.copy(), np.arange(len(starts))
+    pp, nn, ss, now = p, n, starts, share
+    for _ in range(EM_ROUNDS if share.shape[1] > 1 else 0):
+        owner = np.repeat(np.arange(len(live)), size[live])
+        total = np.add.reduceat(nn, ss)[:, None]
+        old = now
+        for _ in range(EM_ROUND):
+            part = pp * now[owner]
+            part *= (nn / np.maximum(part.sum(axis=1), 1e-30))[:, None]
+            now = np.add.reduceat(part, ss, axis=0) / total
+        moves = np.abs(now - old).max(axis=1) > SETTLED
+        share[live] = now
+        if not moves.any():
+            break
+        if not moves.all():
+            rows = moves[owner]
+            live, pp, nn, now = live[moves], pp[rows], nn[rows], now[moves]
+            ss = np.cumsum(size[live]) - size[live]
+    mixed = np.einsum("ij,ij->i", p, share[np.repeat(np.arange(len(starts)), size)])
     return share, np.add.reduceat(n * np.log(np.maximum(mixed, 1e-30)), starts)
 
 
-def infer(texts: list[str], langs: list[str], table: np.ndarray) -> tuple[list[str], list[float], list[list[str]], list[list[float]]]:
-    """Prediction, score, chosen languages and their shares of each text."""
-    pred, score, chosen, shares = ["und"] * len(texts), [0.0] * len(texts), [[] for _ in texts], [[] for _ in texts]
+def infer(texts: list[str], langs: list[str], table: np.ndarray) -> tuple[list[str], list[float], list[list[str]], list[list[float]], list[float]]:
+    """Prediction, score, chosen languages, their shares, and the gain over chance (nats a trigram) of each text."""
+    pred, score, gain = ["und"] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
+    chosen, shares = [[] for _ in texts], [[] for _ in texts]
     for first, some in chunks(texts) if langs else ():
-        owner, cell = gram_cells(some)
+        owner, cell, count = counted(some)
         if not len(owner):
             continue
-        key, n = np.unique((owner.astype(np.int64) << GRAM_BITS) | cell, return_counts=True)
-        owner, p, n = key >> GRAM_BITS, table[key & (CELLS - 1)], n.astype(np.float32)
+        p, n = table[cell], count.astype(np.float32)
         starts = np.nonzero(np.r_[True, owner[1:] != owner[:-1]])[0]
-        who, owner = owner[starts], np.cumsum(np.r_[0, owner[1:] != owner[:-1]])
-        full, _ = _em(p, n, owner, starts, np.full((len(who), len(langs)), 1 / len(langs), np.float32), EM_STEPS)
+        who, size = owner[starts], np.diff(np.r_[starts, len(owner)])
+        full, most = _em(p, n, starts, np.full((len(who), len(langs)), 1 / len(langs), np.float32))
         order = np.argsort(-full, axis=1, kind="stable")
-        half_log = np.log(np.maximum(np.add.reduceat(n, starts), 2)) / 2
-        best, share = np.full(len(who), -np.inf), np.zeros_like(full)
-        for k in range(1, min(MAX_LANGUAGES, len(langs)) + 1):
-            start = np.zeros_like(full)
-            np.put_along_axis(start, order[:, :k], np.maximum(np.take_along_axis(full, order[:, :k], axis=1), 1e-3), axis=1)
+        total = np.add.reduceat(n, starts)
+        half_log = np.log(np.maximum(total, 2)) / 2
+        best, raw, share = np.full(len(who), -np.inf), np.full(len(who), -np.inf), np.zeros_like(full)
+        for k in range(1, len(langs) + 1):
+            # no set beats the full mixture (its settled likelihood, with a little for what was left unsettled)
+            todo = np.nonzero(most + SETTLED * total - PENALTY * (k - 1) * half_log > best)[0]
+            if not len(todo):
+                break
+            rows = np.repeat(np.isin(np.arange(len(who)), todo), size)
+            top = order[todo, :k]
+            # the set's own columns only
+            mine = np.take_along_axis(p[rows], np.repeat(top, size[todo], axis=0), axis=1)
+            start = np.maximum(np.take_along_axis(full[todo], top, axis=1), 1e-3)
             start /= start.sum(axis=1, keepdims=True)
-            got, fits = _em(p, n, owner, starts, start, EM_STEPS if k > 1 else 0)
-            fits = fits - PENALTY * (k - 1) * half_log
-            share[fits > best] = got[fits > best]
-            best = np.maximum(best, fits)
-        for row, i in enumerate(who + first):
+            got, fits = _em(mine, n[rows], np.cumsum(size[todo]) - size[todo], start)
+            value = fits - PENALTY * (k - 1) * half_log[todo]
+            better = value > best[todo]
+            wide = np.zeros((int(better.sum()), full.shape[1]), full.dtype)
+            np.put_along_axis(wide, top[better], got[better], axis=1)
+            share[todo[better]], best[todo[better]], raw[todo[better]] = wide, value[better], fits[better]
+        over = raw / total + np.log(CELLS)
+        for row, i in enumerate((who + first).tolist()):
             top = int(np.argmax(share[row]))
             ranked = [j for j in order[row] if share[row, j] > 0]
-            pred[i], score[i] = langs[top], float(min(1.0, max(0.0, share[row, top])))
+            pred[i], score[i], gain[i] = langs[top], float(min(1.0, max(0.0, share[row, top]))), float(over[row])
             chosen[i], shares[i] = [langs[j] for j in ranked], [float(share[row, j]) for j in ranked]
-    return pred, score, chosen, shares
+    return pred, score, chosen, shares, gain
 
 
 def identify(text: Column, model: tuple[list[str], np.ndarray]) -> Column:
-    """struct(lang_pred, score, languages, shares) of a text column."""
+    """struct(lang_pred, score, languages, shares, gain) of a text column."""
     langs, table = model
 
-    @F.pandas_udf("lang_pred string, score double, languages array<string>, shares array<double>")
+    @F.pandas_udf("lang_pred string, score double, languages array<string>, shares array<double>, gain double")
     def run(batch: pd.Series) -> pd.DataFrame:
-        pred, score, chosen, shares = infer([t or "" for t in batch], langs, table)
-        return pd.DataFrame({"lang_pred": pred, "score": score, "languages": chosen, "shares": shares})
+        pred, score, chosen, shares, gain = infer([t or "" for t in batch], langs, table)
+        return pd.DataFrame({"lang_pred": pred, "score": score, "languages": chosen, "shares": shares, "gain": gain})
 
     return run(text)
