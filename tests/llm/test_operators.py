@@ -168,7 +168,7 @@ def test_rules_odd(spark, odd, empty):
 def test_neighbours_odd(spark):
     rng = np.random.default_rng(3)
     rows = [(i, rng.normal(size=8).tolist()) for i in range(300)] + [(i, [1.0] * 8) for i in range(300, 330)]
-    rows += [(330, None), (331, [0.0] * 8), (332, [float("nan")] * 8), (333, [None] + [1.0] * 7), (None, [1.0] * 8), (334, []), (335, [1.0, 2.0]), (300, [1.0] * 8)]
+    rows += [(330, None), (331, [0.0] * 8), (332, [float("nan")] * 8), (333, [None] + [1.0] * 7), (None, [1.0] * 8), (334, []), (335, [1.0, 2.0]), (350, [float("inf")] * 8)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     got = {}
     for r in ann_tiles.nearest(df, 50, 5).collect():
@@ -181,6 +181,26 @@ def test_neighbours_odd(spark):
     assert ann_tiles.nearest(df.limit(0), 50, 5).count() == 0
 
 
+@pytest.mark.parametrize("growth", [1, 4])
+def test_rows_that_repeat_an_id_are_candidates(spark, monkeypatch, growth):
+    """Every row but the query's own, also those of its id; in many tiles, with other columns beside."""
+    monkeypatch.setattr(ann_tiles, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(ann_tiles, "CANDIDATE_BLOCK", 20)
+    monkeypatch.setattr(ann_tiles, "MANY_TILES", 1 if growth > 1 else 1 << 12)
+    rng = np.random.default_rng(4)
+    rows = [(i % 60, rng.normal(size=4).tolist()) for i in range(150)]
+    df = spark.createDataFrame([(i, v, i, "x", False) for i, v in rows], "vec_id long, embedding array<double>, row long, id string, query boolean").repartition(3)
+    x = np.array([v for _, v in rows])
+    want = []
+    for at, (q, _) in enumerate(rows):
+        if q % 10 == 0:
+            score = ann_tiles.cosine(np.repeat(x[at : at + 1], len(x), axis=0), x)
+            best = sorted((-float(score[j]), rows[j][0]) for j in range(len(x)) if j != at)[:5]
+            want += [(q, k, i, round(-s, 9)) for k, (s, i) in enumerate(best, 1)]
+    got = [(r["query_id"], r["rank"], r["vec_id"], round(r["score"], 9)) for r in ann_tiles.nearest(df, 10, 5).collect()]
+    assert sorted(got) == sorted(want)
+
+
 def test_quantisation_bound():
     rng = np.random.default_rng(4)
     u, v = (ann_tiles._unit(rng.normal(size=(50, 32))) for _ in range(2))
