@@ -1,18 +1,24 @@
 """Operator 10: toxicity by a weighted finite-state pattern grammar.
 
-Five small transducers are composed over the tokens of a clause: insults (words and word beginnings
-with weights learned from labels), threats, targets, negation and reported speech. The composition is one
-machine whose state is (tokens since a negation, reported or not, tokens since a target, pending match);
-it emits a weight on one of six channels for each match, so whole clauses are scored, not isolated words:
-an insult near a target weighs on another channel than one that is negated or reported. A logistic layer
-over the channels, fitted on a bounded labelled sample, gives the score.
-
-Defined cases: null and empty texts score as a text without any match; texts are read whole; with no
-learned insult only threats can match; with no labelled rows of both values every score is 0.0.
+Small transducers read the word classes of a clause: negation, reported speech and targets open a scope of a few
+words, insults (words and word beginnings with weights learned from labels) and threats are what is matched. The
+scopes to the left are composed into one machine (the product of their reachable states), targets to the right are
+read by the same target machine from the other end, and a table over both states and the kind of a match tells the
+channel that its weight is emitted on. So whole clauses are scored, not isolated words: an insult near a target
+weighs on another channel than one that is negated or reported. The weight of a clause is the sum along its only
+path. A logistic layer over the channels, fitted on a bounded labelled sample, gives the score.
+
+The lexicon is learned. The closed word classes (``WordClasses``) are grammar, not evidence of toxicity, and are a
+parameter.
+
+Defined cases: null and empty texts score as a text without any match; texts are read whole; repeated rows get equal
+scores, and each counts in the fit; features of equal worth are taken in the order of their names; with no learned
+insult only threats can match; with no labelled rows of both values, or an empty table, every score is 0.0.
 """
 
 from __future__ import annotations
 
+import dataclasses
 import functools
 import math
 import re
@@ -21,24 +27,74 @@ from collections.abc import Iterable
 import ahocorasick
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from transloom.llm.common import small_batches
+from transloom.llm.common import cut, small_batches
 from transloom.llm.samples import ROWS_PER_LABEL, labelled_sample, learning_rows
 
-#: Closed word classes of the grammar, in the four languages of the corpus.
-THREATS = frozenset("kill hurt destroy beat burn stab shoot töten schlagen vernichten tuer frapper détruire matar golpear destruir".split())
-TARGETS = frozenset("you your he she him her they them u du dich ihr euch er sie ihn tu toi te vous il elle ils tú te usted él ella ellos".split())
-NEGATORS = frozenset("not no never nobody without nicht nie kein keine ohne ne pas jamais sans no nunca sin".split())
-REPORTERS = frozenset("said says wrote claimed quoted called sagte schrieb nannte dit écrit appelé dijo escribió llamó".split())
-
+OTHER, NEGATOR, REPORTER, TARGET, INSULT, THREAT = range(6)
+#: Words to the right of a negator, of a reporter, and on either side of a target that are in its scope.
 NEGATION_SCOPE = 3
+REPORT_SCOPE = 12
 TARGET_SCOPE = 4
+
+
+@dataclasses.dataclass(frozen=True)
+class WordClasses:
+    """The closed word classes of the grammar; the defaults are for English, German, French and Spanish."""
+
+    threats: frozenset[str] = frozenset("kill hurt destroy beat burn stab shoot töten schlagen vernichten tuer frapper détruire matar golpear destruir".split())
+    targets: frozenset[str] = frozenset("you your he she him her they them u du dich ihr euch er sie ihn tu toi te vous il elle ils tú usted él ella ellos".split())
+    negators: frozenset[str] = frozenset("not no never nobody without nicht nie kein keine ohne ne pas jamais sans nunca sin".split())
+    reporters: frozenset[str] = frozenset("said says wrote claimed quoted called sagte schrieb nannte dit écrit appelé dijo escribió llamó".split())
+
+
+@dataclasses.dataclass(frozen=True)
+class Machine:
+    """A deterministic automaton over word classes: ``arcs[state][class]`` is the next state, 0 the first one;
+    ``marks[state]`` is what a word read in that state gets."""
+
+    arcs: tuple[tuple[int, ...], ...]
+    marks: tuple[tuple[bool, ...], ...]
+
+    def states(self, symbols: Iterable[int]) -> list[int]:
+        """The state in which each word is read."""
+        out, at = [], 0
+        for x in symbols:
+            out.append(at)
+            at = self.arcs[at][x]
+        return out
+
+
+def scope(opener: int, words: int) -> Machine:
+    """A machine whose state is how many words of an open scope are left."""
+    arcs = tuple(tuple(words if x == opener else max(k - 1, 0) for x in range(6)) for k in range(words + 1))
+    return Machine(arcs, tuple((k > 0,) for k in range(words + 1)))
+
+
+def compose(a: Machine, b: Machine) -> Machine:
+    """Both machines side by side, over the pairs of states that are reached together."""
+    at = {(0, 0): 0}
+    todo, arcs = [(0, 0)], []
+    for i, j in todo:  # grows as pairs are found
+        row = []
+        for x in range(6):
+            pair = a.arcs[i][x], b.arcs[j][x]
+            if pair not in at:
+                at[pair] = len(todo)
+                todo.append(pair)
+            row.append(at[pair])
+        arcs.append(tuple(row))
+    return Machine(tuple(arcs), tuple(a.marks[i] + b.marks[j] for i, j in todo))
+
+
 CHANNELS = ("insult", "insult_target", "threat", "threat_target", "negated", "reported")
 STEM_LENGTHS = range(4, 9)
-#: Candidates are the features of the largest likelihood ratio, at least LEAST_DEVIANCE.
+#: Longer runs of letters count by their beginnings only.
+LONGEST_WORD = 64
+#: Candidates of a round are the features of the largest likelihood ratio (of their toxic share against the
+#: sample's), at least LEAST_DEVIANCE.
 MAX_CANDIDATES = 3000
 LEAST_DEVIANCE = 12.0
 MAX_LEXICON = 500
@@ -63,7 +119,7 @@ _WORD = re.compile(r"[^\W\d_]+")
 def stems(text: str) -> list[str]:
     """Distinct ``=word`` and ``word-beginning*`` features of a text."""
     words = set(_WORD.findall(text.lower()))
-    out = {f"={w}" for w in words if 2 <= len(w) <= 24}
+    out = {f"={w}" for w in words if 2 <= len(w) <= LONGEST_WORD}
     out |= {f"{w[:k]}*" for w in words for k in STEM_LENGTHS if k < len(w)}
     return sorted(out)
 
@@ -82,12 +138,6 @@ def lower_bound(t: np.ndarray, c: np.ndarray, toxic: int, clean: int) -> np.ndar
     return odds / (1 + odds)
 
 
-def deviance(t: int, c: int, toxic: int, clean: int) -> float:
-    """Likelihood-ratio statistic of a feature's toxic share against the sample's."""
-    n, share = t + c, toxic / (toxic + clean)
-    return 2 * (t * math.log(t / (n * share)) + (c * math.log(c / (n * (1 - share))) if c else 0.0))
-
-
 def choose_lexicon(names: list[str], counts: list[tuple[int, int]], has: np.ndarray, y: np.ndarray, sizes: tuple[int, int] | None = None) -> dict[str, float]:
     """Greedy cover of the toxic texts by words and beginnings, with discounted repeats.
 
@@ -129,48 +179,48 @@ def _nested(f: str, g: str) -> bool:
 class Grammar:
     """The composed transducer with a learned insult lexicon."""
 
-    def __init__(self, lexicon: dict[str, float]):
+    def __init__(self, lexicon: dict[str, float], classes: WordClasses = WordClasses()):
         self.words = {f[1:]: w for f, w in lexicon.items() if f[0] == "="}
         self.heads = {f[:-1]: w for f, w in lexicon.items() if f[0] != "="}
+        self.classes = {w: k for k, ws in ((REPORTER, classes.reporters), (NEGATOR, classes.negators), (TARGET, classes.targets), (THREAT, classes.threats)) for w in ws}
+        self.right = scope(TARGET, TARGET_SCOPE)
+        self.left = compose(compose(scope(REPORTER, REPORT_SCOPE), scope(NEGATOR, NEGATION_SCOPE)), self.right)
+        #: channel of a match of kind 0 (insult) or 1 (threat), by left state and right state
+        self.emit = [[[self.channel(*left, *right, kind) for kind in (0, 1)] for right in self.right.marks] for left in self.left.marks]
         self.finder = ahocorasick.Automaton()
-        for w in {*self.words, *self.heads, *THREATS}:
+        for w in {*self.words, *self.heads, *classes.threats}:
             self.finder.add_word(w, len(w))
         self.finder.make_automaton()
 
+    @staticmethod
+    def channel(reported: bool, negated: bool, target_before: bool, target_after: bool, kind: int) -> int:
+        return 5 if reported else 4 if negated else 2 * kind + (target_before or target_after)
+
     def insult(self, token: str) -> float:
         if token in self.words:
             return self.words[token]
         return max((self.heads[token[:k]] for k in STEM_LENGTHS if token[:k] in self.heads), default=0.0)
 
+    def read(self, tokens: list[str]) -> tuple[list[int], list[float]]:
+        """Word class and weight of each word. A threat or insult is that first of all."""
+        symbols, weights = [], []
+        for t in tokens:
+            symbol, w = self.classes.get(t, OTHER), 0.0
+            if symbol == THREAT:
+                w = THREAT_WEIGHT
+            elif w := self.insult(t):
+                symbol = INSULT
+            symbols.append(symbol)
+            weights.append(w)
+        return symbols, weights
+
     def run(self, clause: str, out: list[float]) -> None:
-        """Add the weights that the machine emits on a clause."""
-        negated = since_target = 99
-        reported = False
-        pending: list[tuple[int, int, float]] = []  # (channel, position, weight) that a later target can move
-        for at, token in enumerate(_TOKEN.findall(clause)):
-            if token in NEGATORS:
-                negated = at
-            if token in REPORTERS:
-                reported = True
-            if token in TARGETS:
-                since_target = at
-                for channel, where, w in pending:
-                    if at - where <= TARGET_SCOPE:
-                        out[channel] -= w
-                        out[channel + 1] += w
-                pending = []
-            kind, w = (0, self.insult(token)) if token not in THREATS else (2, THREAT_WEIGHT)
-            if not w:
-                continue
-            if reported:
-                out[5] += w
-            elif 0 <= at - negated <= NEGATION_SCOPE:
-                out[4] += w
-            elif 0 <= at - since_target <= TARGET_SCOPE:
-                out[kind + 1] += w
-            else:
-                out[kind] += w
-                pending.append((kind, at, w))
+        """Add the weights that the transducer emits on a clause."""
+        symbols, weights = self.read(_TOKEN.findall(clause))
+        left, right = self.left.states(symbols), self.right.states(reversed(symbols))[::-1]
+        for x, w, i, j in zip(symbols, weights, left, right, strict=True):
+            if w:
+                out[self.emit[i][j][x == THREAT]] += w
 
     def channels(self, text: str | None) -> list[float]:
         """Summed weights of a text's matched clauses; clauses without a match are never tokenised."""
@@ -221,8 +271,11 @@ def _lexicon_round(sample: DataFrame, size: dict[int, int], lexicon: dict[str, f
         rest = rest.where((F.col("label") == 0) | ~F.arrays_overlap("stems", F.array(*map(F.lit, lexicon))))
     seen = rest.select("label", F.explode("stems").alias("stem")).groupBy("stem")
     seen = seen.agg(F.sum("label").alias("t"), F.count("*").alias("n")).where((F.col("t") >= 3) & (F.col("t") * 2 >= F.col("n")))
-    ranked = [(deviance(r["t"], r["n"] - r["t"], size[1], size[0]), r["stem"], r["t"], r["n"] - r["t"]) for r in seen.toLocalIterator()]
-    ranked = sorted((r for r in ranked if r[0] >= LEAST_DEVIANCE), key=lambda r: (-r[0], r[1]))[:MAX_CANDIDATES]
+    share = size[1] / (size[0] + size[1])
+    c = F.col("n") - F.col("t")
+    worth = 2 * (F.col("t") * F.log(F.col("t") / (F.col("n") * share)) + F.when(c > 0, c * F.log(c / (F.col("n") * (1 - share)))).otherwise(0.0))
+    best = seen.withColumn("worth", worth).where(F.col("worth") >= LEAST_DEVIANCE).orderBy(F.desc("worth"), "stem").limit(MAX_CANDIDATES)
+    ranked = [(r["worth"], r["stem"], r["t"], r["n"] - r["t"]) for r in best.collect()]
     names = [r[1] for r in ranked]
     if not names:
         return {}
@@ -258,7 +311,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows_per_label: int = ROWS_PER_LABEL
     """(insult lexicon, logistic coefficients) from a bounded labelled sample (see ``samples``)."""
     small_batches(docs.sparkSession)
     sample = labelled_sample(docs, labels, "toxic", rows_per_label)
-    sample = sample.persist(StorageLevel.MEMORY_AND_DISK)
+    sample = cut(sample)  # a bounded table
     size = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if not (size.get(0) and size.get(1)):
         return {}, None
@@ -269,7 +322,6 @@ def fit(docs: DataFrame, labels: DataFrame, rows_per_label: int = ROWS_PER_LABEL
     grammar = Grammar(lexicon)
     emit = F.pandas_udf(lambda s: s.map(grammar.channels), "array<double>")
     rows = sample.select("label", emit("text").alias("x")).toPandas()
-    sample.unpersist()
     y = rows["label"].to_numpy(dtype=float)
     weight = np.where(y == 1, len(y) / 2 / y.sum(), len(y) / 2 / (len(y) - y.sum()))
     return lexicon, fit_logistic(inputs(list(rows["x"])), y, weight).tolist()
