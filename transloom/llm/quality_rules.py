@@ -3,13 +3,15 @@
 Each text gets four integer measures. Their distribution per language and source is a log-linear
 histogram sketch: cells of width 1 below 64 and of relative width 1/32 above, so quantiles are exact for
 small values and within about 3 % for large ones, counts merge by addition (per task, per source, per
-language, over all), and the same rows give the same thresholds however they are split. Thresholds are the
-quartile fences of a row's own (language, source) group; groups of fewer than MIN_GROUP rows use their
-language's, and small languages the whole corpus's. The rows are then joined with their thresholds and
-filtered.
+language, over all), and the same rows give the same thresholds however they are split. Thresholds are fences of a
+row's own (language, source) group: so many interquartile ranges beyond the quartiles, or, for measures that are 0 in
+most texts, so many times the distance of the upper tail. A group that is too small for a measure uses its language's
+fence, a small language the whole corpus's. A group's fence lies at most SLACK times as far out as its parent's, so a
+source full of junk cannot vouch for itself. The rows are then joined with their thresholds and filtered.
 
 Defined cases: a null or empty text has no words and fails the base rule; null language or source is a
-group of its own; repeated rows get the same verdict.
+group of its own; repeated rows get the same verdict and each counts in the sketch; a value on a fence is within it;
+very long texts are measured whole, inside their row; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,14 +23,20 @@ from transloom.llm.common import SPACES, written
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
-MIN_GROUP = 50
-#: Fences lie this many interquartile ranges beyond the quartiles ...
-FENCE_RANGES = 3
+#: Rows that a group needs for its quartiles, and for its upper tail.
+MIN_GROUP, MIN_TAIL = 50, 500
+QUARTILES = (0.25, 0.75)
+#: The upper tail begins at this quantile (a binary fraction, so that ranks are exact).
+TAIL = 63 / 64
+#: Fences lie this many interquartile ranges beyond the quartiles, or this many times the tail's distance ...
+FENCE_RANGES, TAIL_RANGES = 3, 6
 #: ... and at least this far: measure -> least distance (per mille; word length in hundredths of a character).
-LEAST_DISTANCE = {"symbols": 30, "dup_lines": 500, "repeats": 500, "word_length": 150}
-#: Measures with a lower fence too.
+LEAST_DISTANCE = {"symbols": 30, "dup_lines": 50, "repeats": 50, "word_length": 150}
+#: Measures with a lower fence too, and those whose fence follows the tail.
 TWO_SIDED = ("word_length",)
-QUARTILES = (0.25, 0.75)
+TAILED = ("dup_lines", "repeats")
+#: A group's fence is at most this many times as far from its parent's quartile as the parent's fence is.
+SLACK = 2
 
 
 def words(text: Column) -> Column:
@@ -92,26 +100,40 @@ def sketches(measured: DataFrame) -> DataFrame:
 
 
 def fences(cells: DataFrame, keys: list[str]) -> DataFrame:
-    """One row per group of ``keys``: n and a map measure -> (low, high), from the merged sketches."""
+    """One row per group of ``keys``: n and measure -> (q0, q1, low, high), from the merged sketches."""
     group = [*keys, "measure"]
     merged = cells.groupBy(*group, "top").agg(F.sum("n").alias("n"))
     merged = merged.withColumns({"upto": F.sum("n").over(Window.partitionBy(*group).orderBy("top")), "all": F.sum("n").over(Window.partitionBy(*group))})
-    at = {f"q{i}": F.min(F.when(F.col("upto") >= F.col("all") * F.lit(q), F.col("top"))) for i, q in enumerate(QUARTILES)}
+    at = {f"q{i}": F.min(F.when(F.col("upto") >= F.col("all") * F.lit(q), F.col("top"))) for i, q in enumerate((*QUARTILES, TAIL))}
     found = merged.groupBy(*group).agg(F.max("all").alias("all"), *[c.alias(k) for k, c in at.items()])
     least = F.lit(0)
     for m, d in LEAST_DISTANCE.items():
         least = F.when(F.col("measure") == m, d).otherwise(least)
-    reach = F.greatest(FENCE_RANGES * (F.col("q1") - F.col("q0")), least)
+    tail = F.when(F.col("measure").isin(*TAILED), TAIL_RANGES * (F.col("q2") - F.col("q1"))).otherwise(0)
+    reach = F.greatest(FENCE_RANGES * (F.col("q1") - F.col("q0")), tail, least)
     low = F.when(F.col("measure").isin(*TWO_SIDED), F.col("q0") - reach).otherwise(F.lit(-1))
+    fence = F.struct("q0", "q1", low.alias("low"), (F.col("q1") + reach).alias("high"))
     out = found.groupBy(*keys) if keys else found.groupBy()
-    return out.agg(F.max("all").alias("n"), *[F.max(F.when(F.col("measure") == m, F.struct(low.alias("low"), (F.col("q1") + reach).alias("high")))).alias(m) for m in MEASURES])
+    return out.agg(F.max("all").alias("n"), *[F.max(F.when(F.col("measure") == m, fence)).alias(m) for m in MEASURES])
+
 
+def bounded(own: Column, parent: Column, measure: str) -> Column:
+    """The own fence, at most SLACK times as far out as the parent's."""
+    high = F.least(own["high"], parent["q1"] + SLACK * (parent["high"] - parent["q1"]))
+    low = F.greatest(own["low"], parent["q0"] - SLACK * (parent["q0"] - parent["low"])) if measure in TWO_SIDED else own["low"]
+    return F.struct(own["q0"].alias("q0"), own["q1"].alias("q1"), low.alias("low"), high.alias("high"))
 
-def thresholds(cells: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
+
+def thresholds(cells: DataFrame, min_group: int = MIN_GROUP, min_tail: int = MIN_TAIL) -> DataFrame:
     """The fences that hold for each (language, source): its own, its language's, or the corpus's."""
     own, by_lang, overall = fences(cells, ["lang", "source"]), fences(cells, ["lang"]), fences(cells, [])
     out = own.alias("o").join(by_lang.alias("l"), F.col("o.lang").eqNullSafe(F.col("l.lang")), "left").join(F.broadcast(overall).alias("a"), F.lit(True), "left")
-    pick = lambda m: F.when(F.col("o.n") >= min_group, F.col(f"o.{m}")).when(F.col("l.n") >= min_group, F.col(f"l.{m}")).otherwise(F.col(f"a.{m}"))
+
+    def pick(m: str) -> Column:
+        need = min_tail if m in TAILED else min_group
+        lang = F.when(F.col("l.n") >= need, bounded(F.col(f"l.{m}"), F.col(f"a.{m}"), m)).otherwise(F.col(f"a.{m}"))
+        return F.when(F.col("o.n") >= need, bounded(F.col(f"o.{m}"), lang, m)).otherwise(lang)
+
     level = F.when(F.col("o.n") >= min_group, "source").when(F.col("l.n") >= min_group, "language").otherwise("corpus")
     return out.select("o.lang", "o.source", level.alias("level"), *[pick(m).alias(m) for m in MEASURES])
 
@@ -157,20 +179,24 @@ x AS (
   FROM (UNPIVOT (SELECT lang, source, symbols, dup_lines, repeats, word_length FROM v) ON symbols, dup_lines, repeats, word_length INTO NAME measure VALUE val)),
 y AS (SELECT *, (val // width + 1) * width - 1 AS top FROM x),
 z AS (
-  SELECT kl, ks, measure, quantile_disc(top, 0.25) AS a, quantile_disc(top, 0.75) AS b, count(*) AS n
+  SELECT kl, ks, measure, quantile_disc(top, 0.25) AS a, quantile_disc(top, 0.75) AS b, quantile_disc(top, 0.984375) AS e, count(*) AS n
   FROM y GROUP BY GROUPING SETS ((kl, ks, measure), (kl, measure), (measure))),
 f AS (
-  SELECT kl, ks, measure, n,
+  SELECT kl, ks, measure, n, a, b, CASE WHEN measure IN ('dup_lines', 'repeats') THEN 500 ELSE 50 END AS need,
          CASE WHEN measure = 'word_length' THEN a - greatest(3 * (b - a), 150) ELSE -1 END AS low,
-         b + greatest(3 * (b - a), CASE measure WHEN 'symbols' THEN 30 WHEN 'word_length' THEN 150 ELSE 500 END) AS high
+         b + greatest(3 * (b - a), CASE measure WHEN 'symbols' THEN 30 WHEN 'word_length' THEN 150 ELSE greatest(6 * (e - b), 50) END) AS high
   FROM z),
+fl AS (
+  SELECT l.kl, l.measure, l.n, CASE WHEN l.n >= l.need THEN l.a ELSE a.a END AS a, CASE WHEN l.n >= l.need THEN l.b ELSE a.b END AS b,
+         CASE WHEN l.n < l.need THEN a.low WHEN l.measure = 'word_length' THEN greatest(l.low, a.a - 2 * (a.a - a.low)) ELSE -1 END AS low,
+         CASE WHEN l.n < l.need THEN a.high ELSE least(l.high, a.b + 2 * (a.high - a.b)) END AS high
+  FROM f l JOIN f a ON a.kl IS NULL AND a.measure = l.measure WHERE l.kl IS NOT NULL AND l.ks IS NULL),
 t AS (
   SELECT o.kl, o.ks, o.measure,
          CASE WHEN o.n >= 50 THEN 'source' WHEN l.n >= 50 THEN 'language' ELSE 'corpus' END AS level,
-         CASE WHEN o.n >= 50 THEN o.low WHEN l.n >= 50 THEN l.low ELSE a.low END AS low,
-         CASE WHEN o.n >= 50 THEN o.high WHEN l.n >= 50 THEN l.high ELSE a.high END AS high
-  FROM f o JOIN f l ON l.kl = o.kl AND l.ks IS NULL AND l.measure = o.measure
-  JOIN f a ON a.kl IS NULL AND a.measure = o.measure
+         CASE WHEN o.n < o.need THEN l.low WHEN o.measure = 'word_length' THEN greatest(o.low, l.a - 2 * (l.a - l.low)) ELSE -1 END AS low,
+         CASE WHEN o.n < o.need THEN l.high ELSE least(o.high, l.b + 2 * (l.high - l.b)) END AS high
+  FROM f o JOIN fl l ON l.kl = o.kl AND l.measure = o.measure
   WHERE o.ks IS NOT NULL),
 k AS (
   SELECT kl, ks, min(level) AS level,
