@@ -9,7 +9,9 @@ of a place is cut where the window is full. Pieces without a place and the cut e
 laid end to end by an exact prefix sum and cut at every window, so that only the very last sequence is padded.
 
 Only bin counts (window / BIN rows) and combinations reach the driver. Defined cases: a null or empty text
-is the end token alone; repeated ids are separate rows; an empty table gives an empty result.
+is the end token alone; repeated ids and repeated rows are separate rows; rows of one length (ties) are placed in the
+order of their row numbers; a very long text is one row's work, and its words may be of any length; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,9 +33,11 @@ END_ID = 2
 BIN = 32
 #: Combinations of four use bins that are multiples of this.
 COARSE = 4
-#: Hash cells for exact distributed prefix sums and ranks.
-CELLS = 512
-RANK_CELLS = 64
+#: Hash cells for exact distributed prefix sums, and for ranks inside each bin: (at least, at most). Between them their
+#: number follows the rows, about CELL_ROWS to a cell.
+CELLS = 512, 1 << 16
+RANK_CELLS = 64, 1 << 12
+CELL_ROWS = 50_000
 
 
 def tokenise(docs: DataFrame, tokenizer_path: str) -> DataFrame:
@@ -58,10 +62,14 @@ def tokenise(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     return written(base.mapInArrow(run, "row long, doc_id long, n long, ids binary"))
 
 
-def prefix_sum(df: DataFrame, amount: str, out: str) -> DataFrame:
+def cells_for(rows: int, bounds: tuple[int, int]) -> int:
+    return max(bounds[0], min(bounds[1], rows // CELL_ROWS))
+
+
+def prefix_sum(df: DataFrame, amount: str, out: str, n_cells: int) -> DataFrame:
     """Add the exclusive running sum of ``amount`` over all rows, in the order of (hash cell, row)."""
-    df = df.withColumn("cell", F.pmod(F.xxhash64("row"), F.lit(CELLS)))
-    before = Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)  # over CELLS rows
+    df = df.withColumn("cell", F.pmod(F.xxhash64("row"), F.lit(n_cells)))
+    before = Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)  # one row a cell
     cells = df.groupBy("cell").agg(F.sum(amount).alias("of_cell")).select("cell", F.coalesce(F.sum("of_cell").over(before), F.lit(0)).alias("base"))
     inside = Window.partitionBy("cell").orderBy("row")
     return df.join(F.broadcast(cells), "cell").withColumn(out, F.col("base") + F.sum(amount).over(inside) - F.col(amount)).drop("cell", "base")
@@ -136,18 +144,19 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW) -> DataFram
     spark = docs.sparkSession
     tokens = tokenise(docs, tokenizer_path)
     rows = tokens.select("row", "n", F.floor(F.col("n") / window).alias("whole"), (F.col("n") % window).alias("rest"))
-    whole = rows.agg(F.coalesce(F.sum("whole"), F.lit(0)).alias("n")).first()["n"]
+    whole, n_rows = rows.agg(F.coalesce(F.sum("whole"), F.lit(0)), F.count("*")).first()
+    n_cells = cells_for(n_rows, CELLS)
     rests = rows.where("rest > 0").withColumn("bin", F.floor(F.col("rest") / BIN).cast("int"))
     counts = {r["bin"]: r["count"] for r in rests.groupBy("bin").count().collect()}
     places, sequences = plan(counts, window)
 
-    full = prefix_sum(rows.where("whole > 0"), "whole", "first").select("row", F.posexplode(F.sequence(F.col("first"), F.col("first") + F.col("whole") - 1)).alias("i", "sequence_id"))
+    full = prefix_sum(rows.where("whole > 0"), "whole", "first", n_cells).select("row", F.posexplode(F.sequence(F.col("first"), F.col("first") + F.col("whole") - 1)).alias("i", "sequence_id"))
     full = full.select("row", (F.col("i").cast("long") * window).alias("start"), F.lit(window).cast("long").alias("length"), "sequence_id", F.lit(0).cast("long").alias("offset"))
 
-    salted = rests.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(RANK_CELLS)))
+    salted = rests.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(cells_for(max(counts.values(), default=0), RANK_CELLS))))
     before = Window.partitionBy("bin").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     cells = salted.groupBy("bin", "salt").agg(F.count("*").alias("held")).select("bin", "salt", F.coalesce(F.sum("held").over(before), F.lit(0)).alias("base"))
-    ranked = salted.join(F.broadcast(cells), ["bin", "salt"])  # at most bins x RANK_CELLS rows
+    ranked = salted.join(F.broadcast(cells), ["bin", "salt"])  # at most bins x 4,096 rows
     ranked = ranked.withColumn("rank", F.col("base") + F.row_number().over(Window.partitionBy("bin", "salt").orderBy("row")) - 1)
     place = spark.createDataFrame(places, "place_bin int, lo long, hi long, seq0 long, slots int, slot0 int")
     placed = ranked.join(F.broadcast(place), (F.col("bin") == F.col("place_bin")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")), "left")
@@ -162,7 +171,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW) -> DataFram
     pieces = fitted.select("row", "start", F.col("fits").alias("length"), "sequence_id", "offset")
     ends = fitted.where("fits < length").select("row", (F.col("start") + F.col("fits")).alias("start"), (F.col("length") - F.col("fits")).alias("length"))
     loose = placed.where("sequence_id is null").select("row", "start", "length").unionByName(ends)
-    laid = prefix_sum(loose, "length", "at")
+    laid = prefix_sum(loose, "length", "at", n_cells)
     laid = laid.select("row", "start", "length", "at", F.explode(F.sequence(F.floor(F.col("at") / window), F.floor((F.col("at") + F.col("length") - 1) / window))).alias("seq"))
     lo, hi = F.greatest(F.col("at"), F.col("seq") * window), F.least(F.col("at") + F.col("length"), (F.col("seq") + 1) * window)
     greedy = laid.select("row", (F.col("start") + lo - F.col("at")).alias("start"), (hi - lo).alias("length"), (whole + sequences + F.col("seq")).alias("sequence_id"), (lo - F.col("seq") * window).alias("offset"))

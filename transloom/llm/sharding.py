@@ -7,7 +7,8 @@ rows (one text may hold a third of all rows) are subdivided by a row number hash
 then fix where each begins, a running sum inside each range finds every row's place on the byte line, and the
 line is cut into equal parts. A group of equal texts is cut only where its range is overfull.
 
-Defined cases: a null text has 0 bytes and checksum 0; null and repeated ids are rows like any other; an
+Defined cases: a null text has 0 bytes and checksum 0; null and repeated ids are rows like any other; equal texts
+(ties) follow each other in the order of their row numbers; a very long text is never cut and may fill a shard; an
 empty table gives an empty result. Counts that reach the driver are bounded by the number of ranges.
 """
 

@@ -12,7 +12,7 @@ match is lost, and each string belongs to exactly one anchor.
    leading bytes and equal strings never lie on two sides of a boundary.
 3. A range answers which anchors occur in more than one text; a chunk then sends, for those only, the bytes
    that the anchor's strings span, once for each distinct span (a passage that a third of all documents
-   share costs one span for each chunk). A gram that more than HOT_CHUNKS chunks have would overfill its range: its
+   share costs one span for each chunk). A hot gram, with very many different spans, would overfill its range: its
    strings are dealt out by a hash of all their bytes instead.
 4. Strings are sorted by multikey sort over eight-byte words, ties only, and for each the smallest document id is
    found; strings from larger ids are covered, and the chunk removes what they cover. Sixty-four bit hashes only
@@ -32,10 +32,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from transloom.llm.common import small_batches
 
@@ -51,8 +53,11 @@ SLICE_BYTES = 1 << 20
 #: a chunk sends to a range does not shrink to single hashes.
 STEADY_BYTES = 1 << 37
 GROWTH = 8
-#: A gram of more chunks is hot.
-HOT_CHUNKS = 64
+#: A gram that so many texts of a chunk have is dense there; one that is dense in more than HOT_CHUNKS chunks, or is
+#: in more than MOST_CHUNKS at all, is hot.
+DENSE = 32
+HOT_CHUNKS = 16
+MOST_CHUNKS = 4096
 #: Of the texts that are sampled for splitters every so manieth anchor counts; keys drawn for each range, and texts at least.
 THIN = 8
 KEYS_PER_RANGE = 64
@@ -129,14 +134,14 @@ def anchors(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.n
 
 
 def grams(buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(gram bytes as one column of S16, 47-bit hash) at positions."""
+    """(gram bytes as one column of S16, 46-bit hash) at positions."""
     rows = np.ascontiguousarray(buf[at[:, None] + np.arange(GRAM)])
     words = rows.view("<u8")
     with np.errstate(over="ignore"):
         h = words[:, 0] * np.uint64(0x9E3779B97F4A7C15) ^ (words[:, 1] + np.uint64(0x632BE59BD9B4E019)) * np.uint64(0xC2B2AE3D27D4EB4F)
         h ^= h >> np.uint64(31)
         h *= np.uint64(0xD6E8FEB86659FD93)
-    return rows.view(f"S{GRAM}")[:, 0], h >> np.uint64(17)
+    return rows.view(f"S{GRAM}")[:, 0], h >> np.uint64(18)
 
 
 def span_rows(buf: np.ndarray, first: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -207,6 +212,12 @@ def string_hash(words: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+@F.pandas_udf(T.BinaryType())
+def _unzip(packed: pd.Series) -> pd.Series:
+    unzip = zstandard.ZstdDecompressor()
+    return packed.map(lambda z: unzip.decompress(z) if z else b"", na_action=None)
+
+
 def exploded(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(owner, number inside it) of n[i] things of each owner."""
     who = np.repeat(np.arange(len(n)), n)
@@ -232,7 +243,8 @@ class Chunk:
         unzip = zstandard.ZstdDecompressor()
         rows = sorted(zip(*(t.column(c).to_pylist() for c in ("thash", "least", "z")), strict=True))
         self.order = [r[0] for r in rows]
-        self.texts = [unzip.decompress(r[2]) if r[2] else b"" for r in rows]
+        self.z = [r[2] or b"" for r in rows]
+        self.texts = [unzip.decompress(z) if z else b"" for z in self.z]
         self.least = np.array([r[1] for r in rows], dtype=np.int64)
 
     def slices(self) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -351,7 +363,7 @@ def remove_repeats(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
         return np.searchsorted(bounds, _keys(key), side="right")
 
     def announce(t: pa.Table) -> pa.Table:
-        """(range, pid, hashes): distinct 47-bit anchor hashes, the low bit set if two texts of the chunk have it."""
+        """(range, pid, hashes): distinct 46-bit anchor hashes; the lowest bit is set if two texts of the chunk have it, the next if DENSE do."""
         chunk, pid = Chunk(t), t.column("pid")[0].as_py()
         parts_h, parts_r, parts_d = [], [], []
         for i, buf, starts, ends in chunk.slices():
@@ -362,11 +374,11 @@ def remove_repeats(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
         order = np.lexsort((d, h))
         h, r, d = h[order], r[order], d[order]
         new = np.r_[True, h[1:] != h[:-1]][: len(h)]
-        many = np.zeros(len(h), bool)
-        many[1:] = (h[1:] == h[:-1]) & (d[1:] != d[:-1])
+        other = new.copy()
+        other[1:] |= d[1:] != d[:-1]
         first = np.nonzero(new)[0]
-        flag = np.maximum.reduceat(many.astype(np.uint64), first) if len(first) else np.empty(0, np.uint64)
-        value, r = h[first] << np.uint64(1) | flag, r[first]
+        texts_with = np.add.reduceat(other.astype(np.int64), first) if len(first) else np.empty(0, np.int64)
+        value, r = h[first] << np.uint64(2) | (texts_with > 1).astype(np.uint64) | (texts_with >= DENSE).astype(np.uint64) << np.uint64(1), r[first]
         out = [(k, six_bytes(value[part])) for k, part in _by_range(r)]
         return pa.table({"range": pa.array([k for k, _ in out], pa.int32()), "pid": pa.array([pid] * len(out), pa.int32()), "hashes": pa.array([b for _, b in out], pa.binary())})
 
@@ -376,12 +388,14 @@ def remove_repeats(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
         """(pid, hashes): the anchors of a range that more than one text has, the low bit set if they are hot."""
         pids = t.column("pid").to_numpy()
         value, owner = from_six_bytes(t.column("hashes").to_pylist())
-        h, many = value >> np.uint64(1), (value & np.uint64(1)).astype(bool)
+        h, many, dense = value >> np.uint64(2), (value & np.uint64(1)).astype(bool), (value >> np.uint64(1) & np.uint64(1)).astype(np.int64)
         order = np.argsort(h, kind="stable")
         new = np.r_[True, h[order][1:] != h[order][:-1]]
-        count = np.empty(len(h), np.int64)
-        count[order] = np.diff(np.r_[np.nonzero(new)[0], len(h)])[np.cumsum(new) - 1]
-        said = h << np.uint64(1) | (count > HOT_CHUNKS)
+        first, group = np.nonzero(new)[0], np.cumsum(new) - 1
+        count, hot = np.empty(len(h), np.int64), np.empty(len(h), np.uint64)
+        count[order] = np.diff(np.r_[first, len(h)])[group]
+        hot[order] = (np.add.reduceat(dense[order], first) > HOT_CHUNKS)[group]
+        said = h << np.uint64(1) | hot | (count > MOST_CHUNKS).astype(np.uint64)
         out = [(int(pids[k]), six_bytes(said[part])) for k, part in _by_range(np.where(many | (count > 1), owner, -1)) if k >= 0]
         return pa.table({"pid": pa.array([p for p, _ in out], pa.int32()), "hashes": pa.array([b for _, b in out], pa.binary())})
 
@@ -526,13 +540,13 @@ def remove_repeats(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
                 np.add.at(edge, at[some][row] + nth, 1)
                 np.add.at(edge, at[some][row] + nth + MATCH, -1)
         gone = np.cumsum(edge[:-1]) > 0
-        removed, kept = [], []
+        removed, kept, zip_ = [], [], zstandard.ZstdCompressor(level=3)
         for i, text in enumerate(chunk.texts):
             mask = gone[base[i] : base[i] + size[i]]
             turn = np.diff(np.r_[False, mask, False].astype(np.int8))
             mine = [{"start": s, "stop": e} for s, e in zip(np.nonzero(turn == 1)[0].tolist(), np.nonzero(turn == -1)[0].tolist(), strict=True)]
             removed.append(mine)
-            kept.append(np.frombuffer(text, np.uint8)[~mask].tobytes() if mine else text)
+            kept.append(zip_.compress(np.frombuffer(text, np.uint8)[~mask].tobytes()) if mine else chunk.z[i])
         kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
         return pa.table({"thash": pa.array(chunk.order, pa.binary()), "least": pa.array(chunk.least, pa.int64()), "cuts": pa.array(removed, kind), "rest": pa.array(kept, pa.binary())})
 
@@ -550,7 +564,7 @@ def remove_repeats(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     return joined.select(
         "row", "n_bytes",
         F.when(first, F.col("cuts")).when(short, none).otherwise(whole).alias("removed"),
-        F.when(first | short, F.col("rest")).otherwise(F.lit(b"")).alias("kept"),
+        _unzip(F.when(first | short, F.col("rest"))).alias("kept"),
     )
 
 
