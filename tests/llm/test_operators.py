@@ -69,6 +69,38 @@ def test_language_mixture(spark):
     assert gain[0] > 1 and gain[1] > 1 and langid.infer(["qxz jvk wqy zzx"], langs, model)[4][0] < 0
 
 
+def slow_mixture(text, langs, table):
+    """The same model by plain loops: the best of all nested sets by penalised likelihood."""
+    _, cell = langid.gram_cells([text])
+    p = table[cell].astype(float)
+    if not len(cell):
+        return [], []
+
+    def em(columns):
+        share = np.full(len(columns), 1 / len(columns))
+        for _ in range(400):
+            part = p[:, columns] * share
+            share = (part / part.sum(axis=1, keepdims=True)).mean(axis=0)
+        return share, np.log(p[:, columns] @ share).sum()
+
+    order = np.argsort(-em(list(range(len(langs))))[0], kind="stable")
+    found = [(em(order[:k].tolist()), k) for k in range(1, len(langs) + 1)]
+    (share, _), k = max(found, key=lambda f: f[0][1] - langid.PENALTY * (f[1] - 1) * np.log(max(len(cell), 2)) / 2)
+    return [langs[j] for j in order[:k]], share.tolist()
+
+
+@real
+def test_mixtures_by_plain_loops(spark, folder):
+    docs = table(spark, folder, "documents").where("length(text) between 300 and 3000")
+    langs, model = langid.fit(docs, F.col("doc_id") % 2 == 0)
+    by = {lang: [r["text"] for r in docs.where(F.col("lang") == lang).orderBy("doc_id").limit(4).collect()] for lang in langs}
+    texts = [t for ts in by.values() for t in ts] + ["\n".join(by[a][0] + "\n" + by[b][1] for a, b in (pair,)) for pair in zip(langs, langs[1:], strict=False)] + [" ".join(ts[2] for ts in by.values())]
+    pred, score, chosen, shares, _ = langid.infer(texts, langs, model)
+    for t, p, s, c, w in zip(texts, pred, score, chosen, shares, strict=True):
+        want, weights = slow_mixture(t, langs, model)
+        assert set(c) == set(want) and p == want[int(np.argmax(weights))] and abs(s - max(weights)) < 0.02, (c, w, want, weights)
+
+
 def test_five_languages(spark, monkeypatch):
     rng = np.random.default_rng(2)
     word = {"aa": "alpha beta gamma delta", "bb": "worum zweck kraft stolz", "cc": "quiso llave jamás hijo", "dd": "êtes voix français fête", "ee": "kép szív győző nyár"}
@@ -99,6 +131,45 @@ def test_toxicity_grammar():
     assert g.channels("Blorgish. Nothing else")[at["insult"]] == 2.0 and g.channels("foolish embloRG") == [0.0] * 6 and g.channels(None) == [0.0] * 6
 
 
+def test_toxicity_transducer_by_paths():
+    """The composed machine against the scopes counted word by word."""
+    g = toxicity.Grammar({"=fool": 3.0, "blorg*": 2.0})
+    assert len(g.left.arcs) <= (toxicity.REPORT_SCOPE + 1) * (toxicity.NEGATION_SCOPE + 1) * (toxicity.TARGET_SCOPE + 1)
+    c, rng = toxicity.WordClasses(), np.random.default_rng(11)
+    for _ in range(400):
+        words = rng.choice(["fool", "blorgish", "kill", "you", "not", "said", "a", "tree", "stone", "and"], int(rng.integers(1, 30))).tolist()
+        want = [0.0] * 6
+        for i, w in enumerate(words):
+            weight = {"fool": 3.0, "blorgish": 2.0, "kill": 1.0}.get(w)
+            if weight:
+                before = lambda ws, n, i=i: any(x in ws for x in words[max(0, i - n) : i])
+                near = before(c.targets, toxicity.TARGET_SCOPE) or any(x in c.targets for x in words[i + 1 : i + 1 + toxicity.TARGET_SCOPE])
+                want[5 if before(c.reporters, toxicity.REPORT_SCOPE) else 4 if before(c.negators, toxicity.NEGATION_SCOPE) else 2 * (w == "kill") + near] += weight
+        assert g.channels(" ".join(words)) == want, words
+
+
+def test_toxicity_recall(spark):
+    """Three of twelve insults are rare; texts that are held out of the fit, in any partitioning."""
+    rng = np.random.default_rng(12)
+    words = [f"w{''.join(rng.choice(list('abcdefghij'), 5))}" for _ in range(400)]
+    insults = [f"{c}umblefrog{'abcdefghijkl'[i]}" for i, c in enumerate("bcdfghjklmnp")]
+    weight = np.array([1.0] * 9 + [0.2] * 3)
+    texts, marks = [], []
+    for i in range(1500):
+        ws = rng.choice(words, 40).tolist()
+        toxic = i % 3 == 0
+        if toxic:
+            ws.insert(int(rng.integers(40)), str(rng.choice(insults, p=weight / weight.sum())))
+        texts.append((i, " ".join(ws)))
+        marks.append((i, int(toxic)))
+    docs, labels = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, toxic int")
+    models = [toxicity.fit(d, lab) for d, lab in ((docs, labels), (docs.repartition(7), labels.repartition(3)))]
+    assert models[0][0] == models[1][0] and np.allclose(models[0][1], models[1][1])
+    got = docs.select("doc_id", toxicity.toxicity(F.col("text"), models[0]).alias("s")).where(remainder("doc_id", 5) == 0).collect()
+    found = {y: np.mean([r["s"] >= 0.5 for r in got if (r["doc_id"] % 3 == 0) == y]) for y in (True, False)}
+    assert found[True] > 0.8 and found[False] == 0.0
+
+
 def test_rare_insult_beside_a_frequent_one(spark, monkeypatch):
     y = np.repeat([1, 0], 4000)
     has = np.zeros((8000, 2), bool)
@@ -164,6 +235,24 @@ def test_rules_odd(spark, odd, empty):
     assert quality_rules.apply_rules(odd).count() == len(ODD) and quality_rules.apply_rules(empty).count() == 0
 
 
+def test_a_source_of_junk_cannot_vouch_for_itself(spark):
+    """Half of one source are texts of symbols, as many as make its own quartiles; clean texts with a repeated line stay."""
+    rng = np.random.default_rng(13)
+    words = [f"wort{i}" for i in range(3000)]
+    clean = lambda: " ".join(rng.choice(words, 60))
+    twice = lambda: "{0}\n{0}\n{1}".format(" ".join(rng.choice(words, 8)), clean())
+    rows = [(i, clean() if i % 50 else twice(), "en", f"s{i % 6}") for i in range(1800)]
+    rows += [(5000 + i, " ".join(f"{w}###" for w in rng.choice(words, 60)), "en", "s5") for i in range(300)]
+    got = {r["doc_id"]: r["kept"] for r in quality_rules.apply_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert np.mean([got[i] for i in range(1800)]) > 0.99 and all(got[i] for i in range(0, 1800, 50)) and not any(got[5000 + i] for i in range(300))
+
+
+def test_no_words_no_verdict(spark, empty):
+    same = spark.createDataFrame([(i, "ein text " * 30, None, None) for i in range(3)], "doc_id long, text string, lang string, source string")
+    assert {(r["base_failed"], r["kept"], r["level"]) for r in quality_rules.apply_rules(same).collect()} == {(True, False, "corpus")}
+    assert quality_rules.apply_rules(empty).columns[-2:] == ["kept", "level"]
+
+
 # 4
 def test_neighbours_odd(spark):
     rng = np.random.default_rng(3)
@@ -272,6 +361,22 @@ def test_shards(spark, folder):
     assert len(size) == 24 and max(size.values()) < 1.1 * np.mean(list(size.values()))
 
 
+def test_shard_of_each_row_by_hand(spark):
+    """Sizes and checksums row by row, shards in the order of keys with near equal bytes, slots gapless, equal texts together."""
+    rng = np.random.default_rng(14)
+    texts = ["ä" * int(n) for n in rng.integers(0, 400, 600)] + [None, "", "twin", "twin"]
+    rows = sharding.shard_by_bytes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)).collect()
+    size = check_shards(rows, len(texts))
+    for r in rows:
+        raw = (texts[r["doc_id"]] or "").encode()
+        assert r["size"] == len(raw) + 8 and r["text_crc32"] == zlib.crc32(raw) and r["grown_shard"] is None
+    assert sum(size.values()) == sum(len((t or "").encode()) + 8 for t in texts) and len(size) == 24
+    largest = max(sum(r["size"] for r in rows if texts[r["doc_id"]] == t) for t in set(texts))
+    mean = sum(size.values()) / 24
+    assert all(abs(v - mean) <= largest for v in size.values())
+    assert len({r["shard"] for r in rows if texts[r["doc_id"]] == "twin"}) == 1
+
+
 def test_shards_odd_and_hot(spark, odd, empty):
     check_shards(sharding.shard_by_bytes(odd).collect(), len(ODD))
     assert sharding.shard_by_bytes(empty).count() == 0
@@ -336,7 +441,7 @@ def test_repeats(spark, monkeypatch, hot_chunks):
     monkeypatch.setattr(suffix_dedup, "CHUNK_BYTES", 2000)
     monkeypatch.setattr(suffix_dedup, "RANGE_BYTES", 3000)
     monkeypatch.setattr(suffix_dedup, "SLICE_BYTES", 700)
-    monkeypatch.setattr(suffix_dedup, "HOT_CHUNKS", hot_chunks)
+    monkeypatch.setattr(suffix_dedup, "MOST_CHUNKS", hot_chunks)
     rng = np.random.default_rng(6)
     base = ["".join(rng.choice(list("abé \n"), 400)) for _ in range(5)]
     docs = [(None, base[0]), (None, base[0]), (3, None), (3, ""), (7, "x" * 300), (6, "x" * 120), (5, "x" * 49), (9, "x" * 300), (9, base[1]), (9, base[1]), (2, base[1][50:260]), (11, base[1][:60] + base[2][:60] + base[1][60:]), (12, base[2]), (1, base[2][10:59]), (-4, base[2][10:61])]
@@ -350,6 +455,7 @@ def test_hot_text_and_hot_line(spark, monkeypatch):
     """One text in a third of all rows, and one line between other words in every other row."""
     monkeypatch.setattr(suffix_dedup, "CHUNK_BYTES", 1500)
     monkeypatch.setattr(suffix_dedup, "HOT_CHUNKS", 3)
+    monkeypatch.setattr(suffix_dedup, "DENSE", 2)
     rng = np.random.default_rng(9)
     line = "This line is licensed in every document of the lot. "
     word = lambda n: "".join(rng.choice(list("abcdefgh "), n))
