@@ -60,6 +60,12 @@ def predicted(spark: SparkSession, folder: str) -> DataFrame:
     return predictions.align_actuals(predictions.assemble_predictions(scored, known=nodes), snapshots.targets_from_cells(cells, nodes, snaps))
 
 
+def targets(spark: SparkSession, folder: str) -> DataFrame:
+    """The targets of every node, snapshot and horizon."""
+    f, nodes, snaps = snapshot_base(spark, folder)
+    return snapshots.node_targets(f, nodes, snaps)
+
+
 def enriched(spark: SparkSession, folder: str) -> DataFrame:
     hours = cut(fact(spark, folder))
     return predictions.enrich_predictions(predicted(spark, folder), hours, star.agg_baseline_volume(hours))

@@ -35,9 +35,24 @@ def _grid(spark, d):
 FLIGHT_KEYS = ["l_orderkey", "l_linenumber"]
 
 # ---- sources -------------------------------------------------------------------------------------------
-register("scan_parquet", lambda s, d: scans.scan_parquet(s, f"{d}/orders.parquet", ["o_orderkey", "o_custkey", "not_there"]), "SELECT o_orderkey, o_custkey FROM orders")
-register("sample_rows", lambda s, d: scans.sample_rows(adapters.read(s, d, "orders").select("o_orderkey"), 0.1, key=["o_orderkey"]), f"SELECT o_orderkey FROM orders WHERE substr(md5(o_orderkey || '|42'), 1, 8) < '{int(0.1 * (1 << 32)):08x}'")
-register("flight_schema", lambda s, d: adapters.flights_from_lineitem(s, d).select(*FLIGHT_KEYS, *[c for c in schema.SCHEDULE_COLUMNS + schema.ACTUAL_COLUMNS if c in ("Origin", "Dest", "CRSDepTime", "CRSArrTime", "ArrDelay", "DepDelay", "Distance", "AirTime")]), "SELECT l_orderkey, l_linenumber, Origin, Dest, CRSDepTime, CRSArrTime, ArrDelay, DepDelay, Distance, AirTime FROM flights")
+register(
+    "scan_parquet",
+    lambda s, d: scans.scan_parquet(s, f"{d}/orders.parquet", ["o_orderkey", "o_custkey", "not_there"]),
+    "SELECT o_orderkey, o_custkey FROM orders",
+)
+register(
+    "sample_rows",
+    lambda s, d: scans.sample_rows(adapters.read(s, d, "orders").select("o_orderkey"), 0.1, key=["o_orderkey"]),
+    f"SELECT o_orderkey FROM orders WHERE substr(md5(o_orderkey || '|42'), 1, 8) < '{int(0.1 * (1 << 32)):08x}'",
+)
+register(
+    "flight_schema",
+    lambda s, d: adapters.flights_from_lineitem(s, d).select(*FLIGHT_KEYS, *[c for c in schema.SCHEDULE_COLUMNS + schema.ACTUAL_COLUMNS if c in ("Origin", "Dest", "CRSDepTime", "CRSArrTime", "ArrDelay", "DepDelay", "Distance", "AirTime")]),
+    (
+        "SELECT l_orderkey, l_linenumber, Origin, Dest, CRSDepTime, CRSArrTime, ArrDelay, DepDelay, Distance, AirTime "
+        "FROM flights"
+    ),
+)
 
 
 def _scan_csv(s, d):
@@ -69,10 +84,32 @@ def _convert(s, d):
 
 
 register("convert_csv_to_parquet", _convert, "SELECT Origin, count(*) AS n FROM flights WHERE month(FlightDate) = 10 GROUP BY ALL")
-register("scan_hour_slice", lambda s, d: scans.scan_hour_slice(P.flights(s, d), 9, 20, 8).select(*FLIGHT_KEYS, "Origin", "Dest", "CRSDepTime"), "SELECT l_orderkey, l_linenumber, Origin, Dest, CRSDepTime FROM flights WHERE FlightDate = DATE '2019-09-20' AND hh = 8")
-register("scan_forward_schedule", lambda s, d: scans.scan_forward_schedule(cleaning.derive_timestamps(P.flights(s, d)), F.lit("2019-09-20 20:00:00").cast("timestamp_ntz")).select(*FLIGHT_KEYS, "timestamp"), "SELECT l_orderkey, l_linenumber, ts::VARCHAR AS timestamp FROM timed WHERE ts >= TIMESTAMP '2019-09-20 20:00:00' AND ts < TIMESTAMP '2019-09-21 05:00:00'")
-register("split_class_ab", lambda s, d: schema.split_by_availability(P.flights(s, d), False).groupBy("Origin", "Dest", "Cancelled", "Diverted").agg(F.count("*").alias("n"), F.sum("Distance").alias("miles")), "SELECT Origin, Dest, Cancelled, Diverted, count(*) AS n, sum(Distance) AS miles FROM flights GROUP BY ALL")
-register("scan_weather_json", lambda s, d: scans.scan_weather_json(adapters.weather_payloads(adapters.weather_from_events(s, d))).groupBy("iata", "timestamp").agg(F.count("*").alias("n"), F.sum("wind_speed_10m").alias("wind"), F.sum("weather_category").alias("categories")), "SELECT iata, date_trunc('minute', ts)::TIMESTAMP::VARCHAR AS timestamp, count(*) AS n, sum(wind) AS wind, sum(cat)::BIGINT AS categories FROM wx GROUP BY ALL")
+register(
+    "scan_hour_slice",
+    lambda s, d: scans.scan_hour_slice(P.flights(s, d), 9, 20, 8).select(*FLIGHT_KEYS, "Origin", "Dest", "CRSDepTime"),
+    "SELECT l_orderkey, l_linenumber, Origin, Dest, CRSDepTime FROM flights WHERE FlightDate = DATE '2019-09-20' AND hh = 8",
+)
+register(
+    "scan_forward_schedule",
+    lambda s, d: scans.scan_forward_schedule(cleaning.derive_timestamps(P.flights(s, d)), F.lit("2019-09-20 20:00:00").cast("timestamp_ntz")).select(*FLIGHT_KEYS, "timestamp"),
+    (
+        "SELECT l_orderkey, l_linenumber, ts::VARCHAR AS timestamp FROM timed WHERE ts >= TIMESTAMP '2019-09-20 20:00:00' "
+        "AND ts < TIMESTAMP '2019-09-21 05:00:00'"
+    ),
+)
+register(
+    "split_class_ab",
+    lambda s, d: schema.split_by_availability(P.flights(s, d), False).groupBy("Origin", "Dest", "Cancelled", "Diverted").agg(F.count("*").alias("n"), F.sum("Distance").alias("miles")),
+    "SELECT Origin, Dest, Cancelled, Diverted, count(*) AS n, sum(Distance) AS miles FROM flights GROUP BY ALL",
+)
+register(
+    "scan_weather_json",
+    lambda s, d: scans.scan_weather_json(adapters.weather_payloads(adapters.weather_from_events(s, d))).groupBy("iata", "timestamp").agg(F.count("*").alias("n"), F.sum("wind_speed_10m").alias("wind"), F.sum("weather_category").alias("categories")),
+    (
+        "SELECT iata, date_trunc('minute', ts)::TIMESTAMP::VARCHAR AS timestamp, count(*) AS n, sum(wind) AS wind, "
+        "sum(cat)::BIGINT AS categories FROM wx GROUP BY ALL"
+    ),
+)
 
 
 def _weather_cache(s, d):
@@ -114,9 +151,19 @@ def _landed(s, d, keep=None):
 _HOURS = "SELECT ts::VARCHAR AS part_ts, count(*) AS n FROM timed {} GROUP BY ALL"
 _per_hour = lambda df: df.groupBy("part_ts").agg(F.count("*").alias("n"))
 register("write_hour_partition", lambda s, d: _per_hour(_landed(s, d)[1]), _HOURS.format(""))
-register("scan_last_n_partitions", lambda s, d: _per_hour(scans.require_hours(_landed(s, d)[1], _now())), _HOURS.format("WHERE ts >= TIMESTAMP '2019-09-30 00:00:00' AND ts < TIMESTAMP '2019-10-01 00:00:00'"))
-register("missing_hours", lambda s, d: scans.missing_hours(_landed(s, d, F.hour("timestamp") % 5 != 0)[1], _now()), "SELECT (TIMESTAMP '2019-09-30 00:00:00' + to_hours(x::INT))::VARCHAR AS part_ts FROM range(24) t(x) WHERE x % 5 = 0 OR NOT EXISTS (SELECT 1 FROM timed WHERE ts = TIMESTAMP '2019-09-30 00:00:00' + to_hours(x::INT))")
-register("scan_latest_schedule", lambda s, d: scans.latest_schedule(_landed(s, d)[1], _now()).select(*FLIGHT_KEYS, "part_ts"), "SELECT l_orderkey, l_linenumber, ts::VARCHAR AS part_ts FROM timed WHERE ts = (SELECT max(ts) FROM timed WHERE ts <= TIMESTAMP '2019-10-01 00:00:00' AND ts >= TIMESTAMP '2019-09-30 00:00:00')")
+register(
+    "scan_last_n_partitions",
+    lambda s, d: _per_hour(scans.require_hours(_landed(s, d)[1], _now())),
+    _HOURS.format("WHERE ts >= TIMESTAMP '2019-09-30 00:00:00' AND ts < TIMESTAMP '2019-10-01 00:00:00'"),
+)
+register("missing_hours", lambda s, d: scans.missing_hours(_landed(s, d, F.hour("timestamp") % 5 != 0)[1], _now()), (
+    "SELECT (TIMESTAMP '2019-09-30 00:00:00' + to_hours(x::INT))::VARCHAR AS part_ts FROM range(24) t(x) "
+    "WHERE x % 5 = 0 OR NOT EXISTS (SELECT 1 FROM timed WHERE ts = TIMESTAMP '2019-09-30 00:00:00' + to_hours(x::INT))"
+))
+register("scan_latest_schedule", lambda s, d: scans.latest_schedule(_landed(s, d)[1], _now()).select(*FLIGHT_KEYS, "part_ts"), (
+    "SELECT l_orderkey, l_linenumber, ts::VARCHAR AS part_ts FROM timed WHERE ts = (SELECT max(ts) FROM timed "
+    "WHERE ts <= TIMESTAMP '2019-10-01 00:00:00' AND ts >= TIMESTAMP '2019-09-30 00:00:00')"
+))
 _KEPT = "WHERE ts >= TIMESTAMP '2019-09-24 00:00:00'"
 
 
@@ -145,7 +192,11 @@ def _write_table(s, d):
     return s.read.parquet(f"{path}.parquet").join(s.read.option("header", True).schema("Airline string, month int, n long").csv(f"{path}.csv").select("Airline", "month"), ["Airline", "month"])
 
 
-_AIRLINE = "SELECT Airline, month(FlightDate)::INT AS month, count(*) AS flights, round(avg(ArrDelay), 6) AS arr_delay_mean, round(avg(DepDelay), 6) AS dep_delay_mean, round(avg(ArrDel15), 6) AS arr_del15_rate FROM rf WHERE NOT Cancelled GROUP BY ALL"
+_AIRLINE = (
+    "SELECT Airline, month(FlightDate)::INT AS month, count(*) AS flights, round(avg(ArrDelay), 6) AS arr_delay_mean, "
+    "round(avg(DepDelay), 6) AS dep_delay_mean, round(avg(ArrDel15), 6) AS arr_del15_rate FROM rf WHERE NOT Cancelled "
+    "GROUP BY ALL"
+)
 register("write_table", _write_table, _AIRLINE)
 
 
@@ -158,10 +209,22 @@ def _prediction_sinks(s, d):
     return latest, sinks.read_predictions_history(s, f"{base}/history")
 
 
-_PRED = "airport_code, horizon_h, round(predicted_arr_delay_min, 6) + 0.0 AS predicted_arr_delay_min, round(pct_arr_delayed_15, 6) AS pct_arr_delayed_15, target_ts::VARCHAR AS target_ts, prediction_ts::VARCHAR AS prediction_ts"
+_PRED = (
+    "airport_code, horizon_h, round(predicted_arr_delay_min, 6) + 0.0 AS predicted_arr_delay_min, "
+    "round(pct_arr_delayed_15, 6) AS pct_arr_delayed_15, target_ts::VARCHAR AS target_ts, "
+    "prediction_ts::VARCHAR AS prediction_ts"
+)
 register("write_predictions_latest", lambda s, d: _prediction_sinks(s, d)[0], f"SELECT {_PRED} FROM preds")
-register("write_predictions_history", lambda s, d: _prediction_sinks(s, d)[1].groupBy("prediction_ts").agg(F.count("*").alias("n")), "SELECT prediction_ts::VARCHAR AS prediction_ts, 2 * count(*) AS n FROM preds GROUP BY ALL")
-register("write_batch_predictions", lambda s, d: _prediction_sinks(s, d)[0].groupBy("horizon_h").agg(F.count("*").alias("n")), "SELECT horizon_h, count(*) AS n FROM preds GROUP BY ALL")
+register(
+    "write_predictions_history",
+    lambda s, d: _prediction_sinks(s, d)[1].groupBy("prediction_ts").agg(F.count("*").alias("n")),
+    "SELECT prediction_ts::VARCHAR AS prediction_ts, 2 * count(*) AS n FROM preds GROUP BY ALL",
+)
+register(
+    "write_batch_predictions",
+    lambda s, d: _prediction_sinks(s, d)[0].groupBy("horizon_h").agg(F.count("*").alias("n")),
+    "SELECT horizon_h, count(*) AS n FROM preds GROUP BY ALL",
+)
 
 
 def _cache(s, d):
@@ -172,7 +235,11 @@ def _cache(s, d):
     return sinks.cached_table(s, path, sig, build).select("code", "n")
 
 
-register("snapshot_cache", _cache, "SELECT code, count(*) AS n FROM (SELECT Origin AS code FROM flights UNION ALL SELECT Dest FROM flights) GROUP BY code")
+register(
+    "snapshot_cache",
+    _cache,
+    "SELECT code, count(*) AS n FROM (SELECT Origin AS code FROM flights UNION ALL SELECT Dest FROM flights) GROUP BY code",
+)
 
 
 def _artifacts(s, d):
@@ -187,31 +254,131 @@ _INDEX = "SELECT (row_number() OVER (ORDER BY code) - 1)::INT AS node_idx, code
 register("write_artifacts", _artifacts, _INDEX)
 
 # ---- cleaning and network ------------------------------------------------------------------------------
-register("clean_flights", lambda s, d: cleaning.clean_flights(P.flights(s, d)).select(*FLIGHT_KEYS, "FlightDate", "ArrDelay"), "SELECT l_orderkey, l_linenumber, FlightDate::VARCHAR AS FlightDate, ArrDelay FROM clean")
-register("fill_delay_nulls", lambda s, d: cleaning.fill_delay_nulls(P.flights(s, d)).select(*FLIGHT_KEYS, "ArrDelay", "DepDelay", "CarrierDelay", "ArrDel15"), "SELECT l_orderkey, l_linenumber, coalesce(ArrDelay, 0) AS ArrDelay, coalesce(DepDelay, 0) AS DepDelay, coalesce(CarrierDelay, 0) AS CarrierDelay, coalesce(ArrDel15, 0) AS ArrDel15 FROM flights")
-register("null_report", lambda s, d: cleaning.null_report(P.flights(s, d)), "SELECT " + ", ".join(f"count(*) FILTER ({c} IS NULL) AS {c}" for c in cleaning.FILLED) + " FROM flights")
-register("encode_time", lambda s, d: cleaning.encode_time(P.flights(s, d)).groupBy("Hour").agg(F.count("*").alias("n")), "SELECT hh AS Hour, count(*) AS n FROM flights GROUP BY ALL")
-register("filter_network", lambda s, d: network.filter_network(P.flights(s, d), network.top_n_airports(P.flights(s, d), 5)).select(*FLIGHT_KEYS, "Origin", "Dest"), "SELECT l_orderkey, l_linenumber, Origin, Dest FROM (SELECT *, (SELECT list(code) FROM (SELECT code FROM (SELECT Origin AS code FROM flights UNION ALL SELECT Dest FROM flights) GROUP BY code ORDER BY count(*) DESC, code LIMIT 5)) AS top FROM flights) WHERE list_contains(top, Origin) AND list_contains(top, Dest)")
-register("preprocess_pipeline", lambda s, d: _f(s, d).select(*FLIGHT_KEYS, "Hour", "ArrDelay"), "SELECT l_orderkey, l_linenumber, hh AS Hour, ArrDelay FROM f")
-register("derive_timestamps", lambda s, d: cleaning.derive_timestamps(P.flights(s, d)).select(*FLIGHT_KEYS, "timestamp", "arr_timestamp"), "SELECT l_orderkey, l_linenumber, ts::VARCHAR AS timestamp, arr_ts::VARCHAR AS arr_timestamp FROM timed")
-register("build_flight_frame", lambda s, d: P.report_frame(s, d).select(*FLIGHT_KEYS, "Cancelled", "dep_ts_hour", "arr_ts_hour"), "SELECT l_orderkey, l_linenumber, Cancelled, ts::VARCHAR AS dep_ts_hour, arr_ts::VARCHAR AS arr_ts_hour FROM rf")
-register("window_slice", lambda s, d: snapshots.window_slice(_f(s, d), F.lit("2019-09-20 08:00:00").cast("timestamp_ntz"), 2).select(*FLIGHT_KEYS), "SELECT l_orderkey, l_linenumber FROM f WHERE ts >= TIMESTAMP '2019-09-20 08:00:00' AND ts < TIMESTAMP '2019-09-20 10:00:00'")
-register("completed_only", lambda s, d: snapshots.completed_only(_f(s, d), _now()).groupBy("Dest").agg(F.count("*").alias("n")), "SELECT Dest, count(*) AS n FROM f WHERE arr_ts < TIMESTAMP '2019-10-01 00:00:00' GROUP BY ALL")
-register("select_feature_columns", lambda s, d: (lambda f: f.groupBy("Origin").agg(*[F.sum(F.col(c).cast("double")).alias(c) for c in tabular.select_feature_columns(f.select("Origin", "CRSDepTime", "Distance", "ArrDelay", "DepDelay"), "ArrDelay")]))(_f(s, d)), "SELECT Origin, sum(CRSDepTime)::DOUBLE AS CRSDepTime, sum(Distance) AS Distance FROM f GROUP BY ALL")
-register("distance_bucket", lambda s, d: P.flights(s, d).groupBy(distance_band(F.col("Distance")).alias("distance_bucket")).agg(F.count("*").alias("n")), "SELECT CASE WHEN Distance < 250 THEN '0-250' WHEN Distance < 500 THEN '250-500' WHEN Distance < 750 THEN '500-750' WHEN Distance < 1000 THEN '750-1000' WHEN Distance < 1500 THEN '1000-1500' WHEN Distance < 2000 THEN '1500-2000' ELSE '2000+' END AS distance_bucket, count(*) AS n FROM flights GROUP BY ALL")
+register(
+    "clean_flights",
+    lambda s, d: cleaning.clean_flights(P.flights(s, d)).select(*FLIGHT_KEYS, "FlightDate", "ArrDelay"),
+    "SELECT l_orderkey, l_linenumber, FlightDate::VARCHAR AS FlightDate, ArrDelay FROM clean",
+)
+register(
+    "fill_delay_nulls",
+    lambda s, d: cleaning.fill_delay_nulls(P.flights(s, d)).select(*FLIGHT_KEYS, "ArrDelay", "DepDelay", "CarrierDelay", "ArrDel15"),
+    (
+        "SELECT l_orderkey, l_linenumber, coalesce(ArrDelay, 0) AS ArrDelay, coalesce(DepDelay, 0) AS DepDelay, "
+        "coalesce(CarrierDelay, 0) AS CarrierDelay, coalesce(ArrDel15, 0) AS ArrDel15 FROM flights"
+    ),
+)
+register(
+    "null_report",
+    lambda s, d: cleaning.null_report(P.flights(s, d)),
+    "SELECT " + ", ".join(f"count(*) FILTER ({c} IS NULL) AS {c}" for c in cleaning.FILLED) + " FROM flights",
+)
+register(
+    "encode_time",
+    lambda s, d: cleaning.encode_time(P.flights(s, d)).groupBy("Hour").agg(F.count("*").alias("n")),
+    "SELECT hh AS Hour, count(*) AS n FROM flights GROUP BY ALL",
+)
+register(
+    "filter_network",
+    lambda s, d: network.filter_network(P.flights(s, d), network.top_n_airports(P.flights(s, d), 5)).select(*FLIGHT_KEYS, "Origin", "Dest"),
+    (
+        "SELECT l_orderkey, l_linenumber, Origin, Dest FROM (SELECT *, (SELECT list(code) FROM (SELECT code "
+        "FROM (SELECT Origin AS code FROM flights UNION ALL SELECT Dest FROM flights) GROUP BY code ORDER BY count(*) DESC, "
+        "code LIMIT 5)) AS top FROM flights) WHERE list_contains(top, Origin) AND list_contains(top, Dest)"
+    ),
+)
+register(
+    "preprocess_pipeline",
+    lambda s, d: _f(s, d).select(*FLIGHT_KEYS, "Hour", "ArrDelay"),
+    "SELECT l_orderkey, l_linenumber, hh AS Hour, ArrDelay FROM f",
+)
+register(
+    "derive_timestamps",
+    lambda s, d: cleaning.derive_timestamps(P.flights(s, d)).select(*FLIGHT_KEYS, "timestamp", "arr_timestamp"),
+    "SELECT l_orderkey, l_linenumber, ts::VARCHAR AS timestamp, arr_ts::VARCHAR AS arr_timestamp FROM timed",
+)
+register(
+    "build_flight_frame",
+    lambda s, d: P.report_frame(s, d).select(*FLIGHT_KEYS, "Cancelled", "dep_ts_hour", "arr_ts_hour"),
+    "SELECT l_orderkey, l_linenumber, Cancelled, ts::VARCHAR AS dep_ts_hour, arr_ts::VARCHAR AS arr_ts_hour FROM rf",
+)
+register(
+    "window_slice",
+    lambda s, d: snapshots.window_slice(_f(s, d), F.lit("2019-09-20 08:00:00").cast("timestamp_ntz"), 2).select(*FLIGHT_KEYS),
+    (
+        "SELECT l_orderkey, l_linenumber FROM f WHERE ts >= TIMESTAMP '2019-09-20 08:00:00' "
+        "AND ts < TIMESTAMP '2019-09-20 10:00:00'"
+    ),
+)
+register(
+    "completed_only",
+    lambda s, d: snapshots.completed_only(_f(s, d), _now()).groupBy("Dest").agg(F.count("*").alias("n")),
+    "SELECT Dest, count(*) AS n FROM f WHERE arr_ts < TIMESTAMP '2019-10-01 00:00:00' GROUP BY ALL",
+)
+register(
+    "select_feature_columns",
+    lambda s, d: (lambda f: f.groupBy("Origin").agg(*[F.sum(F.col(c).cast("double")).alias(c) for c in tabular.select_feature_columns(f.select("Origin", "CRSDepTime", "Distance", "ArrDelay", "DepDelay"), "ArrDelay")]))(_f(s, d)),
+    "SELECT Origin, sum(CRSDepTime)::DOUBLE AS CRSDepTime, sum(Distance) AS Distance FROM f GROUP BY ALL",
+)
+register(
+    "distance_bucket",
+    lambda s, d: P.flights(s, d).groupBy(distance_band(F.col("Distance")).alias("distance_bucket")).agg(F.count("*").alias("n")),
+    (
+        "SELECT CASE WHEN Distance < 250 THEN '0-250' WHEN Distance < 500 THEN '250-500' WHEN Distance < 750 THEN '500-750' "
+        "WHEN Distance < 1000 THEN '750-1000' WHEN Distance < 1500 THEN '1000-1500' WHEN Distance < 2000 THEN '1500-2000' "
+        "ELSE '2000+' END AS distance_bucket, count(*) AS n FROM flights GROUP BY ALL"
+    ),
+)
 register("guard_min_rows", lambda s, d: P.snapshot_base(s, d)[2], "SELECT snapshot_ts::VARCHAR AS snapshot_ts FROM snaps")
 register("airport_activity", lambda s, d: network.airport_activity(cleaning.clean_flights(P.flights(s, d))), "SELECT code, n FROM activity")
-register("top_n_airports", lambda s, d: network.top_n_airports(cleaning.clean_flights(P.flights(s, d)), 20), "SELECT code, n FROM activity ORDER BY n DESC, code LIMIT 20")
+register(
+    "top_n_airports",
+    lambda s, d: network.top_n_airports(cleaning.clean_flights(P.flights(s, d)), 20),
+    "SELECT code, n FROM activity ORDER BY n DESC, code LIMIT 20",
+)
 register("top10_origins", lambda s, d: network.top10_origins(_f(s, d)), "SELECT code, n FROM top10")
-register("node_index_join", lambda s, d: network.with_node_index(_f(s, d).select(*FLIGHT_KEYS, "Origin"), network.node_index(P.prepared(s, d)[1]), "Origin", "origin_idx"), "SELECT l_orderkey, l_linenumber, Origin, node_idx AS origin_idx FROM f JOIN (SELECT (row_number() OVER (ORDER BY code) - 1)::INT AS node_idx, code FROM nodes) ON code = Origin")
+register(
+    "node_index_join",
+    lambda s, d: network.with_node_index(_f(s, d).select(*FLIGHT_KEYS, "Origin"), network.node_index(P.prepared(s, d)[1]), "Origin", "origin_idx"),
+    (
+        "SELECT l_orderkey, l_linenumber, Origin, node_idx AS origin_idx FROM f "
+        "JOIN (SELECT (row_number() OVER (ORDER BY code) - 1)::INT AS node_idx, code FROM nodes) ON code = Origin"
+    ),
+)
 register("node_index", lambda s, d: network.node_index(P.prepared(s, d)[1]), _INDEX)
-register("semi_isin", lambda s, d: _f(s, d).join(network.top10_origins(_f(s, d)), F.col("Origin") == F.col("code"), "left_semi").groupBy("Origin").agg(F.count("*").alias("n")), "SELECT code AS Origin, n FROM top10")
-register("missing_dim_keys", lambda s, d: network.missing_dim_keys(P.prepared(s, d)[1], P.airports(s, d).where("elevation_m % 30 = 0").withColumnRenamed("iata", "airport_code")), "SELECT code FROM nodes WHERE code NOT IN (SELECT airport_code FROM airports WHERE elevation_m % 30 = 0)")
-register("except_nodes", lambda s, d: P.airports(s, d).select(F.col("iata").alias("code")).exceptAll(P.prepared(s, d)[1]), "SELECT airport_code AS code FROM airports EXCEPT SELECT code FROM nodes")
-register("distinct_codes", lambda s, d: adapters.weather_from_events(s, d).select("iata").distinct().orderBy("iata"), "SELECT DISTINCT iata FROM wx")
-register("union_all", lambda s, d: scans.union_all([P.flights(s, d).select("Origin", "Dest"), P.flights(s, d).select("Origin", "Airline")]).groupBy("Origin").agg(F.count("*").alias("n"), F.count("Airline").alias("airlines")), "SELECT Origin, 2 * count(*) AS n, count(*) AS airlines FROM flights GROUP BY ALL")
-register("edge_static", lambda s, d: network.edge_static(_f(s, d)), "SELECT edge_id, src, dst, round(count_norm, 6) AS count_norm, round(air_time_norm, 6) AS air_time_norm, round(distance_norm, 6) AS distance_norm FROM edges")
-register("global_max_norm", lambda s, d: network.edge_static(_f(s, d)).agg(F.max("count_norm").alias("c"), F.max("air_time_norm").alias("a"), F.max("distance_norm").alias("d"), F.count("*").alias("n")), "SELECT max(count_norm) AS c, max(air_time_norm) AS a, max(distance_norm) AS d, count(*) AS n FROM edges")
+register(
+    "semi_isin",
+    lambda s, d: _f(s, d).join(network.top10_origins(_f(s, d)), F.col("Origin") == F.col("code"), "left_semi").groupBy("Origin").agg(F.count("*").alias("n")),
+    "SELECT code AS Origin, n FROM top10",
+)
+register(
+    "missing_dim_keys",
+    lambda s, d: network.missing_dim_keys(P.prepared(s, d)[1], P.airports(s, d).where("elevation_m % 30 = 0").withColumnRenamed("iata", "airport_code")),
+    "SELECT code FROM nodes WHERE code NOT IN (SELECT airport_code FROM airports WHERE elevation_m % 30 = 0)",
+)
+register(
+    "except_nodes",
+    lambda s, d: P.airports(s, d).select(F.col("iata").alias("code")).exceptAll(P.prepared(s, d)[1]),
+    "SELECT airport_code AS code FROM airports EXCEPT SELECT code FROM nodes",
+)
+register(
+    "distinct_codes",
+    lambda s, d: adapters.weather_from_events(s, d).select("iata").distinct().orderBy("iata"),
+    "SELECT DISTINCT iata FROM wx",
+)
+register(
+    "union_all",
+    lambda s, d: scans.union_all([P.flights(s, d).select("Origin", "Dest"), P.flights(s, d).select("Origin", "Airline")]).groupBy("Origin").agg(F.count("*").alias("n"), F.count("Airline").alias("airlines")),
+    "SELECT Origin, 2 * count(*) AS n, count(*) AS airlines FROM flights GROUP BY ALL",
+)
+register("edge_static", lambda s, d: network.edge_static(_f(s, d)), (
+    "SELECT edge_id, src, dst, round(count_norm, 6) AS count_norm, round(air_time_norm, 6) AS air_time_norm, "
+    "round(distance_norm, 6) AS distance_norm FROM edges"
+))
+register(
+    "global_max_norm",
+    lambda s, d: network.edge_static(_f(s, d)).agg(F.max("count_norm").alias("c"), F.max("air_time_norm").alias("a"), F.max("distance_norm").alias("d"), F.count("*").alias("n")),
+    "SELECT max(count_norm) AS c, max(air_time_norm) AS a, max(distance_norm) AS d, count(*) AS n FROM edges",
+)
 
 
 def _neighbors(s, d):
@@ -220,26 +387,98 @@ def _neighbors(s, d):
     return network.neighbor_aggregate(rows, network.edge_static(f), ["dep_mean"])
 
 
-register("neighbor_aggregate", _neighbors, "SELECT snapshot_ts::VARCHAR AS snapshot_ts, dst AS node, round(sum(w / sqrt(ds * dt) * m), 6) + 0.0 AS dep_mean FROM (SELECT src, dst, sum(count_norm) AS w FROM edges GROUP BY ALL) e JOIN (SELECT src AS s, sum(count_norm) AS ds FROM edges GROUP BY ALL) a ON a.s = e.src JOIN (SELECT dst AS t, sum(count_norm) AS dt FROM edges GROUP BY ALL) b ON b.t = e.dst JOIN (SELECT snapshot_ts, node, coalesce(x.m, 0) AS m FROM (SELECT ts + INTERVAL 1 HOUR AS snapshot_ts, Origin AS node, avg(DepDelay) AS m FROM f GROUP BY ALL) x FULL JOIN (SELECT DISTINCT ts + INTERVAL 1 HOUR AS snapshot_ts, Dest AS node FROM f) y USING (snapshot_ts, node)) q ON q.node = e.src WHERE snapshot_ts IN (SELECT snapshot_ts FROM snaps) GROUP BY ALL")
+register("neighbor_aggregate", _neighbors, (
+    "SELECT snapshot_ts::VARCHAR AS snapshot_ts, dst AS node, round(sum(w / sqrt(ds * dt) * m), 6) + 0.0 AS dep_mean "
+    "FROM (SELECT src, dst, sum(count_norm) AS w FROM edges GROUP BY ALL) e JOIN (SELECT src AS s, sum(count_norm) AS ds "
+    "FROM edges GROUP BY ALL) a ON a.s = e.src JOIN (SELECT dst AS t, sum(count_norm) AS dt FROM edges "
+    "GROUP BY ALL) b ON b.t = e.dst JOIN (SELECT snapshot_ts, node, coalesce(x.m, 0) AS m "
+    "FROM (SELECT ts + INTERVAL 1 HOUR AS snapshot_ts, Origin AS node, avg(DepDelay) AS m FROM f GROUP BY ALL) x FULL "
+    "JOIN (SELECT DISTINCT ts + INTERVAL 1 HOUR AS snapshot_ts, Dest AS node FROM f) y USING (snapshot_ts, "
+    "node)) q ON q.node = e.src WHERE snapshot_ts IN (SELECT snapshot_ts FROM snaps) GROUP BY ALL"
+))
 
 # ---- history -------------------------------------------------------------------------------------------
-register("history_arr_delay", lambda s, d: history.history_arr_delay(_f(s, d)), "SELECT node, bucket::VARCHAR AS bucket, round(v, 6) AS arr_delay_mean FROM hist")
-register("sched_arr_count", lambda s, d: history.sched_arr(_f(s, d)).drop("sched_arr_mean_distance"), "SELECT node, bucket::VARCHAR AS bucket, n AS sched_arr_count FROM sarr")
-register("sched_arr_mean_distance", lambda s, d: history.sched_arr(_f(s, d)).drop("sched_arr_count"), "SELECT node, bucket::VARCHAR AS bucket, round(d, 6) AS sched_arr_mean_distance FROM sarr")
-register("sched_dep_count", lambda s, d: history.sched_dep_count(_f(s, d)), "SELECT node, bucket::VARCHAR AS bucket, n AS sched_dep_count FROM sdep")
-register("sched_arr_from_top10", lambda s, d: history.sched_arr_from_top10(_f(s, d)), "SELECT node, bucket::VARCHAR AS bucket, n AS sched_arr_from_top10 FROM s10")
-register("route_arr_delay", lambda s, d: history.route_arr_delay(_f(s, d)), "SELECT src, dst, bucket::VARCHAR AS bucket, round(v, 6) AS route_arr_delay FROM route")
-register("route_sched_count", lambda s, d: history.route_sched_count(_f(s, d)), "SELECT src, dst, bucket::VARCHAR AS bucket, n AS route_sched_count FROM rsched")
-register("rolling_mean_node", lambda s, d: history.rolling_node(history.history_arr_delay(_f(s, d))).select("node", "bucket", "rolling_mean"), "SELECT node, bucket::VARCHAR AS bucket, round(rm, 6) AS rolling_mean FROM roll")
-register("rolling_std_node", lambda s, d: history.rolling_node(history.history_arr_delay(_f(s, d))).select("node", "bucket", "rolling_std"), "SELECT node, bucket::VARCHAR AS bucket, round(rs, 6) AS rolling_std FROM roll")
-register("rolling_mean_route", lambda s, d: history.rolling_route(history.route_arr_delay(_f(s, d))).select("src", "dst", "bucket", "route_recent_arr_delay"), "SELECT src, dst, bucket::VARCHAR AS bucket, round(rm, 6) AS route_recent_arr_delay FROM rroll")
+register(
+    "history_arr_delay",
+    lambda s, d: history.history_arr_delay(_f(s, d)),
+    "SELECT node, bucket::VARCHAR AS bucket, round(v, 6) AS arr_delay_mean FROM hist",
+)
+register(
+    "sched_arr_count",
+    lambda s, d: history.sched_arr(_f(s, d)).drop("sched_arr_mean_distance"),
+    "SELECT node, bucket::VARCHAR AS bucket, n AS sched_arr_count FROM sarr",
+)
+register(
+    "sched_arr_mean_distance",
+    lambda s, d: history.sched_arr(_f(s, d)).drop("sched_arr_count"),
+    "SELECT node, bucket::VARCHAR AS bucket, round(d, 6) AS sched_arr_mean_distance FROM sarr",
+)
+register(
+    "sched_dep_count",
+    lambda s, d: history.sched_dep_count(_f(s, d)),
+    "SELECT node, bucket::VARCHAR AS bucket, n AS sched_dep_count FROM sdep",
+)
+register(
+    "sched_arr_from_top10",
+    lambda s, d: history.sched_arr_from_top10(_f(s, d)),
+    "SELECT node, bucket::VARCHAR AS bucket, n AS sched_arr_from_top10 FROM s10",
+)
+register(
+    "route_arr_delay",
+    lambda s, d: history.route_arr_delay(_f(s, d)),
+    "SELECT src, dst, bucket::VARCHAR AS bucket, round(v, 6) AS route_arr_delay FROM route",
+)
+register(
+    "route_sched_count",
+    lambda s, d: history.route_sched_count(_f(s, d)),
+    "SELECT src, dst, bucket::VARCHAR AS bucket, n AS route_sched_count FROM rsched",
+)
+register(
+    "rolling_mean_node",
+    lambda s, d: history.rolling_node(history.history_arr_delay(_f(s, d))).select("node", "bucket", "rolling_mean"),
+    "SELECT node, bucket::VARCHAR AS bucket, round(rm, 6) AS rolling_mean FROM roll",
+)
+register(
+    "rolling_std_node",
+    lambda s, d: history.rolling_node(history.history_arr_delay(_f(s, d))).select("node", "bucket", "rolling_std"),
+    "SELECT node, bucket::VARCHAR AS bucket, round(rs, 6) AS rolling_std FROM roll",
+)
+register(
+    "rolling_mean_route",
+    lambda s, d: history.rolling_route(history.route_arr_delay(_f(s, d))).select("src", "dst", "bucket", "route_recent_arr_delay"),
+    "SELECT src, dst, bucket::VARCHAR AS bucket, round(rm, 6) AS route_recent_arr_delay FROM rroll",
+)
 _COUNTS = ("sched_arr_count", "sched_dep_count", "sched_arr_from_top10")
-register("history_lookups", lambda s, d: history.node_history(_f(s, d)).withColumns({c: F.col(c).cast("double") for c in _COUNTS}), "SELECT node, bucket::VARCHAR AS bucket, round(v, 6) AS arr_delay_mean, round(rm, 6) AS rolling_mean, round(rs, 6) AS rolling_std, a.n::DOUBLE AS sched_arr_count, round(a.d, 6) AS sched_arr_mean_distance, b.n::DOUBLE AS sched_dep_count, c.n::DOUBLE AS sched_arr_from_top10 FROM roll FULL JOIN sarr a USING (node, bucket) FULL JOIN sdep b USING (node, bucket) FULL JOIN s10 c USING (node, bucket)")
-register("series_lookup", lambda s, d: (lambda f, g: history.series_lookup(g, history.history_arr_delay(f), "arr_delay_mean", -1))(*_grid(s, d)), "SELECT snapshot_ts::VARCHAR AS snapshot_ts, g.node, round(coalesce(v, 0), 6) AS arr_delay_mean FROM grid g LEFT JOIN hist h ON h.node = g.node AND h.bucket = snapshot_ts - INTERVAL 1 HOUR")
+register("history_lookups", lambda s, d: history.node_history(_f(s, d)).withColumns({c: F.col(c).cast("double") for c in _COUNTS}), (
+    "SELECT node, bucket::VARCHAR AS bucket, round(v, 6) AS arr_delay_mean, round(rm, 6) AS rolling_mean, round(rs, "
+    "6) AS rolling_std, a.n::DOUBLE AS sched_arr_count, round(a.d, 6) AS sched_arr_mean_distance, "
+    "b.n::DOUBLE AS sched_dep_count, c.n::DOUBLE AS sched_arr_from_top10 FROM roll FULL JOIN sarr a USING (node, bucket) "
+    "FULL JOIN sdep b USING (node, bucket) FULL JOIN s10 c USING (node, bucket)"
+))
+register(
+    "series_lookup",
+    lambda s, d: (lambda f, g: history.series_lookup(g, history.history_arr_delay(f), "arr_delay_mean", -1))(*_grid(s, d)),
+    (
+        "SELECT snapshot_ts::VARCHAR AS snapshot_ts, g.node, round(coalesce(v, 0), 6) AS arr_delay_mean FROM grid g LEFT "
+        "JOIN hist h ON h.node = g.node AND h.bucket = snapshot_ts - INTERVAL 1 HOUR"
+    ),
+)
 _TS = "* REPLACE (snapshot_ts::VARCHAR AS snapshot_ts)"
-register("lag_lookup", lambda s, d: (lambda f, g: history.lag_lookup(g, history.history_arr_delay(f)))(*_grid(s, d)), f"SELECT {_TS} FROM block_d")
-register("rolling_lookup", lambda s, d: (lambda f, g: history.rolling_lookup(g, history.rolling_node(history.history_arr_delay(f))))(*_grid(s, d)), f"SELECT {_TS} FROM block_e")
-register("horizon_lookup", lambda s, d: (lambda f, g: history.horizon_lookup(g, history.node_history(f), H))(*_grid(s, d)), f"SELECT {_TS} FROM block_g")
+register(
+    "lag_lookup",
+    lambda s, d: (lambda f, g: history.lag_lookup(g, history.history_arr_delay(f)))(*_grid(s, d)),
+    f"SELECT {_TS} FROM block_d",
+)
+register(
+    "rolling_lookup",
+    lambda s, d: (lambda f, g: history.rolling_lookup(g, history.rolling_node(history.history_arr_delay(f))))(*_grid(s, d)),
+    f"SELECT {_TS} FROM block_e",
+)
+register(
+    "horizon_lookup",
+    lambda s, d: (lambda f, g: history.horizon_lookup(g, history.node_history(f), H))(*_grid(s, d)),
+    f"SELECT {_TS} FROM block_g",
+)
 
 
 def _edge_dynamic(s, d):
@@ -247,22 +486,56 @@ def _edge_dynamic(s, d):
     return history.edge_dynamic(network.edge_static(f), snaps, history.route_history(f))
 
 
-_EDGE_DYNAMIC = "SELECT edge_id, e.src, e.dst, s.snapshot_ts::VARCHAR AS snapshot_ts, round(greatest(-1, least(1, coalesce(r.rm, 0) / 60)), 6) + 0.0 AS recent_delay_norm, round(greatest(0, least(1, coalesce(q.n, 0) / 50)), 6) AS sched_next_norm FROM snaps s CROSS JOIN edges e LEFT JOIN rroll r ON r.src = e.src AND r.dst = e.dst AND r.bucket = s.snapshot_ts - INTERVAL 1 HOUR LEFT JOIN rsched q ON q.src = e.src AND q.dst = e.dst AND q.bucket = s.snapshot_ts"
+_EDGE_DYNAMIC = (
+    "SELECT edge_id, e.src, e.dst, s.snapshot_ts::VARCHAR AS snapshot_ts, round(greatest(-1, least(1, coalesce(r.rm, "
+    "0) / 60)), 6) + 0.0 AS recent_delay_norm, round(greatest(0, least(1, coalesce(q.n, 0) / 50)), 6) AS sched_next_norm "
+    "FROM snaps s CROSS JOIN edges e LEFT JOIN rroll r ON r.src = e.src AND r.dst = e.dst "
+    "AND r.bucket = s.snapshot_ts - INTERVAL 1 HOUR LEFT JOIN rsched q ON q.src = e.src AND q.dst = e.dst "
+    "AND q.bucket = s.snapshot_ts"
+)
 register("edge_dynamic_join", _edge_dynamic, _EDGE_DYNAMIC)
 
 # ---- snapshots, features, targets ----------------------------------------------------------------------
 register("snapshot_times", lambda s, d: snapshots.snapshot_times(_f(s, d)), "SELECT snapshot_ts::VARCHAR AS snapshot_ts FROM times")
-register("dense_grid", lambda s, d: (lambda f, n, t: snapshots.dense_grid(n, t, H))(*P.snapshot_base(s, d)), "SELECT snapshot_ts::VARCHAR AS snapshot_ts, node, h AS horizon_h FROM grid, hz")
-register("node_features_basic", lambda s, d: snapshots.node_features_basic(_f(s, d)), "SELECT snapshot_ts::VARCHAR AS snapshot_ts, node, round(coalesce(m, 0), 6) AS dep_mean, round(coalesce(sd, 0), 6) AS dep_std, round(coalesce(sh, 0), 6) AS dep_share, round(CASE WHEN max(coalesce(n, 0)) OVER (PARTITION BY snapshot_ts) > 0 THEN coalesce(n, 0) / max(coalesce(n, 0)) OVER (PARTITION BY snapshot_ts) ELSE 0 END, 6) AS flights, round(coalesce(am, 0), 6) AS arr_mean, round(coalesce(asd, 0), 6) AS arr_std FROM (SELECT ts + INTERVAL 1 HOUR AS snapshot_ts, Origin AS node, avg(DepDelay) AS m, stddev_pop(DepDelay) AS sd, avg((DepDelay > 15)::INT) AS sh, count(*) AS n FROM f GROUP BY ALL) FULL JOIN (SELECT ts + INTERVAL 1 HOUR AS snapshot_ts, Dest AS node, avg(ArrDelay) AS am, stddev_pop(ArrDelay) AS asd FROM f GROUP BY ALL) USING (snapshot_ts, node)")
+register(
+    "dense_grid",
+    lambda s, d: (lambda f, n, t: snapshots.dense_grid(n, t, H))(*P.snapshot_base(s, d)),
+    "SELECT snapshot_ts::VARCHAR AS snapshot_ts, node, h AS horizon_h FROM grid, hz",
+)
+register("node_features_basic", lambda s, d: snapshots.node_features_basic(_f(s, d)), (
+    "SELECT snapshot_ts::VARCHAR AS snapshot_ts, node, round(coalesce(m, 0), 6) AS dep_mean, round(coalesce(sd, 0), "
+    "6) AS dep_std, round(coalesce(sh, 0), 6) AS dep_share, round(CASE WHEN max(coalesce(n, "
+    "0)) OVER (PARTITION BY snapshot_ts) > 0 THEN coalesce(n, 0) / max(coalesce(n, 0)) OVER (PARTITION BY snapshot_ts) "
+    "ELSE 0 END, 6) AS flights, round(coalesce(am, 0), 6) AS arr_mean, round(coalesce(asd, 0), 6) AS arr_std "
+    "FROM (SELECT ts + INTERVAL 1 HOUR AS snapshot_ts, Origin AS node, avg(DepDelay) AS m, stddev_pop(DepDelay) AS sd, "
+    "avg((DepDelay > 15)::INT) AS sh, count(*) AS n FROM f GROUP BY ALL) FULL "
+    "JOIN (SELECT ts + INTERVAL 1 HOUR AS snapshot_ts, Dest AS node, avg(ArrDelay) AS am, stddev_pop(ArrDelay) AS asd "
+    "FROM f GROUP BY ALL) USING (snapshot_ts, node)"
+))
 register("node_block_A", lambda s, d: snapshots.node_block_a(_f(s, d)), f"SELECT {_TS} FROM block_a")
 register("node_block_B", lambda s, d: snapshots.node_block_b(_f(s, d)), f"SELECT {_TS} FROM block_b")
 register("node_block_C", lambda s, d: snapshots.node_block_c(_f(s, d)), f"SELECT {_TS} FROM block_c")
 register("node_block_F", lambda s, d: snapshots.with_block_f(_grid(s, d)[1]), f"SELECT {_TS} FROM block_f")
-register("target_hour_sin", lambda s, d: (lambda g: g.select("snapshot_ts", "node", *[snapshots.target_hour_sin(h).alias(f"g{h}_hour_sin") for h in H]))(_grid(s, d)[1]), "SELECT snapshot_ts::VARCHAR AS snapshot_ts, node, " + ", ".join(f"round(sin(2 * pi() * hour(snapshot_ts + INTERVAL {(h - 1) * 60 + 30} MINUTE) / 24), 6) + 0.0 AS g{h}_hour_sin" for h in H) + " FROM grid")
-register("snapshot_max_norm", lambda s, d: snapshots.snapshot_max_norm(_f(s, d).groupBy(F.col("timestamp").alias("snapshot_ts"), F.col("Origin").alias("node")).agg(F.count("*").cast("double").alias("n")), ["n"]), "SELECT bucket::VARCHAR AS snapshot_ts, node, round(n / max(n) OVER (PARTITION BY bucket), 6) AS n FROM sdep")
+register(
+    "target_hour_sin",
+    lambda s, d: (lambda g: g.select("snapshot_ts", "node", *[snapshots.target_hour_sin(h).alias(f"g{h}_hour_sin") for h in H]))(_grid(s, d)[1]),
+    "SELECT snapshot_ts::VARCHAR AS snapshot_ts, node, " + ", ".join(f"round(sin(2 * pi() * hour(snapshot_ts + INTERVAL {(h - 1) * 60 + 30} MINUTE) / 24), 6) + 0.0 AS g{h}_hour_sin" for h in H) + " FROM grid",
+)
+register(
+    "snapshot_max_norm",
+    lambda s, d: snapshots.snapshot_max_norm(_f(s, d).groupBy(F.col("timestamp").alias("snapshot_ts"), F.col("Origin").alias("node")).agg(F.count("*").cast("double").alias("n")), ["n"]),
+    "SELECT bucket::VARCHAR AS snapshot_ts, node, round(n / max(n) OVER (PARTITION BY bucket), 6) AS n FROM sdep",
+)
 _FILL = "SELECT g.snapshot_ts::VARCHAR AS snapshot_ts, g.node, " + ", ".join(f"coalesce({c}, 0.0) AS {c}" for c in [*(f"a_{x}" for x in ("arr_mean", "arr_std", "arr_p75", "arr_p90", "share_late", "share_60", "dep_mean", "dep_std", "taxi")), *(f"b_{x}" for x in ("arrivals", "departures", "cancelled", "diverted")), *(f"c_{x}" for x in schema.CAUSES)])
-_FILL += ", d.* EXCLUDE (snapshot_ts, node), e.* EXCLUDE (snapshot_ts, node), x.* EXCLUDE (snapshot_ts, node), y.* EXCLUDE (snapshot_ts, node), " + ", ".join(f"round(sin(2 * pi() * hour(g.snapshot_ts + INTERVAL {(h - 1) * 60 + 30} MINUTE) / 24), 6) + 0.0 AS g{h}_hour_sin" for h in H)
-_FILL += " FROM grid g LEFT JOIN block_a a USING (snapshot_ts, node) LEFT JOIN block_b b USING (snapshot_ts, node) LEFT JOIN block_c c USING (snapshot_ts, node) JOIN block_d d USING (snapshot_ts, node) JOIN block_e e USING (snapshot_ts, node) JOIN block_f x USING (snapshot_ts, node) JOIN block_g y USING (snapshot_ts, node)"
+_FILL += (
+    ", d.* EXCLUDE (snapshot_ts, node), e.* EXCLUDE (snapshot_ts, node), x.* EXCLUDE (snapshot_ts, node), "
+    "y.* EXCLUDE (snapshot_ts, node), "
+) + ", ".join(f"round(sin(2 * pi() * hour(g.snapshot_ts + INTERVAL {(h - 1) * 60 + 30} MINUTE) / 24), 6) + 0.0 AS g{h}_hour_sin" for h in H)
+_FILL += (
+    " FROM grid g LEFT JOIN block_a a USING (snapshot_ts, node) LEFT JOIN block_b b USING (snapshot_ts, node) LEFT "
+    "JOIN block_c c USING (snapshot_ts, node) JOIN block_d d USING (snapshot_ts, node) JOIN block_e e USING (snapshot_ts, "
+    "node) JOIN block_f x USING (snapshot_ts, node) JOIN block_g y USING (snapshot_ts, node)"
+)
 
 
 def _rich(s, d):
@@ -288,10 +561,23 @@ _WX += "".join(", " + _weather_columns(f"z{h}", f"h{h}_wx_obs_", ("wind", "gust"
 _WX_JOINS = "LEFT JOIN wxh w ON w.iata = r.node AND w.ts = r.snapshot_ts::TIMESTAMP - INTERVAL 1 HOUR "
 _WX_JOINS += " ".join(f"LEFT JOIN wxh z{h} ON z{h}.iata = r.node AND z{h}.ts = r.snapshot_ts::TIMESTAMP + INTERVAL {h - 1} HOUR" for h in H)
 register("node_features_weather", _rich_weather, f"SELECT r.*, {_WX} FROM ({_FILL}) r {_WX_JOINS}")
-register("target_interval_join", lambda s, d: (lambda f, n, t: snapshots.node_targets(f, n, t, (4,)))(*P.snapshot_base(s, d)), "SELECT snapshot_ts::VARCHAR AS snapshot_ts, node, horizon_h, round(arr, 6) AS arr, round(dep, 6) AS dep, round(pct, 6) AS pct FROM targets WHERE horizon_h = 4")
-register("node_targets", lambda s, d: (lambda f, n, t: snapshots.node_targets(f, n, t, (1,)).select("snapshot_ts", "node", "arr"))(*P.snapshot_base(s, d)), "SELECT snapshot_ts::VARCHAR AS snapshot_ts, node, round(arr, 6) AS arr FROM targets WHERE horizon_h = 1")
-register("node_targets_multi", lambda s, d: (lambda f, n, t: snapshots.node_targets(f, n, t, (1,)))(*P.snapshot_base(s, d)), "SELECT snapshot_ts::VARCHAR AS snapshot_ts, node, horizon_h, round(arr, 6) AS arr, round(dep, 6) AS dep, round(pct, 6) AS pct FROM targets WHERE horizon_h = 1")
-register("multi_horizon_targets", lambda s, d: (lambda f, n, t: snapshots.node_targets(f, n, t))(*P.snapshot_base(s, d)), "SELECT snapshot_ts::VARCHAR AS snapshot_ts, node, horizon_h, round(arr, 6) AS arr, round(dep, 6) AS dep, round(pct, 6) AS pct FROM targets")
+register("target_interval_join", lambda s, d: (lambda f, n, t: snapshots.node_targets(f, n, t, (4,)))(*P.snapshot_base(s, d)), (
+    "SELECT snapshot_ts::VARCHAR AS snapshot_ts, node, horizon_h, round(arr, 6) AS arr, round(dep, 6) AS dep, round(pct, "
+    "6) AS pct FROM targets WHERE horizon_h = 4"
+))
+register(
+    "node_targets",
+    lambda s, d: (lambda f, n, t: snapshots.node_targets(f, n, t, (1,)).select("snapshot_ts", "node", "arr"))(*P.snapshot_base(s, d)),
+    "SELECT snapshot_ts::VARCHAR AS snapshot_ts, node, round(arr, 6) AS arr FROM targets WHERE horizon_h = 1",
+)
+register("node_targets_multi", lambda s, d: (lambda f, n, t: snapshots.node_targets(f, n, t, (1,)))(*P.snapshot_base(s, d)), (
+    "SELECT snapshot_ts::VARCHAR AS snapshot_ts, node, horizon_h, round(arr, 6) AS arr, round(dep, 6) AS dep, round(pct, "
+    "6) AS pct FROM targets WHERE horizon_h = 1"
+))
+register("multi_horizon_targets", lambda s, d: (lambda f, n, t: snapshots.node_targets(f, n, t))(*P.snapshot_base(s, d)), (
+    "SELECT snapshot_ts::VARCHAR AS snapshot_ts, node, horizon_h, round(arr, 6) AS arr, round(dep, 6) AS dep, round(pct, "
+    "6) AS pct FROM targets"
+))
 
 
 def _create_snapshots(s, d):
@@ -313,9 +599,27 @@ register("create_snapshots", _create_snapshots, f"""
 _EDGE_STATIC = "round(e.count_norm, 6) AS count_norm, round(e.air_time_norm, 6) AS air_time_norm, round(e.distance_norm, 6) AS distance_norm"
 register("snapshot_edges", _snapshot_edges, _EDGE_DYNAMIC.replace(" FROM snaps s", f", {_EDGE_STATIC} FROM snaps s"))
 _VALUES = ["dep_mean", "dep_share", "flights", "arr_mean"]
-_BASIC = "(SELECT snapshot_ts, node, coalesce(m, 0) AS dep_mean, coalesce(sh, 0) AS dep_share, coalesce(n, 0) / max(coalesce(n, 0)) OVER (PARTITION BY snapshot_ts) AS flights, coalesce(am, 0) AS arr_mean FROM (SELECT ts + INTERVAL 1 HOUR AS snapshot_ts, Origin AS node, avg(DepDelay) AS m, avg((DepDelay > 15)::INT) AS sh, count(*) AS n FROM f GROUP BY ALL) FULL JOIN (SELECT ts + INTERVAL 1 HOUR AS snapshot_ts, Dest AS node, avg(ArrDelay) AS am FROM f GROUP BY ALL) USING (snapshot_ts, node))"
-register("active_mask", lambda s, d: snapshots.active_nodes(snapshots.node_features_basic(_f(s, d)), _VALUES).select("snapshot_ts", "node", "active"), f"SELECT snapshot_ts::VARCHAR AS snapshot_ts, node, abs(dep_mean) + abs(dep_share) + abs(flights) + abs(arr_mean) > 0 AS active FROM {_BASIC}")
-register("feature_stats", lambda s, d: snapshots.feature_stats(snapshots.node_features_basic(_f(s, d)), _VALUES), " UNION ALL ".join(f"SELECT '{v}' AS feature, round(avg({v}), 6) AS mean, round(greatest(stddev_samp({v}), 1e-6), 6) AS std FROM {_BASIC}" for v in _VALUES))
+_BASIC = (
+    "(SELECT snapshot_ts, node, coalesce(m, 0) AS dep_mean, coalesce(sh, 0) AS dep_share, coalesce(n, 0) / max(coalesce(n, "
+    "0)) OVER (PARTITION BY snapshot_ts) AS flights, coalesce(am, 0) AS arr_mean "
+    "FROM (SELECT ts + INTERVAL 1 HOUR AS snapshot_ts, Origin AS node, avg(DepDelay) AS m, "
+    "avg((DepDelay > 15)::INT) AS sh, count(*) AS n FROM f GROUP BY ALL) FULL "
+    "JOIN (SELECT ts + INTERVAL 1 HOUR AS snapshot_ts, Dest AS node, avg(ArrDelay) AS am FROM f "
+    "GROUP BY ALL) USING (snapshot_ts, node))"
+)
+register(
+    "active_mask",
+    lambda s, d: snapshots.active_nodes(snapshots.node_features_basic(_f(s, d)), _VALUES).select("snapshot_ts", "node", "active"),
+    (
+        f"SELECT snapshot_ts::VARCHAR AS snapshot_ts, node, "
+        f"abs(dep_mean) + abs(dep_share) + abs(flights) + abs(arr_mean) > 0 AS active FROM {_BASIC}"
+    ),
+)
+register(
+    "feature_stats",
+    lambda s, d: snapshots.feature_stats(snapshots.node_features_basic(_f(s, d)), _VALUES),
+    " UNION ALL ".join(f"SELECT '{v}' AS feature, round(avg({v}), 6) AS mean, round(greatest(stddev_samp({v}), 1e-6), 6) AS std FROM {_BASIC}" for v in _VALUES),
+)
 
 
 def _train_stats(s, d):
@@ -334,43 +638,179 @@ register(
         for v in _VALUES
     ),
 )
-register("normalize_features", lambda s, d: (lambda x: snapshots.normalize_features(x, snapshots.feature_stats(x, _VALUES), _VALUES))(snapshots.node_features_basic(_f(s, d)).select("snapshot_ts", "node", *_VALUES)), "SELECT snapshot_ts::VARCHAR AS snapshot_ts, node, " + ", ".join(f"round(({v} - avg({v}) OVER ()) / greatest(stddev_samp({v}) OVER (), 1e-6), 6) + 0.0 AS {v}" for v in _VALUES) + f" FROM {_BASIC}")
-register("split_by_ratio", lambda s, d: snapshots.split_by_ratio(P.snapshot_base(s, d)[2]), "SELECT snapshot_ts::VARCHAR AS snapshot_ts, CASE WHEN r <= floor(n * 0.7::DOUBLE) THEN 'train' WHEN r <= floor(n * (0.7::DOUBLE + 0.15::DOUBLE)) THEN 'val' ELSE 'test' END AS split FROM (SELECT snapshot_ts, row_number() OVER (ORDER BY snapshot_ts) AS r, count(*) OVER () AS n FROM snaps)")
-register("split_by_date", lambda s, d: snapshots.split_by_date(P.snapshot_base(s, d)[2], "2019-09-25", "2019-10-01"), "SELECT snapshot_ts::VARCHAR AS snapshot_ts, CASE WHEN snapshot_ts < '2019-09-25' THEN 'train' WHEN snapshot_ts < '2019-10-01' THEN 'val' ELSE 'test' END AS split FROM snaps")
-register("split_by_month", lambda s, d: snapshots.split_by_month(P.flights(s, d), [9], [10], []).groupBy("split", "Month").agg(F.count("*").alias("n")), "SELECT CASE Month WHEN 9 THEN 'train' ELSE 'val' END AS split, Month, count(*) AS n FROM flights GROUP BY ALL")
-register("sliding_sequences", lambda s, d: snapshots.sliding_sequences(P.snapshot_base(s, d)[2]).select("target_ts", F.col("members")[0].alias("first_ts"), F.size("members").alias("n")), "SELECT snapshot_ts::VARCHAR AS target_ts, lo::VARCHAR AS first_ts, 6 AS n FROM (SELECT snapshot_ts, lag(snapshot_ts, 5) OVER (ORDER BY snapshot_ts) AS lo FROM snaps) WHERE lo IS NOT NULL")
-register("last_n_snapshots", lambda s, d: snapshots.last_n_snapshots(P.snapshot_base(s, d)[2]), "SELECT snapshot_ts::VARCHAR AS snapshot_ts FROM snaps ORDER BY snaps.snapshot_ts DESC LIMIT 6")
+register(
+    "normalize_features",
+    lambda s, d: (lambda x: snapshots.normalize_features(x, snapshots.feature_stats(x, _VALUES), _VALUES))(snapshots.node_features_basic(_f(s, d)).select("snapshot_ts", "node", *_VALUES)),
+    "SELECT snapshot_ts::VARCHAR AS snapshot_ts, node, " + ", ".join(f"round(({v} - avg({v}) OVER ()) / greatest(stddev_samp({v}) OVER (), 1e-6), 6) + 0.0 AS {v}" for v in _VALUES) + f" FROM {_BASIC}",
+)
+register("split_by_ratio", lambda s, d: snapshots.split_by_ratio(P.snapshot_base(s, d)[2]), (
+    "SELECT snapshot_ts::VARCHAR AS snapshot_ts, CASE WHEN r <= floor(n * 0.7::DOUBLE) THEN 'train' "
+    "WHEN r <= floor(n * (0.7::DOUBLE + 0.15::DOUBLE)) THEN 'val' ELSE 'test' END AS split FROM (SELECT snapshot_ts, "
+    "row_number() OVER (ORDER BY snapshot_ts) AS r, count(*) OVER () AS n FROM snaps)"
+))
+register("split_by_date", lambda s, d: snapshots.split_by_date(P.snapshot_base(s, d)[2], "2019-09-25", "2019-10-01"), (
+    "SELECT snapshot_ts::VARCHAR AS snapshot_ts, CASE WHEN snapshot_ts < '2019-09-25' THEN 'train' "
+    "WHEN snapshot_ts < '2019-10-01' THEN 'val' ELSE 'test' END AS split FROM snaps"
+))
+register(
+    "split_by_month",
+    lambda s, d: snapshots.split_by_month(P.flights(s, d), [9], [10], []).groupBy("split", "Month").agg(F.count("*").alias("n")),
+    "SELECT CASE Month WHEN 9 THEN 'train' ELSE 'val' END AS split, Month, count(*) AS n FROM flights GROUP BY ALL",
+)
+register(
+    "sliding_sequences",
+    lambda s, d: snapshots.sliding_sequences(P.snapshot_base(s, d)[2]).select("target_ts", F.col("members")[0].alias("first_ts"), F.size("members").alias("n")),
+    (
+        "SELECT snapshot_ts::VARCHAR AS target_ts, lo::VARCHAR AS first_ts, 6 AS n FROM (SELECT snapshot_ts, lag(snapshot_ts, "
+        "5) OVER (ORDER BY snapshot_ts) AS lo FROM snaps) WHERE lo IS NOT NULL"
+    ),
+)
+register(
+    "last_n_snapshots",
+    lambda s, d: snapshots.last_n_snapshots(P.snapshot_base(s, d)[2]),
+    "SELECT snapshot_ts::VARCHAR AS snapshot_ts FROM snaps ORDER BY snaps.snapshot_ts DESC LIMIT 6",
+)
 
 # ---- weather -------------------------------------------------------------------------------------------
-register("dedup_first_per_hour", lambda s, d: P.weather_hourly(s, d).select("iata", "timestamp", "event_id", "weather_category"), "SELECT iata, ts::VARCHAR AS timestamp, event_id, cat AS weather_category FROM wxh")
-register("weather_window_agg", lambda s, d: weather.weather_window_agg(adapters.weather_from_events(s, d), 2), "SELECT b::VARCHAR AS snapshot_ts, iata AS node, round(w, 6) AS h_wind_mean, g AS h_gust_max, p AS h_precip_sum, round(c, 6) AS h_cloud_mean, " + ", ".join(f"(k = {i})::INT::DOUBLE AS h_cat_{i}" for i in range(5)) + " FROM (SELECT b, iata, avg(wind) AS w, max(gust) AS g, sum(precip) AS p, avg(cloud) AS c FROM (SELECT *, time_bucket(INTERVAL 2 HOUR, ts) + INTERVAL 2 HOUR AS b FROM wx) GROUP BY ALL) JOIN (SELECT b, iata, arg_max(cat, n * 100 - cat) AS k FROM (SELECT time_bucket(INTERVAL 2 HOUR, ts) + INTERVAL 2 HOUR AS b, iata, cat, count(*) AS n FROM wx GROUP BY ALL) GROUP BY ALL) USING (b, iata)")
-register("weather_window_join", lambda s, d: _grid(s, d)[1].join(weather.weather_window_agg(P.weather_hourly(s, d)), ["snapshot_ts", "node"], "left").na.fill(0.0).select("snapshot_ts", "node", "h_wind_mean", "h_precip_sum"), "SELECT snapshot_ts::VARCHAR AS snapshot_ts, node, coalesce(wind, 0.0) AS h_wind_mean, coalesce(precip, 0.0) AS h_precip_sum FROM grid LEFT JOIN wxh ON iata = node AND ts = snapshot_ts - INTERVAL 1 HOUR")
-register("weather_point_join", lambda s, d: weather.weather_point(P.weather_hourly(s, d), _grid(s, d)[1], H).select("snapshot_ts", "node", "horizon_h", "wx_obs_wind", "wx_obs_cat_4"), "SELECT snapshot_ts::VARCHAR AS snapshot_ts, node, h AS horizon_h, coalesce(wind, 0.0) AS wx_obs_wind, coalesce((cat = 4)::INT, 0)::DOUBLE AS wx_obs_cat_4 FROM (SELECT * FROM grid, hz) LEFT JOIN wxh ON iata = node AND ts = date_trunc('hour', snapshot_ts + to_hours(h - 1) + INTERVAL 30 MINUTE)")
-register("weather_toggle", lambda s, d: weather.weather_window_agg(P.weather_hourly(s, d), 1, ["wind_gust"]).select("snapshot_ts", "node", "h_wind_mean", "h_precip_sum", "h_cat_0"), "SELECT (ts + INTERVAL 1 HOUR)::VARCHAR AS snapshot_ts, iata AS node, wind AS h_wind_mean, 0.0::DOUBLE AS h_precip_sum, 0.0::DOUBLE AS h_cat_0 FROM wxh")
-register("wmo_bucket", lambda s, d: s.range(100).select(F.col("id").alias("code"), wmo_category(F.col("id")).alias("category")).join(adapters.weather_from_events(s, d).groupBy(F.col("weather_code").cast("long").alias("code")).agg(F.count("*").alias("n")), "code"), "SELECT code::BIGINT AS code, cat AS category, count(*) AS n FROM wx GROUP BY ALL")
-register("one_hot", lambda s, d: (lambda w: w.select("event_id", *[c.alias(f"k{i}") for i, c in enumerate(one_hot(F.col("weather_category")))]))(adapters.weather_from_events(s, d)), "SELECT event_id, " + ", ".join(f"(cat = {i})::INT::DOUBLE AS k{i}" for i in range(5)) + " FROM wx")
+register(
+    "dedup_first_per_hour",
+    lambda s, d: P.weather_hourly(s, d).select("iata", "timestamp", "event_id", "weather_category"),
+    "SELECT iata, ts::VARCHAR AS timestamp, event_id, cat AS weather_category FROM wxh",
+)
+register("weather_window_agg", lambda s, d: weather.weather_window_agg(adapters.weather_from_events(s, d), 2), (
+    "SELECT b::VARCHAR AS snapshot_ts, iata AS node, round(w, 6) AS h_wind_mean, g AS h_gust_max, p AS h_precip_sum, "
+    "round(c, 6) AS h_cloud_mean, "
+) + ", ".join(f"(k = {i})::INT::DOUBLE AS h_cat_{i}" for i in range(5)) + (
+    " FROM (SELECT b, iata, avg(wind) AS w, max(gust) AS g, sum(precip) AS p, avg(cloud) AS c FROM (SELECT *, "
+    "time_bucket(INTERVAL 2 HOUR, ts) + INTERVAL 2 HOUR AS b FROM wx) GROUP BY ALL) JOIN (SELECT b, iata, arg_max(cat, "
+    "n * 100 - cat) AS k FROM (SELECT time_bucket(INTERVAL 2 HOUR, ts) + INTERVAL 2 HOUR AS b, iata, cat, count(*) AS n "
+    "FROM wx GROUP BY ALL) GROUP BY ALL) USING (b, iata)"
+))
+register(
+    "weather_window_join",
+    lambda s, d: _grid(s, d)[1].join(weather.weather_window_agg(P.weather_hourly(s, d)), ["snapshot_ts", "node"], "left").na.fill(0.0).select("snapshot_ts", "node", "h_wind_mean", "h_precip_sum"),
+    (
+        "SELECT snapshot_ts::VARCHAR AS snapshot_ts, node, coalesce(wind, 0.0) AS h_wind_mean, coalesce(precip, "
+        "0.0) AS h_precip_sum FROM grid LEFT JOIN wxh ON iata = node AND ts = snapshot_ts - INTERVAL 1 HOUR"
+    ),
+)
+register(
+    "weather_point_join",
+    lambda s, d: weather.weather_point(P.weather_hourly(s, d), _grid(s, d)[1], H).select("snapshot_ts", "node", "horizon_h", "wx_obs_wind", "wx_obs_cat_4"),
+    (
+        "SELECT snapshot_ts::VARCHAR AS snapshot_ts, node, h AS horizon_h, coalesce(wind, 0.0) AS wx_obs_wind, "
+        "coalesce((cat = 4)::INT, 0)::DOUBLE AS wx_obs_cat_4 FROM (SELECT * FROM grid, hz) LEFT JOIN wxh ON iata = node "
+        "AND ts = date_trunc('hour', snapshot_ts + to_hours(h - 1) + INTERVAL 30 MINUTE)"
+    ),
+)
+register(
+    "weather_toggle",
+    lambda s, d: weather.weather_window_agg(P.weather_hourly(s, d), 1, ["wind_gust"]).select("snapshot_ts", "node", "h_wind_mean", "h_precip_sum", "h_cat_0"),
+    (
+        "SELECT (ts + INTERVAL 1 HOUR)::VARCHAR AS snapshot_ts, iata AS node, wind AS h_wind_mean, "
+        "0.0::DOUBLE AS h_precip_sum, 0.0::DOUBLE AS h_cat_0 FROM wxh"
+    ),
+)
+register(
+    "wmo_bucket",
+    lambda s, d: s.range(100).select(F.col("id").alias("code"), wmo_category(F.col("id")).alias("category")).join(adapters.weather_from_events(s, d).groupBy(F.col("weather_code").cast("long").alias("code")).agg(F.count("*").alias("n")), "code"),
+    "SELECT code::BIGINT AS code, cat AS category, count(*) AS n FROM wx GROUP BY ALL",
+)
+register(
+    "one_hot",
+    lambda s, d: (lambda w: w.select("event_id", *[c.alias(f"k{i}") for i, c in enumerate(one_hot(F.col("weather_category")))]))(adapters.weather_from_events(s, d)),
+    "SELECT event_id, " + ", ".join(f"(cat = {i})::INT::DOUBLE AS k{i}" for i in range(5)) + " FROM wx",
+)
 
 # ---- scalar functions ----------------------------------------------------------------------------------
-register("cyclic_encode", lambda s, d: P.flights(s, d).select(*FLIGHT_KEYS, *[c.alias(n) for n, c in zip(("s", "c"), cyclic(F.col("CRSDepTime"), 2400), strict=True)]), "SELECT l_orderkey, l_linenumber, round(sin(2 * pi() * CRSDepTime / 2400), 6) + 0.0 AS s, round(cos(2 * pi() * CRSDepTime / 2400), 6) + 0.0 AS c FROM flights")
-register("floor_bucket", lambda s, d: adapters.read(s, d, "events").select("event_id", floor_bucket(F.col("ts").cast("timestamp_ntz"), 2).alias("b2")), "SELECT event_id, time_bucket(INTERVAL 2 HOUR, ts::TIMESTAMP)::VARCHAR AS b2 FROM events")
-register("sigmoid", lambda s, d: P.flights(s, d).select(*FLIGHT_KEYS, sigmoid((F.col("ArrDelay") - 15) / 10).alias("p")), "SELECT l_orderkey, l_linenumber, round(1 / (1 + exp(-(ArrDelay - 15) / 10)), 6) AS p FROM flights")
-register("clamp", lambda s, d: P.flights(s, d).select(*FLIGHT_KEYS, zero_if_missing(F.col("ArrDelay") / F.nullif(F.col("DepDelay"), F.lit(0))).alias("z"), F.when(F.col("ArrDelay").isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(23.0), F.col("ArrDelay")))).alias("c")), "SELECT l_orderkey, l_linenumber, round(coalesce(ArrDelay / nullif(DepDelay, 0), 0), 6) + 0.0 AS z, CASE WHEN ArrDelay IS NOT NULL THEN greatest(0, least(23, ArrDelay)) END AS c FROM flights")
+register(
+    "cyclic_encode",
+    lambda s, d: P.flights(s, d).select(*FLIGHT_KEYS, *[c.alias(n) for n, c in zip(("s", "c"), cyclic(F.col("CRSDepTime"), 2400), strict=True)]),
+    (
+        "SELECT l_orderkey, l_linenumber, round(sin(2 * pi() * CRSDepTime / 2400), 6) + 0.0 AS s, "
+        "round(cos(2 * pi() * CRSDepTime / 2400), 6) + 0.0 AS c FROM flights"
+    ),
+)
+register(
+    "floor_bucket",
+    lambda s, d: adapters.read(s, d, "events").select("event_id", floor_bucket(F.col("ts").cast("timestamp_ntz"), 2).alias("b2")),
+    "SELECT event_id, time_bucket(INTERVAL 2 HOUR, ts::TIMESTAMP)::VARCHAR AS b2 FROM events",
+)
+register(
+    "sigmoid",
+    lambda s, d: P.flights(s, d).select(*FLIGHT_KEYS, sigmoid((F.col("ArrDelay") - 15) / 10).alias("p")),
+    "SELECT l_orderkey, l_linenumber, round(1 / (1 + exp(-(ArrDelay - 15) / 10)), 6) AS p FROM flights",
+)
+register(
+    "clamp",
+    lambda s, d: P.flights(s, d).select(*FLIGHT_KEYS, zero_if_missing(F.col("ArrDelay") / F.nullif(F.col("DepDelay"), F.lit(0))).alias("z"), F.when(F.col("ArrDelay").isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(23.0), F.col("ArrDelay")))).alias("c")),
+    (
+        "SELECT l_orderkey, l_linenumber, round(coalesce(ArrDelay / nullif(DepDelay, 0), 0), 6) + 0.0 AS z, CASE "
+        "WHEN ArrDelay IS NOT NULL THEN greatest(0, least(23, ArrDelay)) END AS c FROM flights"
+    ),
+)
 _RATIO = "ArrDelay / DepDelay"
-register("nan_to_zero", lambda s, d: P.flights(s, d).select(*FLIGHT_KEYS, nan_to_zero(F.when(F.col("DepDelay") == 0, float("nan")).otherwise(F.expr(f"try_divide(ArrDelay, DepDelay)"))).alias("z")), f"SELECT l_orderkey, l_linenumber, round(CASE WHEN DepDelay = 0 THEN 0 ELSE {_RATIO} END, 6) + 0.0 AS z FROM flights")
-register("inf_to_zero", lambda s, d: P.flights(s, d).select(*FLIGHT_KEYS, inf_to_zero(F.when(F.col("DepDelay") == 0, float("-inf")).otherwise(F.expr(f"try_divide(ArrDelay, DepDelay)"))).alias("z")), f"SELECT l_orderkey, l_linenumber, round(CASE WHEN DepDelay = 0 THEN 0 ELSE {_RATIO} END, 6) + 0.0 AS z FROM flights")
+register(
+    "nan_to_zero",
+    lambda s, d: P.flights(s, d).select(*FLIGHT_KEYS, nan_to_zero(F.when(F.col("DepDelay") == 0, float("nan")).otherwise(F.expr(f"try_divide(ArrDelay, DepDelay)"))).alias("z")),
+    f"SELECT l_orderkey, l_linenumber, round(CASE WHEN DepDelay = 0 THEN 0 ELSE {_RATIO} END, 6) + 0.0 AS z FROM flights",
+)
+register(
+    "inf_to_zero",
+    lambda s, d: P.flights(s, d).select(*FLIGHT_KEYS, inf_to_zero(F.when(F.col("DepDelay") == 0, float("-inf")).otherwise(F.expr(f"try_divide(ArrDelay, DepDelay)"))).alias("z")),
+    f"SELECT l_orderkey, l_linenumber, round(CASE WHEN DepDelay = 0 THEN 0 ELSE {_RATIO} END, 6) + 0.0 AS z FROM flights",
+)
 register(
     "string_date_helpers",
     lambda s, d: adapters.read(s, d, "events").select(
         "event_id", clean_code(F.concat(F.lit(" a"), F.col("user_id").cast("string"), F.lit(" "))).alias("code"),
         parse_iso(F.concat(F.date_format(F.col("ts").cast("timestamp_ntz"), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+02:00"))).alias("at"), two_digits(F.hour(F.col("ts").cast("timestamp_ntz"))).alias("hh"),
     ),
-    "SELECT event_id, 'A' || user_id AS code, date_trunc('second', ts::TIMESTAMP)::TIMESTAMP::VARCHAR AS at, lpad(hour(ts::TIMESTAMP)::VARCHAR, 2, '0') AS hh FROM events",
+(
+        "SELECT event_id, 'A' || user_id AS code, date_trunc('second', ts::TIMESTAMP)::TIMESTAMP::VARCHAR AS at, "
+        "lpad(hour(ts::TIMESTAMP)::VARCHAR, 2, '0') AS hh FROM events"
+    ),
 )
-register("temporal_features", lambda s, d: tabular.temporal_features(cleaning.encode_time(P.flights(s, d))).select(*FLIGHT_KEYS, "day_of_week", "is_weekend", "hour_sin", "dow_cos"), "SELECT l_orderkey, l_linenumber, DayOfWeek AS day_of_week, (DayOfWeek >= 5)::INT AS is_weekend, round(sin(2 * pi() * hh / 24), 6) + 0.0 AS hour_sin, round(cos(2 * pi() * DayOfWeek / 7), 6) + 0.0 AS dow_cos FROM flights")
-register("label_encode", lambda s, d: (lambda f: tabular.label_encode(f.select(*FLIGHT_KEYS, "Origin", "Month"), "Origin", tabular.fit_label_encoder(f.where("Origin > 'A04'"), "Origin")).drop("Month"))(P.flights(s, d)), "SELECT l_orderkey, l_linenumber, f1.Origin, coalesce(e.code, -1)::INT AS Origin_encoded FROM flights f1 LEFT JOIN (SELECT Origin, row_number() OVER (ORDER BY Origin) - 1 AS code FROM (SELECT DISTINCT Origin FROM flights WHERE Origin > 'A04')) e ON e.Origin = f1.Origin")
-register("standard_scale", lambda s, d: (lambda f: tabular.standard_scale(f, ["Distance", "TaxiOut"], tabular.fit_standard_scaler(f, ["Distance", "TaxiOut"])))(P.flights(s, d).select(*FLIGHT_KEYS, "Distance", "TaxiOut")), "SELECT l_orderkey, l_linenumber, round((Distance - avg(Distance) OVER ()) / stddev_pop(Distance) OVER (), 6) + 0.0 AS Distance, round((TaxiOut - avg(TaxiOut) OVER ()) / stddev_pop(TaxiOut) OVER (), 6) + 0.0 AS TaxiOut FROM flights")
-register("feature_matrix", lambda s, d: tabular.feature_matrix(cleaning.encode_time(P.flights(s, d)), ["Airline"], ["Distance"])[0].select(*FLIGHT_KEYS, "Airline_encoded", "Distance", "hour_cos"), "SELECT l_orderkey, l_linenumber, (dense_rank() OVER (ORDER BY Airline) - 1)::INT AS Airline_encoded, round((Distance - avg(Distance) OVER ()) / stddev_pop(Distance) OVER (), 6) + 0.0 AS Distance, round(cos(2 * pi() * hh / 24), 6) + 0.0 AS hour_cos FROM flights")
-register("tabular_regressor", lambda s, d: tabular.tabular_regressor(tabular.temporal_features(cleaning.encode_time(cleaning.clean_flights(P.flights(s, d)))), ["Distance", "TaxiOut", "hour_sin", "hour_cos"], train=F.col("FlightDate") < "2019-10-01").select(*FLIGHT_KEYS, "ArrDelay", F.round("prediction", 3).alias("prediction")))
+register(
+    "temporal_features",
+    lambda s, d: tabular.temporal_features(cleaning.encode_time(P.flights(s, d))).select(*FLIGHT_KEYS, "day_of_week", "is_weekend", "hour_sin", "dow_cos"),
+    (
+        "SELECT l_orderkey, l_linenumber, DayOfWeek AS day_of_week, (DayOfWeek >= 5)::INT AS is_weekend, "
+        "round(sin(2 * pi() * hh / 24), 6) + 0.0 AS hour_sin, round(cos(2 * pi() * DayOfWeek / 7), 6) + 0.0 AS dow_cos "
+        "FROM flights"
+    ),
+)
+register(
+    "label_encode",
+    lambda s, d: (lambda f: tabular.label_encode(f.select(*FLIGHT_KEYS, "Origin", "Month"), "Origin", tabular.fit_label_encoder(f.where("Origin > 'A04'"), "Origin")).drop("Month"))(P.flights(s, d)),
+    (
+        "SELECT l_orderkey, l_linenumber, f1.Origin, coalesce(e.code, -1)::INT AS Origin_encoded FROM flights f1 LEFT "
+        "JOIN (SELECT Origin, row_number() OVER (ORDER BY Origin) - 1 AS code FROM (SELECT DISTINCT Origin FROM flights "
+        "WHERE Origin > 'A04')) e ON e.Origin = f1.Origin"
+    ),
+)
+register(
+    "standard_scale",
+    lambda s, d: (lambda f: tabular.standard_scale(f, ["Distance", "TaxiOut"], tabular.fit_standard_scaler(f, ["Distance", "TaxiOut"])))(P.flights(s, d).select(*FLIGHT_KEYS, "Distance", "TaxiOut")),
+    (
+        "SELECT l_orderkey, l_linenumber, round((Distance - avg(Distance) OVER ()) / stddev_pop(Distance) OVER (), "
+        "6) + 0.0 AS Distance, round((TaxiOut - avg(TaxiOut) OVER ()) / stddev_pop(TaxiOut) OVER (), 6) + 0.0 AS TaxiOut "
+        "FROM flights"
+    ),
+)
+register(
+    "feature_matrix",
+    lambda s, d: tabular.feature_matrix(cleaning.encode_time(P.flights(s, d)), ["Airline"], ["Distance"])[0].select(*FLIGHT_KEYS, "Airline_encoded", "Distance", "hour_cos"),
+    (
+        "SELECT l_orderkey, l_linenumber, (dense_rank() OVER (ORDER BY Airline) - 1)::INT AS Airline_encoded, "
+        "round((Distance - avg(Distance) OVER ()) / stddev_pop(Distance) OVER (), 6) + 0.0 AS Distance, "
+        "round(cos(2 * pi() * hh / 24), 6) + 0.0 AS hour_cos FROM flights"
+    ),
+)
+register(
+    "tabular_regressor",
+    lambda s, d: tabular.tabular_regressor(tabular.temporal_features(cleaning.encode_time(cleaning.clean_flights(P.flights(s, d)))), ["Distance", "TaxiOut", "hour_sin", "hour_cos"], train=F.col("FlightDate") < "2019-10-01").select(*FLIGHT_KEYS, "ArrDelay", F.round("prediction", 3).alias("prediction")),
+)
 
 _LINE = "regr_slope(ArrDelay, Distance) OVER () * Distance + regr_intercept(ArrDelay, Distance) OVER ()"
 register(
@@ -381,38 +821,133 @@ register(
 
 # ---- star schema and reports ---------------------------------------------------------------------------
 _FACT_COLS = "airport_code, ts_hour::VARCHAR AS ts_hour"
-register("fact_departures", lambda s, d: star.fact_departures(P.report_frame(s, d)), f"SELECT {_FACT_COLS}, sched_dep, dep_operated, dep_cancelled, round(dep_delay_mean, 6) AS dep_delay_mean, dep_del15 FROM fdep")
-register("fact_arrivals", lambda s, d: star.fact_arrivals(P.report_frame(s, d)), f"SELECT {_FACT_COLS}, sched_arr, arr_operated, arr_cancelled, round(arr_delay_mean, 6) AS arr_delay_mean, arr_delay_median, arr_del15 FROM farr")
-register("join_arr_dep", lambda s, d: (lambda f: star.join_arr_dep(star.fact_arrivals(f), star.fact_departures(f)).select("airport_code", "ts_hour", "sched_arr", "sched_dep"))(P.report_frame(s, d)), f"SELECT {_FACT_COLS}, sched_arr, sched_dep FROM fad")
-_FACT = f"SELECT {_FACT_COLS}, sched_arr, arr_operated, arr_cancelled, round(arr_delay_mean, 6) AS arr_delay_mean, arr_delay_median, arr_del15, sched_dep, dep_operated, dep_cancelled, round(dep_delay_mean, 6) AS dep_delay_mean, dep_del15, date::VARCHAR AS date, hour, day_of_week, month, year, est_arr_passengers, est_dep_passengers FROM fact"
+register("fact_departures", lambda s, d: star.fact_departures(P.report_frame(s, d)), (
+    f"SELECT {_FACT_COLS}, sched_dep, dep_operated, dep_cancelled, round(dep_delay_mean, 6) AS dep_delay_mean, dep_del15 "
+    f"FROM fdep"
+))
+register("fact_arrivals", lambda s, d: star.fact_arrivals(P.report_frame(s, d)), (
+    f"SELECT {_FACT_COLS}, sched_arr, arr_operated, arr_cancelled, round(arr_delay_mean, 6) AS arr_delay_mean, "
+    f"arr_delay_median, arr_del15 FROM farr"
+))
+register(
+    "join_arr_dep",
+    lambda s, d: (lambda f: star.join_arr_dep(star.fact_arrivals(f), star.fact_departures(f)).select("airport_code", "ts_hour", "sched_arr", "sched_dep"))(P.report_frame(s, d)),
+    f"SELECT {_FACT_COLS}, sched_arr, sched_dep FROM fad",
+)
+_FACT = (
+    f"SELECT {_FACT_COLS}, sched_arr, arr_operated, arr_cancelled, round(arr_delay_mean, 6) AS arr_delay_mean, "
+    f"arr_delay_median, arr_del15, sched_dep, dep_operated, dep_cancelled, round(dep_delay_mean, 6) AS dep_delay_mean, "
+    f"dep_del15, date::VARCHAR AS date, hour, day_of_week, month, year, est_arr_passengers, est_dep_passengers FROM fact"
+)
 register("fact_airport_hour", P.fact, _FACT)
-register("order_fact", lambda s, d: star.order_fact(P.fact(s, d)).select("airport_code", "ts_hour", "sched_arr"), f"SELECT {_FACT_COLS}, sched_arr FROM fact ORDER BY fact.airport_code, fact.ts_hour")
-register("agg_baseline_volume", lambda s, d: star.agg_baseline_volume(P.fact(s, d)), "SELECT airport_code, day_of_week, hour, round(baseline_sched_arr, 6) AS baseline_sched_arr, round(baseline_sched_dep, 6) AS baseline_sched_dep, round(baseline_arr_delay_mean, 6) AS baseline_arr_delay_mean, n_observations, ['Mon', 'Tue', 'Wed', 'Thu', 'Fri', 'Sat', 'Sun'][day_of_week + 1] AS day_name FROM baseline")
+register(
+    "order_fact",
+    lambda s, d: star.order_fact(P.fact(s, d)).select("airport_code", "ts_hour", "sched_arr"),
+    f"SELECT {_FACT_COLS}, sched_arr FROM fact ORDER BY fact.airport_code, fact.ts_hour",
+)
+register("agg_baseline_volume", lambda s, d: star.agg_baseline_volume(P.fact(s, d)), (
+    "SELECT airport_code, day_of_week, hour, round(baseline_sched_arr, 6) AS baseline_sched_arr, round(baseline_sched_dep, "
+    "6) AS baseline_sched_dep, round(baseline_arr_delay_mean, 6) AS baseline_arr_delay_mean, n_observations, ['Mon', "
+    "'Tue', 'Wed', 'Thu', 'Fri', 'Sat', 'Sun'][day_of_week + 1] AS day_name FROM baseline"
+))
 register("agg_airline", lambda s, d: star.agg_airline(P.report_frame(s, d)), _AIRLINE)
-_ROUTE = "SELECT Origin, Dest, count(*) AS flights, round(avg(ArrDelay), 6) AS arr_delay_mean, round(avg(ArrDel15), 6) AS arr_del15_rate, round(avg(Distance), 6) AS mean_distance FROM rf WHERE NOT Cancelled GROUP BY ALL"
+_ROUTE = (
+    "SELECT Origin, Dest, count(*) AS flights, round(avg(ArrDelay), 6) AS arr_delay_mean, round(avg(ArrDel15), "
+    "6) AS arr_del15_rate, round(avg(Distance), 6) AS mean_distance FROM rf WHERE NOT Cancelled GROUP BY ALL"
+)
 register("agg_route", lambda s, d: star.agg_route(P.report_frame(s, d)), _ROUTE)
-register("order_route", lambda s, d: star.order_route(star.agg_route(P.report_frame(s, d))), _ROUTE + " ORDER BY flights DESC, Origin, Dest")
-register("agg_distance_bucket", lambda s, d: star.agg_distance_bucket(P.report_frame(s, d)), "SELECT CASE WHEN Distance < 250 THEN '0-250' WHEN Distance < 500 THEN '250-500' WHEN Distance < 750 THEN '500-750' WHEN Distance < 1000 THEN '750-1000' WHEN Distance < 1500 THEN '1000-1500' WHEN Distance < 2000 THEN '1500-2000' ELSE '2000+' END AS distance_bucket, count(*) AS flights, round(avg(ArrDelay), 6) AS arr_delay_mean, round(avg(ArrDel15), 6) AS arr_del15_rate FROM rf WHERE NOT Cancelled GROUP BY ALL")
-register("dim_airport", lambda s, d: star.dim_airport(P.airports(s, d), P.prepared(s, d)[1]), "SELECT airport_code, name, latitude, longitude, elevation_m FROM airports WHERE airport_code IN (SELECT code FROM nodes)")
-register("dim_date", lambda s, d: star.dim_date(P.flights(s, d).agg(F.min("FlightDate").alias("d0"), F.max("FlightDate").alias("d1"))), "SELECT date::DATE::VARCHAR AS date, year(date)::INT AS year, month(date)::INT AS month, strftime(date, '%b') AS month_name, day(date)::INT AS day, (isodow(date) - 1)::INT AS day_of_week, ['Mon', 'Tue', 'Wed', 'Thu', 'Fri', 'Sat', 'Sun'][isodow(date)] AS day_name, isodow(date) >= 6 AS is_weekend, quarter(date)::INT AS quarter, weekofyear(date)::INT AS week_of_year, CASE WHEN month(date) IN (12, 1, 2) THEN 'Winter' WHEN month(date) <= 5 THEN 'Spring' WHEN month(date) <= 8 THEN 'Summer' ELSE 'Fall' END AS season FROM (SELECT unnest(generate_series((SELECT min(FlightDate) FROM flights)::TIMESTAMP, (SELECT max(FlightDate) FROM flights)::TIMESTAMP, INTERVAL 1 DAY)) AS date)")
-register("dim_hour", lambda s, d: star.dim_hour(s).join(P.fact(s, d).groupBy("hour").agg(F.sum("sched_arr").alias("flights")), "hour", "left"), "SELECT x::INT AS hour, lpad(x::VARCHAR, 2, '0') || ':00' AS hour_label, CASE WHEN x < 6 THEN 'Night' WHEN x < 12 THEN 'Morning' WHEN x < 18 THEN 'Afternoon' ELSE 'Evening' END AS part_of_day, s.flights FROM range(24) t(x) LEFT JOIN (SELECT hour, sum(sched_arr)::BIGINT AS flights FROM fact GROUP BY ALL) s ON s.hour = x")
+register(
+    "order_route",
+    lambda s, d: star.order_route(star.agg_route(P.report_frame(s, d))),
+    _ROUTE + " ORDER BY flights DESC, Origin, Dest",
+)
+register("agg_distance_bucket", lambda s, d: star.agg_distance_bucket(P.report_frame(s, d)), (
+    "SELECT CASE WHEN Distance < 250 THEN '0-250' WHEN Distance < 500 THEN '250-500' WHEN Distance < 750 THEN '500-750' "
+    "WHEN Distance < 1000 THEN '750-1000' WHEN Distance < 1500 THEN '1000-1500' WHEN Distance < 2000 THEN '1500-2000' "
+    "ELSE '2000+' END AS distance_bucket, count(*) AS flights, round(avg(ArrDelay), 6) AS arr_delay_mean, "
+    "round(avg(ArrDel15), 6) AS arr_del15_rate FROM rf WHERE NOT Cancelled GROUP BY ALL"
+))
+register("dim_airport", lambda s, d: star.dim_airport(P.airports(s, d), P.prepared(s, d)[1]), (
+    "SELECT airport_code, name, latitude, longitude, elevation_m FROM airports WHERE airport_code IN (SELECT code "
+    "FROM nodes)"
+))
+register("dim_date", lambda s, d: star.dim_date(P.flights(s, d).agg(F.min("FlightDate").alias("d0"), F.max("FlightDate").alias("d1"))), (
+    "SELECT date::DATE::VARCHAR AS date, year(date)::INT AS year, month(date)::INT AS month, strftime(date, "
+    "'%b') AS month_name, day(date)::INT AS day, (isodow(date) - 1)::INT AS day_of_week, ['Mon', 'Tue', 'Wed', 'Thu', "
+    "'Fri', 'Sat', 'Sun'][isodow(date)] AS day_name, isodow(date) >= 6 AS is_weekend, quarter(date)::INT AS quarter, "
+    "weekofyear(date)::INT AS week_of_year, CASE WHEN month(date) IN (12, 1, 2) THEN 'Winter' "
+    "WHEN month(date) <= 5 THEN 'Spring' WHEN month(date) <= 8 THEN 'Summer' ELSE 'Fall' END AS season "
+    "FROM (SELECT unnest(generate_series((SELECT min(FlightDate) FROM flights)::TIMESTAMP, (SELECT max(FlightDate) "
+    "FROM flights)::TIMESTAMP, INTERVAL 1 DAY)) AS date)"
+))
+register(
+    "dim_hour",
+    lambda s, d: star.dim_hour(s).join(P.fact(s, d).groupBy("hour").agg(F.sum("sched_arr").alias("flights")), "hour", "left"),
+    (
+        "SELECT x::INT AS hour, lpad(x::VARCHAR, 2, '0') || ':00' AS hour_label, CASE WHEN x < 6 THEN 'Night' "
+        "WHEN x < 12 THEN 'Morning' WHEN x < 18 THEN 'Afternoon' ELSE 'Evening' END AS part_of_day, s.flights "
+        "FROM range(24) t(x) LEFT JOIN (SELECT hour, sum(sched_arr)::BIGINT AS flights FROM fact GROUP BY ALL) s ON s.hour = x"
+    ),
+)
 _W = "round(sum(arr_delay_mean * arr_operated) / nullif(sum(arr_operated), 0), 6) AS avg_arr_delay"
-register("kpi_measures", lambda s, d: star.kpi_measures(P.fact(s, d), ["month"]), f"SELECT month, sum(sched_arr)::BIGINT AS total_flights, sum(arr_operated)::BIGINT AS operated, sum(arr_cancelled)::BIGINT AS cancelled, round(sum(arr_cancelled) / sum(sched_arr), 6) AS cancellation_pct, {_W}, round(sum(dep_delay_mean * dep_operated) / nullif(sum(dep_operated), 0), 6) AS avg_dep_delay, sum(arr_del15)::BIGINT AS delayed_15, round(sum(arr_del15) / sum(arr_operated), 6) AS delayed_15_pct, round(1 - sum(arr_del15) / sum(arr_operated), 6) AS on_time_pct, sum(est_arr_passengers)::BIGINT AS est_passengers FROM fact GROUP BY ALL")
-register("delay_heatmap", lambda s, d: star.delay_heatmap(P.fact(s, d)), "SELECT hour, " + ", ".join(f"round(sum(arr_delay_mean * arr_operated) FILTER (day_of_week = {i}) / nullif(sum(arr_operated) FILTER (day_of_week = {i}), 0), 6) AS {n}" for i, n in enumerate(star.DAYS)) + " FROM fact GROUP BY ALL")
+register("kpi_measures", lambda s, d: star.kpi_measures(P.fact(s, d), ["month"]), (
+    f"SELECT month, sum(sched_arr)::BIGINT AS total_flights, sum(arr_operated)::BIGINT AS operated, "
+    f"sum(arr_cancelled)::BIGINT AS cancelled, round(sum(arr_cancelled) / sum(sched_arr), 6) AS cancellation_pct, {_W}, "
+    f"round(sum(dep_delay_mean * dep_operated) / nullif(sum(dep_operated), 0), 6) AS avg_dep_delay, "
+    f"sum(arr_del15)::BIGINT AS delayed_15, round(sum(arr_del15) / sum(arr_operated), 6) AS delayed_15_pct, round(1 - "
+    f"sum(arr_del15) / sum(arr_operated), 6) AS on_time_pct, sum(est_arr_passengers)::BIGINT AS est_passengers FROM fact "
+    f"GROUP BY ALL"
+))
+register("delay_heatmap", lambda s, d: star.delay_heatmap(P.fact(s, d)), "SELECT hour, " + ", ".join((
+    f"round(sum(arr_delay_mean * arr_operated) FILTER (day_of_week = {i}) / nullif(sum(arr_operated) FILTER (day_of_week = {i}), "
+    f"0), 6) AS {n}"
+) for i, n in enumerate(star.DAYS)) + " FROM fact GROUP BY ALL")
 _SEASON = "CASE WHEN {0} IN (12, 1, 2) THEN 'Winter' WHEN {0} <= 5 THEN 'Spring' WHEN {0} <= 8 THEN 'Summer' ELSE 'Fall' END"
-register("delay_by_month_season", lambda s, d: star.delay_by_month_season(P.fact(s, d), star.dim_date(P.fact(s, d).agg(F.min("date").alias("d0"), F.max("date").alias("d1")))), f"SELECT year, month, {_SEASON.format('month')} AS season, sum(sched_arr)::BIGINT AS flights, {_W} FROM fact GROUP BY ALL")
-register("season", lambda s, d: P.flights(s, d).groupBy(season(F.col("Month")).alias("season")).agg(F.count("*").alias("n")), f"SELECT {_SEASON.format('Month')} AS season, count(*) AS n FROM flights GROUP BY ALL")
-register("monthly_trend", lambda s, d: star.trend(P.fact(s, d)), f"SELECT date::VARCHAR AS date, sum(sched_arr)::BIGINT AS flights, {_W} FROM fact GROUP BY fact.date")
-_SUMMARY = f"SELECT airport_code, total_flights, avg_arr_delay, latitude, longitude FROM (SELECT airport_code, sum(sched_arr)::BIGINT AS total_flights, {_W} FROM fact GROUP BY ALL) LEFT JOIN airports USING (airport_code)"
+register(
+    "delay_by_month_season",
+    lambda s, d: star.delay_by_month_season(P.fact(s, d), star.dim_date(P.fact(s, d).agg(F.min("date").alias("d0"), F.max("date").alias("d1")))),
+    (
+        f"SELECT year, month, {_SEASON.format('month')} AS season, sum(sched_arr)::BIGINT AS flights, {_W} FROM fact "
+        f"GROUP BY ALL"
+    ),
+)
+register(
+    "season",
+    lambda s, d: P.flights(s, d).groupBy(season(F.col("Month")).alias("season")).agg(F.count("*").alias("n")),
+    f"SELECT {_SEASON.format('Month')} AS season, count(*) AS n FROM flights GROUP BY ALL",
+)
+register(
+    "monthly_trend",
+    lambda s, d: star.trend(P.fact(s, d)),
+    f"SELECT date::VARCHAR AS date, sum(sched_arr)::BIGINT AS flights, {_W} FROM fact GROUP BY fact.date",
+)
+_SUMMARY = (
+    f"SELECT airport_code, total_flights, avg_arr_delay, latitude, longitude FROM (SELECT airport_code, "
+    f"sum(sched_arr)::BIGINT AS total_flights, {_W} FROM fact GROUP BY ALL) LEFT JOIN airports USING (airport_code)"
+)
 _dim = lambda s, d: P.airports(s, d).withColumnRenamed("iata", "airport_code")
 register("airport_summary", lambda s, d: star.airport_summary(P.fact(s, d), _dim(s, d)), _SUMMARY)
-register("top_airports_by_delay", lambda s, d: star.top_airports_by_delay(star.airport_summary(P.fact(s, d), _dim(s, d)), 10), _SUMMARY + " ORDER BY avg_arr_delay DESC, airport_code LIMIT 10")
+register(
+    "top_airports_by_delay",
+    lambda s, d: star.top_airports_by_delay(star.airport_summary(P.fact(s, d), _dim(s, d)), 10),
+    _SUMMARY + " ORDER BY avg_arr_delay DESC, airport_code LIMIT 10",
+)
 
 # ---- predictions ---------------------------------------------------------------------------------------
 _ACT = "round(actual_arr_delay_min, 6) AS actual_arr_delay_min, actual_arr_del15, round(pct_target, 6) AS pct_target"
-register("persistence_scorer", lambda s, d: P.predicted(s, d).select("airport_code", "prediction_ts", "horizon_h", "predicted_arr_delay_min"), "SELECT airport_code, prediction_ts::VARCHAR AS prediction_ts, horizon_h, round(predicted_arr_delay_min, 6) + 0.0 AS predicted_arr_delay_min FROM preds")
+register(
+    "persistence_scorer",
+    lambda s, d: P.predicted(s, d).select("airport_code", "prediction_ts", "horizon_h", "predicted_arr_delay_min"),
+    (
+        "SELECT airport_code, prediction_ts::VARCHAR AS prediction_ts, horizon_h, round(predicted_arr_delay_min, "
+        "6) + 0.0 AS predicted_arr_delay_min FROM preds"
+    ),
+)
 register("assemble_predictions", lambda s, d: P.predicted(s, d).select(*predictions.PREDICTION_COLUMNS), f"SELECT {_PRED} FROM preds")
-register("target_ts", lambda s, d: P.predicted(s, d).select("airport_code", "prediction_ts", "horizon_h", "target_ts"), "SELECT airport_code, prediction_ts::VARCHAR AS prediction_ts, horizon_h, (prediction_ts + to_hours(horizon_h))::VARCHAR AS target_ts FROM preds")
+register("target_ts", lambda s, d: P.predicted(s, d).select("airport_code", "prediction_ts", "horizon_h", "target_ts"), (
+    "SELECT airport_code, prediction_ts::VARCHAR AS prediction_ts, horizon_h, "
+    "(prediction_ts + to_hours(horizon_h))::VARCHAR AS target_ts FROM preds"
+))
 register("align_actuals", P.predicted, f"SELECT {_PRED}, {_ACT} FROM preds")
 
 
@@ -422,25 +957,104 @@ def _score(s, d):
     return predictions.score_sequences(snapshots.sliding_sequences(snaps), x, predictions.mean_scorer).drop("logit")
 
 
-register("score_sequences", _score, "SELECT snapshot_ts::VARCHAR AS snapshot_ts, node, 1 AS horizon_h, round(delay, 6) + 0.0 AS delay FROM (SELECT g.snapshot_ts, g.node, avg(coalesce(v, 0)) OVER w AS delay, count(*) OVER w AS n FROM grid g LEFT JOIN hist h ON h.node = g.node AND h.bucket = g.snapshot_ts - INTERVAL 1 HOUR WINDOW w AS (PARTITION BY g.node ORDER BY g.snapshot_ts ROWS BETWEEN 5 PRECEDING AND CURRENT ROW)) WHERE n = 6")
+register("score_sequences", _score, (
+    "SELECT snapshot_ts::VARCHAR AS snapshot_ts, node, 1 AS horizon_h, round(delay, 6) + 0.0 AS delay "
+    "FROM (SELECT g.snapshot_ts, g.node, avg(coalesce(v, 0)) OVER w AS delay, count(*) OVER w AS n FROM grid g LEFT "
+    "JOIN hist h ON h.node = g.node AND h.bucket = g.snapshot_ts - INTERVAL 1 HOUR WINDOW w AS (PARTITION BY g.node "
+    "ORDER BY g.snapshot_ts ROWS BETWEEN 5 PRECEDING AND CURRENT ROW)) WHERE n = 6"
+))
 _ENR = "airport_code, prediction_ts::VARCHAR AS prediction_ts, horizon_h"
-register("join_pred_schedule", lambda s, d: predictions.join_pred_schedule(P.predicted(s, d), P.fact(s, d)).select("airport_code", "prediction_ts", "horizon_h", "sched_arr", "sched_dep"), f"SELECT {_ENR}, sched_arr, sched_dep FROM enr")
-register("join_pred_baseline", lambda s, d: predictions.join_pred_baseline(P.predicted(s, d), star.agg_baseline_volume(P.fact(s, d))).select("airport_code", "prediction_ts", "horizon_h", "dow", "hour", "baseline_sched_arr"), f"SELECT {_ENR}, dow, hour, round(baseline_sched_arr, 6) AS baseline_sched_arr FROM enr")
-register("expected_delayed_flights", lambda s, d: P.enriched(s, d).select("airport_code", "prediction_ts", "horizon_h", "expected_delayed_flights"), f"SELECT {_ENR}, round(expected_delayed_flights, 6) AS expected_delayed_flights FROM enr")
-register("traffic_vs_usual", lambda s, d: P.enriched(s, d).select("airport_code", "prediction_ts", "horizon_h", "traffic_vs_usual"), f"SELECT {_ENR}, round(traffic_vs_usual, 6) + 0.0 AS traffic_vs_usual FROM enr")
-register("enrich_predictions", lambda s, d: P.enriched(s, d).select("airport_code", "prediction_ts", "horizon_h", "sched_arr", "sched_dep", "baseline_sched_arr", "expected_delayed_flights", "traffic_vs_usual"), f"SELECT {_ENR}, sched_arr, sched_dep, round(baseline_sched_arr, 6) AS baseline_sched_arr, round(expected_delayed_flights, 6) AS expected_delayed_flights, round(traffic_vs_usual, 6) + 0.0 AS traffic_vs_usual FROM enr")
-register("hourly_schedule_counts", lambda s, d: predictions.hourly_schedule_counts(_f(s, d), "Dest", "arr_timestamp"), "SELECT node AS airport_code, bucket::VARCHAR AS ts_hour, n FROM sarr")
-register("join_pred_live_counts", lambda s, d: predictions.join_pred_live_counts(P.predicted(s, d), _f(s, d)).select("airport_code", "prediction_ts", "horizon_h", "sched_arr_count", "sched_dep_count"), "SELECT airport_code, prediction_ts::VARCHAR AS prediction_ts, horizon_h, coalesce(a.n, 0) AS sched_arr_count, coalesce(b.n, 0) AS sched_dep_count FROM preds LEFT JOIN sarr a ON a.node = airport_code AND a.bucket = target_ts LEFT JOIN sdep b ON b.node = airport_code AND b.bucket = target_ts")
-register("latest_per_key", lambda s, d: predictions.latest_per_key(P.predicted(s, d)).select(*predictions.PREDICTION_COLUMNS), f"SELECT {_PRED} FROM preds p WHERE p.prediction_ts = (SELECT max(q.prediction_ts) FROM preds q WHERE q.airport_code = p.airport_code AND q.horizon_h = p.horizon_h)")
-register("lookup_prediction", lambda s, d: scans.lookup_prediction(P.predicted(s, d), " a03", 4).select(*predictions.PREDICTION_COLUMNS), "SELECT airport_code, horizon_h, round(predicted_arr_delay_min, 1) AS predicted_arr_delay_min, round(pct_arr_delayed_15, 3) AS pct_arr_delayed_15, target_ts::VARCHAR AS target_ts, prediction_ts::VARCHAR AS prediction_ts FROM preds WHERE airport_code = 'A03' AND horizon_h = 4 ORDER BY preds.prediction_ts DESC LIMIT 1")
-register("prediction_summary", lambda s, d: predictions.prediction_summary(P.predicted(s, d)), "SELECT horizon_h, round(avg(predicted_arr_delay_min), 6) AS mean_delay, round(min(predicted_arr_delay_min), 6) AS min_delay, round(max(predicted_arr_delay_min), 6) AS max_delay, count(DISTINCT airport_code) AS airports FROM preds GROUP BY ALL")
-register("order_predictions", lambda s, d: predictions.order_predictions(P.predicted(s, d)).select(*predictions.PREDICTION_COLUMNS), f"SELECT {_PRED} FROM preds ORDER BY preds.prediction_ts, airport_code, horizon_h")
-register("kpi_prediction_measures", lambda s, d: star.kpi_prediction_measures(P.enriched(s, d)), "SELECT round(avg(predicted_arr_delay_min), 6) AS predicted_avg_delay, round(avg(pct_arr_delayed_15), 6) AS avg_p_delay_15, round(sum(expected_delayed_flights), 6) AS expected_delayed_flights, sum(sched_dep)::BIGINT AS scheduled_departures, round(avg(traffic_vs_usual), 6) + 0.0 AS traffic_vs_usual, round(avg(abs(predicted_arr_delay_min - actual_arr_delay_min)), 6) AS prediction_mae FROM enr")
-register("next_n_hours_summary", lambda s, d: star.next_n_hours_summary(P.enriched(s, d), 4), "SELECT airport_code, round(avg(predicted_arr_delay_min), 6) AS predicted_delay, round(sum(expected_delayed_flights), 6) AS expected_delayed_flights, sum(sched_dep)::BIGINT AS scheduled_departures, round(avg(traffic_vs_usual), 6) + 0.0 AS traffic_vs_usual FROM enr WHERE horizon_h <= 4 GROUP BY ALL")
-register("airport_traffic", lambda s, d: star.airport_traffic(P.enriched(s, d), 6), "SELECT airport_code, sum(sched_arr)::BIGINT AS expected_flights, (sum(sched_arr) * 130)::BIGINT AS est_passengers, round(avg(traffic_vs_usual), 6) + 0.0 AS traffic_vs_usual FROM enr WHERE horizon_h <= 6 GROUP BY ALL")
-register("status_badge", lambda s, d: predictions.status_badge(P.enriched(s, d)).groupBy("status").agg(F.count("*").alias("n")), "SELECT CASE WHEN coalesce(pct_arr_delayed_15, 0) >= 0.5 THEN 'Disrupted' WHEN coalesce(traffic_vs_usual, 0) >= 0.2 OR coalesce(pct_arr_delayed_15, 0) >= 0.3 THEN 'Busy' ELSE 'Calm' END AS status, count(*) AS n FROM enr GROUP BY ALL")
-register("horizon_profile", lambda s, d: star.horizon_profile(P.predicted(s, d), H), "SELECT airport_code, " + ", ".join(f"round(avg(predicted_arr_delay_min) FILTER (horizon_h = {h}), 6) + 0.0 AS h{h}" for h in H) + ", greatest(" + ", ".join(f"avg(predicted_arr_delay_min) FILTER (horizon_h = {h})" for h in H) + ") >= 15 AS any_late FROM preds GROUP BY ALL")
-register("history_trend", lambda s, d: star.history_trend(P.predicted(s, d)), "SELECT prediction_ts::VARCHAR AS prediction_ts, round(avg(predicted_arr_delay_min), 6) + 0.0 AS mean_predicted_delay, count(*) AS n FROM preds GROUP BY preds.prediction_ts")
+register(
+    "join_pred_schedule",
+    lambda s, d: predictions.join_pred_schedule(P.predicted(s, d), P.fact(s, d)).select("airport_code", "prediction_ts", "horizon_h", "sched_arr", "sched_dep"),
+    f"SELECT {_ENR}, sched_arr, sched_dep FROM enr",
+)
+register(
+    "join_pred_baseline",
+    lambda s, d: predictions.join_pred_baseline(P.predicted(s, d), star.agg_baseline_volume(P.fact(s, d))).select("airport_code", "prediction_ts", "horizon_h", "dow", "hour", "baseline_sched_arr"),
+    f"SELECT {_ENR}, dow, hour, round(baseline_sched_arr, 6) AS baseline_sched_arr FROM enr",
+)
+register(
+    "expected_delayed_flights",
+    lambda s, d: P.enriched(s, d).select("airport_code", "prediction_ts", "horizon_h", "expected_delayed_flights"),
+    f"SELECT {_ENR}, round(expected_delayed_flights, 6) AS expected_delayed_flights FROM enr",
+)
+register(
+    "traffic_vs_usual",
+    lambda s, d: P.enriched(s, d).select("airport_code", "prediction_ts", "horizon_h", "traffic_vs_usual"),
+    f"SELECT {_ENR}, round(traffic_vs_usual, 6) + 0.0 AS traffic_vs_usual FROM enr",
+)
+register(
+    "enrich_predictions",
+    lambda s, d: P.enriched(s, d).select("airport_code", "prediction_ts", "horizon_h", "sched_arr", "sched_dep", "baseline_sched_arr", "expected_delayed_flights", "traffic_vs_usual"),
+    (
+        f"SELECT {_ENR}, sched_arr, sched_dep, round(baseline_sched_arr, 6) AS baseline_sched_arr, "
+        f"round(expected_delayed_flights, 6) AS expected_delayed_flights, round(traffic_vs_usual, 6) + 0.0 AS traffic_vs_usual "
+        f"FROM enr"
+    ),
+)
+register(
+    "hourly_schedule_counts",
+    lambda s, d: predictions.hourly_schedule_counts(_f(s, d), "Dest", "arr_timestamp"),
+    "SELECT node AS airport_code, bucket::VARCHAR AS ts_hour, n FROM sarr",
+)
+register(
+    "join_pred_live_counts",
+    lambda s, d: predictions.join_pred_live_counts(P.predicted(s, d), _f(s, d)).select("airport_code", "prediction_ts", "horizon_h", "sched_arr_count", "sched_dep_count"),
+    (
+        "SELECT airport_code, prediction_ts::VARCHAR AS prediction_ts, horizon_h, coalesce(a.n, 0) AS sched_arr_count, "
+        "coalesce(b.n, 0) AS sched_dep_count FROM preds LEFT JOIN sarr a ON a.node = airport_code AND a.bucket = target_ts "
+        "LEFT JOIN sdep b ON b.node = airport_code AND b.bucket = target_ts"
+    ),
+)
+register("latest_per_key", lambda s, d: predictions.latest_per_key(P.predicted(s, d)).select(*predictions.PREDICTION_COLUMNS), (
+    f"SELECT {_PRED} FROM preds p WHERE p.prediction_ts = (SELECT max(q.prediction_ts) FROM preds q "
+    f"WHERE q.airport_code = p.airport_code AND q.horizon_h = p.horizon_h)"
+))
+register("lookup_prediction", lambda s, d: scans.lookup_prediction(P.predicted(s, d), " a03", 4).select(*predictions.PREDICTION_COLUMNS), (
+    "SELECT airport_code, horizon_h, round(predicted_arr_delay_min, 1) AS predicted_arr_delay_min, "
+    "round(pct_arr_delayed_15, 3) AS pct_arr_delayed_15, target_ts::VARCHAR AS target_ts, "
+    "prediction_ts::VARCHAR AS prediction_ts FROM preds WHERE airport_code = 'A03' AND horizon_h = 4 "
+    "ORDER BY preds.prediction_ts DESC LIMIT 1"
+))
+register("prediction_summary", lambda s, d: predictions.prediction_summary(P.predicted(s, d)), (
+    "SELECT horizon_h, round(avg(predicted_arr_delay_min), 6) AS mean_delay, round(min(predicted_arr_delay_min), "
+    "6) AS min_delay, round(max(predicted_arr_delay_min), 6) AS max_delay, count(DISTINCT airport_code) AS airports "
+    "FROM preds GROUP BY ALL"
+))
+register(
+    "order_predictions",
+    lambda s, d: predictions.order_predictions(P.predicted(s, d)).select(*predictions.PREDICTION_COLUMNS),
+    f"SELECT {_PRED} FROM preds ORDER BY preds.prediction_ts, airport_code, horizon_h",
+)
+register("kpi_prediction_measures", lambda s, d: star.kpi_prediction_measures(P.enriched(s, d)), (
+    "SELECT round(avg(predicted_arr_delay_min), 6) AS predicted_avg_delay, round(avg(pct_arr_delayed_15), "
+    "6) AS avg_p_delay_15, round(sum(expected_delayed_flights), 6) AS expected_delayed_flights, "
+    "sum(sched_dep)::BIGINT AS scheduled_departures, round(avg(traffic_vs_usual), 6) + 0.0 AS traffic_vs_usual, "
+    "round(avg(abs(predicted_arr_delay_min - actual_arr_delay_min)), 6) AS prediction_mae FROM enr"
+))
+register("next_n_hours_summary", lambda s, d: star.next_n_hours_summary(P.enriched(s, d), 4), (
+    "SELECT airport_code, round(avg(predicted_arr_delay_min), 6) AS predicted_delay, round(sum(expected_delayed_flights), "
+    "6) AS expected_delayed_flights, sum(sched_dep)::BIGINT AS scheduled_departures, round(avg(traffic_vs_usual), "
+    "6) + 0.0 AS traffic_vs_usual FROM enr WHERE horizon_h <= 4 GROUP BY ALL"
+))
+register("airport_traffic", lambda s, d: star.airport_traffic(P.enriched(s, d), 6), (
+    "SELECT airport_code, sum(sched_arr)::BIGINT AS expected_flights, (sum(sched_arr) * 130)::BIGINT AS est_passengers, "
+    "round(avg(traffic_vs_usual), 6) + 0.0 AS traffic_vs_usual FROM enr WHERE horizon_h <= 6 GROUP BY ALL"
+))
+register("status_badge", lambda s, d: predictions.status_badge(P.enriched(s, d)).groupBy("status").agg(F.count("*").alias("n")), (
+    "SELECT CASE WHEN coalesce(pct_arr_delayed_15, 0) >= 0.5 THEN 'Disrupted' WHEN coalesce(traffic_vs_usual, 0) >= 0.2 OR "
+    "coalesce(pct_arr_delayed_15, 0) >= 0.3 THEN 'Busy' ELSE 'Calm' END AS status, count(*) AS n FROM enr GROUP BY ALL"
+))
+register(
+    "horizon_profile",
+    lambda s, d: star.horizon_profile(P.predicted(s, d), H),
+    "SELECT airport_code, " + ", ".join(f"round(avg(predicted_arr_delay_min) FILTER (horizon_h = {h}), 6) + 0.0 AS h{h}" for h in H) + ", greatest(" + ", ".join(f"avg(predicted_arr_delay_min) FILTER (horizon_h = {h})" for h in H) + ") >= 15 AS any_late FROM preds GROUP BY ALL",
+)
+register("history_trend", lambda s, d: star.history_trend(P.predicted(s, d)), (
+    "SELECT prediction_ts::VARCHAR AS prediction_ts, round(avg(predicted_arr_delay_min), 6) + 0.0 AS mean_predicted_delay, "
+    "count(*) AS n FROM preds GROUP BY preds.prediction_ts"
+))
 
 # ---- metrics -------------------------------------------------------------------------------------------
 _P, _Y = "predicted_arr_delay_min", "actual_arr_delay_min"
@@ -463,7 +1077,10 @@ _ALL = _REG | _DLY | _BCE
 register("metric_unified", lambda s, d: metrics.metric_unified(P.predicted(s, d)), f"SELECT {_cols(_ALL)} FROM preds")
 register("metrics_single", lambda s, d: metrics.metric_unified(P.predicted(s, d), bce=False), f"SELECT {_cols(_REG | _DLY)} FROM preds")
 _BYH = "SELECT horizon_h::VARCHAR AS horizon, " + ", ".join(f"{e} AS {k}" for k, e in _ALL.items()) + " FROM preds GROUP BY ALL"
-_HSQL = f"SELECT horizon, {', '.join(f'round({k}, 6) AS {k}' for k in _ALL)} FROM ({_BYH}) UNION ALL SELECT 'average', {', '.join(f'coalesce(round(avg({k}), 6), 0.0)' for k in _ALL)} FROM ({_BYH})"
+_HSQL = (
+    f"SELECT horizon, {', '.join(f'round({k}, 6) AS {k}' for k in _ALL)} FROM ({_BYH}) UNION ALL "
+    f"SELECT 'average', {', '.join(f'coalesce(round(avg({k}), 6), 0.0)' for k in _ALL)} FROM ({_BYH})"
+)
 register("metrics_by_horizon", lambda s, d: metrics.metrics_by_horizon(P.predicted(s, d)), _HSQL)
 
 
@@ -484,25 +1101,57 @@ register(
     JOIN targets t ON t.snapshot_ts = p.snapshot_ts AND t.node = p.node AND t.horizon_h = p.h
     ORDER BY p.snapshot_ts, airport_code, horizon_h""",
 )
-register("mae_by_horizon", lambda s, d: metrics.mae_by_horizon(P.predicted(s, d)), f"SELECT horizon_h, round({_REG['mae']}, 6) AS mae FROM preds GROUP BY ALL")
+register(
+    "mae_by_horizon",
+    lambda s, d: metrics.mae_by_horizon(P.predicted(s, d)),
+    f"SELECT horizon_h, round({_REG['mae']}, 6) AS mae FROM preds GROUP BY ALL",
+)
 _HW = "(CASE horizon_h WHEN 1 THEN 3 WHEN 2 THEN 3 WHEN 4 THEN 4 WHEN 6 THEN 5 ELSE 5 END * 5.0 / 20)"
 _LW = f"(CASE WHEN abs({_Y}) >= 15 THEN 2.0 ELSE 1.0 END * {_HW})"
 _HUB = "CASE WHEN abs({0}) <= 10 THEN 0.5 * ({0}) ** 2 ELSE 10 * (abs({0}) - 5) END"
 _HWS = (3, 3, 4, 5, 5)
-register("loss_weighted_mse", lambda s, d: metrics.weighted_loss(P.predicted(s, d), "mse", H, _HWS), f"SELECT round(avg({_LW} * ({_P} - {_Y}) ** 2), 6) AS loss FROM preds")
-register("loss_weighted_huber", lambda s, d: metrics.weighted_loss(P.predicted(s, d), "huber", H, _HWS), f"SELECT round(avg({_LW} * {_HUB.format(f'({_P} - {_Y})')}), 6) AS loss FROM preds")
+register(
+    "loss_weighted_mse",
+    lambda s, d: metrics.weighted_loss(P.predicted(s, d), "mse", H, _HWS),
+    f"SELECT round(avg({_LW} * ({_P} - {_Y}) ** 2), 6) AS loss FROM preds",
+)
+register(
+    "loss_weighted_huber",
+    lambda s, d: metrics.weighted_loss(P.predicted(s, d), "huber", H, _HWS),
+    f"SELECT round(avg({_LW} * {_HUB.format(f'({_P} - {_Y})')}), 6) AS loss FROM preds",
+)
 
 
 def _multi_task(s, d):
-    p = P.predicted(s, d)
-    rows = p.select("horizon_h", F.col(_P).alias("arr_pred"), F.col(_Y).alias("arr"), F.col(_P).alias("dep_pred"), (F.col(_Y) / 2).alias("dep"), ((F.col(_P) - 15) / 10).alias("logit"), F.col("pct_target").alias("pct"))
+    """Arrival delay, departure delay and late share against their targets."""
+    dep = P.targets(s, d).select(F.col("node").alias("airport_code"), F.col("snapshot_ts").alias("prediction_ts"), "horizon_h", "dep")
+    rows = P.predicted(s, d).join(dep, ["airport_code", "prediction_ts", "horizon_h"])
+    logit = (F.col(_P) - 15) / 10
+    arr, pct = F.col(_Y).alias("arr"), F.col("pct_target").alias("pct")
+    rows = rows.select("horizon_h", F.col(_P).alias("arr_pred"), arr, F.col(_P).alias("dep_pred"), "dep", logit.alias("logit"), pct)
     return metrics.multi_task_loss(rows, H, _HWS)
 
 
-_MT = f"SELECT avg({_LW} * {_HUB.format(f'({_P} - {_Y})')}) AS a, avg(CASE WHEN abs({_Y} / 2) >= 15 THEN 2.0 ELSE 1.0 END * {_HW} * {_HUB.format(f'({_P} - {_Y} / 2)')}) AS b, avg({_HW} * (greatest(z, 0) - z * pct_target + ln(1 + exp(-abs(z))))) AS c FROM (SELECT *, ({_P} - 15) / 10 AS z FROM preds)"
-register("loss_multi_task", _multi_task, f"SELECT round(a, 6) AS arr_huber, round(b, 6) AS dep_huber, round(c, 6) AS pct_bce, round(a + 0.3 * b + 0.5 * c, 6) AS total FROM ({_MT})")
-register("calibration_deciles", lambda s, d: metrics.calibration_deciles(P.predicted(s, d)), "SELECT least(floor(pct_arr_delayed_15 * 10) + 1, 10)::INT AS decile, count(*) AS n, round(avg(pct_arr_delayed_15), 6) AS predicted_rate, round(avg(actual_arr_del15), 6) AS observed_rate FROM preds GROUP BY ALL")
-register("error_histogram", lambda s, d: metrics.error_histogram(P.predicted(s, d)).groupBy().agg(F.sum("n").alias("n"), F.max("bin").alias("top"), F.min("bin").alias("low"), F.max("mean_error").alias("mean_error")), f"SELECT count(*) AS n, 99 AS top, 0 AS low, round(avg({_P} - {_Y}), 6) AS mean_error FROM preds")
+_DEP_ERROR = _HUB.format(f"({_P} - dep)")
+_MT = f"""
+    SELECT avg({_LW} * {_HUB.format(f"({_P} - {_Y})")}) AS a,
+      avg(CASE WHEN abs(dep) >= 15 THEN 2.0 ELSE 1.0 END * {_HW} * {_DEP_ERROR}) AS b,
+      avg({_HW} * (greatest(z, 0) - z * pct_target + ln(1 + exp(-abs(z))))) AS c
+    FROM (SELECT p.*, t.dep, ({_P} - 15) / 10 AS z FROM preds p
+          JOIN targets t ON t.node = p.airport_code AND t.snapshot_ts = p.prediction_ts AND t.horizon_h = p.horizon_h)"""
+register("loss_multi_task", _multi_task, (
+    f"SELECT round(a, 6) AS arr_huber, round(b, 6) AS dep_huber, round(c, 6) AS pct_bce, round(a + 0.3 * b + 0.5 * c, "
+    f"6) AS total FROM ({_MT})"
+))
+register("calibration_deciles", lambda s, d: metrics.calibration_deciles(P.predicted(s, d)), (
+    "SELECT least(floor(pct_arr_delayed_15 * 10) + 1, 10)::INT AS decile, count(*) AS n, round(avg(pct_arr_delayed_15), "
+    "6) AS predicted_rate, round(avg(actual_arr_del15), 6) AS observed_rate FROM preds GROUP BY ALL"
+))
+register(
+    "error_histogram",
+    lambda s, d: metrics.error_histogram(P.predicted(s, d)).groupBy().agg(F.sum("n").alias("n"), F.max("bin").alias("top"), F.min("bin").alias("low"), F.max("mean_error").alias("mean_error")),
+    f"SELECT count(*) AS n, 99 AS top, 0 AS low, round(avg({_P} - {_Y}), 6) AS mean_error FROM preds",
+)
 register(  # real values as rounded and whole-numbered edges, so that both sides see the same errors
     "error_histogram_bins",
     lambda s, d: metrics.error_histogram(P.predicted(s, d).withColumns({c: F.round(c, 6) for c in (_P, _Y)}), 100, (-120, 80)),
@@ -515,7 +1164,14 @@ register(
     "SELECT round(predicted_arr_delay_min, 6) + 0.0 AS predicted_arr_delay_min, round(actual_arr_delay_min, 6) + 0.0 AS actual_arr_delay_min FROM preds "
     "ORDER BY md5(airport_code || '|' || horizon_h || '|' || prediction_ts::VARCHAR), airport_code, horizon_h LIMIT 5000",
 )
-register("champion_challenger", lambda s, d: (lambda p: metrics.champion_challenger(metrics.metric_regression(p), metrics.metric_regression(p.withColumn(_P, F.col(_P) * 0.5))))(P.predicted(s, d)), f"SELECT round(a, 6) AS champion, round(b, 6) AS challenger, round((a - b) / a, 6) AS gain, (a - b) / a >= 0.02 AS promote FROM (SELECT avg(abs({_P} - {_Y})) AS a, avg(abs({_P} * 0.5 - {_Y})) AS b FROM preds)")
+register(
+    "champion_challenger",
+    lambda s, d: (lambda p: metrics.champion_challenger(metrics.metric_regression(p), metrics.metric_regression(p.withColumn(_P, F.col(_P) * 0.5))))(P.predicted(s, d)),
+    (
+        f"SELECT round(a, 6) AS champion, round(b, 6) AS challenger, round((a - b) / a, 6) AS gain, "
+        f"(a - b) / a >= 0.02 AS promote FROM (SELECT avg(abs({_P} - {_Y})) AS a, avg(abs({_P} * 0.5 - {_Y})) AS b FROM preds)"
+    ),
+)
 
 
 # ---- streaming -----------------------------------------------------------------------------------------
@@ -553,8 +1209,14 @@ def _stream_route(s, d):
 
 
 _CLOSED = "WHERE arr_ts + INTERVAL 1 HOUR <= (SELECT max(arr_ts) FROM timed) - INTERVAL 2 HOUR"
-register("stream_node_hour", _stream_node, f"SELECT arr_ts::VARCHAR AS bucket, Dest AS node, count(*) AS n, round(avg(ArrDelay), 6) AS arr_delay_mean FROM timed {_CLOSED} GROUP BY ALL")
-register("stream_route_hour", _stream_route, f"SELECT arr_ts::VARCHAR AS bucket, Origin AS src, Dest AS dst, count(*) AS n, round(avg(ArrDelay), 6) AS route_arr_delay FROM timed {_CLOSED} GROUP BY ALL")
+register("stream_node_hour", _stream_node, (
+    f"SELECT arr_ts::VARCHAR AS bucket, Dest AS node, count(*) AS n, round(avg(ArrDelay), 6) AS arr_delay_mean "
+    f"FROM timed {_CLOSED} GROUP BY ALL"
+))
+register("stream_route_hour", _stream_route, (
+    f"SELECT arr_ts::VARCHAR AS bucket, Origin AS src, Dest AS dst, count(*) AS n, round(avg(ArrDelay), "
+    f"6) AS route_arr_delay FROM timed {_CLOSED} GROUP BY ALL"
+))
 
 
 def _stream_features(s, d):
@@ -590,11 +1252,18 @@ def _stream_predictions(s, d):
     return base
 
 
-register("stream_predictions", lambda s, d: sinks.read_predictions_batches(s, f"{_stream_predictions(s, d)}/history"), f"SELECT {_PRED} FROM preds")
+register(
+    "stream_predictions",
+    lambda s, d: sinks.read_predictions_batches(s, f"{_stream_predictions(s, d)}/history"),
+    f"SELECT {_PRED} FROM preds",
+)
 register(
     "stream_predictions_latest",
     lambda s, d: sinks.read_predictions_latest(s, f"{_stream_predictions(s, d)}/latest"),
-    f"SELECT {_PRED} FROM preds p WHERE p.prediction_ts = (SELECT max(q.prediction_ts) FROM preds q WHERE q.airport_code = p.airport_code AND q.horizon_h = p.horizon_h)",
+(
+        f"SELECT {_PRED} FROM preds p WHERE p.prediction_ts = (SELECT max(q.prediction_ts) FROM preds q "
+        f"WHERE q.airport_code = p.airport_code AND q.horizon_h = p.horizon_h)"
+    ),
 )
 
 
