@@ -47,11 +47,11 @@ GRAM = 16
 SPREAD = MATCH - GRAM + 1
 #: Text bytes of a chunk and of a range, on the mean, and bytes that are hashed at once in a task.
 CHUNK_BYTES = 4 << 20
-RANGE_BYTES = 16 << 20
+RANGE_BYTES = 4 << 20
 SLICE_BYTES = 1 << 20
 #: From so many text bytes on, chunks and ranges grow with the root of the input (up to GROWTH times), so that what
 #: a chunk sends to a range does not shrink to single hashes.
-STEADY_BYTES = 1 << 37
+STEADY_BYTES = 1 << 34
 GROWTH = 8
 #: A gram that so many texts of a chunk have is dense there; one that is dense in more than HOT_CHUNKS chunks, or is
 #: in more than MOST_CHUNKS at all, is hot.
@@ -199,8 +199,9 @@ def string_words(data: np.ndarray, start: np.ndarray) -> np.ndarray:
     """The MATCH bytes from each start as seven big-endian words; the last has two bytes only."""
     padded = np.r_[data, np.zeros(8, np.uint8)]
     words = np.empty((len(start), 7), np.uint64)
-    for k in range(7):
-        words[:, k] = np.ascontiguousarray(padded[start[:, None] + np.arange(8 * k, 8 * k + 8)]).view(">u8")[:, 0]
+    for lo in range(0, len(start), 1 << 15):  # the places of all bytes of so many strings at once
+        at = start[lo : lo + (1 << 15), None].astype(np.int32 if len(padded) < 1 << 31 else np.int64)
+        words[lo : lo + (1 << 15)] = padded[at + np.arange(56, dtype=at.dtype)].view(">u8")
     words[:, 6] >>= np.uint64(64 - 8 * (MATCH - 48))
     return words
 
