@@ -18,6 +18,8 @@ from transloom.sources.adapters import read, staged_trips, weather_from_events
 from transloom.sources.shared import cut
 
 TOP_N = 20
+#: Trips that a snapshot needs in its window and in each horizon's.
+MIN_ROWS = 10
 HORIZONS = snapshots.HORIZONS
 
 
@@ -40,10 +42,10 @@ def fact(spark: SparkSession, folder: str) -> DataFrame:
     return star.fact_airport_hour(report_frame(spark, folder))
 
 
-def snapshot_base(spark: SparkSession, folder: str, min_rows: int = 10) -> tuple[DataFrame, DataFrame, DataFrame]:
+def snapshot_base(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(trips, airports, guarded snapshots)."""
     f, nodes = prepared(spark, folder)
-    return f, nodes, cut(snapshots.guarded_snapshots(f, min_rows=min_rows))
+    return f, nodes, cut(snapshots.guarded_snapshots(f, min_rows=MIN_ROWS))
 
 
 def airports(spark: SparkSession, folder: str) -> DataFrame:

@@ -583,13 +583,13 @@ register("multi_horizon_targets", lambda s, d: (lambda f, n, t: snapshots.node_t
 def _create_snapshots(s, d):
     """Features and targets of all snapshots side by side, targets of each horizon as columns."""
     f, nodes = P.prepared(s, d)
-    x, y, _ = snapshots.create_snapshots(f, nodes)
+    x, y, _ = snapshots.create_snapshots(f, nodes, min_rows=P.MIN_ROWS)
     wide = y.groupBy("snapshot_ts", "node").agg(*[F.max(F.when(F.col("horizon_h") == h, F.col(v))).alias(f"y{h}_{v}") for h in H for v in ("arr", "dep", "pct")])
     return x.join(wide, ["snapshot_ts", "node"])
 
 
 def _snapshot_edges(s, d):
-    return snapshots.create_snapshots(*P.prepared(s, d))[2]
+    return snapshots.create_snapshots(*P.prepared(s, d), min_rows=P.MIN_ROWS)[2]
 
 
 _WIDE_Y = ", ".join(f"round(max({v}) FILTER (horizon_h = {h}), 6) AS y{h}_{v}" for h in H for v in ("arr", "dep", "pct"))
@@ -1087,7 +1087,7 @@ register("metrics_by_horizon", lambda s, d: metrics.metrics_by_horizon(P.predict
 def _batch_predict(s, d):
     f, nodes = P.prepared(s, d)
     lag = lambda grid, cells: history.series_lookup(grid, cells, "arr_delay_mean", -1, "x")
-    return P.batch_predict(f, nodes, predictions.recent_scorer(H), lag)
+    return P.batch_predict(f, nodes, predictions.recent_scorer(H), lag, min_rows=P.MIN_ROWS)
 
 
 register(
