@@ -2,11 +2,14 @@
 
 Executors can be lost at any time and do not see each other's disks, so whatever outlives a stage lies in the
 folder that ``spark.checkpoint.dir`` names. Checkpoints that nobody refers to any more are deleted by Spark
-itself if ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set.
+itself if ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set; tables that were written here are deleted when
+the driver's process ends (a result may still read them before).
 """
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -27,9 +30,21 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
+_MADE: list[tuple] = []
+
+
 def new_folder(spark: SparkSession, kind: str = "table") -> str:
-    """A path in the shared folder that nothing uses yet."""
-    return f"{shared_dir(spark)}/transloom-{kind}-{uuid.uuid4().hex}"
+    """A path in the shared folder that nothing uses yet; what is written there lives as long as the driver."""
+    path = f"{shared_dir(spark)}/transloom-{kind}-{uuid.uuid4().hex}"
+    _MADE.append(file_system(spark, path))
+    return path
+
+
+@atexit.register
+def _clear() -> None:
+    for fs, path in _MADE:
+        with contextlib.suppress(Exception):  # the gateway, or the folder, may be gone already
+            fs.delete(path, True)
 
 
 def cut(df: DataFrame) -> DataFrame:
