@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from transloom.llm import ann_tiles, bpe, conversation_repair, langid, packing, quality_pairs, quality_rules, sharding, simhash, suffix_dedup, toxicity, whitening
+from transloom.llm import ann_tiles, bpe, conversation_repair, langid, packing, partenum, quality_pairs, quality_rules, sharding, simhash, suffix_dedup, toxicity, whitening
 from transloom.llm.common import remainder, small_batches, table, vocabulary
 
 
@@ -76,8 +76,12 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.repair(table(spark, sf_dir, "conversations"))
 
 
+def op13_partenum_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return partenum.join_components(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_quality_bradley_terry, op2_adaptive_rules, op3_language_mixture, op4_block_matrix_neighbours, op5_simhash_bit_sliced, op6_sampled_splitter_shards, op7_packing_least_squares, op8_suffix_repeats, op9_bpe_codec, op10_toxicity_grammar, op11_feast_whitening, op12_conversation_repair)
+    for f in (op1_quality_bradley_terry, op2_adaptive_rules, op3_language_mixture, op4_block_matrix_neighbours, op5_simhash_bit_sliced, op6_sampled_splitter_shards, op7_packing_least_squares, op8_suffix_repeats, op9_bpe_codec, op10_toxicity_grammar, op11_feast_whitening, op12_conversation_repair, op13_partenum_join)
 }
-ORACLE_SQL = {"op4_block_matrix_neighbours": ann_tiles.SQL, "op2_adaptive_rules": quality_rules.SQL, "op12_conversation_repair": conversation_repair.SQL}
+ORACLE_SQL = {"op4_block_matrix_neighbours": ann_tiles.SQL, "op2_adaptive_rules": quality_rules.SQL, "op12_conversation_repair": conversation_repair.SQL, "op13_partenum_join": partenum.SQL}
