@@ -17,13 +17,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from transloom.llm.common import cut
+from transloom.llm.common import cut, written
 from transloom.llm.components import components
 
 #: Similarity 0.8 as a fraction of integers.
 NUMERATOR, DENOMINATOR = 4, 5
-#: Hubs that a group meets before it is compared otherwise.
-HUBS = 2
+#: Hubs that a group meets before it is compared otherwise (a second one found 2 % of the links).
+HUBS = 1
 #: Members of a group that are compared pair by pair.
 SMALL = 12
 #: Pairs of one node that meet one copy of its set.
@@ -56,15 +56,17 @@ def _pairs(a: Column, b: Column) -> list[Column]:
     return [F.least(a, b).alias("u"), F.greatest(a, b).alias("v")]
 
 
-def _mixed(members: DataFrame, found: DataFrame | None) -> DataFrame:
-    """(key, node, size, root) of the groups that hold several components."""
+def _mixed(members: DataFrame, found: DataFrame | None, nth: int) -> DataFrame:
+    """(key, node, size, root, n, hub) of the groups that hold several components; the hub is a member."""
     if found is None:
-        rooted = members.withColumn("root", F.col("node"))
+        rooted = members.select("key", "node", "size", F.col("node").alias("root"))
     else:
         closed = components(found).withColumnRenamed("node", "of")
         rooted = members.join(closed, F.col("node") == F.col("of"), "left").select("key", "node", "size", F.coalesce("root", "node").alias("root"))
-    several = rooted.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key", "n")
-    return cut(rooted.join(several, "key"))
+    # the member that a group is named after goes first, then others
+    order = F.struct((F.col("node") == F.col("key")) == F.lit(nth > 0), F.xxhash64("node", F.lit(nth)), F.struct("node", "size", "root").alias("hub"))
+    several = rooted.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(order)["hub"].alias("hub")).where("lo <> hi")
+    return written(rooted.join(several.select("key", "n", "hub"), "key"))
 
 
 def _prefix_pairs(nodes: DataFrame, sets: DataFrame) -> DataFrame:
@@ -97,18 +99,19 @@ def links(members: DataFrame, sets: DataFrame, screen: Callable[[DataFrame], Dat
     screen = screen or (lambda pairs: pairs)
     found: DataFrame | None = None
     tried: DataFrame | None = None
-    mixed = _mixed(members, None)
     for nth in range(HUBS):
-        hubs = mixed.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(nth)).alias("h"), "node", "size", "root")).alias("hub"))
-        met = mixed.join(hubs, "key").where((F.col("root") != F.col("hub.root")) & close_sizes(F.col("size"), F.col("hub.size")))
-        asked = met.select(*_pairs(F.col("node"), F.col("hub.node"))).distinct()
+        mixed = _mixed(members, found, nth)
+        if nth and mixed.isEmpty():
+            return found
+        asked = mixed.where((F.col("root") != F.col("hub.root")) & close_sizes(F.col("size"), F.col("hub.size"))).select(*_pairs(F.col("node"), F.col("hub.node"))).distinct()
         asked = cut(asked if tried is None else asked.join(tried, ["u", "v"], "left_anti"))
         tried = asked if tried is None else tried.unionByName(asked)
         new = cut(similar(cut(screen(asked)), sets))
         found = new if found is None else found.unionByName(new)
-        mixed = _mixed(mixed.drop("n", "root"), found)
-        if mixed.isEmpty():
-            return found
+        members = mixed.select("key", "node", "size")
+    mixed = _mixed(members, found, HUBS)
+    if mixed.isEmpty():
+        return found
     small = mixed.where(F.col("n") <= SMALL)
     side = lambda x: small.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "size", "root")])
     few = side("a").join(side("b"), "key").where((F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b")) & close_sizes(F.col("size_a"), F.col("size_b")))

@@ -5,7 +5,8 @@ neighbouring ones. An instance of the signatures serves a band and the next one;
 ``differences`` features. It cuts the feature domain by hash into first-level partitions, at least one more than half the
 differences, so that in some of them two similar sets differ in one feature at most; each is cut into three parts, and the
 three subsets of two parts are enumerated: one of them is free of differences and gives both sets one signature, a hash of
-their features in it. So every similar pair shares a signature, and what shares one is compared exactly (``groups``).
+their features in it. So every similar pair shares a signature. Documents that share a signature form a group that is named after the least
+of them, and all that are in one group are compared exactly (``groups``).
 
 A subset without features would be a signature of many sets. Each instance has some more partitions than it needs (slack);
 a set with no more partitions with an empty subset than the slack leaves those signatures out. A pair then still shares one,
@@ -13,9 +14,9 @@ since one of the partitions in question has no empty subset; only if both sets h
 be empty, and both write them.
 
 Documents are read once. A task hashes whole texts and packs the signatures of a block of documents into one packet for each
-bucket of signatures, six or seven bytes a signature; a signature that a block has more than once goes into a packet once,
+bucket of signatures, six bytes a signature; of a signature that HOT rows of a block share, one row goes to the bucket,
 so a signature that a third of all documents share is one entry of each block. Buckets follow the size of the input.
-Their tasks tell which signatures repeat; only those go on as rows.
+Their tasks tell which rows share signatures; only those go on.
 
 Defined cases: words are runs without ASCII white space, ASCII letters lowered; a text of fewer than five words is one
 shingle; null texts and texts without words have an empty set and are linked with nothing; rows that share an id are judged
@@ -58,8 +59,10 @@ MOST_EMPTY = 0.03
 BLOCK_ROWS, BLOCK_SIGNATURES = 1 << 16, 1 << 21
 #: Bytes of text whose signatures share a bucket, and the least number of buckets.
 BUCKET_BYTES, LEAST_BUCKETS = 16 << 20, 64
+#: Rows of a block that share a signature and no longer go into its packet one by one.
+HOT = 32
 #: Bits of a signature that a packet holds; the others choose the bucket.
-PACKET_BITS = 40
+PACKET_BITS = 32
 
 _ODD = np.random.default_rng(SEED).integers(0, 1 << 63, 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -148,22 +151,21 @@ def _rows(count: int, name: str, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, _NAMES)
 
 
-def _keys(bucket: np.ndarray | int, low: np.ndarray) -> np.ndarray:
-    """One number for bucket and packet bits (a rare clash only adds a candidate)."""
-    return _mixed(low + np.asarray(bucket, np.uint64) * _ODD[6]).view(np.int64)
-
-
 def _packets(found: np.ndarray, of: np.ndarray, base: int, buckets: int) -> Iterator[pa.RecordBatch]:
-    """The packets of a block's signatures (``of``: the row of each, falling never), and its repeated ones as members."""
+    """The packets of a block's signatures (``of``: the row of each, falling never); those that HOT of its rows share go apart,
+    the first one to its bucket and all of them as members."""
     low = found & np.uint64((1 << PACKET_BITS) - 1)
     bucket = (found >> np.uint64(PACKET_BITS)) % np.uint64(buckets)
     order = np.lexsort((of, low, bucket))
     low, bucket, of = low[order], bucket[order], of[order]
-    same = np.concatenate([[False], (low[1:] == low[:-1]) & (bucket[1:] == bucket[:-1])])
-    again = same | np.concatenate([same[1:], [False]])
-    if again.any():
-        yield _rows(int(again.sum()), "member", rid=base + of[again], key=_keys(bucket[again], low[again]))
-    low, bucket, of = low[~same], bucket[~same], of[~same]
+    first = np.nonzero(np.concatenate([[True], (low[1:] != low[:-1]) | (bucket[1:] != bucket[:-1])]))[0]
+    many = np.diff(np.append(first, len(low)))
+    hot = np.repeat(many >= HOT, many)
+    if hot.any():
+        lead = first[many >= HOT]
+        yield _rows(len(lead), "lead", rid=base + of[lead], bucket=bucket[lead].astype(np.int32), key=low[lead].astype(np.int64))
+        yield _rows(int(hot.sum()), "member", rid=base + of[hot], bucket=bucket[hot].astype(np.int32), key=low[hot].astype(np.int64))
+    low, bucket, of = low[~hot], bucket[~hot], of[~hot]
     edges = np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
     full = np.nonzero(np.diff(edges))[0]
     blobs = []
@@ -171,16 +173,14 @@ def _packets(found: np.ndarray, of: np.ndarray, base: int, buckets: int) -> Iter
         part = slice(edges[b], edges[b + 1])
         order = np.argsort(of[part], kind="stable")
         x, rows = low[part][order], of[part][order]
-        blobs.append(np.diff(rows, prepend=0).astype("<u2").tobytes() + (x >> np.uint64(32)).astype(np.uint8).tobytes() + x.astype("<u4").tobytes())
+        blobs.append(np.diff(rows, prepend=0).astype("<u2").tobytes() + x.astype("<u4").tobytes())
     yield _rows(len(full), "packet", rid=np.full(len(full), base), bucket=full.astype(np.int32), packet=blobs)
 
 
 def _opened(base: int, packet: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(rows, low bits) of a packet."""
-    n = len(packet) // 7
-    rows = base + np.cumsum(np.frombuffer(packet, "<u2", n).astype(np.int64))
-    high = np.frombuffer(packet, np.uint8, n, 2 * n).astype(np.uint64) << np.uint64(32)
-    return rows, high | np.frombuffer(packet, "<u4", n, 3 * n)
+    """(rows, signature bits) of a packet."""
+    n = len(packet) // 6
+    return base + np.cumsum(np.frombuffer(packet, "<u2", n).astype(np.int64)), np.frombuffer(packet, "<u4", n, 2 * n)
 
 
 def _signed(docs: DataFrame, buckets: int) -> DataFrame:
@@ -229,19 +229,35 @@ def _signed(docs: DataFrame, buckets: int) -> DataFrame:
 
 
 def _repeated(packets: DataFrame) -> DataFrame:
-    """(key, rid) of the signatures that more than one block has."""
+    """(hub, rid, bucket, key) of the signatures that several rows share: the hub is the least of these rows. Only what leads
+    a hot signature of a block has its bucket and key, to which the block's other rows are joined."""
 
     def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        opened = [_opened(b, p) for batch in batches for b, p in zip(batch.column("rid").to_pylist(), batch.column("packet").to_pylist(), strict=True)]
-        rows, low = (np.concatenate(x) for x in zip(*opened, strict=True))
-        del opened
-        order = np.argsort(low, kind="stable")
-        rows, low = rows[order], low[order]
-        same = np.concatenate([[False], low[1:] == low[:-1]])
-        again = same | np.concatenate([same[1:], [False]])
-        yield pa.RecordBatch.from_arrays([pa.array(_keys(key[0].as_py(), low[again])), pa.array(rows[again])], ["key", "rid"])
-
-    return packets.select("bucket", "rid", "packet").groupBy("bucket").applyInArrow(run, "key long, rid long")
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
+        leads: list[tuple[np.ndarray, np.ndarray]] = []
+        for batch in batches:
+            table = batch.filter(batch.column("packet").is_valid())
+            parts += [_opened(b, p) for b, p in zip(table.column("rid").to_pylist(), table.column("packet").to_pylist(), strict=True)]
+            table = batch.filter(batch.column("packet").is_null())
+            leads.append((table.column("rid").to_numpy(), table.column("key").to_numpy().astype(np.uint32)))
+        rows, bits = (np.concatenate(x) for x in zip(*parts, *leads, strict=True))
+        leading = np.repeat([False, True], [sum(len(x) for x, _ in parts), sum(len(x) for x, _ in leads)])
+        del parts, leads
+        order = np.lexsort((rows, bits))
+        rows, bits, leading = rows[order], bits[order], leading[order]
+        first = np.nonzero(np.concatenate([[True], bits[1:] != bits[:-1]]))[0]
+        many = np.diff(np.append(first, len(bits)))
+        hub = np.repeat(rows[first], many)
+        told = leading.copy()
+        rest = ~told & (hub != rows)
+        pairs = np.unique(np.stack([hub[rest], rows[rest]], axis=1), axis=0) if rest.any() else np.empty((0, 2), np.int64)
+        bucket = key[0].as_py()
+        n, m = len(pairs), int(told.sum())
+        columns = [np.concatenate([pairs[:, 0], hub[told]]), np.concatenate([pairs[:, 1], rows[told]])]
+        names = pa.array([None] * n + [bucket] * m, pa.int32()), pa.array([None] * n + bits[told].astype(np.int64).tolist(), pa.int64())
+        yield pa.RecordBatch.from_arrays([*map(pa.array, columns), *names], ["hub", "rid", "bucket", "key"])
+
+    return packets.select("bucket", "rid", "packet", "key").groupBy("bucket").applyInArrow(run, "hub long, rid long, bucket int, key long")
 
 
 @F.pandas_udf(T.ArrayType(T.LongType()))
@@ -262,13 +278,16 @@ def join_components(docs: DataFrame) -> DataFrame:
     # one row of each set stands for it
     one = rows.where("n > 0").groupBy("digest").agg(F.min("rid").alias("node"), F.min("doc_id").alias("least"), F.first("n").alias("size"))
     one = cut(one)
-    repeated = cut(_repeated(kind("packet")).unionByName(kind("member").select("key", "rid")))
+    repeated = written(_repeated(kind("packet").unionByName(kind("lead"))).distinct())
     delete(spark, f"{path}/kind=packet")
-    wanted = repeated.select("rid").distinct()
-    named = cut(rows.join(wanted, "rid", "left_semi").select("rid", "digest").join(one.drop("least"), "digest").select("rid", "node", "size"))
-    members = repeated.join(named, "rid").select("key", "node", "size").distinct()
-    several = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    members = cut(members.join(several, "key").drop("n"))
+    hot = kind("member").select("bucket", "key", F.col("rid").alias("row"))
+    led = repeated.where("key IS NOT NULL").select("bucket", "key", "hub").distinct().join(hot, ["bucket", "key"]).select("hub", F.col("row").alias("rid"))
+    met = written(repeated.select("hub", "rid").unionByName(led).where("hub <> rid").distinct())
+    wanted = met.select(F.explode(F.array("hub", "rid")).alias("rid")).distinct()
+    named = cut(rows.select("rid", "digest").join(wanted, "rid", "left_semi").join(one.drop("least"), "digest").select("rid", "node", "size"))
+    ends = met.join(named.select(F.col("rid").alias("hub"), F.col("node").alias("key")), "hub").join(named, "rid").where("key <> node").select("key", "node", "size")
+    hubs = ends.select("key").distinct().join(one.select(F.col("node").alias("key"), "size"), "key").select("key", F.col("key").alias("node"), "size")
+    members = written(ends.unionByName(hubs).distinct())
     texts = kind("row").select(F.col("rid").alias("node"), "text")
     sets = written(texts.join(members.select("node").distinct(), "node", "left_semi").select("node", _set("text").alias("set")))
     closed = components(links(members, sets))
