@@ -76,6 +76,16 @@ def test_unlike_sets_rarely_share_one():
     assert met < 60
 
 
+def test_cells_never_rule_out_a_link(spark):
+    rng = np.random.default_rng(6)
+    sets = [x for n in (4, 9, 40, 300, 5000) for _ in range(20) for x in similar_sets(rng, n)]
+    sets += [np.unique(rng.integers(0, 1 << 63, 300, dtype=np.uint64)) for _ in range(20)]
+    nodes = spark.createDataFrame([(i, len(s), bytearray(partenum.cells(s).tobytes())) for i, s in enumerate(sets)], "node long, size int, cells binary")
+    pairs = [(i, i + 1) for i in range(0, len(sets), 2)]
+    kept = {tuple(r) for r in partenum.differ_little(spark.createDataFrame(pairs, "u long, v long"), nodes).collect()}
+    assert kept == set(pairs[:100])
+
+
 def test_bands_and_instances():
     for size in range(1, 3000):
         nth, low, high = band(size)

@@ -64,6 +64,9 @@ HOT = 32
 #: Bits of a signature that a packet holds; the others choose the bucket.
 PACKET_BITS = 32
 
+#: Cells of the feature domain in which a set's features are counted.
+CELLS = 64
+
 _ODD = np.random.default_rng(SEED).integers(0, 1 << 63, 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -260,9 +263,30 @@ def _repeated(packets: DataFrame) -> DataFrame:
     return packets.select("bucket", "rid", "packet", "key").groupBy("bucket").applyInArrow(run, "hub long, rid long, bucket int, key long")
 
 
-@F.pandas_udf(T.ArrayType(T.LongType()))
-def _set(texts: pd.Series) -> pd.Series:
-    return pd.Series([shingles(t).view(np.int64) for t in texts])
+def cells(features: np.ndarray) -> np.ndarray:
+    """How many features fall into each of CELLS cells of the domain."""
+    return np.minimum(np.bincount((_mixed(features * _ODD[7]) >> np.uint64(58)).astype(np.int64), minlength=CELLS), 0xFFFF).astype("<u2")
+
+
+@F.pandas_udf(T.StructType([T.StructField("set", T.ArrayType(T.LongType())), T.StructField("cells", T.BinaryType())]))
+def _set(texts: pd.Series) -> pd.DataFrame:
+    sets = [shingles(t) for t in texts]
+    return pd.DataFrame({"set": [s.view(np.int64) for s in sets], "cells": [cells(s).tobytes() for s in sets]})
+
+
+def differ_little(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The (u, v) of ``pairs`` but those whose cell counts prove that too many features differ: the distance of the counts of
+    two sets is at most the number of features that only one of them has. ``nodes`` is (node, size, cells)."""
+    end = lambda x: nodes.select(F.col("node").alias(x), F.col("size").alias(f"size_{x}"), F.col("cells").alias(f"cells_{x}"))
+    both = pairs.join(end("u"), "u").join(end("v"), "v").select("u", "v", (F.col("size_u") + F.col("size_v")).alias("sizes"), "cells_u", "cells_v")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u2").reshape(-1, CELLS).astype(np.int64) for i in (3, 4))
+            near = (DENOMINATOR + NUMERATOR) * np.abs(a - b).sum(axis=1) <= (DENOMINATOR - NUMERATOR) * batch.column(2).to_numpy()
+            yield batch.select(["u", "v"]).filter(pa.array(near))
+
+    return both.mapInArrow(run, "u long, v long")
 
 
 def join_components(docs: DataFrame) -> DataFrame:
@@ -289,8 +313,10 @@ def join_components(docs: DataFrame) -> DataFrame:
     hubs = ends.select("key").distinct().join(one.select(F.col("node").alias("key"), "size"), "key").select("key", F.col("key").alias("node"), "size")
     members = written(ends.unionByName(hubs).distinct())
     texts = kind("row").select(F.col("rid").alias("node"), "text")
-    sets = written(texts.join(members.select("node").distinct(), "node", "left_semi").select("node", _set("text").alias("set")))
-    closed = components(links(members, sets))
+    made = texts.join(members.select("node").distinct(), "node", "left_semi").select("node", _set("text").alias("x"))
+    sets = written(made.select("node", "x.set", "x.cells"))
+    few = sets.select("node", F.size("set").alias("size"), "cells")
+    closed = components(links(members, sets.drop("cells"), lambda pairs: differ_little(pairs, few)))
     labelled = one.join(closed, "node", "left").select("digest", "least", F.coalesce("root", "node").alias("root"))
     least = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
     of_set = labelled.join(least, "root").select("digest", "component_id")
