@@ -120,12 +120,12 @@ def test_against_brute_force(spark, seed):
 
 
 def test_small_blocks_and_prefixes(spark, monkeypatch):
-    """Packets of several blocks, hot signatures, a second hub, and every group of over two members by prefixes."""
+    """Packets of several blocks, hot signatures, a second hub, and every group of over three members by prefixes."""
     rows = list(enumerate(texts(3)))
     monkeypatch.setattr(partenum, "BLOCK_ROWS", 7)
     monkeypatch.setattr(partenum, "HOT", 2)
     monkeypatch.setattr(groups, "HUBS", 2)
-    monkeypatch.setattr(groups, "SMALL", 1)
+    monkeypatch.setattr(partenum, "TILE", 3)
     monkeypatch.setattr(groups, "PAIRS_PER_COPY", 3)
     assert result(spark.createDataFrame(rows, SCHEMA).repartition(5)) == brute(rows)
 

@@ -91,10 +91,21 @@ def _prefix_pairs(nodes: DataFrame, sets: DataFrame) -> DataFrame:
     return met.select(F.col("node_a").alias("u"), F.col("node_b").alias("v")).distinct()
 
 
-def links(members: DataFrame, sets: DataFrame, screen: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def pair_by_pair(small: DataFrame) -> DataFrame:
+    """(u, v) across components inside groups (key, node, size, root) of bounded size."""
+    side = lambda x: small.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "size", "root")])
+    few = side("a").join(side("b"), "key").where((F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b")) & close_sizes(F.col("size_a"), F.col("size_b")))
+    return few.select(F.col("node_a").alias("u"), F.col("node_b").alias("v"))
+
+
+def links(
+    members: DataFrame, sets: DataFrame, screen: Callable[[DataFrame], DataFrame] | None = None,
+    within: Callable[[DataFrame], DataFrame] = pair_by_pair, small: int = SMALL,
+) -> DataFrame:
     """(u, v) links whose closure is that of all similar pairs that share a key of ``members`` (key, node, size).
 
-    ``sets`` (node, set) holds the set of every member. ``screen`` may drop pairs (u, v) before their sets are compared.
+    ``sets`` (node, set) holds the set of every member. ``screen`` may drop pairs (u, v) before their sets are compared;
+    ``within`` gives the pairs across components of groups with up to ``small`` members.
     """
     screen = screen or (lambda pairs: pairs)
     found: DataFrame | None = None
@@ -112,10 +123,7 @@ def links(members: DataFrame, sets: DataFrame, screen: Callable[[DataFrame], Dat
     mixed = _mixed(members, found, HUBS)
     if mixed.isEmpty():
         return found
-    small = mixed.where(F.col("n") <= SMALL)
-    side = lambda x: small.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "size", "root")])
-    few = side("a").join(side("b"), "key").where((F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b")) & close_sizes(F.col("size_a"), F.col("size_b")))
-    pairs = few.select(F.col("node_a").alias("u"), F.col("node_b").alias("v"))
-    many = mixed.where(F.col("n") > SMALL).select("node", "size", "root").distinct()
+    pairs = within(mixed.where(F.col("n") <= small).select("key", "node", "size", "root"))
+    many = mixed.where(F.col("n") > small).select("node", "size", "root").distinct()
     pairs = pairs.unionByName(_prefix_pairs(many, sets)).distinct().join(tried, ["u", "v"], "left_anti")
     return found.unionByName(similar(cut(screen(pairs)), sets))

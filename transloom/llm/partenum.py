@@ -66,6 +66,8 @@ PACKET_BITS = 32
 
 #: Cells of the feature domain in which a set's features are counted.
 CELLS = 64
+#: Members of a group whose counts are compared in one task; larger groups are left to an exact prefix filter.
+TILE = 1024
 
 _ODD = np.random.default_rng(SEED).integers(0, 1 << 63, 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -144,9 +146,9 @@ def signatures(features: np.ndarray) -> np.ndarray:
     return np.concatenate(out)
 
 
-_NAMES = ["kind", "rid", "doc_id", "text", "digest", "n", "bucket", "packet", "key"]
-_KINDS = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.int32(), pa.binary(), pa.int64()]
-_SCHEMA = "kind string, rid long, doc_id long, text string, digest binary, n long, bucket int, packet binary, key long"
+_NAMES = ["kind", "rid", "doc_id", "text", "digest", "n", "bucket", "packet", "key", "cells"]
+_KINDS = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.binary()]
+_SCHEMA = "kind string, rid long, doc_id long, text string, digest binary, n long, bucket int, packet binary, key long, cells binary"
 
 
 def _rows(count: int, name: str, **columns) -> pa.RecordBatch:
@@ -203,7 +205,7 @@ def _signed(docs: DataFrame, buckets: int) -> DataFrame:
             base, found, of, seen, rows, total = base + rows, [], [], set(), 0, 0
 
         for batch in batches:
-            sizes, digests, rids = [], [], []
+            sizes, digests, rids, counts = [], [], [], []
             for text in batch.column(1).to_pylist():
                 features = shingles(text)
                 digest = xxh3_128_digest(features.tobytes(), SEED)
@@ -223,9 +225,10 @@ def _signed(docs: DataFrame, buckets: int) -> DataFrame:
                     total += len(x)
                 sizes.append(len(features))
                 digests.append(digest)
+                counts.append(cells(features).tobytes())
                 rids.append(base + rows)
                 rows += 1
-            yield _rows(batch.num_rows, "row", rid=rids, doc_id=batch.column(0), text=batch.column(1), digest=digests, n=sizes)
+            yield _rows(batch.num_rows, "row", rid=rids, doc_id=batch.column(0), text=batch.column(1), digest=digests, n=sizes, cells=counts)
         yield from block()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, _SCHEMA)
@@ -268,10 +271,9 @@ def cells(features: np.ndarray) -> np.ndarray:
     return np.minimum(np.bincount((_mixed(features * _ODD[7]) >> np.uint64(58)).astype(np.int64), minlength=CELLS), 0xFFFF).astype("<u2")
 
 
-@F.pandas_udf(T.StructType([T.StructField("set", T.ArrayType(T.LongType())), T.StructField("cells", T.BinaryType())]))
-def _set(texts: pd.Series) -> pd.DataFrame:
-    sets = [shingles(t) for t in texts]
-    return pd.DataFrame({"set": [s.view(np.int64) for s in sets], "cells": [cells(s).tobytes() for s in sets]})
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def _set(texts: pd.Series) -> pd.Series:
+    return pd.Series([shingles(t).view(np.int64) for t in texts])
 
 
 def differ_little(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -289,6 +291,43 @@ def differ_little(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "u long, v long")
 
 
+def _near_pairs(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the rows (size, cells) of a group that cell counts do not tell apart."""
+    size = table.column("size").to_numpy()
+    x = np.frombuffer(b"".join(table.column("cells").to_pylist()), "<u2").reshape(-1, CELLS).astype(np.int32)
+    out = []
+    for i in range(len(x) - 1):
+        near = (DENOMINATOR + NUMERATOR) * np.abs(x[i + 1 :] - x[i]).sum(axis=1) <= (DENOMINATOR - NUMERATOR) * (size[i + 1 :] + size[i])
+        out.append(np.nonzero(near)[0] + i + 1)
+    return np.repeat(np.arange(len(out)), [len(o) for o in out]), np.concatenate(out) if out else np.empty(0, np.int64)
+
+
+def close_members(members: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The ``members`` that cell counts leave a partner in their group; groups of over TILE members stay whole."""
+    sized = members.join(members.groupBy("key").agg(F.count("*").alias("n")), "key")
+
+    def run(table: pa.Table) -> pa.Table:
+        return table.select(["key", "node", "size"]).take(pa.array(np.unique(np.concatenate(_near_pairs(table)))))
+
+    few = sized.where(F.col("n") <= TILE).join(nodes.select("node", "cells"), "node").select("key", "node", "size", "cells")
+    few = few.groupBy("key").applyInArrow(run, "key long, node long, size long")
+    return few.unionByName(sized.where(F.col("n") > TILE).select("key", "node", F.col("size").cast("long").alias("size")))
+
+
+def close_pairs(members: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(u, v) across components (root) of groups of up to TILE members that cell counts do not tell apart."""
+
+    def run(table: pa.Table) -> pa.Table:
+        node, root = table.column("node").to_numpy(), table.column("root").to_numpy()
+        a, b = _near_pairs(table)
+        apart = root[a] != root[b]
+        a, b = node[a[apart]], node[b[apart]]
+        return pa.table({"u": np.minimum(a, b), "v": np.maximum(a, b)})
+
+    rows = members.join(nodes.select("node", "cells"), "node").select("key", "node", "root", "size", "cells")
+    return rows.groupBy("key").applyInArrow(run, "u long, v long")
+
+
 def join_components(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row; component_id is the smallest id reachable over similar sets."""
     spark = docs.sparkSession
@@ -308,15 +347,16 @@ def join_components(docs: DataFrame) -> DataFrame:
     led = repeated.where("key IS NOT NULL").select("bucket", "key", "hub").distinct().join(hot, ["bucket", "key"]).select("hub", F.col("row").alias("rid"))
     met = written(repeated.select("hub", "rid").unionByName(led).where("hub <> rid").distinct())
     wanted = met.select(F.explode(F.array("hub", "rid")).alias("rid")).distinct()
-    named = cut(rows.select("rid", "digest").join(wanted, "rid", "left_semi").join(one.drop("least"), "digest").select("rid", "node", "size"))
+    named = written(kind("row").select("rid", "digest", "cells").join(wanted, "rid", "left_semi").join(one.drop("least"), "digest").select("rid", "node", "size", "cells"))
     ends = met.join(named.select(F.col("rid").alias("hub"), F.col("node").alias("key")), "hub").join(named, "rid").where("key <> node").select("key", "node", "size")
     hubs = ends.select("key").distinct().join(one.select(F.col("node").alias("key"), "size"), "key").select("key", F.col("key").alias("node"), "size")
-    members = written(ends.unionByName(hubs).distinct())
-    texts = kind("row").select(F.col("rid").alias("node"), "text")
-    made = texts.join(members.select("node").distinct(), "node", "left_semi").select("node", _set("text").alias("x"))
-    sets = written(made.select("node", "x.set", "x.cells"))
-    few = sets.select("node", F.size("set").alias("size"), "cells")
-    closed = components(links(members, sets.drop("cells"), lambda pairs: differ_little(pairs, few)))
+    # equal sets have equal counts, so any row of a set will do
+    nodes = written(named.groupBy("node").agg(F.first("size").alias("size"), F.first("cells").alias("cells")))
+    members = written(close_members(written(ends.unionByName(hubs).distinct()), nodes))
+    texts = kind("row").select(F.col("rid").alias("node"), "text").join(members.select("node").distinct(), "node", "left_semi")
+    sets = written(texts.select("node", _set("text").alias("set")))
+    found = links(members, sets, lambda pairs: differ_little(pairs, nodes), lambda few: close_pairs(few, nodes), TILE)
+    closed = components(found)
     labelled = one.join(closed, "node", "left").select("digest", "least", F.coalesce("root", "node").alias("root"))
     least = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
     of_set = labelled.join(least, "root").select("digest", "component_id")
