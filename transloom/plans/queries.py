@@ -10,7 +10,7 @@ from transloom.functions import clean_code, cyclic, distance_band, floor_bucket,
 from transloom.operators import cleaning, history, metrics, network, predictions, snapshots, star, tabular, weather
 from transloom.plans import pipelines as P
 from transloom.plans.registry import register
-from transloom.sources import adapters, scans, schema, sinks
+from transloom.sources import adapters, hours, scans, schema, sinks
 from transloom.sources.shared import new_folder
 
 H = P.HORIZONS
@@ -55,14 +55,56 @@ register(
 )
 
 
+_CSV = ["FlightDate", "Origin", "Dest", "CRSDepTime", "ArrDelay", "Cancelled"]
+
+
+def _csv_files(s, d):
+    """Files of three headers: as it should be, in another order, and without a column; some rows do not parse."""
+    path, f = _folder(s), P.flights(s, d)
+    time = F.when(F.col("l_orderkey") % 41 == 0, F.concat(F.lit("at "), F.col("CRSDepTime").cast("string"))).otherwise(F.col("CRSDepTime").cast("string"))
+    f = f.select("l_orderkey", *[time.alias(c) if c == "CRSDepTime" else c for c in _CSV])
+    for i, columns in enumerate((_CSV, ["Dest", "Cancelled", "ArrDelay", "CRSDepTime", "Origin", "FlightDate"], ["Dest", "Origin", "CRSDepTime", "ArrDelay"])):
+        f.where(F.col("l_orderkey") % 3 == i).select(columns).write.option("header", True).csv(f"{path}/Flights_2019_{i + 1}.csv")
+    return path
+
+
 def _scan_csv(s, d):
-    path = f"{_folder(s)}/Combined_Flights_2019.csv"
-    P.flights(s, d).select("FlightDate", "Origin", "Dest", "CRSDepTime", "ArrDelay", "Cancelled").write.option("header", True).csv(path)
-    return scans.scan_csv(s, path, ["Origin", "Dest", "CRSDepTime", "ArrDelay", "Cancelled"]).groupBy("Origin", "Dest").agg(F.count("*").alias("n"), F.sum(F.col("ArrDelay").cast("double")).alias("delay"), F.count_if("Cancelled").alias("cancelled"))
+    rows = scans.scan_csv(s, f"{_csv_files(s, d)}/*.csv", ["Origin", "Dest", "CRSDepTime", "ArrDelay", "Cancelled"])
+    return rows.groupBy("Origin", "Dest").agg(F.count("*").alias("n"), F.sum(F.col("ArrDelay").cast("double")).alias("delay"), F.count_if("Cancelled").alias("cancelled"), F.sum(F.col("CRSDepTime").cast("long")).alias("times"))
 
 
 _BY_ROUTE = "SELECT Origin, Dest, count(*) AS n, sum(ArrDelay) AS delay, count(*) FILTER (Cancelled) AS cancelled FROM flights GROUP BY ALL"
-register("scan_csv", _scan_csv, _BY_ROUTE)
+register("scan_csv", _scan_csv, (
+    "SELECT Origin, Dest, count(*) AS n, sum(ArrDelay) AS delay, count(*) FILTER (Cancelled AND l_orderkey % 3 < 2) AS cancelled, "
+    "sum(CRSDepTime)::BIGINT AS times FROM flights WHERE l_orderkey % 41 <> 0 GROUP BY ALL"
+))
+
+
+def _scan_quarantine(s, d):
+    """Each record that did not parse, how often, and whether all its lines lie behind a header."""
+    found = scans.scan_csv_quarantine(s, f"{_csv_files(s, d)}/*.csv")
+    lines = F.count_distinct("file", "line")
+    return found.groupBy("record").agg(F.count("*").alias("n"), (lines == F.count("*")).alias("own_lines"), (F.min("line") > 1).alias("behind_header"))
+
+
+_CELL = "coalesce(ArrDelay::VARCHAR, '')"
+register("scan_csv_quarantine", _scan_quarantine, (
+    f"SELECT CASE l_orderkey % 3 WHEN 0 THEN concat_ws(',', FlightDate, Origin, Dest, 'at ' || CRSDepTime, {_CELL}, Cancelled) "
+    f"WHEN 1 THEN concat_ws(',', Dest, Cancelled, {_CELL}, 'at ' || CRSDepTime, Origin, FlightDate) "
+    f"ELSE concat_ws(',', Dest, Origin, 'at ' || CRSDepTime, {_CELL}) END AS record, count(*) AS n, true AS own_lines, true AS behind_header "
+    "FROM flights WHERE l_orderkey % 41 = 0 GROUP BY ALL"
+))
+
+
+def _months(s, d):
+    """A year's monthly files, the second one in another order of columns."""
+    folder, f = _folder(s), P.flights(s, d)
+    for month, columns in ((9, _CSV), (10, _CSV[::-1])):
+        f.where(F.month("FlightDate") == month).select(columns).write.option("header", True).csv(f"{folder}/Flights_2020_{month}.csv")
+    return scans.scan_year(s, folder, 2020).groupBy("Origin", "Dest").agg(F.count("*").alias("n"), F.sum(F.col("ArrDelay").cast("double")).alias("delay"), F.count_if("Cancelled").alias("cancelled"))
+
+
+register("scan_year_monthly", _months, _BY_ROUTE)
 
 
 def _years(s, d, years):
@@ -153,14 +195,14 @@ _per_hour = lambda df: df.groupBy("part_ts").agg(F.count("*").alias("n"))  # noq
 register("write_hour_partition", lambda s, d: _per_hour(_landed(s, d)[1]), _HOURS.format(""))
 register(
     "scan_last_n_partitions",
-    lambda s, d: _per_hour(scans.require_hours(_landed(s, d)[1], _now())),
+    lambda s, d: _per_hour(hours.last_hours(hours.HourIndex(s, _landed(s, d)[0]), _now())),
     _HOURS.format("WHERE ts >= TIMESTAMP '2019-09-30 00:00:00' AND ts < TIMESTAMP '2019-10-01 00:00:00'"),
 )
-register("missing_hours", lambda s, d: scans.missing_hours(_landed(s, d, F.hour("timestamp") % 5 != 0)[1], _now()), (
+register("missing_hours", lambda s, d: hours.missing_hours(hours.HourIndex(s, _landed(s, d, F.hour("timestamp") % 5 != 0)[0]), _now()), (
     "SELECT (TIMESTAMP '2019-09-30 00:00:00' + to_hours(x::INT))::VARCHAR AS part_ts FROM range(24) t(x) "
     "WHERE x % 5 = 0 OR NOT EXISTS (SELECT 1 FROM timed WHERE ts = TIMESTAMP '2019-09-30 00:00:00' + to_hours(x::INT))"
 ))
-register("scan_latest_schedule", lambda s, d: scans.latest_schedule(_landed(s, d)[1], _now()).select(*FLIGHT_KEYS, "part_ts"), (
+register("scan_latest_schedule", lambda s, d: hours.latest_hour(hours.HourIndex(s, _landed(s, d)[0]), _now()).select(*FLIGHT_KEYS, "part_ts"), (
     "SELECT l_orderkey, l_linenumber, ts::VARCHAR AS part_ts FROM timed WHERE ts = (SELECT max(ts) FROM timed "
     "WHERE ts <= TIMESTAMP '2019-10-01 00:00:00' AND ts >= TIMESTAMP '2019-09-30 00:00:00')"
 ))

@@ -50,6 +50,16 @@ def flights_from_lineitem(spark: SparkSession, folder: str, self_routes: bool =
 _STAGED: dict[tuple, str] = {}
 
 
+def _listing(spark: SparkSession, path: str) -> tuple:
+    """(name, length, modification time) of all files below ``path``: another one whenever a file is rewritten in place."""
+    fs, p = file_system(spark, path)
+    files, found = fs.listFiles(p, True), []
+    while files.hasNext():
+        f = files.next()
+        found.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(found))
+
+
 def staged_trips(spark: SparkSession, folder: str) -> DataFrame:
     """``flights_from_lineitem`` as a table in the shared folder, made once for a session and state of its inputs.
 
@@ -57,7 +67,7 @@ def staged_trips(spark: SparkSession, folder: str) -> DataFrame:
     operator's own scan reads only the columns that it needs.
     """
     inputs = [f"{folder}/{name}.parquet" for name in ("lineitem", "orders", "customer", "supplier")]
-    state = tuple(fs.getFileStatus(p).getModificationTime() for fs, p in (file_system(spark, i) for i in inputs))
+    state = tuple(_listing(spark, i) for i in inputs)
     key = (spark.sparkContext.applicationId, folder, state)
     if key not in _STAGED:
         path = new_folder(spark, "trips")

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import logging
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from transloom.functions import add_hours, clean_code, wmo_category
+from transloom.sources import csv_files
+from transloom.sources.csv_files import union_all
 from transloom.sources.schema import flight_schema
 from transloom.sources.shared import file_system
 
@@ -46,13 +47,14 @@ def sample_rows(df: DataFrame, fraction: float | None, seed: int = 42, key: Sequ
     return df.sample(False, fraction, seed)
 
 
-def scan_csv(spark: SparkSession, path: str | list[str], columns: Sequence[str] | None = None, schema: T.StructType | None = None) -> DataFrame:
-    """Typed CSV scan by column names in the header; large files are read as splits."""
-    schema = schema or flight_schema()
-    header = spark.read.option("header", True).csv(path).columns
-    kinds = {f.name: f for f in schema.fields}
-    df = spark.read.option("header", True).schema(T.StructType([kinds.get(c, T.StructField(c, T.StringType())) for c in header])).csv(path)
-    return df if columns is None else df.select([c for c in columns if c in df.columns])
+def scan_csv(spark: SparkSession, path: str | Sequence[str], columns: Sequence[str] | None = None, schema: T.StructType | None = None) -> DataFrame:
+    """Typed CSV scan by the column names in each file's own header (``csv_files``); rows that do not parse are left out."""
+    return csv_files.scan_csv(spark, path, columns, schema or flight_schema())
+
+
+def scan_csv_quarantine(spark: SparkSession, path: str | Sequence[str], schema: T.StructType | None = None) -> DataFrame:
+    """(file, line, record) of the rows that ``scan_csv`` leaves out."""
+    return csv_files.quarantine(spark, path, schema or flight_schema())
 
 
 def scan_year(spark: SparkSession, folder: str, year: int, columns: Sequence[str] | None = None) -> DataFrame:
@@ -78,10 +80,6 @@ def scan_years(spark: SparkSession, folder: str, years: Sequence[int], columns:
     return union_all(found)
 
 
-def union_all(frames: Sequence[DataFrame]) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
-
-
 def scan_hour_slice(flights: DataFrame, month: int, day: int, hour: int) -> DataFrame:
     """Trips of one hour; the comparisons are on stored columns and reach the Parquet scan."""
     return flights.where((F.col("Month") == month) & (F.col("DayofMonth") == day) & (F.col("CRSDepTime") >= hour * 100) & (F.col("CRSDepTime") < (hour + 1) * 100))

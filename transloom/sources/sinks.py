@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import json
 from collections.abc import Sequence
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from transloom.functions import add_hours
+from transloom.sources.hours import HOUR, HourIndex, literal
 from transloom.sources.scans import exists, scan_csv, weather_cache_path
 from transloom.sources.shared import delete, file_system
 
@@ -49,13 +51,10 @@ def retained(rows: DataFrame, now: Column, hours: int = RETENTION_HOURS, part: s
     return rows.where(F.col(part) >= add_hours(now, -hours))
 
 
-def trim_retention(spark: SparkSession, path: str, now: Column, hours: int = RETENTION_HOURS) -> int:
-    """Delete hour partitions older than ``hours``; returns how many. Only partition values are collected."""
-    old = read_hour_partitions(spark, path).where(F.col("part_ts") < add_hours(now, -hours)).select("y", "m", "d", "h").distinct()
-    deleted = 0
-    for r in old.toLocalIterator():
-        deleted += delete(spark, f"{path}/y={r['y']}/m={r['m']}/d={r['d']}/h={r['h']}")
-    return deleted
+def trim_retention(spark: SparkSession, path: str, now: Column | datetime, hours: int = RETENTION_HOURS) -> int:
+    """Delete hour partitions older than ``hours``, found by their folders' names; returns how many."""
+    index = HourIndex(spark, path)
+    return sum(delete(spark, index.folder(h)) for h in index.older_than(literal(spark, now) - hours * HOUR))
 
 
 def backfill_hours(flights: DataFrame, path: str, now: Column, hours: int = RETENTION_HOURS) -> None:
@@ -113,11 +112,13 @@ def merge_predictions_latest(predictions: DataFrame, path: str, batch: int, keep
     """
     spark = predictions.sparkSession
     before = [v for v in _versions(spark, path) if v < batch]
-    rows = predictions.select(*PREDICTION_KEY, *[c for c in predictions.columns if c not in PREDICTION_KEY])
+    values = [c for c in predictions.columns if c not in PREDICTION_KEY]
+    rows = predictions.select(*PREDICTION_KEY, *values).withColumn("__old", F.lit(0))
     if before:
-        rows = rows.unionByName(spark.read.parquet(f"{path}/version={before[-1]}"), allowMissingColumns=True)
-    newest = Window.partitionBy("airport_code", "horizon_h").orderBy(F.desc("prediction_ts"))
-    rows = rows.withColumn("__nth", F.row_number().over(newest)).where("__nth = 1").drop("__nth")
+        rows = rows.unionByName(spark.read.parquet(f"{path}/version={before[-1]}").withColumn("__old", F.lit(1)), allowMissingColumns=True)
+    # of equal times the later batch's counts; inside a batch the largest values, so that a replay decides alike
+    newest = Window.partitionBy("airport_code", "horizon_h").orderBy(F.desc("prediction_ts"), "__old", *[F.desc(c) for c in values])
+    rows = rows.withColumn("__nth", F.row_number().over(newest)).where("__nth = 1").drop("__nth", "__old")
     rows.write.mode("overwrite").parquet(f"{path}/version={batch}")
     for v in before[: len(before) + 1 - keep]:
         delete(spark, f"{path}/version={v}")
