@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections import deque
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -16,21 +17,59 @@ ACTUAL_COLUMNS = ["actual_arr_delay_min", "actual_arr_del15", "pct_target"]
 SCORED = "snapshot_ts timestamp_ntz, node string, horizon_h int, delay double, logit double"
 
 
-def score_sequences(sequences: DataFrame, features: DataFrame, scorer: Callable[[pd.DataFrame], pd.DataFrame]) -> DataFrame:
+#: Targets of a range; a range also gets the snapshots before it that its first sequences reach back to.
+RANGE_TARGETS = 64
+#: Snapshots whose small tables (times only) are broadcast; more are joined.
+BROADCAST_SNAPSHOTS = 1_000_000
+
+
+def score_sequences(sequences: DataFrame, features: DataFrame, scorer: Callable[[pd.DataFrame], pd.DataFrame], range_targets: int = RANGE_TARGETS) -> DataFrame:
     """Run a user's scorer on the whole network of each sequence.
 
     The scorer gets the rows (snapshot_ts, node, features) of a sequence's members, oldest first, and returns
-    (node, horizon_h, delay, logit); it runs once for each target snapshot, in parallel.
-    """
-    members = sequences.select("target_ts", F.explode("members").alias("snapshot_ts"))
-    rows = members.join(features, "snapshot_ts")
+    (node, horizon_h, delay, logit); it runs once for each target snapshot, in parallel. A sequence is made of the snapshots from
+    its least to its largest member.
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        target = group["target_ts"].iloc[0]
-        out = scorer(group.drop(columns="target_ts").sort_values(["snapshot_ts", "node"]))
-        return pd.DataFrame({"snapshot_ts": target, "node": out["node"], "horizon_h": out["horizon_h"].astype("int32"), "delay": out["delay"].astype(float), "logit": out["logit"].astype(float)})
-
-    return rows.groupBy("target_ts").applyInPandas(run, SCORED)
+    Targets are dealt into ranges of consecutive ones, and snapshots go to the range of their targets with a halo: only those
+    that the first sequences of the next range reach back to travel twice. A range is read once in the order of time, with
+    the members of one sequence in memory.
+    """
+    nth = F.row_number().over(Window.orderBy("target_ts")) - 1  # over snapshots, not over their rows
+    numbered = sequences.select("target_ts", "members", F.floor(nth / range_targets).cast("int").alias("__range"))
+    shape = sequences.agg(F.count("*").alias("n"), F.max(F.size("members")).alias("longest")).first()
+    longest = shape["longest"] or 1
+    needed = numbered.select("__range", F.explode("members").alias("snapshot_ts")).distinct()
+    ends = numbered.groupBy("__range", F.array_max("members").alias("snapshot_ts")).agg(F.collect_list(F.struct("target_ts", F.array_min("members").alias("first"))).alias("__targets"))
+    times = needed.join(ends, ["__range", "snapshot_ts"], "left")
+    if shape["n"] <= BROADCAST_SNAPSHOTS:
+        times = F.broadcast(times)
+    rows = features.join(times, "snapshot_ts").repartition("__range").sortWithinPartitions("__range", "snapshot_ts", "node")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ring: deque[tuple[pd.Timestamp, pd.DataFrame]] = deque(maxlen=longest)
+        of, parts = None, []
+
+        def close() -> Iterator[pd.DataFrame]:
+            if not parts:
+                return
+            whole = pd.concat(parts, ignore_index=True)
+            ring.append((of[1], whole.drop(columns=["__range", "__targets"])))
+            for target in whole["__targets"].iloc[0] if whole["__targets"].iloc[0] is not None else []:
+                members = [frame for at, frame in ring if at >= pd.Timestamp(target["first"])]
+                out = scorer(pd.concat(members, ignore_index=True))
+                yield pd.DataFrame({"snapshot_ts": pd.Timestamp(target["target_ts"]), "node": out["node"], "horizon_h": out["horizon_h"].astype("int32"), "delay": out["delay"].astype(float), "logit": out["logit"].astype(float)})
+
+        for frame in frames:
+            for key, part in frame.groupby(["__range", "snapshot_ts"], sort=False):
+                if key != of:
+                    yield from close()
+                    if of is None or key[0] != of[0]:
+                        ring.clear()
+                    of, parts = key, []
+                parts.append(part)
+        yield from close()
+
+    return rows.mapInPandas(run, SCORED)
 
 
 def mean_scorer(group: pd.DataFrame) -> pd.DataFrame:

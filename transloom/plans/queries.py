@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from transloom import streaming
 from transloom.functions import clean_code, cyclic, distance_band, floor_bucket, inf_to_zero, nan_to_zero, one_hot, parse_iso, season, sigmoid, two_digits, wmo_category, zero_if_missing
-from transloom.operators import cleaning, history, metrics, network, predictions, snapshots, star, tabular, weather
+from transloom.operators import cleaning, history, metrics, network, predictions, snapshots, star, tabular, trees, weather
 from transloom.plans import pipelines as P
 from transloom.plans.registry import register
 from transloom.sources import adapters, hours, scans, schema, sinks
@@ -854,6 +854,33 @@ register(
     lambda s, d: tabular.tabular_regressor(tabular.temporal_features(cleaning.encode_time(cleaning.clean_flights(P.flights(s, d)))), ["Distance", "TaxiOut", "hour_sin", "hour_cos"], train=F.col("FlightDate") < "2019-10-01").select(*FLIGHT_KEYS, "ArrDelay", F.round("prediction", 3).alias("prediction")),
 )
 
+
+
+def _boosted(s, d):
+    rows = tabular.temporal_features(cleaning.encode_time(cleaning.clean_flights(P.flights(s, d))))
+    names = ["Distance", "TaxiOut", "hour_sin", "hour_cos", "TaxiIn", "DepDelay"]
+    model = trees.fit_trees(rows.where(F.col("FlightDate") < "2019-10-01"), names, "ArrDelay")
+    return rows.select(*FLIGHT_KEYS, "ArrDelay", F.round(model.prediction(), 3).alias("prediction"))
+
+
+register("tabular_regressor_trees", _boosted)
+
+
+def _stump(s, d):
+    """One tree of one split without shrinkage: the best cut of a feature of seven values, which SQL can find by trying all."""
+    rows = cleaning.clean_flights(P.flights(s, d))
+    model = trees.fit_trees(rows, ["TaxiIn"], "ArrDelay", trees=1, depth=1, bins=64, rate=1.0, ridge=0.0, least=1)
+    return rows.select(*FLIGHT_KEYS, F.round(model.prediction(), 3).alias("prediction"))
+
+
+register("tabular_regressor_stump", _stump, """
+    SELECT * FROM (WITH cut AS (SELECT a.TaxiIn AS at, avg(b.ArrDelay) FILTER (b.TaxiIn <= a.TaxiIn) AS lo, avg(b.ArrDelay) FILTER (b.TaxiIn > a.TaxiIn) AS hi,
+        sum(b.ArrDelay) FILTER (b.TaxiIn <= a.TaxiIn) ** 2 / count(*) FILTER (b.TaxiIn <= a.TaxiIn)
+        + sum(b.ArrDelay) FILTER (b.TaxiIn > a.TaxiIn) ** 2 / count(*) FILTER (b.TaxiIn > a.TaxiIn) AS gain
+      FROM (SELECT DISTINCT TaxiIn FROM clean) a, clean b GROUP BY 1 HAVING count(*) FILTER (b.TaxiIn > a.TaxiIn) > 0),
+    best AS (SELECT * FROM cut ORDER BY gain DESC, at LIMIT 1)
+    SELECT l_orderkey, l_linenumber, round(CASE WHEN TaxiIn <= at THEN lo ELSE hi END, 3) + 0.0 AS prediction FROM clean, best)""")
+
 _LINE = "regr_slope(ArrDelay, Distance) OVER () * Distance + regr_intercept(ArrDelay, Distance) OVER ()"
 register(
     "tabular_regressor_line",
@@ -1261,12 +1288,12 @@ register("stream_route_hour", _stream_route, (
 ))
 
 
-def _stream_features(s, d):
+def _stream_recent(s, d):
     """All node series over the last 24 hours of the buffer, as the batch operators build them."""
     base, buffer = _ingest(s, d)
     stream = streaming.file_stream(s, f"{base}/in", s.read.parquet(f"{base}/in").schema)
     build = lambda rows: history.node_history(history.with_buckets(rows)).drop("sched_arr_mean_distance")
-    streaming.stream_features(stream, f"{base}/buffer", f"{base}/ck2", build, f"{base}/features").awaitTermination()
+    streaming.stream_recent_features(stream, f"{base}/buffer", f"{base}/ck2", build, f"{base}/features").awaitTermination()
     return s.read.parquet(f"{base}/features")
 
 
@@ -1279,7 +1306,28 @@ _LIVE = f"""
           FROM (SELECT Dest AS node, arr_ts AS bucket, avg(ArrDelay) AS v FROM {_RECENT} GROUP BY ALL HAVING count(ArrDelay) > 0)
           WINDOW w AS (PARTITION BY node ORDER BY bucket ROWS BETWEEN 5 PRECEDING AND CURRENT ROW)) USING (node, bucket)
     FULL JOIN (SELECT Origin AS node, ts AS bucket, count(*) AS sched_dep_count FROM {_RECENT} GROUP BY ALL) USING (node, bucket)"""
-register("stream_features", _stream_features, _LIVE)
+register("stream_recent_features", _stream_recent, _LIVE)
+
+
+def _stream_features(s, d):
+    """Each closed hour of each node once, with rolling values over its last six observed hours."""
+    base, stream = _stream_source(s, d)
+    busy = [r["code"] for r in network.top10_origins(P.flights(s, d)).collect()]  # ten codes
+    return _to_table(s, streaming.stream_features(stream, busy), f"{base}/out", f"{base}/ck")
+
+
+_ENDS = (
+    "SELECT Dest AS node, arr_ts AS at, true AS arrival, ArrDelay AS late, Origin IN (SELECT Origin FROM flights GROUP BY Origin "
+    "ORDER BY count(*) DESC, Origin LIMIT 10) AS top FROM timed UNION ALL SELECT Origin, ts, false, NULL, false FROM timed"
+)
+register("stream_features", _stream_features, f"""
+    SELECT * FROM (WITH e AS ({_ENDS}),
+    c AS (SELECT node, at AS bucket, avg(late) AS v, count(*) FILTER (arrival) AS a, count(*) FILTER (top) AS t, count(*) FILTER (NOT arrival) AS n
+      FROM e WHERE at + INTERVAL 1 HOUR <= (SELECT max(at) FROM e) - INTERVAL 2 HOUR GROUP BY ALL),
+    r AS (SELECT node, bucket, avg(v) OVER w AS rm, coalesce(stddev_samp(v) OVER w, 0) AS rs FROM c WHERE v IS NOT NULL
+      WINDOW w AS (PARTITION BY node ORDER BY bucket ROWS BETWEEN 5 PRECEDING AND CURRENT ROW))
+    SELECT node, c.bucket::VARCHAR AS bucket, round(v, 6) + 0.0 AS arr_delay_mean, round(rm, 6) + 0.0 AS rolling_mean, round(rs, 6) AS rolling_std,
+      nullif(a, 0) AS sched_arr_count, nullif(t, 0) AS sched_arr_from_top10, nullif(n, 0) AS sched_dep_count FROM c LEFT JOIN r USING (node, bucket))""")
 
 
 def _stream_predictions(s, d):
