@@ -874,12 +874,12 @@ def _stump(s, d):
 
 
 register("tabular_regressor_stump", _stump, """
-    SELECT * FROM (WITH cut AS (SELECT a.TaxiIn AS at, avg(b.ArrDelay) FILTER (b.TaxiIn <= a.TaxiIn) AS lo, avg(b.ArrDelay) FILTER (b.TaxiIn > a.TaxiIn) AS hi,
+    SELECT * FROM (WITH cut AS (SELECT a.TaxiIn AS edge, avg(b.ArrDelay) FILTER (b.TaxiIn <= a.TaxiIn) AS lo, avg(b.ArrDelay) FILTER (b.TaxiIn > a.TaxiIn) AS hi,
         sum(b.ArrDelay) FILTER (b.TaxiIn <= a.TaxiIn) ** 2 / count(*) FILTER (b.TaxiIn <= a.TaxiIn)
         + sum(b.ArrDelay) FILTER (b.TaxiIn > a.TaxiIn) ** 2 / count(*) FILTER (b.TaxiIn > a.TaxiIn) AS gain
       FROM (SELECT DISTINCT TaxiIn FROM clean) a, clean b GROUP BY 1 HAVING count(*) FILTER (b.TaxiIn > a.TaxiIn) > 0),
-    best AS (SELECT * FROM cut ORDER BY gain DESC, at LIMIT 1)
-    SELECT l_orderkey, l_linenumber, round(CASE WHEN TaxiIn <= at THEN lo ELSE hi END, 3) + 0.0 AS prediction FROM clean, best)""")
+    best AS (SELECT * FROM cut ORDER BY gain DESC, edge LIMIT 1)
+    SELECT l_orderkey, l_linenumber, round(CASE WHEN TaxiIn <= edge THEN lo ELSE hi END, 3) + 0.0 AS prediction FROM clean, best)""")
 
 _LINE = "regr_slope(ArrDelay, Distance) OVER () * Distance + regr_intercept(ArrDelay, Distance) OVER ()"
 register(
@@ -1317,13 +1317,13 @@ def _stream_features(s, d):
 
 
 _ENDS = (
-    "SELECT Dest AS node, arr_ts AS at, true AS arrival, ArrDelay AS late, Origin IN (SELECT Origin FROM flights GROUP BY Origin "
+    "SELECT Dest AS node, arr_ts AS moment, true AS arrival, ArrDelay AS late, Origin IN (SELECT Origin FROM flights GROUP BY Origin "
     "ORDER BY count(*) DESC, Origin LIMIT 10) AS top FROM timed UNION ALL SELECT Origin, ts, false, NULL, false FROM timed"
 )
 register("stream_features", _stream_features, f"""
     SELECT * FROM (WITH e AS ({_ENDS}),
-    c AS (SELECT node, at AS bucket, avg(late) AS v, count(*) FILTER (arrival) AS a, count(*) FILTER (top) AS t, count(*) FILTER (NOT arrival) AS n
-      FROM e WHERE at + INTERVAL 1 HOUR <= (SELECT max(at) FROM e) - INTERVAL 2 HOUR GROUP BY ALL),
+    c AS (SELECT node, moment AS bucket, avg(late) AS v, count(*) FILTER (arrival) AS a, count(*) FILTER (top) AS t, count(*) FILTER (NOT arrival) AS n
+      FROM e WHERE moment + INTERVAL 1 HOUR <= (SELECT max(moment) FROM e) - INTERVAL 2 HOUR GROUP BY ALL),
     r AS (SELECT node, bucket, avg(v) OVER w AS rm, coalesce(stddev_samp(v) OVER w, 0) AS rs FROM c WHERE v IS NOT NULL
       WINDOW w AS (PARTITION BY node ORDER BY bucket ROWS BETWEEN 5 PRECEDING AND CURRENT ROW))
     SELECT node, c.bucket::VARCHAR AS bucket, round(v, 6) + 0.0 AS arr_delay_mean, round(rm, 6) + 0.0 AS rolling_mean, round(rs, 6) AS rolling_std,
