@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from transloom.sources.shared import cut
+
 
 def airport_activity(flights: DataFrame) -> DataFrame:
     """(code, n): departures plus arrivals."""
@@ -67,17 +69,44 @@ def missing_dim_keys(nodes: DataFrame, dim: DataFrame, key: str = "airport_code"
     return nodes.join(dim, F.col("code") == F.col(key), "left_anti")
 
 
+def normalised_adjacency(edges: DataFrame) -> DataFrame:
+    """(src, dst, w): count_norm over the root of the end points' weighted degrees; parallel edges are summed first."""
+    w = edges.groupBy("src", "dst").agg(F.sum("count_norm").alias("w"))
+    out = w.groupBy(F.col("src").alias("s")).agg(F.sum("w").alias("d_s"))
+    into = w.groupBy(F.col("dst").alias("t")).agg(F.sum("w").alias("d_t"))
+    return w.join(out, F.col("src") == F.col("s")).join(into, F.col("dst") == F.col("t")).select("src", "dst", (F.col("w") / F.sqrt(F.col("d_s") * F.col("d_t"))).alias("w"))
+
+
+def matrix_product(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(src, dst, w) of the sparse matrices' product a b: joined where a's columns meet b's rows, and summed."""
+    right = b.select(F.col("src").alias("__mid"), F.col("dst").alias("__to"), F.col("w").alias("__w"))
+    terms = a.join(right, F.col("dst") == F.col("__mid"))
+    return terms.groupBy("src", F.col("__to").alias("dst")).agg(F.sum(F.col("w") * F.col("__w")).alias("w"))
+
+
+def matrix_power(matrix: DataFrame, n: int) -> DataFrame:
+    """The sparse matrix to the ``n``-th (1 at least) by repeated squaring; every product is cut to the shared folder, so
+    that plans do not double with each square. It has an entry for each pair of nodes with a path of n edges."""
+    power, square = None, cut(matrix) if n > 1 else matrix
+    while True:
+        if n & 1:
+            power = square if power is None else cut(matrix_product(power, square))
+        n >>= 1
+        if not n:
+            return power
+        square = cut(matrix_product(square, square))
+
+
 def neighbor_aggregate(features: DataFrame, edges: DataFrame, values: list[str], hops: int = 1) -> DataFrame:
     """Degree-normalised weighted sum of the neighbours' features, ``hops`` times.
 
-    features: (snapshot_ts, node, values); edges: (src, dst, count_norm). Parallel edges are summed first;
-    the weight of an edge is count_norm over the root of its end points' weighted degrees.
+    features: (snapshot_ts, node, values); edges: (src, dst, count_norm). The weight of an edge is that of
+    ``normalised_adjacency``. All snapshots have the same edges, so hops are powers of one matrix of nodes: the features, of
+    which there are many snapshots of each node, are joined once however many hops there are. Null values and nodes without a
+    row add nothing; a node whose paths all start at null values has a null.
     """
-    w = edges.groupBy("src", "dst").agg(F.sum("count_norm").alias("w"))
-    out = w.groupBy(F.col("src").alias("s")).agg(F.sum("w").alias("d_s"))
-    into = w.groupBy(F.col("dst").alias("t")).agg(F.sum("w").alias("d_t"))
-    w = w.join(out, F.col("src") == F.col("s")).join(into, F.col("dst") == F.col("t")).select("src", "dst", (F.col("w") / F.sqrt(F.col("d_s") * F.col("d_t"))).alias("w"))
-    for _ in range(hops):
-        joined = w.join(features, F.col("src") == F.col("node"))
-        features = joined.groupBy("snapshot_ts", F.col("dst").alias("node")).agg(*[F.sum(F.col("w") * F.col(v)).alias(v) for v in values])
-    return features
+    if hops < 1:
+        return features
+    w = matrix_power(normalised_adjacency(edges), hops)
+    joined = w.join(features, F.col("src") == F.col("node"))
+    return joined.groupBy("snapshot_ts", F.col("dst").alias("node")).agg(*[F.sum(F.col("w") * F.col(v)).alias(v) for v in values])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,8 +12,8 @@ from transloom.functions import clean_code, cyclic, distance_band, floor_bucket,
 from transloom.operators import cleaning, history, metrics, network, predictions, snapshots, star, tabular, trees, weather
 from transloom.plans import pipelines as P
 from transloom.plans.registry import register
-from transloom.sources import adapters, hours, scans, schema, sinks
-from transloom.sources.shared import new_folder
+from transloom.sources import adapters, hours, ledger, scans, schema, sinks
+from transloom.sources.shared import delete, file_system, new_folder
 
 H = P.HORIZONS
 
@@ -228,6 +230,62 @@ def _backfill(s, d):
 register("backfill_hours", _backfill, _HOURS.format(_KEPT + " AND ts < TIMESTAMP '2019-10-01 00:00:00'"))
 
 
+_BROKEN = datetime(2019, 9, 27, 6)
+
+
+def _backfilled(s, d, repaired):
+    """The report of a backfill from trips by hour, where every fifth hour of a day is empty and the file of one hour is not Parquet;
+    or the report of the backfill after it, when that file is sound, which tries failed and empty hours again."""
+    base, rows = _folder(s), cleaning.derive_timestamps(P.flights(s, d)).select(*FLIGHT_KEYS, "Origin", "Dest", "timestamp", "arr_timestamp", "ArrDelay")
+    source, _ = _landed(s, d, F.hour("timestamp") % 5 != 0)
+    folder = hours.HourIndex(s, source).folder(_BROKEN)
+    delete(s, folder)
+    fs, file = file_system(s, f"{folder}/part-0.parquet")
+    out = fs.create(file)
+    out.writeBytes("this is no Parquet file")
+    out.close()
+    land = lambda df, run: ledger.commit_hours(df, f"{base}/landing", f"{base}/buffer", f"{base}/ledger", run)
+    run = lambda: ledger.backfill(s, ledger.hour_source(s, source, rows.schema), rows.schema, _now(), f"{base}/outcomes", land)
+    report = run()
+    if repaired:
+        sinks.write_hour_partition(rows.where(F.col("timestamp") == F.lit(str(_BROKEN)).cast("timestamp_ntz")), source)
+        report = run()
+        found = ledger.read_committed(s, f"{base}/buffer", f"{base}/ledger").groupBy(F.col("part_ts").alias("hour")).agg(F.count("*").alias("in_buffer"))
+        return report.join(found, "hour", "left").select("hour", "n", "status", "runs", F.coalesce("in_buffer", F.lit(0)).alias("in_buffer"))
+    return report.select("hour", "n", "status", "runs", F.col("error").isNotNull().alias("has_error"))
+
+
+_WANTED = (
+    "SELECT w.hour::VARCHAR AS hour, CASE WHEN {failed} THEN 0 ELSE coalesce(n, 0) END AS n, CASE WHEN {failed} THEN 'failed' WHEN n > 0 THEN 'ok' "
+    "ELSE 'empty' END AS status, {more} FROM (SELECT TIMESTAMP '2019-09-24 00:00:00' + to_hours(x::INT) AS hour FROM range(168) t(x)) w "
+    "LEFT JOIN (SELECT ts AS hour, count(*) AS n FROM timed WHERE hour(ts) % 5 <> 0 GROUP BY ALL) k USING (hour)"
+)
+_FAILED = "w.hour = TIMESTAMP '2019-09-27 06:00:00'"
+register("backfill_report", lambda s, d: _backfilled(s, d, False), _WANTED.format(failed=_FAILED, more=f"1 AS runs, {_FAILED} AS has_error"))
+register("backfill_retry", lambda s, d: _backfilled(s, d, True), _WANTED.format(failed="false", more=f"CASE WHEN n > 0 AND NOT {_FAILED} THEN 1 ELSE 2 END AS runs, coalesce(n, 0) AS in_buffer"))
+
+
+def _committed(s, d):
+    """Two batches of two trees: all trips, then those of some hours again with other rows; a third one fails after the landing
+    tree and is not seen. The landing tree is read; ``same`` tells whether the buffer agrees."""
+    base, rows = _folder(s), cleaning.derive_timestamps(P.flights(s, d)).select(*FLIGHT_KEYS, "Origin", "Dest", "timestamp")
+    trees = (f"{base}/landing", f"{base}/buffer", f"{base}/ledger")
+    ledger.commit_hours(rows, *trees, 0)
+    ledger.commit_hours(rows.where("hour(timestamp) % 4 = 1 AND l_linenumber <= 2"), *trees, 1)
+    sinks.with_hour_partition(rows.where("l_linenumber = 1")).withColumn("batch", F.lit(2)).write.partitionBy(*ledger.PARTS, "batch").mode("append").parquet(trees[0])
+    sides = [ledger.read_committed(s, tree, trees[2]).groupBy("part_ts", "batch").agg(F.count("*").alias("n"), F.sum("l_orderkey").alias("orders")) for tree in trees[:2]]
+    other = sides[1].select("part_ts", "batch", F.col("n").alias("n2"), F.col("orders").alias("orders2"))
+    return sides[0].join(other, ["part_ts", "batch"], "full").select("part_ts", "batch", "n", "orders", F.equal_null(F.struct("n", "orders"), F.struct(F.col("n2").alias("n"), F.col("orders2").alias("orders"))).alias("same"))
+
+
+register("commit_hours", _committed, (
+    "SELECT ts::VARCHAR AS part_ts, CASE WHEN hour(ts) % 4 = 1 AND bool_or(l_linenumber <= 2) THEN 1 ELSE 0 END AS batch, "
+    "CASE WHEN hour(ts) % 4 = 1 AND bool_or(l_linenumber <= 2) THEN count(*) FILTER (l_linenumber <= 2) ELSE count(*) END AS n, "
+    "CASE WHEN hour(ts) % 4 = 1 AND bool_or(l_linenumber <= 2) THEN sum(l_orderkey) FILTER (l_linenumber <= 2) ELSE sum(l_orderkey) END::BIGINT AS orders, "
+    "true AS same FROM timed GROUP BY ts"
+))
+
+
 def _write_table(s, d):
     path = f"{_folder(s)}/agg_airline"
     sinks.write_table(star.agg_airline(P.report_frame(s, d)), path)
@@ -423,10 +481,10 @@ register(
 )
 
 
-def _neighbors(s, d):
+def _neighbors(s, d, hops=1):
     f, nodes, snaps = P.snapshot_base(s, d)
     rows = snapshots.node_features_basic(f).join(snaps, "snapshot_ts", "left_semi").select("snapshot_ts", "node", "dep_mean")
-    return network.neighbor_aggregate(rows, network.edge_static(f), ["dep_mean"])
+    return network.neighbor_aggregate(rows, network.edge_static(f), ["dep_mean"], hops)
 
 
 register("neighbor_aggregate", _neighbors, (
@@ -439,6 +497,17 @@ register("neighbor_aggregate", _neighbors, (
     "node)) q ON q.node = e.src WHERE snapshot_ts IN (SELECT snapshot_ts FROM snaps) GROUP BY ALL"
 ))
 
+
+def _hops(n):
+    """The loop over hops, as nested queries."""
+    out = "SELECT * FROM dm"
+    for _ in range(n):
+        out = f"SELECT snapshot_ts, dst AS node, sum(w * m) AS m FROM aw JOIN ({out}) q ON q.node = aw.src GROUP BY ALL"
+    return f"SELECT snapshot_ts::VARCHAR AS snapshot_ts, node, round(m, 6) + 0.0 AS dep_mean FROM ({out})"
+
+
+register("neighbor_aggregate_4hops", lambda s, d: _neighbors(s, d, 4), _hops(4))
+
 # ---- history -------------------------------------------------------------------------------------------
 register(
     "history_arr_delay",

@@ -106,6 +106,16 @@ CTES = {
         "d / md AS distance_norm FROM routes, mx UNION ALL SELECT Origin || '<' || Dest, Dest, Origin, c / mc, a / ma, d / md "
         "FROM routes, mx"
     ),
+    "aw": (
+        "SELECT src, dst, w / sqrt(ds * dt) AS w FROM (SELECT src, dst, sum(count_norm) AS w FROM edges GROUP BY ALL) e "
+        "JOIN (SELECT src AS s, sum(count_norm) AS ds FROM edges GROUP BY ALL) a ON a.s = e.src "
+        "JOIN (SELECT dst AS t, sum(count_norm) AS dt FROM edges GROUP BY ALL) b ON b.t = e.dst"
+    ),
+    "dm": (
+        "SELECT snapshot_ts, node, coalesce(x.m, 0) AS m FROM (SELECT ts + INTERVAL 1 HOUR AS snapshot_ts, Origin AS node, "
+        "avg(DepDelay) AS m FROM f GROUP BY ALL) x FULL JOIN (SELECT DISTINCT ts + INTERVAL 1 HOUR AS snapshot_ts, Dest AS node "
+        "FROM f) y USING (snapshot_ts, node) WHERE snapshot_ts IN (SELECT snapshot_ts FROM snaps)"
+    ),
     "done": "SELECT *, ts + INTERVAL 1 HOUR AS snapshot_ts FROM f WHERE arr_ts < ts + INTERVAL 1 HOUR",
     "blk_a1": (
         "SELECT snapshot_ts, Dest AS node, avg(ArrDelay) AS m, stddev_pop(ArrDelay) AS s, quantile_cont(ArrDelay, "
