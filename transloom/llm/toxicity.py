@@ -308,8 +308,9 @@ def _confirmed(docs: DataFrame, labels: DataFrame, lexicon: dict[str, float]) ->
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows_per_label: int = ROWS_PER_LABEL) -> tuple[dict[str, float], list[float] | None]:
-    """(insult lexicon, logistic coefficients) from a bounded labelled sample (see ``samples``)."""
+    """(insult lexicon, logistic coefficients) from a bounded labelled sample (see ``samples``); other labels than 0 and 1 are left out."""
     small_batches(docs.sparkSession)
+    labels = labels.where(F.col("toxic").isin(0, 1))
     sample = labelled_sample(docs, labels, "toxic", rows_per_label)
     sample = cut(sample)  # a bounded table
     size = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
