@@ -3,6 +3,7 @@
 import hashlib
 import os
 import re
+import tracemalloc
 import unicodedata
 import zlib
 
@@ -89,6 +90,32 @@ def slow_mixture(text, langs, table):
     return [langs[j] for j in order[:k]], share.tolist()
 
 
+@pytest.mark.parametrize("text", ["a" * 700 + "bcd" * 500, "ΑΣ" * 900 + "Σ", "x1 " * 400 + "İstanbul" * 200, "no letters 12 " * 100 + "é"])
+def test_pieces_count_as_the_whole(text, monkeypatch):
+    whole = [a.tolist() for a in langid.counted(["ab c", text, text[::-1]])]
+    assert whole[2] and sum(whole[2]) == sum(c.isalpha() for t in ("ab c", text, text[::-1]) for c in t.lower())
+    for size in (1, 7, 500, 1499):
+        monkeypatch.setattr(langid, "CHUNK_CHARS", size)
+        assert [a.tolist() for a in langid.counted(["ab c", text, text[::-1]])] == whole
+
+
+def test_many_languages():
+    """1,500 languages of 40 cells each: found again, with the memory of some cells x languages."""
+    rng = np.random.default_rng(5)
+    words = ["".join(chr(0x4E00 + c) for c in rng.integers(0, 20000, 12)) for _ in range(1500)]
+    names = [f"l{i:04d}" for i in range(1500)]
+    table = langid.Cells([langid.counted([w * 4])[1:] for w in words])
+    dense = table[np.arange(langid.CELLS)[::64]]
+    assert dense.shape[1] == 1500 and dense.min() > 0
+    tracemalloc.start()
+    texts = [w * 3 for w in words[::15]] + [words[3] * 40 + " " + words[8] * 30, "7"]
+    pred, score, chosen, _, _ = langid.infer(texts, names, table)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert pred[:100] == names[::15] and min(score[:100]) > 0.9 and chosen[100] == ["l0003", "l0008"] and pred[101] == "und"
+    assert peak < 500e6, peak
+
+
 @real
 def test_mixtures_by_plain_loops(spark, folder):
     docs = table(spark, folder, "documents").where("length(text) between 300 and 3000")
@@ -520,6 +547,8 @@ def test_classifiers_odd(spark, odd, empty, labels):
         t = docs.select(toxicity.toxicity(F.col("text"), toxicity.fit(docs, lab)).alias("s")).collect()
         assert all(0 <= r["s"] <= 1 for r in [*q, *t]) and len(q) == len(t) == docs.count()
     assert langid.fit(empty, F.lit(True))[0] == []
+    third = labels.withColumn("toxic", F.when(F.col("doc_id") % 2 == 0, 7).otherwise(F.col("toxic")))
+    assert toxicity.fit(odd, third) == toxicity.fit(odd, labels.where("doc_id % 2 <> 0"))
 
 
 def test_components(spark):

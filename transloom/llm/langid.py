@@ -10,7 +10,12 @@ no limit on languages, and most texts are done after one or two.
 
 Defined cases: a null text, or one without a letter, gives ``und`` and 0.0; so does every text when no
 row could be learned from, and every text of an empty table gives no row. Equal shares go to the language that sorts
-first; repeated rows get equal results. Texts are read whole, a long one in chunks of CHUNK_CHARS.
+first; repeated rows get equal results. Texts are read whole; a long one is counted in pieces of CHUNK_CHARS that see the letters
+beside their edges, so that a cut anywhere, in a run of letters too, gives the counts of the whole. Other columns of the
+table, whatever their names, are not read.
+
+The model is sparse: a language has entries for the cells that it was seen in and one value for all others. A task works on
+so many texts at once that their cells x languages stay bounded; one text alone has CELLS x languages at most.
 """
 
 from __future__ import annotations
@@ -34,8 +39,8 @@ CHUNK_CHARS = 1 << 20
 SMOOTHING = 0.05
 #: Shares have settled when a round of EM_ROUND steps moves none of a text's by SETTLED; EM_ROUNDS at most.
 EM_ROUND, EM_ROUNDS, SETTLED = 4, 16, 1e-3
-#: Languages that a model may hold (cells x languages are held by every worker); more are an error.
-MOST_LANGUAGES = 1024
+#: Languages for which CHUNK_CHARS are worked on at once; with more of them, fewer characters are.
+CHUNK_LANGUAGES = 16
 #: A further language must lift the log-likelihood by this many times half the log of the trigram count.
 PENALTY = 8.0
 
@@ -45,33 +50,43 @@ def _letters() -> np.ndarray:
     return np.fromiter((chr(c).isalpha() if not 0xD800 <= c < 0xE000 else False for c in range(0x110000)), dtype=bool, count=0x110000)
 
 
-def gram_cells(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(text number, cell) of every trigram whose middle is a letter; runs of other characters count as one space."""
-    low = [t.lower() for t in texts]
-    codes = np.frombuffer((" ".join(low) + " ").encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    owner = np.repeat(np.arange(len(low), dtype=np.int32), [len(t) + 1 for t in low])
+def _codes(low: list[str]) -> np.ndarray:
+    return np.frombuffer((" ".join(low) + " ").encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+
+
+def _gram_cells(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(whether it is a letter, cell of the trigram around it) of every character; what is no letter counts as a space."""
     letter = _letters()[codes]
-    keep = letter.copy()
-    keep[1:] |= letter[:-1]
-    codes = np.where(letter, codes, 32)[keep].astype(np.uint32)
-    owner, letter = owner[keep], letter[keep]
-    padded = np.concatenate([np.array([32], np.uint32), codes, np.array([32], np.uint32)])
+    codes = np.where(letter, codes, np.uint32(32))
+    space = np.array([32], np.uint32)
     with np.errstate(over="ignore"):
-        mixed = padded[:-2] * np.uint32(0x9E3779B1) ^ padded[1:-1] * np.uint32(0x85EBCA77) ^ padded[2:] * np.uint32(0xC2B2AE3D)
+        mixed = np.r_[space, codes[:-1]] * np.uint32(0x9E3779B1) ^ codes * np.uint32(0x85EBCA77) ^ np.r_[codes[1:], space] * np.uint32(0xC2B2AE3D)
         mixed ^= mixed >> np.uint32(15)
         mixed *= np.uint32(0x2C1B3C6D)
-    return owner[letter], (mixed >> np.uint32(32 - GRAM_BITS))[letter]
+    return letter, mixed >> np.uint32(32 - GRAM_BITS)
+
+
+def gram_cells(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(text number, cell) of every trigram whose middle is a letter; runs of other characters count as one space."""
+    low = [t.lower() for t in texts]
+    letter, cell = _gram_cells(_codes(low))
+    owner = np.repeat(np.arange(len(low), dtype=np.int32), [len(t) + 1 for t in low])
+    return owner[letter], cell[letter]
 
 
 def counted(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text number, cell, count) of the distinct trigrams, in order. A text longer than CHUNK_CHARS is counted in
-    pieces that overlap by the letters around their edges."""
+    pieces that overlap by a character on either side."""
     keys, counts = [], []
     for i, t in enumerate(texts):
         if len(t) > CHUNK_CHARS:
-            table = np.zeros(CELLS, np.int64)
-            for piece in pieces(t):
-                table += np.bincount(gram_cells([piece])[1], minlength=CELLS)
+            # lower-cased as a whole, since the case of some letters depends on their neighbours
+            low, table = t.lower(), np.zeros(CELLS, np.int64)
+            for at in range(0, len(low), CHUNK_CHARS):
+                before, end = min(at, 1), min(len(low), at + CHUNK_CHARS)
+                letter, cell = _gram_cells(_codes([low[at - before : end + 1]]))
+                mine = slice(before, before + end - at)
+                table += np.bincount(cell[mine][letter[mine]], minlength=CELLS)
             cells = np.nonzero(table)[0]
             keys.append((np.int64(i) << GRAM_BITS) | cells)
             counts.append(table[cells])
@@ -85,24 +100,11 @@ def counted(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return key >> GRAM_BITS, key & (CELLS - 1), n
 
 
-def pieces(t: str) -> Iterator[str]:
-    """A long text cut behind characters that are no letters (or anywhere, in a run of CHUNK_CHARS letters), where
-    no trigram reaches across: a cut run's edges count as word edges."""
-    at = 0
-    while at < len(t):
-        end = min(len(t), at + CHUNK_CHARS)
-        if end < len(t):
-            edge = next((k for k in range(end, max(at, end - 4096), -1) if not t[k - 1].isalpha()), end)
-            end = edge
-        yield t[at:end]
-        at = end
-
-
-def chunks(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
-    """(first number, texts) runs of about CHUNK_CHARS characters; a longer text is a run of its own."""
-    start, size = 0, 0
+def chunks(texts: list[str], languages: int = 1) -> Iterator[tuple[int, list[str]]]:
+    """(first number, texts) runs of about CHUNK_CHARS characters, fewer with many languages; a longer text is a run of its own."""
+    start, size, most = 0, 0, CHUNK_CHARS * CHUNK_LANGUAGES // max(CHUNK_LANGUAGES, languages)
     for i, t in enumerate(texts):
-        if size and size + len(t) >= CHUNK_CHARS:
+        if size and size + len(t) >= most:
             yield start, texts[start:i]
             start, size = i, 0
         size += len(t) + 1
@@ -110,8 +112,30 @@ def chunks(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
         yield start, texts[start:]
 
 
-def fit(docs: DataFrame, where: Column, lang_col: str = "lang", text_col: str = "text") -> tuple[list[str], np.ndarray]:
-    """(languages, probability of each cell by language). At most cells x languages rows reach the driver."""
+class Cells:
+    """Probability of each cell by language, from a language's counts: ``cells[numbers]`` has a row for each number."""
+
+    def __init__(self, counts: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        """counts: (cells, how often each) of each language."""
+        total = np.array([n.sum() + SMOOTHING * CELLS for _, n in counts], float)
+        self.unseen = (SMOOTHING / total).astype(np.float32)
+        cell = np.concatenate([np.empty(0, np.int64), *[c for c, _ in counts]])
+        order = np.argsort(cell, kind="stable")
+        self.first = np.searchsorted(cell[order], np.arange(CELLS + 1))
+        self.lang = np.repeat(np.arange(len(counts), dtype=np.int32), [len(c) for c, _ in counts])[order]
+        self.p = np.concatenate([np.empty(0, np.float32), *[((n + SMOOTHING) / t).astype(np.float32) for (_, n), t in zip(counts, total, strict=True)]])[order]
+
+    def __getitem__(self, cells: np.ndarray) -> np.ndarray:
+        size = self.first[cells + 1] - self.first[cells]
+        row = np.repeat(np.arange(len(cells)), size)
+        entry = np.arange(len(row)) + np.repeat(self.first[cells] - np.cumsum(size) + size, size)
+        out = np.tile(self.unseen, (len(cells), 1))
+        out[row, self.lang[entry]] = self.p[entry]
+        return out
+
+
+def fit(docs: DataFrame, where: Column, lang_col: str = "lang", text_col: str = "text") -> tuple[list[str], Cells]:
+    """(languages, probability of each cell by language). A row for each language reaches the driver, with CELLS entries at most."""
     small_batches(docs.sparkSession)
     rows = docs.where(where & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     rows = rows.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
@@ -138,14 +162,10 @@ def fit(docs: DataFrame, where: Column, lang_col: str = "lang", text_col: str =
                 yield from flush()
         yield from flush()
 
-    counts = rows.mapInArrow(count, "lang string, cell int, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n")).toPandas()
-    langs = sorted(counts["lang"].unique())
-    if len(langs) > MOST_LANGUAGES:
-        raise ValueError(f"{len(langs)} languages to learn; a model holds {MOST_LANGUAGES} at most")
-    table = np.zeros((CELLS, len(langs)))
-    table[counts["cell"].to_numpy(dtype=np.int64), np.searchsorted(langs, counts["lang"].to_numpy(dtype=object)) if langs else []] = counts["n"]
-    table += SMOOTHING
-    return langs, (table / table.sum(axis=0)).astype(np.float32) if langs else table
+    counts = rows.mapInArrow(count, "lang string, cell int, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n"))
+    by_lang = counts.groupBy("lang").agg(F.collect_list(F.struct("cell", "n")).alias("counts")).toArrow().sort_by("lang")
+    found = [row.values for row in by_lang.column("counts")]
+    return by_lang.column("lang").to_pylist(), Cells([(c.field("cell").to_numpy().astype(np.int64), c.field("n").to_numpy()) for c in found])
 
 
 def _em(p: np.ndarray, n: np.ndarray, starts: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -158,7 +178,8 @@ def _em(p: np.ndarray, n: np.ndarray, starts: np.ndarray, share: np.ndarray) ->
         total = np.add.reduceat(nn, ss)[:, None]
         old = now
         for _ in range(EM_ROUND):
-            part = pp * now[owner]
+            part = now[owner]
+            part *= pp
             part *= (nn / np.maximum(part.sum(axis=1), 1e-30))[:, None]
             now = np.add.reduceat(part, ss, axis=0) / total
         moves = np.abs(now - old).max(axis=1) > SETTLED
@@ -173,11 +194,11 @@ def _em(p: np.ndarray, n: np.ndarray, starts: np.ndarray, share: np.ndarray) ->
     return share, np.add.reduceat(n * np.log(np.maximum(mixed, 1e-30)), starts)
 
 
-def infer(texts: list[str], langs: list[str], table: np.ndarray) -> tuple[list[str], list[float], list[list[str]], list[list[float]], list[float]]:
+def infer(texts: list[str], langs: list[str], table: Cells) -> tuple[list[str], list[float], list[list[str]], list[list[float]], list[float]]:
     """Prediction, score, chosen languages, their shares, and the gain over chance (nats a trigram) of each text."""
     pred, score, gain = ["und"] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
     chosen, shares = [[] for _ in texts], [[] for _ in texts]
-    for first, some in chunks(texts) if langs else ():
+    for first, some in chunks(texts, len(langs)) if langs else ():
         owner, cell, count = counted(some)
         if not len(owner):
             continue
@@ -215,7 +236,7 @@ def infer(texts: list[str], langs: list[str], table: np.ndarray) -> tuple[list[s
     return pred, score, chosen, shares, gain
 
 
-def identify(text: Column, model: tuple[list[str], np.ndarray]) -> Column:
+def identify(text: Column, model: tuple[list[str], Cells]) -> Column:
     """struct(lang_pred, score, languages, shares, gain) of a text column."""
     langs, table = model
 
