@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from transloom.functions import add_hours, cyclic, floor_bucket, zero_if_missing
 from transloom.operators import history, network
+from transloom.operators.selection import exact_quantiles, with_same_keys
 from transloom.operators.weather import weather_block
 from transloom.sources.schema import CAUSES
 from transloom.sources.shared import cut
@@ -91,7 +92,7 @@ def _a_arrivals(threshold: float) -> list[Column]:
     a = F.col("ArrDelay")
     over = lambda limit: F.avg(F.when(a.isNotNull(), (a > limit).cast("double")))
     return [
-        F.avg(a).alias("a_arr_mean"), F.stddev_pop(a).alias("a_arr_std"), F.percentile(a, F.array(F.lit(0.75), F.lit(0.9))).alias("__tail"),
+        F.avg(a).alias("a_arr_mean"), F.stddev_pop(a).alias("a_arr_std"),
         over(threshold).alias("a_share_late"), over(60).alias("a_share_60"), F.avg("TaxiIn").alias("__in"),
     ]
 
@@ -124,9 +125,16 @@ def _by(rows: DataFrame, end: str, columns: list[Column]) -> DataFrame:
     return rows.groupBy("snapshot_ts", F.col(end).alias("node")).agg(*columns)
 
 
+def _arrivals(done: DataFrame, columns: list[Column]) -> DataFrame:
+    """``columns`` by destination, with both tail percentiles of the delay; these are selected by rank, not buffered."""
+    keys = ["snapshot_ts", "node"]
+    tail = exact_quantiles(done.withColumn("node", F.col("Dest")), keys, "ArrDelay", [0.75, 0.9], "__tail")
+    return with_same_keys(_by(done, "Dest", columns), tail, keys, "left")
+
+
 def node_block_a(f: DataFrame, threshold: float = 15.0, window: int = 1) -> DataFrame:
     done = _keyed(f, window).where(_done())
-    out = _by(done, "Dest", _a_arrivals(threshold)).join(_by(done, "Origin", _a_departures()), ["snapshot_ts", "node"], "full_outer")
+    out = _arrivals(done, _a_arrivals(threshold)).join(_by(done, "Origin", _a_departures()), ["snapshot_ts", "node"], "full_outer")
     return _a_finished(out).na.fill(0.0)
 
 
@@ -143,7 +151,7 @@ def node_block_c(f: DataFrame, window: int = 1) -> DataFrame:
 def node_blocks_abc(f: DataFrame, threshold: float = 15.0, window: int = 1) -> DataFrame:
     """Blocks A, B and C together: one aggregate by destination and one by origin."""
     k = _keyed(f, window)
-    arrivals = _by(k.where(_done()), "Dest", [*_a_arrivals(threshold), *_b_arrivals(), *_c_arrivals(f.columns)])
+    arrivals = _arrivals(k.where(_done()), [*_a_arrivals(threshold), *_b_arrivals(), *_c_arrivals(f.columns)])
     departures = _by(k, "Origin", [*_a_departures(), *_b_departures()])
     out = _a_finished(arrivals.join(departures, ["snapshot_ts", "node"], "full_outer")).na.fill(0.0)
     return snapshot_max_norm(out, ["b_arrivals", "b_departures"])

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from transloom.functions import distance_band, part_of_day, season
+from transloom.operators.selection import exact_quantiles, with_same_keys
 
 DAYS = ("Mon", "Tue", "Wed", "Thu", "Fri", "Sat", "Sun")
 SEATS = 130
@@ -24,9 +25,13 @@ def fact_departures(f: DataFrame) -> DataFrame:
 
 
 def fact_arrivals(f: DataFrame) -> DataFrame:
-    return f.groupBy(F.col("Dest").alias("airport_code"), F.col("arr_ts_hour").alias("ts_hour")).agg(
-        F.count("*").alias("sched_arr"), F.count_if(~F.col("Cancelled")).alias("arr_operated"), F.count_if("Cancelled").alias("arr_cancelled"), F.avg("ArrDelay").alias("arr_delay_mean"), F.median("ArrDelay").alias("arr_delay_median"), F.coalesce(F.sum("ArrDel15"), F.lit(0)).cast("long").alias("arr_del15")
+    keyed = f.withColumns({"airport_code": F.col("Dest"), "ts_hour": F.col("arr_ts_hour")})
+    keys = ["airport_code", "ts_hour"]
+    counts = keyed.groupBy(*keys).agg(
+        F.count("*").alias("sched_arr"), F.count_if(~F.col("Cancelled")).alias("arr_operated"), F.count_if("Cancelled").alias("arr_cancelled"), F.avg("ArrDelay").alias("arr_delay_mean"), F.coalesce(F.sum("ArrDel15"), F.lit(0)).cast("long").alias("arr_del15")
     )
+    median = exact_quantiles(keyed, keys, "ArrDelay", [0.5]).select(*keys, F.get("quantiles", F.lit(0)).alias("arr_delay_median"))
+    return with_same_keys(counts, median, keys, "left")
 
 
 def join_arr_dep(arr: DataFrame, dep: DataFrame) -> DataFrame:

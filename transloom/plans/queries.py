@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from transloom import streaming
 from transloom.functions import clean_code, cyclic, distance_band, floor_bucket, inf_to_zero, nan_to_zero, one_hot, parse_iso, season, sigmoid, two_digits, wmo_category, zero_if_missing
-from transloom.operators import cleaning, history, metrics, network, predictions, snapshots, star, tabular, trees, weather
+from transloom.operators import cleaning, history, metrics, network, predictions, selection, snapshots, star, tabular, trees, weather
 from transloom.plans import pipelines as P
 from transloom.plans.registry import register
-from transloom.sources import adapters, hours, ledger, scans, schema, sinks
+from transloom.sources import adapters, clustered, hours, ledger, scans, schema, sinks
 from transloom.sources.shared import delete, file_system, new_folder
 
 H = P.HORIZONS
@@ -1149,12 +1149,22 @@ register("latest_per_key", lambda s, d: predictions.latest_per_key(P.predicted(s
     f"SELECT {_PRED} FROM preds p WHERE p.prediction_ts = (SELECT max(q.prediction_ts) FROM preds q "
     f"WHERE q.airport_code = p.airport_code AND q.horizon_h = p.horizon_h)"
 ))
-register("lookup_prediction", lambda s, d: scans.lookup_prediction(P.predicted(s, d), " a03", 4).select(*predictions.PREDICTION_COLUMNS), (
+_LOOKUP = (
     "SELECT airport_code, horizon_h, round(predicted_arr_delay_min, 1) AS predicted_arr_delay_min, "
     "round(pct_arr_delayed_15, 3) AS pct_arr_delayed_15, target_ts::VARCHAR AS target_ts, "
     "prediction_ts::VARCHAR AS prediction_ts FROM preds WHERE airport_code = 'A03' AND horizon_h = 4 "
     "ORDER BY preds.prediction_ts DESC LIMIT 1"
-))
+)
+register("lookup_prediction", lambda s, d: scans.lookup_prediction(P.predicted(s, d), " a03", 4).select(*predictions.PREDICTION_COLUMNS), _LOOKUP)
+
+
+def _lookup_clustered(s: SparkSession, d: str) -> DataFrame:
+    path = new_folder(s, "clustered")
+    clustered.write_clustered(P.predicted(s, d).select(*predictions.PREDICTION_COLUMNS), path, file_rows=100_000)
+    return clustered.lookup_clustered(s, path, " a03", 4).select(*predictions.PREDICTION_COLUMNS)
+
+
+register("lookup_prediction_clustered", _lookup_clustered, _LOOKUP)
 register("prediction_summary", lambda s, d: predictions.prediction_summary(P.predicted(s, d)), (
     "SELECT horizon_h, round(avg(predicted_arr_delay_min), 6) AS mean_delay, round(min(predicted_arr_delay_min), "
     "6) AS min_delay, round(max(predicted_arr_delay_min), 6) AS max_delay, count(DISTINCT airport_code) AS airports "
@@ -1434,3 +1444,15 @@ def _stream_retention(s, d):
 
 
 register("stream_retention", _stream_retention, _HOURS.format(_KEPT).replace("FROM timed", f"FROM {_ONCE}"))
+
+
+def _price_quantiles(s: SparkSession, d: str) -> DataFrame:
+    """Few groups with many different values: their ranks are selected by histograms."""
+    q = selection.exact_quantiles(s.read.parquet(f"{d}/lineitem.parquet"), ["l_returnflag"], "l_extendedprice", [0.05, 0.5, 0.95], buffered=0)
+    return q.select("l_returnflag", *[F.get("quantiles", F.lit(i)).alias(n) for i, n in enumerate(("p05", "p50", "p95"))])
+
+
+register("exact_quantiles", _price_quantiles, (
+    "SELECT l_returnflag, round(quantile_cont(l_extendedprice::DOUBLE, 0.05), 6) AS p05, round(quantile_cont(l_extendedprice::DOUBLE, 0.5), "
+    "6) AS p50, round(quantile_cont(l_extendedprice::DOUBLE, 0.95), 6) AS p95 FROM lineitem GROUP BY ALL"
+))
