@@ -162,7 +162,7 @@ def test_templates_do_not_meet_pair_by_pair(spark, monkeypatch):
         rows = [(i, t, i, shingles(t)) for i, t in rows]
         nodes = spark.createDataFrame([(i, len(s), s.view(np.int64).tolist(), near_copies.buckets(s), near_copies.majority(s) - (1 << 64) if near_copies.majority(s) >> 63 else near_copies.majority(s)) for i, _, _, s in rows], "node long, size int, set array<long>, keys array<long>, fp long")
         asked.clear()
-        found = groups.links(nodes.select("node", "size", F.explode("keys").alias("key")).select("key", "node", "size"), nodes.select("node", "set"))
+        found = groups.links(nodes.select("node", "size", F.explode("keys").alias("key")).select("key", "node", "size"), nodes.select("node", "set"), most_blocks=0)
         assert components(found).count() == 0
         assert sum(asked) < 40 * n
     assert shingles(None).size == 0
@@ -178,3 +178,36 @@ def test_the_sql_agrees(spark, tmp_path):
     query = con.sql(partenum.SQL)
     assert query.columns == df.columns
     assert sorted(map(tuple, df.collect()), key=str) == sorted(query.fetchall(), key=str)
+
+
+def test_tiles_connect_what_pairs_do(spark):
+    """Near copies about the limit, in one group: the same components by one tile, by many tiles and by prefixes."""
+    rng = random.Random(12)
+    base = [f"w{i}" for i in range(100)]
+    sets = []
+    for i in range(150):
+        words = list(base)
+        for j in rng.sample(range(100), rng.randint(0, 3)):
+            words[j] = f"n{i}_{j}" if rng.random() < 0.7 else f"m{j}"
+        sets.append(shingles(" ".join(words)))
+    similar = [(a, b) for a in range(150) for b in range(a) if 5 * (c := np.intersect1d(sets[a], sets[b]).size) >= 4 * (len(sets[a]) + len(sets[b]) - c)]
+    assert 0 < len(similar) < 150 * 149 // 4
+
+    def closed(pairs):
+        of = list(range(150))
+        for _ in range(150):
+            for a, b in pairs:
+                of[a] = of[b] = min(of[a], of[b])
+        return of
+
+    alone = np.arange(150)
+    assert closed(groups.forest(alone, sets)) == closed(similar) and len(groups.forest(alone, sets)) < 150
+    assert groups.forest(np.zeros(3, np.int64), sets[:3]) == [] and groups.forest(alone[:2], [sets[0], sets[0] + 1]) == []
+    rows = spark.createDataFrame([(1, i, len(x), x.view(np.int64).tolist()) for i, x in enumerate(sets)], "key long, node long, size int, set array<long>")
+    for block, most in ((512, 64), (20, 64), (20, 0)):
+        old, groups.BLOCK = groups.BLOCK, block
+        try:
+            found = groups.links(rows.select("key", "node", "size"), rows.select("node", "set"), most_blocks=most)
+            assert closed([(r["u"], r["v"]) for r in found.collect()]) == closed(similar)
+        finally:
+            groups.BLOCK = old

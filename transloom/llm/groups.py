@@ -3,8 +3,10 @@
 ``members`` (key, node) are groups of nodes that may be similar; two nodes are linked if the Jaccard similarity of their
 sets is NUMERATOR / DENOMINATOR or more. What is wanted are links whose closure is that of all similar pairs that share
 a key. Each group first meets a hub, and what the hub connects needs no further comparison: a group of near copies
-collapses in as many comparisons as it has members. Groups that still hold several components go on: small ones pair by
-pair across components, and the members of large ones by an exact prefix filter. Features are ordered by how many of
+collapses in as many comparisons as it has members. Groups that still hold several components go on in tiles of bounded
+size: a set travels once a tile, however many partners it has there, the sizes of all intersections are one product of
+matrices, and a tile reports a forest. Groups of more than MOST_BLOCKS blocks would need too many tiles; their members meet
+by an exact prefix filter. Features are ordered by how many of
 those members have them, rarest first; two similar sets share one of the first fifth of theirs, so what a template puts
 into all its texts selects nothing, features that one member alone has select nothing, and no link is lost. Pairs across
 components that share such a feature are left, fewer again by a bound on what may still be common behind it.
@@ -14,6 +16,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,8 +28,12 @@ from transloom.llm.components import components
 NUMERATOR, DENOMINATOR = 4, 5
 #: Hubs that a group meets before it is compared otherwise (a second one found 2 % of the links).
 HUBS = 1
-#: Members of a group that are compared pair by pair.
-SMALL = 12
+#: Members of a block, and features of all its sets; a tile holds one block or two.
+BLOCK, BLOCK_FEATURES = 512, 1 << 21
+#: Blocks up to which a group is compared in tiles.
+MOST_BLOCKS = 64
+#: Features whose columns of a tile's matrix are held at once.
+COLUMNS = 4096
 #: Pairs of one node that meet one copy of its set.
 PAIRS_PER_COPY = 256
 
@@ -91,21 +99,75 @@ def _prefix_pairs(nodes: DataFrame, sets: DataFrame) -> DataFrame:
     return met.select(F.col("node_a").alias("u"), F.col("node_b").alias("v")).distinct()
 
 
-def pair_by_pair(small: DataFrame) -> DataFrame:
-    """(u, v) across components inside groups (key, node, size, root) of bounded size."""
-    side = lambda x: small.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "size", "root")])
-    few = side("a").join(side("b"), "key").where((F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b")) & close_sizes(F.col("size_a"), F.col("size_b")))
-    return few.select(F.col("node_a").alias("u"), F.col("node_b").alias("v"))
+def forest(root: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Places (a, b) across components (``root``) that connect what similar sets connect, at most one a set.
+
+    The two ends need not be similar themselves: sets between them are.
+    """
+    n, size = len(sets), np.array([len(x) for x in sets])
+    owner = np.repeat(np.arange(n), size)
+    _, column, many = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = many[column] > 1  # what one set alone has is common to none
+    place = np.cumsum(many > 1) - 1
+    owner, column = owner[shared], place[column[shared]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    exact = np.float32 if size.max() < 1 << 24 else np.float64
+    common = np.zeros((n, n), exact)
+    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        some = slice(*np.searchsorted(column, [lo, lo + COLUMNS]))
+        x = np.zeros((n, COLUMNS), exact)
+        x[owner[some], column[some] - lo] = 1
+        common += x @ x.T
+    near = (NUMERATOR + DENOMINATOR) * common.astype(np.float64) >= NUMERATOR * (size[:, None] + size)
+    near |= root[:, None] == root
+    out, left = [], np.ones(n, bool)
+    for first in range(n):
+        if not left[first]:
+            continue
+        reached = edge = np.arange(n) == first
+        while edge.any():
+            edge = near[edge].any(axis=0) & ~reached
+            reached = reached | edge
+        left &= ~reached
+        others = np.nonzero(reached & (root != root[first]))[0]
+        out += [(first, int(b)) for b in others[np.unique(root[others], return_index=True)[1]]]
+    return out
+
+
+def _tiled(mixed: DataFrame) -> DataFrame:
+    """(key, i, j, node, size, root): members of groups (with their blocks) dealt out to pairs of blocks, each pair of members
+    to a tile at least."""
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    last = F.col("blocks") - 1
+    partner = F.when(last == 0, F.array(F.lit(0))).otherwise(F.array_remove(F.sequence(F.lit(0), last), F.col("i")))
+    rows = mixed.withColumn("i", own).withColumn("partner", F.explode(partner))
+    return rows.select("key", F.least("i", "partner").alias("i"), F.greatest("i", "partner").alias("j"), "node", "size", "root")
+
+
+def tile_links(tiled: DataFrame, sets: DataFrame) -> DataFrame:
+    """(u, v): a forest of what is similar across components in each tile (key, i, j, node, root)."""
+
+    def run(table: pa.Table) -> pa.Table:
+        node, root = table.column("node").to_numpy(), table.column("root").to_numpy()
+        pairs = []
+        if (root != root[0]).any():
+            pairs = forest(root, [x.values.to_numpy() for x in table.column("set")])
+        a, b = np.array(pairs, np.int64).reshape(-1, 2).T
+        return pa.table({"u": np.minimum(node[a], node[b]), "v": np.maximum(node[a], node[b])})
+
+    rows = tiled.select("key", "i", "j", "node", "root").join(sets, "node")
+    return rows.groupBy("key", "i", "j").applyInArrow(run, "u long, v long")
 
 
 def links(
     members: DataFrame, sets: DataFrame, screen: Callable[[DataFrame], DataFrame] | None = None,
-    within: Callable[[DataFrame], DataFrame] = pair_by_pair, small: int = SMALL,
+    narrow: Callable[[DataFrame], DataFrame] | None = None, most_blocks: int = MOST_BLOCKS,
 ) -> DataFrame:
     """(u, v) links whose closure is that of all similar pairs that share a key of ``members`` (key, node, size).
 
     ``sets`` (node, set) holds the set of every member. ``screen`` may drop pairs (u, v) before their sets are compared;
-    ``within`` gives the pairs across components of groups with up to ``small`` members.
+    ``narrow`` may drop members of tiles (key, i, j, node, size, root) that have no partner in another component there.
     """
     screen = screen or (lambda pairs: pairs)
     found: DataFrame | None = None
@@ -123,7 +185,13 @@ def links(
     mixed = _mixed(members, found, HUBS)
     if mixed.isEmpty():
         return found
-    pairs = within(mixed.where(F.col("n") <= small).select("key", "node", "size", "root"))
-    many = mixed.where(F.col("n") > small).select("node", "size", "root").distinct()
-    pairs = pairs.unionByName(_prefix_pairs(many, sets)).distinct().join(tried, ["u", "v"], "left_anti")
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / BLOCK_FEATURES)).cast("int").alias("blocks")
+    mixed = cut(mixed.join(mixed.groupBy("key").agg(blocks), "key"))
+    tiled = _tiled(mixed.where(F.col("blocks") <= most_blocks))
+    new = cut(tile_links(tiled if narrow is None else narrow(tiled), sets).distinct())
+    found = found.unionByName(new)
+    many = mixed.where(F.col("blocks") > most_blocks).select("node", "size", "root").distinct()
+    if many.isEmpty():
+        return found
+    pairs = _prefix_pairs(many, sets).distinct().join(tried, ["u", "v"], "left_anti")
     return found.unionByName(similar(cut(screen(pairs)), sets))

@@ -314,18 +314,18 @@ def close_members(members: DataFrame, nodes: DataFrame) -> DataFrame:
     return few.unionByName(sized.where(F.col("n") > TILE).select("key", "node", F.col("size").cast("long").alias("size")))
 
 
-def close_pairs(members: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(u, v) across components (root) of groups of up to TILE members that cell counts do not tell apart."""
+def close_across(tiled: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The rows of ``tiled`` (key, i, j, node, size, root) that cell counts leave a partner of another component in their tile."""
 
     def run(table: pa.Table) -> pa.Table:
-        node, root = table.column("node").to_numpy(), table.column("root").to_numpy()
+        root = table.column("root").to_numpy()
         a, b = _near_pairs(table)
         apart = root[a] != root[b]
-        a, b = node[a[apart]], node[b[apart]]
-        return pa.table({"u": np.minimum(a, b), "v": np.maximum(a, b)})
+        keep = np.unique(np.concatenate([a[apart], b[apart]]))
+        return table.select(["key", "i", "j", "node", "size", "root"]).take(pa.array(keep))
 
-    rows = members.join(nodes.select("node", "cells"), "node").select("key", "node", "root", "size", "cells")
-    return rows.groupBy("key").applyInArrow(run, "u long, v long")
+    rows = tiled.join(nodes.select("node", "cells"), "node").select("key", "i", "j", "node", F.col("size").cast("long").alias("size"), "root", "cells")
+    return rows.groupBy("key", "i", "j").applyInArrow(run, "key long, i int, j int, node long, size long, root long")
 
 
 def join_components(docs: DataFrame) -> DataFrame:
@@ -355,7 +355,7 @@ def join_components(docs: DataFrame) -> DataFrame:
     members = written(close_members(written(ends.unionByName(hubs).distinct()), nodes))
     texts = kind("row").select(F.col("rid").alias("node"), "text").join(members.select("node").distinct(), "node", "left_semi")
     sets = written(texts.select("node", _set("text").alias("set")))
-    found = links(members, sets, lambda pairs: differ_little(pairs, nodes), lambda few: close_pairs(few, nodes), TILE)
+    found = links(members, sets, lambda pairs: differ_little(pairs, nodes), lambda tiled: close_across(tiled, nodes))
     closed = components(found)
     labelled = one.join(closed, "node", "left").select("digest", "least", F.coalesce("root", "node").alias("root"))
     least = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
