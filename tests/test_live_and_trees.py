@@ -172,3 +172,12 @@ def test_odd_trees(spark):
     assert trees.fit_trees(df.limit(0), ["a"], "y").leaves == {}
     flat = trees.fit_trees(df.where("a = 1"), ["a"], "y")
     assert flat.splits == {} and flat.start == 3.0
+
+
+def test_repeated_keys_go_after_the_shuffle(spark):
+    """The tasks of the scan hold no table of keys: rows are dealt out first."""
+    rows = spark.createDataFrame([(i % 7, float(i % 7)) for i in range(50)], "id int, x double")
+    once = streaming.one_of_each(rows, rows.columns)
+    plan = once._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "HashAggregate" not in plan[plan.index("Exchange hashpartitioning") :]
+    assert sorted(tuple(r) for r in once.collect()) == [(i, float(i)) for i in range(7)]

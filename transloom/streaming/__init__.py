@@ -35,6 +35,12 @@ def _literals(hours: DataFrame) -> list[Column]:
     return [F.lit(r[0]).cast("timestamp_ntz") for r in hours.collect()]
 
 
+def one_of_each(rows: DataFrame, key: list[str]) -> DataFrame:
+    """One row of each key. Rows are dealt out by key first: nearly all keys differ, and to look for repeated ones in the tasks
+    of the scan as well would hold a whole split's rows in memory there and send as many."""
+    return rows.repartition(*key).dropDuplicates(key)
+
+
 def stream_ingest_hourly(stream: DataFrame, path: str, checkpoint: str, key: list[str], ts: str = "timestamp", now: Callable[[], Column] | None = None, available_now: bool = True) -> StreamingQuery:
     """Land trips in hour partitions. A batch rewrites the partitions it touches with old and new rows, one of each
     key, so replays and late rows are harmless; with ``now`` it trims retention.
@@ -48,7 +54,7 @@ def stream_ingest_hourly(stream: DataFrame, path: str, checkpoint: str, key: lis
             touched = _literals(batch.select(F.date_trunc("hour", ts).cast("timestamp_ntz").cast("string")).distinct())
             old = read_hour_partitions(spark, path)
             batch = old.where(F.col("part_ts").isin(*touched)).select(batch.columns).unionByName(batch) if touched else batch
-        write_hour_partition(batch.dropDuplicates(key), path, ts)
+        write_hour_partition(one_of_each(batch, key), path, ts)
         if now is not None:
             trim_retention(spark, path, now())
 
