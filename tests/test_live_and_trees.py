@@ -181,3 +181,19 @@ def test_repeated_keys_go_after_the_shuffle(spark):
     plan = once._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "HashAggregate" not in plan[plan.index("Exchange hashpartitioning") :]
     assert sorted(tuple(r) for r in once.collect()) == [(i, float(i)) for i in range(7)]
+
+
+def test_a_stream_has_files_by_its_size(spark, monkeypatch, tmp_path):
+    from transloom.plans import pipelines, queries
+
+    trips = [(i, 1, "A", "B", datetime(2019, 9, 1 + i % 28), 100 * (i % 24), 100 * (i % 24), 1.0) for i in range(500)]
+    flights = spark.createDataFrame(trips, "l_orderkey long, l_linenumber int, Origin string, Dest string, FlightDate date, CRSDepTime int, CRSArrTime int, ArrDelay double")
+    monkeypatch.setattr(pipelines, "flights", lambda s, d: flights)
+    monkeypatch.setattr(queries, "_folder", lambda s: str(tmp_path))
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(name, "false")  # as if each of the eight shuffle partitions were large
+    try:
+        base, _ = queries._stream_source(spark, "")
+    finally:
+        spark.conf.unset(name)
+    assert len(list(tmp_path.glob("in/part-*.parquet"))) == 8 and spark.read.parquet(f"{base}/in").count() == 500

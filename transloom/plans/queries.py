@@ -1324,10 +1324,10 @@ register(
 
 # ---- streaming -----------------------------------------------------------------------------------------
 def _stream_source(s: SparkSession, d: str) -> tuple[str, DataFrame]:
-    """Trips written as files in event order, and a stream over them."""
+    """Trips written as files in event order, as many as their size asks for, and a stream over them."""
     base = _folder(s)
     rows = cleaning.derive_timestamps(P.flights(s, d)).select(*FLIGHT_KEYS, "Origin", "Dest", "timestamp", "arr_timestamp", "ArrDelay")
-    rows.repartitionByRange(4, "timestamp").write.parquet(f"{base}/in")
+    rows.repartitionByRange("timestamp").write.parquet(f"{base}/in")
     return base, streaming.file_stream(s, f"{base}/in", s.read.parquet(f"{base}/in").schema)
 
 
