@@ -25,9 +25,10 @@ def collected(nodes: DataFrame) -> DataFrame:
 
 
 def filter_network(flights: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Trips with both ends in ``nodes`` (code)."""
+    """Trips with both ends in ``nodes`` (code), which are small by nature: Spark does not know the size of a local list and
+    would shuffle and sort all trips by each end, a few airports in all."""
     for end in ("Origin", "Dest"):
-        flights = flights.join(nodes.select(F.col("code").alias("__node")), F.col(end) == F.col("__node"), "left_semi")
+        flights = flights.join(F.broadcast(nodes.select(F.col("code").alias("__node"))), F.col(end) == F.col("__node"), "left_semi")
     return flights
 
 
