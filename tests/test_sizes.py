@@ -1,5 +1,8 @@
 """What is moved or kept stays in proportion: plans and tables of operators that run on large trip tables."""
 
+import os
+from datetime import datetime
+
 from pyspark.sql import functions as F
 
 from transloom.operators import network
@@ -11,3 +14,17 @@ def test_trips_are_not_shuffled_by_their_ends(spark):
     plan = kept._jdf.queryExecution().executedPlan().toString()
     assert plan.count("BroadcastHashJoin") == 2 and "Exchange hashpartitioning" not in plan
     assert kept.count() == sum(i % 5 < 2 and i % 3 < 2 for i in range(1000))
+
+
+
+def test_a_failed_batch_writes_a_file_an_hour(spark, monkeypatch, tmp_path):
+    from transloom.plans import pipelines, queries
+
+    trips = [(i, 1 + i % 2, "A", "B", datetime(2019, 9, 1), 100 * (i % 6), 100 * (i % 6), 1.0) for i in range(600)]
+    flights = spark.createDataFrame(trips, "l_orderkey long, l_linenumber int, Origin string, Dest string, FlightDate date, CRSDepTime int, CRSArrTime int, ArrDelay double").repartition(5)
+    monkeypatch.setattr(pipelines, "flights", lambda s, d: flights)
+    monkeypatch.setattr(queries, "_folder", lambda s: str(tmp_path))
+    rows = queries._committed(spark, "").collect()
+    assert len(rows) == 6 and all(r["same"] for r in rows)
+    files = list(tmp_path.glob("landing/y=*/m=*/d=*/h=*/batch=2/part-*.parquet"))
+    assert len(files) == len({os.path.dirname(f) for f in files}) == 3

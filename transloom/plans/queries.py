@@ -272,7 +272,7 @@ def _committed(s, d):
     trees = (f"{base}/landing", f"{base}/buffer", f"{base}/ledger")
     ledger.commit_hours(rows, *trees, 0)
     ledger.commit_hours(rows.where("hour(timestamp) % 4 = 1 AND l_linenumber <= 2"), *trees, 1)
-    sinks.with_hour_partition(rows.where("l_linenumber = 1")).withColumn("batch", F.lit(2)).write.partitionBy(*ledger.PARTS, "batch").mode("append").parquet(trees[0])
+    sinks.with_hour_partition(rows.where("l_linenumber = 1")).repartition(*ledger.PARTS).withColumn("batch", F.lit(2)).write.partitionBy(*ledger.PARTS, "batch").mode("append").parquet(trees[0])
     sides = [ledger.read_committed(s, tree, trees[2]).groupBy("part_ts", "batch").agg(F.count("*").alias("n"), F.sum("l_orderkey").alias("orders")) for tree in trees[:2]]
     other = sides[1].select("part_ts", "batch", F.col("n").alias("n2"), F.col("orders").alias("orders2"))
     return sides[0].join(other, ["part_ts", "batch"], "full").select("part_ts", "batch", "n", "orders", F.equal_null(F.struct("n", "orders"), F.struct(F.col("n2").alias("n"), F.col("orders2").alias("orders"))).alias("same"))

@@ -88,7 +88,7 @@ def commit_hours(rows: DataFrame, landing: str, buffer: str, ledger: str, batch:
     _write(dealt.repartition(*PARTS), landing)
     landed = _batch(spark, landing, batch, rows.schema)
     if landed is not None:
-        _write(landed.repartition(*PARTS), buffer)
+        _write(landed, buffer)  # its files hold an hour each
         copied = _batch(spark, buffer, batch, rows.schema)
         if copied is None:
             raise OSError(f"batch {batch} is in {landing} but not in {buffer}")
