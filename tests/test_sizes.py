@@ -3,9 +3,10 @@
 import os
 from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
-from transloom.operators import network
+from transloom.operators import network, trees
 
 
 def test_trips_are_not_shuffled_by_their_ends(spark):
@@ -16,6 +17,21 @@ def test_trips_are_not_shuffled_by_their_ends(spark):
     assert kept.count() == sum(i % 5 < 2 and i % 3 < 2 for i in range(1000))
 
 
+def test_trees_learn_from_cells(spark, monkeypatch):
+    """Four values of one feature and two of the other: eight cells, whatever the number of rows."""
+    sizes = []
+
+    def cut(df):
+        sizes.append(df.count())
+        return df.localCheckpoint()
+
+    monkeypatch.setattr(trees, "cut", cut)
+    df = spark.range(2000).select((F.col("id") % 4).alias("a"), (F.floor(F.col("id") / 4) % 2).alias("b"), (F.col("id") % 8 * 3 % 7).cast("double").alias("y"))
+    model = trees.fit_trees(df, ["a", "b"], "y", trees=3, rate=1.0, ridge=0.0)
+    assert set(sizes) == {8} and model.leaves
+    off = model.predict(df).agg(F.max(F.abs(F.col("prediction") - F.col("y")))).first()[0]
+    assert off == pytest.approx(0, abs=1e-9)
+
 
 def test_a_failed_batch_writes_a_file_an_hour(spark, monkeypatch, tmp_path):
     from transloom.plans import pipelines, queries

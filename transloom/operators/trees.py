@@ -1,9 +1,10 @@
 """Gradient-boosted regression trees from histograms.
 
-Features are cut into bins at their quantiles once. A level of a tree is one aggregation: the residuals of all rows are summed by
-(node, feature, bin), with partial sums in each task, and the best split of every node is read off these sums. Their number
-is bounded by nodes, features and bins, whatever the number of rows; the model is a small table of splits and leaves. Residuals
-are kept in the shared folder from tree to tree.
+Features are cut into bins at their quantiles once. Rows of the same bins go the same way through every tree, so the rows are
+read once more and become cells: (bins, sum of residuals, rows). A level of a tree is one aggregation of the cells by (node,
+feature, bin), and the best split of every node is read off these sums. Their number is bounded by nodes, features and bins,
+whatever the number of rows; cells are no more than the combinations of bins that exist, and never more than rows. The model is a
+small table of splits and leaves. Cells are kept in the shared folder from tree to tree.
 
 Defined cases: null and NaN values have a bin of their own, below all others; rows without a target are not learned from and are
 predicted like any other; a feature of one value is never split; ties go to the first feature and the lowest cut.
@@ -11,7 +12,7 @@ predicted like any other; a feature of one value is never split; ties go to the
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -53,33 +54,39 @@ class Trees:
                 out.leaves[r["tree"], r["node"]] = r["value"]
         return out
 
-    def prediction(self) -> Column:
-        """The prediction of a row, inside whole-stage code."""
+    def prediction(self, of: Callable[[str], Column] | None = None) -> Column:
+        """The prediction of a row, inside whole-stage code. ``of`` gives a feature's value without nulls; see ``predict``."""
         trees = sorted({t for t, _ in self.leaves})
-        return sum((self._value(t, 1) for t in trees), F.lit(self.start))
+        return sum((self._value(t, 1, of or _ranked) for t in trees), F.lit(self.start))
 
-    def _value(self, tree: int, node: int) -> Column:
+    def _value(self, tree: int, node: int, of: Callable[[str], Column]) -> Column:
         if (tree, node) not in self.splits:
             return F.lit(self.leaves[tree, node])
         feature, at = self.splits[tree, node]
-        return F.when(_left(feature, at), self._value(tree, 2 * node)).otherwise(self._value(tree, 2 * node + 1))
+        return F.when(of(feature) <= at, self._value(tree, 2 * node, of)).otherwise(self._value(tree, 2 * node + 1, of))
+
+    def predict(self, rows: DataFrame, out: str = "prediction") -> DataFrame:
+        """Rows with their prediction. Values are made ready once a row: repeated at every split, they make a method that is too
+        long for the JVM to compile."""
+        names = {f: f"__x{i}" for i, f in enumerate(sorted({f for f, _ in self.splits.values()}))}
+        return rows.withColumns({n: _ranked(f) for f, n in names.items()}).withColumn(out, self.prediction(lambda f: F.col(names[f]))).drop(*names.values())
 
 
 def _value_of(feature: str) -> Column:
     return F.nanvl(F.col(f"`{feature}`").cast("double"), F.lit(None).cast("double"))
 
 
-def _left(feature: str, at: float) -> Column:
-    x = _value_of(feature)
-    return x.isNull() | (x <= at)
+def _ranked(feature: str) -> Column:
+    """The value with null below all others; no cut tells null from minus infinity."""
+    return F.coalesce(_value_of(feature), F.lit(float("-inf")))
 
 
 def cuts(rows: DataFrame, features: Sequence[str], bins: int) -> dict[str, list[float]]:
     """Different quantiles of each feature, without the largest value; rising."""
     shares = [i / bins for i in range(1, bins + 1)]
-    found = rows.agg(*[F.percentile_approx(_value_of(f), shares, bins * ACCURACY).alias(f"q{i}") for i, f in enumerate(features)]).first()
-    tops = rows.agg(*[F.max(_value_of(f)).alias(f"m{i}") for i, f in enumerate(features)]).first()
-    return {f: sorted({q for q in found[i] or [] if q < tops[i]}) for i, f in enumerate(features)}
+    quantiles = [F.percentile_approx(_value_of(f), shares, bins * ACCURACY).alias(f"q{i}") for i, f in enumerate(features)]
+    found = rows.agg(*quantiles, *[F.max(_value_of(f)).alias(f"m{i}") for i, f in enumerate(features)]).first()
+    return {f: sorted({q for q in found[i] or [] if q < found[len(features) + i]}) for i, f in enumerate(features)}
 
 
 def _bin(feature: str, edges: Sequence[float]) -> Column:
@@ -128,14 +135,15 @@ def fit_trees(rows: DataFrame, features: Sequence[str], target: str, trees: int
     if start is None:
         return Trees(0.0)
     model = Trees(float(start))
-    data = known.select(*[_bin(f, edges[f]).cast("short").alias(f"b{i}") for i, f in enumerate(features)], (F.col(target).cast("double") - start).alias("residual"))
+    bin_of = [_bin(f, edges[f]).cast("short").alias(f"b{i}") for i, f in enumerate(features)]
+    data = known.groupBy(*bin_of).agg(F.sum(F.col(target).cast("double") - start).alias("residual"), F.count("*").alias("rows"))
     data = cut(data)
     each = F.explode(F.array(*[F.struct(F.lit(i).alias("f"), F.col(f"b{i}").cast("int").alias("b")) for i in range(len(features))])).alias("x")
     for t in range(1, trees + 1):
         splits: dict[int, tuple[int, int]] = {}
         open_, totals = {1}, {}
         for level in range(depth + 1):
-            found = data.select(_node(splits).alias("node"), "residual", each).where(F.col("node").isin(*open_)).groupBy("node", "x.f", "x.b").agg(F.sum("residual").alias("s"), F.count("*").alias("n"))
+            found = data.select(_node(splits).alias("node"), "residual", "rows", each).where(F.col("node").isin(*open_)).groupBy("node", "x.f", "x.b").agg(F.sum("residual").alias("s"), F.sum("rows").alias("n"))
             sums: dict[int, dict[tuple[int, int], tuple[float, int]]] = {}
             for r in found.collect():  # nodes x features x bins at most
                 sums.setdefault(r["node"], {})[r["f"], r["b"]] = r["s"], r["n"]
@@ -158,5 +166,5 @@ def fit_trees(rows: DataFrame, features: Sequence[str], target: str, trees: int
             model.splits[t, node] = features[f], edges[features[f]][b - 1] if b else float("-inf")
         model.leaves |= {(t, n): v for n, v in leaves.items()}
         step = F.create_map(*[x for n, v in leaves.items() for x in (F.lit(n), F.lit(v))])[_node(splits)]
-        data = cut(data.withColumn("residual", F.col("residual") - step))
+        data = cut(data.withColumn("residual", F.col("residual") - F.col("rows") * step))
     return model

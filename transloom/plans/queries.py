@@ -929,7 +929,7 @@ def _boosted(s, d):
     rows = tabular.temporal_features(cleaning.encode_time(cleaning.clean_flights(P.flights(s, d))))
     names = ["Distance", "TaxiOut", "hour_sin", "hour_cos", "TaxiIn", "DepDelay"]
     model = trees.fit_trees(rows.where(F.col("FlightDate") < "2019-10-01"), names, "ArrDelay")
-    return rows.select(*FLIGHT_KEYS, "ArrDelay", F.round(model.prediction(), 3).alias("prediction"))
+    return model.predict(rows).select(*FLIGHT_KEYS, "ArrDelay", F.round("prediction", 3).alias("prediction"))
 
 
 register("tabular_regressor_trees", _boosted)
@@ -939,7 +939,7 @@ def _stump(s, d):
     """One tree of one split without shrinkage: the best cut of a feature of seven values, which SQL can find by trying all."""
     rows = cleaning.clean_flights(P.flights(s, d))
     model = trees.fit_trees(rows, ["TaxiIn"], "ArrDelay", trees=1, depth=1, bins=64, rate=1.0, ridge=0.0, least=1)
-    return rows.select(*FLIGHT_KEYS, F.round(model.prediction(), 3).alias("prediction"))
+    return model.predict(rows).select(*FLIGHT_KEYS, F.round("prediction", 3).alias("prediction"))
 
 
 register("tabular_regressor_stump", _stump, """
