@@ -20,7 +20,9 @@ def flights_from_lineitem(spark: SparkSession, folder: str, self_routes: bool =
     orders = read(spark, folder, "orders").select("o_orderkey", "o_custkey")
     customer = read(spark, folder, "customer").select("c_custkey", "c_nationkey")
     supplier = read(spark, folder, "supplier").select("s_suppkey", "s_nationkey")
-    j = line.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(customer, F.col("o_custkey") == F.col("c_custkey")).join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
+    # orders meet their customers first, so that line items, several an order, are not sorted by customer
+    owned = orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_nationkey")
+    j = line.join(owned, F.col("l_orderkey") == F.col("o_orderkey")).join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
     code = lambda c: F.concat(F.lit("A"), F.lpad(F.col(c).cast("string"), 2, "0"))
     j = j.select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", code("s_nationkey").alias("Origin"), code("c_nationkey").alias("Dest"),
