@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from transloom.sources.shared import cut, shared_dir, written
 
-__all__ = ["SPACES", "cut", "remainder", "shared_dir", "small_batches", "table", "vocabulary", "written"]
+__all__ = ["SPACES", "cut", "once", "remainder", "shared_dir", "small_batches", "table", "vocabulary", "written"]
 
 #: The ASCII white space that separates words everywhere in this subpackage.
 SPACES = " \t\n\x0b\x0c\r"
@@ -29,6 +30,12 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, ARROW_BYTES)
 
 
+def once(function: Callable, returns) -> Callable:
+    """A pandas UDF that a row meets once. Spark would put a filter on its result below the projection and call it in both,
+    by two Python workers a core that stay with the executor."""
+    return F.pandas_udf(function, returns).asNondeterministic()
+
+
 def remainder(doc_id: str | Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus`` (null for a null id)."""
     return F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")) % modulus

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from transloom.llm.common import small_batches
+from transloom.llm.common import once, small_batches
 
 MATCH = 50
 GRAM = 16
@@ -213,12 +213,14 @@ def string_hash(words: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-@F.pandas_udf(T.BinaryType())
-def _unzip(packed: pd.Series) -> pd.Series:
+def _unzipped(packed: pd.Series) -> pd.Series:
     unzip = zstandard.ZstdDecompressor()
     return packed.map(lambda z: unzip.decompress(z) if z else b"", na_action=None)
 
 
+_unzip = once(_unzipped, T.BinaryType())
+
+
 def exploded(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(owner, number inside it) of n[i] things of each owner."""
     who = np.repeat(np.arange(len(n)), n)

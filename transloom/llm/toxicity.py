@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from transloom.llm.common import cut, small_batches
+from transloom.llm.common import cut, once, small_batches
 from transloom.llm.samples import ROWS_PER_LABEL, labelled_sample, learning_rows
 
 OTHER, NEGATOR, REPORTER, TARGET, INSULT, THREAT = range(6)
@@ -260,13 +260,9 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float
 
 
 def _lexicon_round(sample: DataFrame, size: dict[int, int], lexicon: dict[str, float]) -> dict[str, float]:
-    """Features for the toxic texts that have none of ``lexicon``, so that those of frequent insults crowd out no rare ones."""
-
-    @F.pandas_udf("array<string>")
-    def features(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: stems(t or ""))
-
-    rest = sample.select("label", features("text").alias("stems"))
+    """Features for the toxic texts of ``sample`` (label, stems) that have none of ``lexicon``, so that those of frequent
+    insults crowd out no rare ones."""
+    rest = sample.select("label", "stems")
     if lexicon:
         rest = rest.where((F.col("label") == 0) | ~F.arrays_overlap("stems", F.array(*map(F.lit, lexicon))))
     seen = rest.select("label", F.explode("stems").alias("stem")).groupBy("stem")
@@ -289,18 +285,23 @@ def _lexicon_round(sample: DataFrame, size: dict[int, int], lexicon: dict[str, f
     return choose_lexicon(names, [r[2:] for r in ranked], has, y, (size[1], size[0]))
 
 
-def _confirmed(docs: DataFrame, labels: DataFrame, lexicon: dict[str, float]) -> dict[str, float]:
-    """The features that hold over all labelled learning rows; the sample may lack the clean texts that have them."""
+def _having(docs: DataFrame, lexicon: dict[str, float]) -> DataFrame:
+    """(doc_id, found) of the rows that have features of ``lexicon``."""
     finder = Grammar(lexicon).finder
     known = set(lexicon)
 
-    @F.pandas_udf("array<string>")
     def features(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: [f for f in stems(t) if f in known] if t and next(finder.iter(t.lower()), None) else [])
 
+    found = once(features, "array<string>")(F.col("text").cast("string"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), found.alias("found")).where(F.size("found") > 0)
+
+
+def _confirmed(docs: DataFrame, labels: DataFrame, lexicon: dict[str, float]) -> dict[str, float]:
+    """The features that hold over all labelled learning rows; the sample may lack the clean texts that have them."""
     rows = learning_rows(labels, "toxic")
     size = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), features(F.col("text").cast("string")).alias("found")).where(F.size("found") > 0)
+    found = _having(docs, lexicon)
     counts = found.join(rows, "doc_id").select("label", F.explode("found").alias("stem")).groupBy("stem").agg(F.sum("label").alias("t"), F.count("*").alias("n")).collect()
     weights = {r["stem"]: log_odds(r["t"], r["n"] - r["t"], size[1], size[0]) for r in counts if r["t"]}
     least = math.log(LEAST_SHARE / (1 - LEAST_SHARE))
@@ -311,8 +312,9 @@ def fit(docs: DataFrame, labels: DataFrame, rows_per_label: int = ROWS_PER_LABEL
     """(insult lexicon, logistic coefficients) from a bounded labelled sample (see ``samples``); other labels than 0 and 1 are left out."""
     small_batches(docs.sparkSession)
     labels = labels.where(F.col("toxic").isin(0, 1))
+    every = F.pandas_udf(lambda s: s.map(lambda t: stems(t or "")), "array<string>")
     sample = labelled_sample(docs, labels, "toxic", rows_per_label)
-    sample = cut(sample)  # a bounded table
+    sample = cut(sample.select("label", "text", every("text").alias("stems")))  # a bounded table
     size = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if not (size.get(0) and size.get(1)):
         return {}, None
