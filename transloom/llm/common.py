@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 from collections.abc import Callable
 
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from transloom.sources.shared import cut, shared_dir, written
 
-__all__ = ["SPACES", "cut", "once", "remainder", "shared_dir", "small_batches", "table", "vocabulary", "written"]
+__all__ = ["SPACES", "among", "cut", "drop_shuffles", "once", "remainder", "shared_dir", "small_batches", "table", "vocabulary", "written"]
 
 #: The ASCII white space that separates words everywhere in this subpackage.
 SPACES = " \t\n\x0b\x0c\r"
@@ -36,6 +37,23 @@ def once(function: Callable, returns) -> Callable:
     return F.pandas_udf(function, returns).asNondeterministic()
 
 
+def among(rows: DataFrame, ids: DataFrame, name: str) -> DataFrame:
+    """The ``rows`` whose long column ``name`` is one of ``ids`` (a column of that name). The rows stay where they are: what is
+    broadcast is a bit a number, in blocks of 4 KB, so numbers should lie close together."""
+    block, bit = F.bitmap_bucket_number(F.col(name)), F.bitmap_bit_position(F.col(name))
+    bits = ids.groupBy(block.alias("block")).agg(F.bitmap_construct_agg(bit).alias("bits"))
+    byte = F.conv(F.hex(F.substring("bits", (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    found = rows.join(F.broadcast(bits), block == F.col("block"))
+    return found.where(byte.bitwiseAND(F.expr(f"shiftleft(1, CAST(bitmap_bit_position(`{name}`) % 8 AS INT))")) != 0).select(*rows.columns)
+
+
+def drop_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of tables that nobody refers to any more; else they stay until the driver's JVM
+    happens to collect its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def remainder(doc_id: str | Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus`` (null for a null id)."""
     return F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")) % modulus

@@ -18,10 +18,11 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from transloom.llm.common import cut, written
+from transloom.llm.common import cut, drop_shuffles, written
 from transloom.llm.components import components
 
 #: Similarity 0.8 as a fraction of integers.
@@ -34,7 +35,7 @@ BLOCK, BLOCK_FEATURES = 512, 1 << 21
 MOST_BLOCKS = 64
 #: Features whose columns of a tile's matrix are held at once.
 COLUMNS = 4096
-#: Pairs of one node that meet one copy of its set.
+#: Pairs of one node that meet one copy of its set (fewer, if their sets would have more than BLOCK_FEATURES features).
 PAIRS_PER_COPY = 256
 
 
@@ -46,18 +47,37 @@ def close_sizes(a: Column, b: Column) -> Column:
 def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The (u, v) of ``pairs`` whose ``sets`` (node, set) are similar enough.
 
-    Sets that many pairs need are dealt out in copies, so no task holds all pairs of a hub.
+    Of each pair the end that more pairs have is its base: a set travels to its base once a pair, and the base's own set once
+    for each share of its pairs, so no task holds all pairs of a hub.
     """
-    ends = pairs.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.ceil(F.count("*") / PAIRS_PER_COPY).cast("int").alias("copies"))
-    copies = cut(ends)
-    dealt = sets.join(copies, "node").select("node", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), "set")
-    salt = lambda other: F.pmod(F.xxhash64(other), F.col("copies")).cast("int")
-    both = pairs.join(copies.withColumnRenamed("node", "u"), "u").select("u", "v", salt("v").alias("copy"))
-    both = both.join(dealt.select(F.col("node").alias("u"), "copy", F.col("set").alias("a")), ["u", "copy"]).drop("copy")
-    both = both.join(copies.withColumnRenamed("node", "v"), "v").select("u", "v", "a", salt("u").alias("copy"))
-    both = both.join(dealt.select(F.col("node").alias("v"), "copy", F.col("set").alias("b")), ["v", "copy"])
-    common = F.size(F.array_intersect("a", "b"))
-    return both.where(DENOMINATOR * common >= NUMERATOR * (F.size("a") + F.size("b") - common)).select("u", "v")
+    ends = pairs.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count("*").alias("n"))
+    sizes = sets.select("node", F.greatest(F.lit(1), F.size("set")).alias("size"))
+    shares = F.ceil(F.col("n") / F.greatest(F.lit(1), F.least(F.lit(PAIRS_PER_COPY), F.floor(F.lit(BLOCK_FEATURES) / F.col("size")))))
+    ends = cut(ends.join(sizes, "node").select("node", "n", shares.cast("int").alias("shares")))
+    end = lambda x: ends.select(*[F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "shares")])
+    both = pairs.join(end("u"), F.col("u") == F.col("node_u")).join(end("v"), F.col("v") == F.col("node_v"))
+    first = F.col("n_u") >= F.col("n_v")
+    pick = lambda x, y: F.when(first, F.col(x)).otherwise(F.col(y))
+    dealt = both.select(pick("u", "v").alias("base"), pick("v", "u").alias("node"), first.alias("first"), pick("shares_u", "shares_v").alias("shares"))
+    dealt = cut(dealt.select("base", F.pmod(F.xxhash64("node"), "shares").cast("int").alias("share"), "node", "first"))
+    own = dealt.select("base", "share", F.col("base").alias("node"), F.lit(None).cast("boolean").alias("first")).distinct()
+
+    def run(table: pa.Table) -> pa.Table:
+        base, others = table.filter(pc.is_null(table.column("first"))), table.filter(pc.is_valid(table.column("first")))
+        has = [np.sort(np.asarray(x.values).view(np.uint64)) for x in base.column("set")][0]
+        node, first = others.column("node").to_numpy(), others.column("first").to_numpy()
+        size, common = np.zeros(len(node), np.int64), np.zeros(len(node), np.int64)
+        for i, x in enumerate(others.column("set")):
+            values = np.asarray(x.values).view(np.uint64)
+            size[i] = len(values)
+            at = np.searchsorted(has, values)
+            common[i] = (has[np.minimum(at, len(has) - 1)] == values).sum() if len(has) else 0
+        near = (NUMERATOR + DENOMINATOR) * common >= NUMERATOR * (size + len(has))
+        node, first, hub = node[near], first[near].astype(bool), np.full(near.sum(), base.column("base")[0].as_py())
+        return pa.table({"u": np.where(first, hub, node), "v": np.where(first, node, hub)})
+
+    rows = dealt.unionByName(own).join(sets, "node")
+    return rows.groupBy("base", "share").applyInArrow(run, "u long, v long")
 
 
 def _pairs(a: Column, b: Column) -> list[Column]:
@@ -180,6 +200,7 @@ def links(
         asked = cut(asked if tried is None else asked.join(tried, ["u", "v"], "left_anti"))
         tried = asked if tried is None else tried.unionByName(asked)
         new = cut(similar(cut(screen(asked)), sets))
+        drop_shuffles(members.sparkSession)
         found = new if found is None else found.unionByName(new)
         members = mixed.select("key", "node", "size")
     mixed = _mixed(members, found, HUBS)

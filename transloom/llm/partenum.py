@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh3_128_digest, xxh64_intdigest
 
-from transloom.llm.common import cut, small_batches, written
+from transloom.llm.common import among, cut, drop_shuffles, small_batches, written
 from transloom.llm.components import components
 from transloom.llm.groups import DENOMINATOR, NUMERATOR, links
 from transloom.sources.shared import delete, new_folder
@@ -64,8 +64,8 @@ HOT = 32
 #: Bits of a signature that a packet holds; the others choose the bucket.
 PACKET_BITS = 32
 
-#: Cells of the feature domain in which a set's features are counted.
-CELLS = 64
+#: Cells of the feature domain in which a set's features are counted, up to 255 each.
+CELLS = 256
 #: Members of a group whose counts are compared in one task; larger groups are left to an exact prefix filter.
 TILE = 1024
 
@@ -267,8 +267,8 @@ def _repeated(packets: DataFrame) -> DataFrame:
 
 
 def cells(features: np.ndarray) -> np.ndarray:
-    """How many features fall into each of CELLS cells of the domain."""
-    return np.minimum(np.bincount((_mixed(features * _ODD[7]) >> np.uint64(58)).astype(np.int64), minlength=CELLS), 0xFFFF).astype("<u2")
+    """How many features fall into each of CELLS cells of the domain; counts that are cut off differ no more than whole ones."""
+    return np.minimum(np.bincount((_mixed(features * _ODD[7]) >> np.uint64(56)).astype(np.int64), minlength=CELLS), 0xFF).astype(np.uint8)
 
 
 @F.pandas_udf(T.ArrayType(T.LongType()))
@@ -284,8 +284,8 @@ def differ_little(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u2").reshape(-1, CELLS).astype(np.int64) for i in (3, 4))
-            near = (DENOMINATOR + NUMERATOR) * np.abs(a - b).sum(axis=1) <= (DENOMINATOR - NUMERATOR) * batch.column(2).to_numpy()
+            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, CELLS).astype(np.int16) for i in (3, 4))
+            near = (DENOMINATOR + NUMERATOR) * np.abs(a - b).sum(axis=1, dtype=np.int64) <= (DENOMINATOR - NUMERATOR) * batch.column(2).to_numpy()
             yield batch.select(["u", "v"]).filter(pa.array(near))
 
     return both.mapInArrow(run, "u long, v long")
@@ -294,10 +294,10 @@ def differ_little(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 def _near_pairs(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """Places of the rows (size, cells) of a group that cell counts do not tell apart."""
     size = table.column("size").to_numpy()
-    x = np.frombuffer(b"".join(table.column("cells").to_pylist()), "<u2").reshape(-1, CELLS).astype(np.int32)
+    x = np.frombuffer(b"".join(table.column("cells").to_pylist()), np.uint8).reshape(-1, CELLS).astype(np.int16)
     out = []
     for i in range(len(x) - 1):
-        near = (DENOMINATOR + NUMERATOR) * np.abs(x[i + 1 :] - x[i]).sum(axis=1) <= (DENOMINATOR - NUMERATOR) * (size[i + 1 :] + size[i])
+        near = (DENOMINATOR + NUMERATOR) * np.abs(x[i + 1 :] - x[i]).sum(axis=1, dtype=np.int32) <= (DENOMINATOR - NUMERATOR) * (size[i + 1 :] + size[i])
         out.append(np.nonzero(near)[0] + i + 1)
     return np.repeat(np.arange(len(out)), [len(o) for o in out]), np.concatenate(out) if out else np.empty(0, np.int64)
 
@@ -343,18 +343,20 @@ def join_components(docs: DataFrame) -> DataFrame:
     one = cut(one)
     repeated = written(_repeated(kind("packet").unionByName(kind("lead"))).distinct())
     delete(spark, f"{path}/kind=packet")
+    drop_shuffles(spark)
     hot = kind("member").select("bucket", "key", F.col("rid").alias("row"))
     led = repeated.where("key IS NOT NULL").select("bucket", "key", "hub").distinct().join(hot, ["bucket", "key"]).select("hub", F.col("row").alias("rid"))
     met = written(repeated.select("hub", "rid").unionByName(led).where("hub <> rid").distinct())
     wanted = met.select(F.explode(F.array("hub", "rid")).alias("rid")).distinct()
-    named = written(kind("row").select("rid", "digest", "cells").join(wanted, "rid", "left_semi").join(one.drop("least"), "digest").select("rid", "node", "size", "cells"))
+    named = written(among(kind("row").select("rid", "digest", "cells"), wanted, "rid").join(one.drop("least"), "digest").select("rid", "node", "size", "cells"))
     ends = met.join(named.select(F.col("rid").alias("hub"), F.col("node").alias("key")), "hub").join(named, "rid").where("key <> node").select("key", "node", "size")
     hubs = ends.select("key").distinct().join(one.select(F.col("node").alias("key"), "size"), "key").select("key", F.col("key").alias("node"), "size")
     # equal sets have equal counts, so any row of a set will do
     nodes = written(named.groupBy("node").agg(F.first("size").alias("size"), F.first("cells").alias("cells")))
     members = written(close_members(written(ends.unionByName(hubs).distinct()), nodes))
-    texts = kind("row").select(F.col("rid").alias("node"), "text").join(members.select("node").distinct(), "node", "left_semi")
+    texts = among(kind("row").select(F.col("rid").alias("node"), "text"), members.select("node"), "node")
     sets = written(texts.select("node", _set("text").alias("set")))
+    drop_shuffles(spark)
     found = links(members, sets, lambda pairs: differ_little(pairs, nodes), lambda tiled: close_across(tiled, nodes))
     closed = components(found)
     labelled = one.join(closed, "node", "left").select("digest", "least", F.coalesce("root", "node").alias("root"))
